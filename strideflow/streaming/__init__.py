@@ -1,0 +1,9 @@
+"""Streaming.
+
+The reference is a batch pipeline only: it has no stream source or sink, no
+watermark, no event-time window and no stateful operator, so nothing here
+is built.  The run extraction is written so that one game can be processed
+as an independent batch (``operators.runs`` keys everything by game), which
+is how new games are added: append a game's frames, re-run the silver/gold
+job with dynamic partition overwrite (``plans.pipeline``).
+"""
