@@ -70,11 +70,11 @@ def dynamic_counts(qualifying: DataFrame) -> DataFrame:
         "player_id",
         "total_runs_dynamic",
         "games_with_runs",
-        F.round(F.col("mean_pct_dynamic") * 100, 1).alias("mean_pct_dynamic"),
+        rnd(F.col("mean_pct_dynamic") * 100, 1).alias("mean_pct_dynamic"),
         "mean_duration_dynamic",
         "total_distance_dynamic",
         "mean_peak_dynamic",
-        F.round(F.col("total_runs_dynamic") / F.greatest(F.col("games_with_runs"), F.lit(1)), 2).alias(
+        rnd(F.col("total_runs_dynamic") / F.greatest(F.col("games_with_runs"), F.lit(1)), 2).alias(
             "runs_per_game_dynamic"
         ),
     )
@@ -118,7 +118,7 @@ def comparison_dynamic(
         .withColumn("run_delta", F.col("runs_relative_dynamic") - F.col("runs_absolute_dynamic"))
     )
     den = F.greatest(F.col("runs_absolute_dynamic"), F.lit(1))
-    return c.withColumn("pct_change", F.round(F.col("run_delta") / den * 100, 1)).withColumn("category", category())
+    return c.withColumn("pct_change", rnd(F.col("run_delta") / den * 100, 1)).withColumn("category", category())
 
 
 def filtered_summary(sdyn: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
@@ -312,7 +312,7 @@ def position_radar(pp: DataFrame) -> DataFrame:
     ).select("position", "m.metric", "m.v")
     w = Window.partitionBy("metric")
     norm = (F.col("v") - F.min("v").over(w)) / (F.max("v").over(w) - F.min("v").over(w) + F.lit(1e-9))
-    return long.select("position", "metric", F.round(norm * 100, 1).alias("value"))
+    return long.select("position", "metric", rnd(norm * 100, 1).alias("value"))
 
 
 def run_delta_histogram(fc: DataFrame, bins: int = 30) -> DataFrame:
@@ -499,7 +499,7 @@ def match_top_performers(mr: DataFrame, n: int = 15) -> DataFrame:
             rnd("total_dist", 0).alias("total_dist"),
             rnd("peak_speed", 1).alias("peak_speed"),
             rnd("avg_speed", 1).alias("avg_speed"),
-            F.round(F.col("avg_pct_vmax") * 100, 1).alias("avg_pct_vmax"),
+            rnd(F.col("avg_pct_vmax") * 100, 1).alias("avg_pct_vmax"),
         )
     )
 
@@ -514,7 +514,7 @@ def match_team_comparison(mr: DataFrame) -> DataFrame:
             F.sum("distance_m").alias("total_dist"),
             F.avg("peak_speed_kmh").alias("avg_speed"),
             F.max("peak_speed_kmh").alias("peak_speed"),
-            F.round(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
+            rnd(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
             F.count_distinct("player_id").alias("n_players"),
         )
     )
@@ -527,7 +527,7 @@ def match_position(mr: DataFrame) -> DataFrame:
         .groupBy("game_id", "pos")
         .agg(
             F.count("run_id").alias("total_runs"),
-            F.round(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
+            rnd(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
             F.avg("peak_speed_kmh").alias("avg_speed"),
         )
     )
@@ -583,11 +583,11 @@ def threshold_sweep(
         "player_id",
         "total_runs_dynamic",
         "games_with_runs",
-        F.round(F.col("total_runs_dynamic") / F.greatest(F.col("games_with_runs"), F.lit(1)), 2).alias(
+        rnd(F.col("total_runs_dynamic") / F.greatest(F.col("games_with_runs"), F.lit(1)), 2).alias(
             "runs_per_game_dynamic"
         ),
         "runs_absolute_dynamic",
         "run_delta",
-        F.round(F.col("run_delta") / F.greatest(F.col("runs_absolute_dynamic"), F.lit(1)) * 100, 1).alias("pct_change"),
+        rnd(F.col("run_delta") / F.greatest(F.col("runs_absolute_dynamic"), F.lit(1)) * 100, 1).alias("pct_change"),
         category().alias("category"),
     )

@@ -1,0 +1,523 @@
+"""Generated by tools/gen_oracle_types.py: output columns per query key."""
+
+SCHEMAS = {'absolute_frames': [('player_id', 's'), ('game_id', 's'), ('frame_id', 'l'), ('speed_kmh', 'd')],
+ 'absolute_run_counts': [('player_id', 's'), ('runs_absolute', 'l'), ('n_games_absolute', 'l')],
+ 'absolute_runs': [('player_id', 's'),
+                   ('game_id', 's'),
+                   ('period_id', 'l'),
+                   ('run_id', 'l'),
+                   ('start_frame_id', 'l'),
+                   ('end_frame_id', 'l'),
+                   ('duration_sec', 'd'),
+                   ('peak_speed_kmh', 'd'),
+                   ('mean_speed_kmh', 'd'),
+                   ('vmax_kmh', 'd'),
+                   ('pct_of_vmax', 'd'),
+                   ('distance_m', 'd'),
+                   ('start_x', 'd'),
+                   ('start_y', 'd'),
+                   ('end_x', 'd'),
+                   ('end_y', 'd')],
+ 'ball_filter': [('game_id', 's'),
+                 ('frame_id', 'l'),
+                 ('period_id', 'l'),
+                 ('timestamp', 'l'),
+                 ('team_id', 's'),
+                 ('player_id', 's'),
+                 ('x', 'd'),
+                 ('y', 'd')],
+ 'bronze_audit': [('game_id', 's'), ('n_frames', 'l'), ('n_players', 'l')],
+ 'category_counts': [('category', 's'), ('n_players', 'l')],
+ 'comparison_dynamic': [('player_id', 's'),
+                        ('runs_relative', 'l'),
+                        ('runs_absolute', 'l'),
+                        ('runs_absolute_dynamic', 'l'),
+                        ('runs_relative_dynamic', 'l'),
+                        ('run_delta', 'l'),
+                        ('pct_change', 'd'),
+                        ('category', 's'),
+                        ('threshold_at_pct', 'd'),
+                        ('above_absolute', 'b')],
+ 'comparison_lib': [('player_id', 's'),
+                    ('vmax_kmh', 'd'),
+                    ('low_confidence', 'b'),
+                    ('runs_relative', 'l'),
+                    ('runs_absolute', 'l'),
+                    ('relative_threshold_kmh', 'd'),
+                    ('run_delta', 'l'),
+                    ('pct_change', 'd'),
+                    ('category', 's')],
+ 'definition_comparison': [('player_id', 's'),
+                           ('player_name', 's'),
+                           ('team_name', 's'),
+                           ('team_short', 's'),
+                           ('position', 's'),
+                           ('jersey_number', 'l'),
+                           ('vmax_kmh', 'd'),
+                           ('threshold_kmh', 'd'),
+                           ('n_games', 'l'),
+                           ('runs_absolute', 'l'),
+                           ('runs_relative', 'l'),
+                           ('run_delta', 'l'),
+                           ('pct_change', 'd'),
+                           ('category', 's'),
+                           ('runs_per_game_absolute', 'd'),
+                           ('runs_per_game_relative', 'd')],
+ 'definition_preview': [('total_frames', 'l'),
+                        ('frames_absolute_def', 'l'),
+                        ('frames_relative_def', 'l'),
+                        ('absolute_pct', 'd'),
+                        ('relative_pct', 'd'),
+                        ('additional_frames_captured', 'l')],
+ 'dynamic_counts': [('player_id', 's'),
+                    ('total_runs_dynamic', 'l'),
+                    ('games_with_runs', 'l'),
+                    ('mean_pct_dynamic', 'd'),
+                    ('mean_duration_dynamic', 'd'),
+                    ('total_distance_dynamic', 'd'),
+                    ('mean_peak_dynamic', 'd'),
+                    ('runs_per_game_dynamic', 'd')],
+ 'effort_pipeline': [('player_id', 's'),
+                     ('total_runs', 'l'),
+                     ('total_distance_m', 'd'),
+                     ('mean_duration_sec', 'd'),
+                     ('mean_pct_of_vmax', 'd'),
+                     ('mean_peak_speed_kmh', 'd'),
+                     ('n_games', 'l'),
+                     ('vmax_kmh', 'd'),
+                     ('low_confidence', 'b'),
+                     ('runs_per_game', 'd')],
+ 'fastest_players': [('player_id', 's'), ('vmax_kmh', 'd'), ('frame_count', 'l'), ('speed_threshold_kmh', 'd')],
+ 'fewest_absolute': [('player_id', 's'), ('runs_absolute', 'l'), ('n_games_absolute', 'l')],
+ 'filtered_comparison': [('player_id', 's'),
+                         ('team_short', 's'),
+                         ('pos', 's'),
+                         ('n_games', 'l'),
+                         ('runs_absolute_dynamic', 'l'),
+                         ('runs_relative_dynamic', 'l'),
+                         ('run_delta', 'l'),
+                         ('pct_change', 'd'),
+                         ('category', 's')],
+ 'filtered_summary': [('player_id', 's'),
+                      ('team_short', 's'),
+                      ('pos', 's'),
+                      ('games_appeared', 'l'),
+                      ('runs_per_game_dynamic', 'd'),
+                      ('total_runs_dynamic', 'l'),
+                      ('mean_peak_dynamic', 'd'),
+                      ('threshold_at_pct', 'd')],
+ 'frame_speed': [('player_id', 's'), ('game_id', 's'), ('frame_id', 'l'), ('period_id', 'l'), ('speed_kmh', 'd')],
+ 'games_per_player': [('player_id', 's'), ('n_games', 'l')],
+ 'games_per_round': [('Round', 's'), ('n_games', 'l')],
+ 'gold_audit': [('rows', 'l'), ('table', 's')],
+ 'kpis': [('n_players', 'l'),
+          ('avg_vmax', 'd'),
+          ('avg_runs', 'd'),
+          ('top_speed', 'd'),
+          ('n_below_20', 'l'),
+          ('pct_below', 'd')],
+ 'match_header': [('game_id', 's'),
+                  ('home_team_name', 's'),
+                  ('away_team_name', 's'),
+                  ('date', 's'),
+                  ('stadium_name', 's'),
+                  ('Round', 's'),
+                  ('week', 'l')],
+ 'match_labels': [('game_id', 's'), ('date', 's'), ('label', 's')],
+ 'match_position': [('game_id', 's'), ('pos', 's'), ('total_runs', 'l'), ('avg_pct_vmax', 'd'), ('avg_speed', 'd')],
+ 'match_runs': [('game_id', 's'), ('player_id', 's'), ('period_id', 'l'), ('run_id', 'l'), ('pct_of_vmax', 'd')],
+ 'match_team_comparison': [('game_id', 's'),
+                           ('team_short', 's'),
+                           ('total_runs', 'l'),
+                           ('total_dist', 'd'),
+                           ('avg_speed', 'd'),
+                           ('peak_speed', 'd'),
+                           ('avg_pct_vmax', 'd'),
+                           ('n_players', 'l')],
+ 'match_top_performers': [('game_id', 's'),
+                          ('player_id', 's'),
+                          ('player_name', 's'),
+                          ('team_short', 's'),
+                          ('pos', 's'),
+                          ('rank', 'l'),
+                          ('runs', 'l'),
+                          ('total_dist', 'd'),
+                          ('peak_speed', 'd'),
+                          ('avg_speed', 'd'),
+                          ('avg_pct_vmax', 'd')],
+ 'match_zone9': [('game_id', 's'),
+                 ('zone', 'l'),
+                 ('channel', 's'),
+                 ('third', 's'),
+                 ('n_runs', 'l'),
+                 ('pct', 'd'),
+                 ('avg_peak_speed', 'd'),
+                 ('intensity', 'd')],
+ 'most_affected': [('player_id', 's'),
+                   ('player_name', 's'),
+                   ('team_name', 's'),
+                   ('position', 's'),
+                   ('vmax_kmh', 'd'),
+                   ('threshold_kmh', 'd'),
+                   ('runs_absolute', 'l'),
+                   ('runs_relative', 'l'),
+                   ('run_delta', 'l'),
+                   ('pct_change', 'd'),
+                   ('category', 's')],
+ 'most_affected_dynamic': [('player_id', 's'),
+                           ('player_name', 's'),
+                           ('team_short', 's'),
+                           ('pos', 's'),
+                           ('pos_detail', 's'),
+                           ('vmax_kmh', 'd'),
+                           ('threshold_at_pct', 'd'),
+                           ('runs_absolute_dynamic', 'l'),
+                           ('runs_relative_dynamic', 'l'),
+                           ('run_delta', 'l'),
+                           ('pct_change', 'd'),
+                           ('category', 's')],
+ 'normalise_tracking': [('game_id', 's'),
+                        ('frame_id', 'l'),
+                        ('period_id', 'l'),
+                        ('timestamp', 'l'),
+                        ('ball_state', 's'),
+                        ('ball_owning_team_id', 's'),
+                        ('team_id', 's'),
+                        ('player_id', 's'),
+                        ('x', 'd'),
+                        ('y', 'd'),
+                        ('z', 'd'),
+                        ('_ingested_at', 's')],
+ 'pitch_runs_fallback': [('player_id', 's'),
+                         ('game_id', 's'),
+                         ('period_id', 'l'),
+                         ('run_id', 'l'),
+                         ('team_short', 's'),
+                         ('pos', 's')],
+ 'pitch_thirds': [('pitch_zone', 's'),
+                  ('n_runs', 'l'),
+                  ('avg_speed', 'd'),
+                  ('avg_pct_of_vmax', 'd'),
+                  ('avg_distance', 'd'),
+                  ('avg_duration', 'd')],
+ 'pitch_thirds_by_group': [('pitch_zone', 's'), ('pos', 's'), ('n_runs', 'l')],
+ 'pitch_thirds_by_position': [('pitch_zone', 's'),
+                              ('position', 's'),
+                              ('n_runs', 'l'),
+                              ('avg_peak_speed_kmh', 'd'),
+                              ('avg_pct_of_vmax', 'd'),
+                              ('avg_distance_m', 'd'),
+                              ('avg_duration_sec', 'd')],
+ 'player_lookup': [('player_id', 's'),
+                   ('player_name', 's'),
+                   ('team_id', 's'),
+                   ('team_name', 's'),
+                   ('team_short', 's'),
+                   ('jersey_number', 'l'),
+                   ('position', 's'),
+                   ('is_starter', 'b')],
+ 'player_summary': [('player_id', 's'),
+                    ('player_name', 's'),
+                    ('team_name', 's'),
+                    ('team_short', 's'),
+                    ('position', 's'),
+                    ('jersey_number', 'l'),
+                    ('is_starter', 'b'),
+                    ('vmax_kmh', 'd'),
+                    ('threshold_kmh', 'd'),
+                    ('low_confidence', 'b'),
+                    ('games_appeared', 'l'),
+                    ('total_runs', 'l'),
+                    ('runs_per_game', 'd'),
+                    ('total_hsr_distance_m', 'd'),
+                    ('hsr_distance_per_game_m', 'd'),
+                    ('mean_duration_sec', 'd'),
+                    ('mean_pct_of_vmax_pct', 'd'),
+                    ('tournament_peak_speed_kmh', 'd'),
+                    ('mean_peak_speed_kmh', 'd')],
+ 'player_summary_lib': [('player_id', 's'),
+                        ('total_runs', 'l'),
+                        ('total_distance_m', 'd'),
+                        ('mean_duration_sec', 'd'),
+                        ('mean_pct_of_vmax', 'd'),
+                        ('mean_peak_speed_kmh', 'd'),
+                        ('n_games', 'l'),
+                        ('vmax_kmh', 'd'),
+                        ('low_confidence', 'b'),
+                        ('runs_per_game', 'd')],
+ 'player_table': [('player_id', 's'),
+                  ('player_name', 's'),
+                  ('team_name', 's'),
+                  ('pos', 's'),
+                  ('pos_detail', 's'),
+                  ('games_appeared', 'l'),
+                  ('vmax_kmh', 'd'),
+                  ('threshold_at_pct', 'd'),
+                  ('total_runs_dynamic', 'l'),
+                  ('runs_per_game_dynamic', 'd'),
+                  ('hsr_distance_per_game_m', 'd'),
+                  ('mean_peak_dynamic', 'd'),
+                  ('mean_pct_of_vmax_pct', 'd'),
+                  ('tournament_peak_speed_kmh', 'd')],
+ 'position_by_round': [('Round', 's'), ('pos', 's'), ('total_runs', 'l'), ('n_games', 'l'), ('runs_per_game', 'd')],
+ 'position_profile': [('position', 's'),
+                      ('avg_runs_per_game', 'd'),
+                      ('avg_vmax', 'd'),
+                      ('avg_threshold', 'd'),
+                      ('avg_distance', 'd'),
+                      ('avg_intensity', 'd'),
+                      ('avg_peak_speed', 'd'),
+                      ('n_players', 'l')],
+ 'position_radar': [('position', 's'), ('metric', 's'), ('value', 'd')],
+ 'position_rollup': [('player_id', 's'), ('position', 's'), ('pos', 's'), ('pos_detail', 's')],
+ 'q_position': [('position', 's'),
+                ('avg_runs_per_game', 'd'),
+                ('avg_vmax_kmh', 'd'),
+                ('avg_threshold_kmh', 'd'),
+                ('avg_hsr_distance_per_game_m', 'd'),
+                ('avg_intensity_pct_of_vmax', 'd'),
+                ('n_players', 'l')],
+ 'q_team': [('team_name', 's'),
+            ('team_short', 's'),
+            ('avg_runs_per_game_per_player', 'd'),
+            ('total_team_runs', 'l'),
+            ('avg_vmax_kmh', 'd'),
+            ('avg_hsr_distance_per_game_m', 'd'),
+            ('avg_peak_speed_kmh', 'd'),
+            ('n_players_tracked', 'l')],
+ 'qualifying_runs': [('player_id', 's'),
+                     ('game_id', 's'),
+                     ('period_id', 'l'),
+                     ('run_id', 'l'),
+                     ('pct_of_vmax', 'd'),
+                     ('team_short', 's'),
+                     ('pos', 's')],
+ 'relative_runs': [('player_id', 's'),
+                   ('game_id', 's'),
+                   ('period_id', 'l'),
+                   ('run_id', 'l'),
+                   ('start_frame_id', 'l'),
+                   ('end_frame_id', 'l'),
+                   ('duration_sec', 'd'),
+                   ('peak_speed_kmh', 'd'),
+                   ('mean_speed_kmh', 'd'),
+                   ('vmax_kmh', 'd'),
+                   ('pct_of_vmax', 'd'),
+                   ('distance_m', 'd'),
+                   ('start_x', 'd'),
+                   ('start_y', 'd'),
+                   ('end_x', 'd'),
+                   ('end_y', 'd')],
+ 'relative_threshold': [('player_id', 's'), ('vmax_kmh', 'd'), ('speed_threshold_kmh', 'd')],
+ 'round_summary': [('Round', 's'),
+                   ('total_runs', 'l'),
+                   ('avg_pct_vmax', 'd'),
+                   ('avg_peak_speed', 'd'),
+                   ('avg_distance', 'd'),
+                   ('avg_duration', 'd'),
+                   ('n_games', 'l'),
+                   ('runs_per_game', 'd')],
+ 'run_delta_histogram': [('category', 's'), ('bin', 'l'), ('n_players', 'l'), ('bin_start', 'd')],
+ 'runs_enriched': [('game_id', 's'),
+                   ('player_id', 's'),
+                   ('period_id', 'l'),
+                   ('run_id', 'l'),
+                   ('start_frame_id', 'l'),
+                   ('end_frame_id', 'l'),
+                   ('duration_sec', 'd'),
+                   ('peak_speed_kmh', 'd'),
+                   ('mean_speed_kmh', 'd'),
+                   ('vmax_kmh', 'd'),
+                   ('pct_of_vmax', 'd'),
+                   ('distance_m', 'd'),
+                   ('start_x', 'd'),
+                   ('start_y', 'd'),
+                   ('end_x', 'd'),
+                   ('end_y', 'd'),
+                   ('player_name', 's'),
+                   ('team_name', 's'),
+                   ('team_short', 's'),
+                   ('position', 's'),
+                   ('date', 's'),
+                   ('home_team_name', 's'),
+                   ('away_team_name', 's'),
+                   ('competition_name', 's'),
+                   ('stadium_name', 's'),
+                   ('week', 'l')],
+ 'runs_min_duration': [('player_id', 's'),
+                       ('game_id', 's'),
+                       ('period_id', 'l'),
+                       ('run_id', 'l'),
+                       ('start_frame_id', 'l'),
+                       ('end_frame_id', 'l'),
+                       ('duration_sec', 'd'),
+                       ('peak_speed_kmh', 'd'),
+                       ('mean_speed_kmh', 'd'),
+                       ('vmax_kmh', 'd'),
+                       ('pct_of_vmax', 'd'),
+                       ('distance_m', 'd'),
+                       ('start_x', 'd'),
+                       ('start_y', 'd'),
+                       ('end_x', 'd'),
+                       ('end_y', 'd'),
+                       ('min_duration_sec', 'd')],
+ 'scan_tracking': [('game_id', 's'),
+                   ('frame_id', 'l'),
+                   ('period_id', 'l'),
+                   ('timestamp', 'l'),
+                   ('ball_state', 's'),
+                   ('ball_owning_team_id', 's'),
+                   ('team_id', 's'),
+                   ('player_id', 's'),
+                   ('x', 'd'),
+                   ('y', 'd'),
+                   ('z', 'd')],
+ 'silver_audit': [('total_frames', 'l'), ('effort_frames', 'l'), ('effort_pct', 'd')],
+ 'summary_dynamic': [('player_id', 's'),
+                     ('total_runs', 'l'),
+                     ('total_runs_dynamic', 'l'),
+                     ('games_with_runs', 'l'),
+                     ('runs_per_game_dynamic', 'd'),
+                     ('mean_peak_dynamic', 'd'),
+                     ('mean_pct_dynamic', 'd'),
+                     ('threshold_at_pct', 'd')],
+ 'tagged_frames': [('player_id', 's'),
+                   ('game_id', 's'),
+                   ('frame_id', 'l'),
+                   ('speed_kmh', 'd'),
+                   ('speed_threshold_kmh', 'd'),
+                   ('low_confidence', 'b'),
+                   ('is_effort_frame', 'b')],
+ 'team_distance_top16': [('team_name', 's'),
+                         ('team_short', 's'),
+                         ('avg_runs_per_game', 'd'),
+                         ('total_team_runs', 'l'),
+                         ('avg_vmax', 'd'),
+                         ('avg_peak_speed', 'd'),
+                         ('avg_hsr_distance', 'd'),
+                         ('avg_intensity', 'd'),
+                         ('n_players', 'l')],
+ 'team_lookup': [('team_id', 's'), ('team_name', 's'), ('team_short', 's')],
+ 'team_options': [('team_short', 's')],
+ 'team_outperformance': [('team_name', 's'),
+                         ('team_short', 's'),
+                         ('total_runs_relative', 'l'),
+                         ('total_runs_absolute', 'l'),
+                         ('total_run_delta', 'l'),
+                         ('pct_outperformance', 'd'),
+                         ('players_who_gained', 'l'),
+                         ('players_who_lost', 'l'),
+                         ('n_players', 'l')],
+ 'team_outperformance_dynamic': [('team_name', 's'),
+                                 ('team_short', 's'),
+                                 ('total_runs_relative', 'l'),
+                                 ('total_runs_absolute', 'l'),
+                                 ('total_run_delta', 'l'),
+                                 ('players_gained', 'l'),
+                                 ('players_lost', 'l'),
+                                 ('n_players', 'l'),
+                                 ('pct_outperformance', 'd')],
+ 'team_profile': [('team_name', 's'),
+                  ('team_short', 's'),
+                  ('avg_runs_per_game', 'd'),
+                  ('total_team_runs', 'l'),
+                  ('avg_vmax', 'd'),
+                  ('avg_peak_speed', 'd'),
+                  ('avg_hsr_distance', 'd'),
+                  ('avg_intensity', 'd'),
+                  ('n_players', 'l')],
+ 'threshold_columns': [('player_id', 's'),
+                       ('vmax_kmh', 'd'),
+                       ('threshold_at_pct', 'd'),
+                       ('above_absolute', 'b'),
+                       ('new_threshold_vs_20', 'd'),
+                       ('breakeven_vmax_kmh', 'd')],
+ 'threshold_sweep': [('threshold_pct', 'd'),
+                     ('player_id', 's'),
+                     ('total_runs_dynamic', 'l'),
+                     ('games_with_runs', 'l'),
+                     ('runs_per_game_dynamic', 'd'),
+                     ('runs_absolute_dynamic', 'l'),
+                     ('run_delta', 'l'),
+                     ('pct_change', 'd'),
+                     ('category', 's')],
+ 'top20_players': [('player_id', 's'),
+                   ('player_name', 's'),
+                   ('team_name', 's'),
+                   ('position', 's'),
+                   ('jersey_number', 'l'),
+                   ('vmax_kmh', 'd'),
+                   ('threshold_kmh', 'd'),
+                   ('games_appeared', 'l'),
+                   ('total_runs', 'l'),
+                   ('runs_per_game', 'd'),
+                   ('hsr_distance_per_game_m', 'd'),
+                   ('mean_pct_of_vmax_pct', 'd'),
+                   ('tournament_peak_speed_kmh', 'd')],
+ 'top_players': [('player_id', 's'),
+                 ('player_name', 's'),
+                 ('team_short', 's'),
+                 ('pos', 's'),
+                 ('runs_per_game_dynamic', 'd'),
+                 ('vmax_kmh', 'd'),
+                 ('games_appeared', 'l')],
+ 'topk_mean_speed': [('avg_top5', 'd'),
+                     ('median_top5', 'd'),
+                     ('max_top5', 'd'),
+                     ('min_top5', 'd'),
+                     ('avg_top10', 'd'),
+                     ('median_top10', 'd'),
+                     ('max_top10', 'd'),
+                     ('min_top10', 'd'),
+                     ('avg_top25', 'd'),
+                     ('median_top25', 'd'),
+                     ('max_top25', 'd'),
+                     ('min_top25', 'd')],
+ 'vmax_approx': [('player_id', 's'),
+                 ('vmax_kmh', 'd'),
+                 ('frame_count', 'l'),
+                 ('low_confidence', 'b'),
+                 ('speed_threshold_kmh', 'd')],
+ 'vmax_exact': [('player_id', 's'),
+                ('vmax_kmh', 'd'),
+                ('frame_count', 'l'),
+                ('low_confidence', 'b'),
+                ('speed_threshold_kmh', 'd')],
+ 'vmax_per_game': [('player_id', 's'),
+                   ('game_id', 's'),
+                   ('vmax_kmh', 'd'),
+                   ('frame_count', 'l'),
+                   ('low_confidence', 'b'),
+                   ('speed_threshold_kmh', 'd')],
+ 'week_trend': [('week', 'l'),
+                ('Round', 's'),
+                ('total_runs', 'l'),
+                ('n_games', 'l'),
+                ('avg_peak_speed', 'd'),
+                ('avg_pct_vmax', 'd'),
+                ('runs_per_game', 'd')],
+ 'zone30_player': [('player_id', 's'),
+                   ('player_name', 's'),
+                   ('zone', 'l'),
+                   ('row', 'l'),
+                   ('col', 'l'),
+                   ('n_runs', 'l'),
+                   ('speed_sum', 'd'),
+                   ('pct', 'd'),
+                   ('intensity', 'd')],
+ 'zone30_top3': [('player_id', 's'),
+                 ('player_name', 's'),
+                 ('rank', 'l'),
+                 ('row', 'l'),
+                 ('col', 'l'),
+                 ('n_runs', 'l'),
+                 ('pct', 'd'),
+                 ('channel', 's'),
+                 ('third', 's')],
+ 'zone9_heatmap': [('zone', 'l'),
+                   ('channel', 's'),
+                   ('third', 's'),
+                   ('n_runs', 'l'),
+                   ('pct', 'd'),
+                   ('avg_peak_speed', 'd'),
+                   ('intensity', 'd')]}

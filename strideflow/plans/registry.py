@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from strideflow.functions.numeric import rnd
 from pyspark.sql import types as T
 
 from strideflow.functions.positions import with_position_columns
@@ -31,7 +33,7 @@ def normalise(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6)
+            c = rnd(c.cast("double"), 6)
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
             c = c.cast("long")
         out.append(c.alias(f.name))
@@ -132,7 +134,7 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "silver_audit": lambda m: m.silver.agg(
         F.count(F.lit(1)).alias("total_frames"),
         F.count_if("is_effort_frame").alias("effort_frames"),
-        F.round(F.count_if("is_effort_frame") / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100, 2).alias("effort_pct"),
+        rnd(F.count_if("is_effort_frame") / F.nullif(F.count(F.lit(1)), F.lit(0)) * 100, 2).alias("effort_pct"),
     ),
     "gold_audit": lambda m: (
         m.runs_enriched.agg(F.count(F.lit(1)).alias("rows"))

@@ -1,0 +1,41 @@
+"""Regenerate strideflow/plans/oracle_types.py: the output column names and
+kinds (d=double, l=bigint, s=string, b=boolean) of every registered query,
+read from the Spark plans' schemas (no data is processed).  The oracle SQL
+wraps its own result in the same normalisation."""
+
+import pprint
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from pyspark.sql import types as T  # noqa: E402
+
+from strideflow.plans.registry import QUERIES  # noqa: E402
+from strideflow.session import local_session  # noqa: E402
+
+
+def kind(dt):
+    if isinstance(dt, (T.DoubleType, T.FloatType, T.DecimalType)):
+        return "d"
+    if isinstance(dt, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return "l"
+    if isinstance(dt, T.BooleanType):
+        return "b"
+    return "s"
+
+
+def main(sf_dir: str = "/root/testdata/sf0.001") -> None:
+    spark = local_session()
+    out = {k: [(f.name, kind(f.dataType)) for f in fn(spark, sf_dir).schema.fields] for k, fn in QUERIES.items()}
+    target = Path(__file__).resolve().parents[1] / "strideflow" / "plans" / "oracle_types.py"
+    target.write_text(
+        '"""Generated by tools/gen_oracle_types.py: output columns per query key."""\n\nSCHEMAS = '
+        + pprint.pformat(out, width=120, sort_dicts=True)
+        + "\n"
+    )
+    print(f"wrote {len(out)} schemas to {target}")
+
+
+if __name__ == "__main__":
+    main(*sys.argv[1:])
