@@ -1,9 +1,11 @@
 """The lazy bronze -> silver -> gold graph for one input folder.
 
 ``EffortModel`` wires the operators together once; every attribute is a lazy
-DataFrame (nothing runs until an action).  Tables used several times in one
-query plan (speeds, v-max) are shared sub-plans, so Spark reuses their
-shuffle output instead of recomputing it.
+DataFrame.  With ``materialized=True`` the stage tables (speeds, v-max, runs,
+absolute runs and counts) are written once as Parquet in the shared
+checkpoint folder and read back, so each downstream query starts from the
+stored silver/gold tables instead of re-planning the frame windows in every
+branch of its plan (Spark plans are trees, not DAGs).
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from strideflow.operators import runs as ru
 from strideflow.operators import tables as tb
 from strideflow.params import LIB, PROD, EffortParams
 from strideflow.plans import fixture
+from strideflow.session import materialize
 
 
 class EffortModel:
@@ -30,8 +33,10 @@ class EffortModel:
         tracking: DataFrame | None = None,
         players: DataFrame | None = None,
         matches: DataFrame | None = None,
+        materialized: bool = False,
     ):
         self.spark = spark
+        self.materialized = materialized
         self.sf_dir = sf_dir
         self.params = params
         self._tracking = tracking
@@ -52,14 +57,17 @@ class EffortModel:
         """Match metadata including ``Round``."""
         return self._matches if self._matches is not None else fixture.matches(self.spark, self.sf_dir)
 
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self.materialized else df
+
     # --- silver -----------------------------------------------------------
     @cached_property
     def speeds(self) -> DataFrame:
-        return fr.compute_speed(self.tracking, self.params)
+        return self._stage(fr.compute_speed(self.tracking, self.params), "speeds")
 
     @cached_property
     def vmax(self) -> DataFrame:
-        return fr.compute_vmax(self.speeds, self.params)
+        return self._stage(fr.compute_vmax(self.speeds, self.params), "vmax")
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -73,15 +81,15 @@ class EffortModel:
     # --- gold -------------------------------------------------------------
     @cached_property
     def runs(self) -> DataFrame:
-        return ru.extract_effort_runs(self.tagged, self.params)
+        return self._stage(ru.extract_effort_runs(self.tagged, self.params), "runs")
 
     @cached_property
     def absolute_runs(self) -> DataFrame:
-        return ru.extract_absolute_runs(self.speeds, self.params)
+        return self._stage(ru.extract_absolute_runs(self.speeds, self.params), "absolute_runs")
 
     @cached_property
     def absolute_counts(self) -> DataFrame:
-        return ru.absolute_run_counts(self.speeds, self.params)
+        return self._stage(ru.absolute_run_counts(self.speeds, self.params), "absolute_counts")
 
     @cached_property
     def teams(self) -> DataFrame:
@@ -116,16 +124,41 @@ class EffortModel:
     def app_runs(self) -> DataFrame:
         return with_position_columns(self.runs_enriched)
 
+    @cached_property
+    def _lib(self) -> "EffortModel":
+        return self._derived(LIB.with_(chunk_frames=self.params.chunk_frames))
+
     def lib(self) -> "EffortModel":
-        """The same inputs under the library preset."""
-        return self.with_params(LIB.with_(chunk_frames=self.params.chunk_frames))
+        """The same inputs under the library preset (speeds shared)."""
+        return self._lib
 
     def with_params(self, params: EffortParams) -> "EffortModel":
-        return EffortModel(
+        return self._derived(params)
+
+    def _derived(self, params: EffortParams) -> "EffortModel":
+        m = EffortModel(
             self.spark,
             self.sf_dir,
             params,
             tracking=self._tracking if self._tracking is not None else self.tracking,
             players=self._players,
             matches=self._matches,
+            materialized=self.materialized,
+        )
+        same_speed = (params.frame_rate_hz, params.kmh_per_ms, params.speed_ceiling_kmh) == (
+            self.params.frame_rate_hz,
+            self.params.kmh_per_ms,
+            self.params.speed_ceiling_kmh,
         )
+        if same_speed:
+            m.__dict__["speeds"] = self.speeds
+            same_flat = (params.absolute_kmh, params.min_run_frames, params.frame_rate_hz) == (
+                self.params.absolute_kmh,
+                self.params.min_run_frames,
+                self.params.frame_rate_hz,
+            )
+            if same_flat:
+                # the flat-limit runs do not depend on the v-max preset
+                m.__dict__["absolute_runs"] = self.absolute_runs
+                m.__dict__["absolute_counts"] = self.absolute_counts
+        return m

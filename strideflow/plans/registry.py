@@ -40,8 +40,18 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+_MODELS: dict[tuple, EffortModel] = {}
+
+
 def _m(spark: SparkSession, sf_dir: str) -> EffortModel:
-    return EffortModel(spark, sf_dir, PROD)
+    """One materialised bronze/silver/gold graph per session and folder:
+    speeds, v-max and run tables are written once (Parquet in the shared
+    checkpoint folder) and every query reads them, like the dashboard reads
+    the gold export."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = EffortModel(spark, sf_dir, PROD, materialized=True)
+    return _MODELS[key]
 
 
 def _dyn(m: EffortModel, spec: FilterSpec = ex.DEFAULT):

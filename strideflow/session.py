@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,5 +53,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    return a DataFrame reading it back.
+
+    This is the stage boundary of the medallion job: the written table cuts
+    the lineage (a lost executor re-reads files instead of recomputing the
+    frame windows), and reads of it get column pruning, filter pushdown and
+    real size statistics for the planner's broadcast decisions.
+    """
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/strideflow-tables/{uuid.uuid4().hex}/{name}"
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
