@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideflow.schema import TRACKING
+from strideflow.session import materialize
 
 # Fixed value: suffix of the vendor's per-game raw files.
 RAW_SUFFIX = r"\.jsonl\.bz2$"
@@ -65,13 +66,16 @@ def read_tracking_json(spark: SparkSession, path: str, schema: T.StructType = TR
     rows become a reject table grouped by game (file), so one broken game
     never stops the others.  Returns (rows, rejects)."""
     with_corrupt = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
-    raw = (
+    parsed = (
         spark.read.schema(with_corrupt)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .json(path)
         .withColumn("_file", F.col("_metadata.file_name"))
     )
+    # the parse is written once: both outputs read it (Spark refuses queries
+    # on a raw JSON scan that touch only the corrupt-record column)
+    raw = materialize(parsed, "tracking_json_parsed")
     good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_file")
     bad = (
         raw.filter(F.col("_corrupt_record").isNotNull())
