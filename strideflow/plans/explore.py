@@ -39,8 +39,11 @@ def _in(col: str, values) -> Column:
     return F.col(col).isNotNull() if values is None else F.col(col).isin(list(values))
 
 
-def _one_row_key(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1))
+def _scalar(agg: DataFrame) -> Column:
+    """A one-row, one-column global aggregate used as a value: Spark runs it
+    once as a scalar subquery and inlines the result, so the big side is
+    neither joined nor moved onto a single key."""
+    return agg.scalar()
 
 
 # ---------------------------------------------------------------------------
@@ -317,20 +320,16 @@ def position_radar(pp: DataFrame) -> DataFrame:
 
 def run_delta_histogram(fc: DataFrame, bins: int = 30) -> DataFrame:
     """Equal-width histogram of run_delta over [min, max] by category.
-    Global bounds come from a one-row aggregate joined on a constant key."""
-    bounds = fc.agg(F.min("run_delta").alias("lo"), F.max("run_delta").alias("hi"))
-    bounds = _one_row_key(bounds)
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.lit(float(bins))).otherwise(F.lit(1.0))
-    b = F.least(F.floor((F.col("run_delta") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
+    The global bounds are scalar subqueries (computed once, no join)."""
+    bounds = _scalar(fc.agg(F.struct(F.min("run_delta").alias("lo"), F.max("run_delta").alias("hi"))))
+    with_b = fc.withColumn("_bounds", bounds)
+    lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
+    width = F.when(hi > lo, (hi - lo) / F.lit(float(bins))).otherwise(F.lit(1.0))
+    b = F.least(F.floor((F.col("run_delta") - lo) / width), F.lit(bins - 1)).cast("int")
     return (
-        _one_row_key(fc)
-        .join(bounds, "_one")
-        .withColumn("bin", b)
+        with_b.withColumn("bin", b)
         .groupBy("category", "bin")
-        .agg(
-            F.count(F.lit(1)).alias("n_players"),
-            F.first(F.col("lo") + F.col("bin") * width).alias("bin_start"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_players"), F.min(lo + F.col("bin") * width).alias("bin_start"))
         .withColumn("bin_start", rnd("bin_start", 6))
     )
 
@@ -405,16 +404,11 @@ def pitch_thirds_by_group(runs: DataFrame) -> DataFrame:
 
 def pitch_runs_fallback(qualifying: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     """team/position filter; if nothing survives, all qualifying runs.
-    The "anything kept?" flag is a one-row aggregate joined on a constant."""
+    The "anything kept?" flag is a scalar subquery (computed once)."""
     keep = _in("team_short", spec.teams) & F.col("pos").isin(list(spec.positions))
     q = qualifying.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-    anyk = _one_row_key(q.agg(F.max(F.col("_keep").cast("int")).alias("_any")))
-    return (
-        _one_row_key(q)
-        .join(anyk, "_one")
-        .filter(F.col("_keep") | (F.coalesce(F.col("_any"), F.lit(0)) == 0))
-        .drop("_one", "_keep", "_any")
-    )
+    any_kept = _scalar(q.agg(F.max(F.col("_keep").cast("int"))))
+    return q.filter(F.col("_keep") | (F.coalesce(any_kept, F.lit(0)) == 0)).drop("_keep")
 
 
 def _zone9(runs: DataFrame, keys: list[str]) -> DataFrame:
