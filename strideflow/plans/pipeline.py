@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strideflow.functions.numeric import rnd
 from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
 from strideflow.operators import tables as tb
@@ -115,7 +116,7 @@ def run_job(
     )
     silver_audit = silver.agg(
         F.count(F.lit(1)).alias("total_frames"), F.count_if("is_effort_frame").alias("effort_frames")
-    ).withColumn("effort_pct", F.round(F.col("effort_frames") / F.nullif(F.col("total_frames"), F.lit(0)) * 100, 2))
+    ).withColumn("effort_pct", rnd(F.col("effort_frames") / F.nullif(F.col("total_frames"), F.lit(0)) * 100, 2))
     gold_audit = None
     for name in ("runs", "comparison", "player_summary"):
         row = io.read_table(spark, paths[name], fmt=fmt).agg(F.count(F.lit(1)).alias("rows")).select(

@@ -29,6 +29,32 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+# Settings for a large cluster (hundreds of TB of frames).  Shuffle
+# partitions start high and AQE coalesces them to the advisory size; skewed
+# sort-merge join partitions are split; file splits stay at 256 MB.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict[str, str] | None = None) -> None:
+    """Apply ``CLUSTER_CONF`` (plus overrides) where the session has no
+    explicit value of its own."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        if overrides and k in overrides:
+            spark.conf.set(k, v)
+        elif spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
