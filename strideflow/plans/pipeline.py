@@ -81,13 +81,16 @@ def run_job(
     players_b = io.read_table(spark, paths["players_bronze"], fmt=fmt)
     matches_b = io.read_table(spark, paths["match_metadata"], fmt=fmt)
 
-    # silver: speeds -> v-max (written) -> tagged frames (written by game)
-    speeds = fr.compute_speed(fr.drop_ball(bronze), params)
+    # silver: the frame window runs once; its output (frames + speed) is the
+    # one full-size write of the layer.  v-max is built from it, and the
+    # effort flag is derived on read by a broadcast of the small v-max table
+    # (storing the flag would be a second full-size write of the frames).
+    io.write_table(fr.compute_speed(fr.drop_ball(bronze), params), paths["tracking_silver"], overwrite=overwrite,
+                   partition_by=["game_id"], fmt=fmt)
+    speeds = io.read_table(spark, paths["tracking_silver"], fmt=fmt)
     io.write_table(fr.compute_vmax(speeds, params), paths["vmax_per_player"], overwrite=True, fmt=fmt)
     vmax = io.read_table(spark, paths["vmax_per_player"], fmt=fmt)
-    io.write_table(fr.tag_effort_frames(speeds, vmax), paths["tracking_silver"], overwrite=overwrite,
-                   partition_by=["game_id"], fmt=fmt)
-    silver = io.read_table(spark, paths["tracking_silver"], fmt=fmt)
+    silver = fr.tag_effort_frames(speeds, vmax)
 
     # gold
     teams = tb.team_lookup(matches_b)

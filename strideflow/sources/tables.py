@@ -30,11 +30,18 @@ def write_table(
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
-    """S9."""
-    r = spark.read.format(fmt)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.load(path)
+    """Load a table.  Partition values are kept as strings (no type
+    inference), so a ``game_id`` folder like ``0042`` stays "0042"."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        r = spark.read.format(fmt)
+        if schema is not None:
+            r = r.schema(schema)
+        return r.load(path)
+    finally:
+        spark.conf.set(key, before)
 
 
 def export_csv(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:
