@@ -46,7 +46,9 @@ class EffortModel:
     # --- bronze -----------------------------------------------------------
     @cached_property
     def tracking(self) -> DataFrame:
-        return self._tracking if self._tracking is not None else fixture.tracking(self.spark, self.sf_dir)
+        if self._tracking is not None:
+            return self._tracking
+        return self._stage(fixture.tracking(self.spark, self.sf_dir), "tracking")
 
     @cached_property
     def players_bronze(self) -> DataFrame:
