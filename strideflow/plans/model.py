@@ -67,9 +67,16 @@ class EffortModel:
     def speeds(self) -> DataFrame:
         return self._stage(fr.compute_speed(self.tracking, self.params), "speeds")
 
+    @cached_property
+    def vmax_table(self) -> DataFrame:
+        """Exact v-max at this model's percentile and at both presets' in one
+        shared pass, stored once; every preset's ``vmax`` is a projection."""
+        ps = sorted({self.params.vmax_percentile, LIB.vmax_percentile, PROD.vmax_percentile})
+        return self._stage(fr.vmax_percentiles(self.speeds, ps, self.params.vmax_per_game), "vmax_table")
+
     @cached_property
     def vmax(self) -> DataFrame:
-        return self._stage(fr.compute_vmax(self.speeds, self.params), "vmax")
+        return fr.vmax_from_table(self.vmax_table, self.params)
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -154,6 +161,12 @@ class EffortModel:
         )
         if same_speed:
             m.__dict__["speeds"] = self.speeds
+            if params.vmax_per_game == self.params.vmax_per_game and params.vmax_percentile in (
+                self.params.vmax_percentile,
+                LIB.vmax_percentile,
+                PROD.vmax_percentile,
+            ):
+                m.__dict__["vmax_table"] = self.vmax_table
             same_flat = (params.absolute_kmh, params.min_run_frames, params.frame_rate_hz) == (
                 self.params.absolute_kmh,
                 self.params.min_run_frames,

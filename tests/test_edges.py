@@ -86,6 +86,28 @@ def test_exact_percentile_matches_spark_percentile(spark):
             assert ours[k] == pytest.approx(ref[k], rel=1e-12, abs=1e-12)
 
 
+
+def test_exact_percentiles_share_one_pass(spark):
+    import random
+
+    rnd = random.Random(11)
+    data = [(f"p{i % 4}", f"g{i % 3}", rnd.choice([rnd.uniform(-5, 45), 7.25, -0.0, 1e-30])) for i in range(4000)]
+    df = spark.createDataFrame(data, "player_id string, game_id string, v float")
+    ps = {"a": 0.0, "b": 0.37, "c": 0.995, "d": 0.999, "e": 1.0}
+    ours = fr.exact_percentiles(df, ["player_id", "game_id"], "v", ps, "n").collect()
+    ref = (
+        df.groupBy("player_id", "game_id")
+        .agg(*[F.percentile(F.col("v").cast("double"), p).alias(k) for k, p in ps.items()], F.count("v").alias("n"))
+        .collect()
+    )
+    key = lambda r: (r.player_id, r.game_id)
+    ref = {key(r): r for r in ref}
+    assert {key(r) for r in ours} == ref.keys()
+    for r in ours:
+        assert r.n == ref[key(r)].n
+        for k in ps:
+            assert r[k] == pytest.approx(ref[key(r)][k], rel=1e-12, abs=1e-12)
+
 def test_zone_borders(spark):
     xs = [-60.0, -52.5, -35.0, -17.5, -17.4, 0.0, 17.5, 17.6, 52.5, 60.0, None]
     df = spark.createDataFrame([(x,) for x in xs], "start_x double")
