@@ -13,12 +13,19 @@ Only flagged frames are shuffled (a few % of all frames).  They are
 partitioned by (player, game, frame chunk); each chunk also receives a copy
 of the previous chunk's last frame id when it is flagged, so a run start is a
 local test (``no flagged frame at f-1``) and a window task never holds more
-than one chunk of one key.  The global ``run_id`` is the chunk's local
-running count plus the number of run starts in all earlier chunks of that
-(player, game) — a prefix sum over one row per chunk, joined back on the
-partitioning keys.  The final group-by on the run key uses partial
-aggregation (count/min/max/sum/min_by/max_by), so even a huge run is reduced
-on the map side before its shuffle.
+than one chunk of one key.
+
+The window output is reduced at once, in the same partitioning, to *run
+pieces*: partial run aggregates per (player, game, period, chunk, chunk-local
+run number).  A run that crosses a chunk edge or a period change is several
+pieces.  The global ``run_id`` is the piece's local number plus the number of
+run starts in all earlier chunks of that (player, game) (a prefix sum over
+one row per chunk), and pieces of one run are merged by a second, small
+aggregation.  Everything after the window works on pieces (about one row per
+run), so when the pieces are stored once (``EffortModel(materialized=True)``)
+the frames are scanned and shuffled once for all run tables of a
+definition: the absolute runs and the absolute run counts share one set of
+pieces.
 """
 
 from __future__ import annotations
@@ -71,14 +78,29 @@ def assign_run_ids(flagged: DataFrame, chunk_frames: int) -> DataFrame:
     )
 
 
-def _run_aggregates(with_ids: DataFrame, by_period: bool) -> DataFrame:
-    keys = ["player_id", "game_id"] + (["period_id"] if by_period else []) + ["run_id"]
-    return with_ids.groupBy(*keys).agg(
+PIECE_KEYS = ["player_id", "game_id", "period_id", "_chunk", "_local"]
+
+
+def run_pieces(flagged: DataFrame, chunk_frames: int) -> DataFrame:
+    """Partial run aggregates per (player, game, period, chunk, chunk-local
+    run number ``_local``); ``_local`` = 0 marks frames that continue a run
+    begun in an earlier chunk.  Grouping keys contain the window's partition
+    keys, so no shuffle is planned between the window and this aggregate."""
+    chunked = with_chunks(flagged, chunk_frames)
+    w = Window.partitionBy("player_id", "game_id", "_chunk").orderBy("frame_id", F.col("_carry").desc(), "timestamp")
+    prev = F.lag("frame_id").over(w)
+    start = (~F.col("_carry")) & (prev.isNull() | ((F.col("frame_id") - prev) > 1))
+    local = (
+        chunked.withColumn("_start", start.cast("long"))
+        .withColumn("_local", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .filter(~F.col("_carry"))
+    )
+    return local.groupBy(*PIECE_KEYS).agg(
         F.min("frame_id").alias("start_frame_id"),
         F.max("frame_id").alias("end_frame_id"),
         F.count(F.lit(1)).alias("n_frames"),
         F.max("speed_kmh").alias("peak_speed_kmh"),
-        F.avg(F.col("speed_kmh").cast("double")).alias("mean_speed_kmh"),
+        F.sum(F.col("speed_kmh").cast("double")).alias("speed_sum"),
         F.max("vmax_kmh").alias("vmax_kmh"),
         F.min_by("x", "frame_id").alias("start_x"),
         F.min_by("y", "frame_id").alias("start_y"),
@@ -87,6 +109,32 @@ def _run_aggregates(with_ids: DataFrame, by_period: bool) -> DataFrame:
     )
 
 
+def merge_pieces(pieces: DataFrame, by_period: bool) -> DataFrame:
+    """Global ``run_id`` for every piece and one row per run (per period
+    when ``by_period``), before the minimum-duration gate."""
+    per_chunk = pieces.groupBy("player_id", "game_id", "_chunk").agg(F.max("_local").alias("_starts"))
+    wc = Window.partitionBy("player_id", "game_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_chunk.select(
+        "player_id", "game_id", "_chunk", F.coalesce(F.sum("_starts").over(wc), F.lit(0)).alias("_offset")
+    )
+    ided = pieces.join(offsets, ["player_id", "game_id", "_chunk"]).withColumn(
+        "run_id", (F.col("_offset") + F.col("_local")).cast("long")
+    )
+    keys = ["player_id", "game_id"] + (["period_id"] if by_period else []) + ["run_id"]
+    return ided.groupBy(*keys).agg(
+        F.min("start_frame_id").alias("start_frame_id"),
+        F.max("end_frame_id").alias("end_frame_id"),
+        F.sum("n_frames").alias("n_frames"),
+        F.max("peak_speed_kmh").alias("peak_speed_kmh"),
+        (F.sum("speed_sum") / F.sum("n_frames")).alias("mean_speed_kmh"),
+        F.max("vmax_kmh").alias("vmax_kmh"),
+        F.min_by("start_x", "start_frame_id").alias("start_x"),
+        F.min_by("start_y", "start_frame_id").alias("start_y"),
+        F.max_by("end_x", "end_frame_id").alias("end_x"),
+        F.max_by("end_y", "end_frame_id").alias("end_y"),
+    )
+
+
 def _finish(runs: DataFrame, params: EffortParams, relative: bool) -> DataFrame:
     n = F.col("n_frames")
     gated = runs.filter(n >= params.min_run_frames)
@@ -127,26 +175,26 @@ def _flagged_projection(df: DataFrame, with_vmax: bool) -> DataFrame:
     )
 
 
-def extract_effort_runs(tagged: DataFrame, params: EffortParams = PROD) -> DataFrame:
-    """Runs of relative-effort frames (``is_effort_frame``)."""
+def effort_run_pieces(tagged: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """Run pieces of relative-effort frames (``is_effort_frame``)."""
     flagged = _flagged_projection(drop_ball(tagged).filter(F.col("is_effort_frame")), True)
-    ids = assign_run_ids(flagged, params.chunk_frames)
-    return _finish(_run_aggregates(ids, by_period=True), params, relative=True)
+    return run_pieces(flagged, params.chunk_frames)
 
 
-def extract_absolute_runs(speeds: DataFrame, params: EffortParams = PROD) -> DataFrame:
-    """R2: runs above the flat km/h limit; ``pct_of_vmax``/``vmax_kmh`` null."""
-    flagged = _flagged_projection(absolute_frames(speeds, params), False)
-    ids = assign_run_ids(flagged, params.chunk_frames)
-    return _finish(_run_aggregates(ids, by_period=True), params, relative=False)
+def absolute_run_pieces(speeds: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """Run pieces of frames at or above the flat km/h limit."""
+    return run_pieces(_flagged_projection(absolute_frames(speeds, params), False), params.chunk_frames)
 
 
-def absolute_run_counts(speeds: DataFrame, params: EffortParams = PROD) -> DataFrame:
-    """Per player, absolute runs and distinct games, runs grouped by
-    (player, game, run) without the period split (gold notebook form)."""
-    flagged = _flagged_projection(absolute_frames(speeds, params), False)
-    ids = assign_run_ids(flagged, params.chunk_frames)
-    runs = ids.groupBy("player_id", "game_id", "run_id").agg(F.count(F.lit(1)).alias("n_frames"))
+def runs_from_pieces(pieces: DataFrame, params: EffortParams = PROD, relative: bool = True) -> DataFrame:
+    """R1/R2 rows (16 columns) from run pieces, gated on minimum duration."""
+    return _finish(merge_pieces(pieces, by_period=True), params, relative=relative)
+
+
+def run_counts_from_pieces(pieces: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """R3 from run pieces: per player, runs grouped by (player, game, run)
+    without the period split, and distinct games."""
+    runs = merge_pieces(pieces, by_period=False)
     return (
         runs.filter(F.col("n_frames") >= params.min_run_frames)
         .groupBy("player_id")
@@ -155,3 +203,19 @@ def absolute_run_counts(speeds: DataFrame, params: EffortParams = PROD) -> DataF
             F.count_distinct("game_id").alias("n_games_absolute"),
         )
     )
+
+
+def extract_effort_runs(tagged: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """Runs of relative-effort frames (``is_effort_frame``)."""
+    return runs_from_pieces(effort_run_pieces(tagged, params), params, relative=True)
+
+
+def extract_absolute_runs(speeds: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """R2: runs above the flat km/h limit; ``pct_of_vmax``/``vmax_kmh`` null."""
+    return runs_from_pieces(absolute_run_pieces(speeds, params), params, relative=False)
+
+
+def absolute_run_counts(speeds: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """Per player, absolute runs and distinct games, runs grouped by
+    (player, game, run) without the period split (gold notebook form)."""
+    return run_counts_from_pieces(absolute_run_pieces(speeds, params), params)

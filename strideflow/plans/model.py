@@ -88,17 +88,27 @@ class EffortModel:
         return fr.drop_ball(self.tagged)
 
     # --- gold -------------------------------------------------------------
+    @cached_property
+    def run_pieces(self) -> DataFrame:
+        """Relative-run pieces: the one frame-level pass of the run tables."""
+        return self._stage(ru.effort_run_pieces(self.tagged, self.params), "run_pieces")
+
     @cached_property
     def runs(self) -> DataFrame:
-        return self._stage(ru.extract_effort_runs(self.tagged, self.params), "runs")
+        return self._stage(ru.runs_from_pieces(self.run_pieces, self.params, relative=True), "runs")
+
+    @cached_property
+    def absolute_pieces(self) -> DataFrame:
+        """Flat-limit run pieces, shared by the absolute runs and counts."""
+        return self._stage(ru.absolute_run_pieces(self.speeds, self.params), "absolute_pieces")
 
     @cached_property
     def absolute_runs(self) -> DataFrame:
-        return self._stage(ru.extract_absolute_runs(self.speeds, self.params), "absolute_runs")
+        return self._stage(ru.runs_from_pieces(self.absolute_pieces, self.params, relative=False), "absolute_runs")
 
     @cached_property
     def absolute_counts(self) -> DataFrame:
-        return self._stage(ru.absolute_run_counts(self.speeds, self.params), "absolute_counts")
+        return self._stage(ru.run_counts_from_pieces(self.absolute_pieces, self.params), "absolute_counts")
 
     @cached_property
     def teams(self) -> DataFrame:
@@ -174,6 +184,7 @@ class EffortModel:
             )
             if same_flat:
                 # the flat-limit runs do not depend on the v-max preset
+                m.__dict__["absolute_pieces"] = self.absolute_pieces
                 m.__dict__["absolute_runs"] = self.absolute_runs
                 m.__dict__["absolute_counts"] = self.absolute_counts
         return m

@@ -118,10 +118,10 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "relative_runs": lambda m: m.runs,
     "absolute_runs": lambda m: m.absolute_runs,
     "absolute_run_counts": lambda m: m.absolute_counts,
-    "runs_min_duration": lambda m: ru.extract_effort_runs(m.tagged, m.params.with_(min_duration_sec=0.8))
+    "runs_min_duration": lambda m: ru.runs_from_pieces(m.run_pieces, m.params.with_(min_duration_sec=0.8))
     .withColumn("min_duration_sec", F.lit(0.8))
     .unionByName(
-        ru.extract_effort_runs(m.tagged, m.params.with_(min_duration_sec=1.2)).withColumn(
+        ru.runs_from_pieces(m.run_pieces, m.params.with_(min_duration_sec=1.2)).withColumn(
             "min_duration_sec", F.lit(1.2)
         )
     ),
