@@ -36,6 +36,21 @@ def test_speed_is_one_shuffle_of_frames(spark):
         assert _exchanges(sp) == 1
         plan = sp._jdf.queryExecution().executedPlan().toString()
         assert "ReadSchema: struct<l_orderkey:bigint,l_suppkey:bigint,l_quantity:double,l_discount:double>" in plan
+        assert plan.count("FileScan") == 1  # carry copies come from the same scan
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_run_pieces_scan_and_shuffle_frames_once(spark):
+    m = EffortModel(spark, SF, PROD, materialized=True)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for pieces in (ru.effort_run_pieces(m.tagged, m.params), ru.absolute_run_pieces(m.speeds, m.params)):
+            plan = pieces._jdf.queryExecution().executedPlan().toString()
+            speed_scans = [ln for ln in plan.splitlines() if "FileScan" in ln and "speed_kmh" in ln]
+            assert len(speed_scans) == 1
+            # the window and the piece aggregate share the one frame shuffle
+            assert _exchanges(pieces) == 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
