@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideflow.operators.frames import absolute_frames, drop_ball, with_chunks
+from strideflow.operators.frames import CHUNK_KEYS, absolute_frames, drop_ball, with_chunks
 from strideflow.params import PROD, EffortParams
 
 RUN_COLUMNS = [
@@ -60,7 +60,7 @@ def assign_run_ids(flagged: DataFrame, chunk_frames: int) -> DataFrame:
     """Add ``run_id`` (1-based per player and game) to flagged frames."""
     cols = flagged.columns
     chunked = with_chunks(flagged, chunk_frames)
-    w = Window.partitionBy("player_id", "game_id", "_chunk").orderBy("frame_id", F.col("_carry").desc(), "timestamp")
+    w = Window.partitionBy(*CHUNK_KEYS).orderBy("frame_id", F.col("_carry").desc(), "timestamp")
     prev = F.lag("frame_id").over(w)
     start = (~F.col("_carry")) & (prev.isNull() | ((F.col("frame_id") - prev) > 1))
     local = chunked.withColumn("_start", start.cast("long")).withColumn(
@@ -68,12 +68,10 @@ def assign_run_ids(flagged: DataFrame, chunk_frames: int) -> DataFrame:
     )
     local = local.filter(~F.col("_carry"))
     # prefix sum of run starts over earlier chunks (one row per chunk)
-    per_chunk = local.groupBy("player_id", "game_id", "_chunk").agg(F.sum("_start").alias("_starts"))
+    per_chunk = local.groupBy(*CHUNK_KEYS).agg(F.sum("_start").alias("_starts"))
     wc = Window.partitionBy("player_id", "game_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(
-        "player_id", "game_id", "_chunk", F.coalesce(F.sum("_starts").over(wc), F.lit(0)).alias("_offset")
-    )
-    return local.join(offsets, ["player_id", "game_id", "_chunk"]).select(
+    offsets = per_chunk.select(*CHUNK_KEYS, F.coalesce(F.sum("_starts").over(wc), F.lit(0)).alias("_offset"))
+    return local.join(offsets, CHUNK_KEYS).select(
         *cols, (F.col("_offset") + F.col("_local")).cast("long").alias("run_id")
     )
 
@@ -84,10 +82,11 @@ PIECE_KEYS = ["player_id", "game_id", "period_id", "_chunk", "_local"]
 def run_pieces(flagged: DataFrame, chunk_frames: int) -> DataFrame:
     """Partial run aggregates per (player, game, period, chunk, chunk-local
     run number ``_local``); ``_local`` = 0 marks frames that continue a run
-    begun in an earlier chunk.  Grouping keys contain the window's partition
-    keys, so no shuffle is planned between the window and this aggregate."""
+    begun in an earlier chunk.  The grouping keys contain the partitioning
+    key ``_part`` of ``with_chunks``, so no shuffle is planned between the
+    window and this aggregate."""
     chunked = with_chunks(flagged, chunk_frames)
-    w = Window.partitionBy("player_id", "game_id", "_chunk").orderBy("frame_id", F.col("_carry").desc(), "timestamp")
+    w = Window.partitionBy(*CHUNK_KEYS).orderBy("frame_id", F.col("_carry").desc(), "timestamp")
     prev = F.lag("frame_id").over(w)
     start = (~F.col("_carry")) & (prev.isNull() | ((F.col("frame_id") - prev) > 1))
     local = (
@@ -95,7 +94,7 @@ def run_pieces(flagged: DataFrame, chunk_frames: int) -> DataFrame:
         .withColumn("_local", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .filter(~F.col("_carry"))
     )
-    return local.groupBy(*PIECE_KEYS).agg(
+    pieces = local.groupBy("_part", *PIECE_KEYS).agg(
         F.min("frame_id").alias("start_frame_id"),
         F.max("frame_id").alias("end_frame_id"),
         F.count(F.lit(1)).alias("n_frames"),
@@ -107,6 +106,7 @@ def run_pieces(flagged: DataFrame, chunk_frames: int) -> DataFrame:
         F.max_by("x", "frame_id").alias("end_x"),
         F.max_by("y", "frame_id").alias("end_y"),
     )
+    return pieces.drop("_part")
 
 
 def merge_pieces(pieces: DataFrame, by_period: bool) -> DataFrame:

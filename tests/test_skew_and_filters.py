@@ -30,6 +30,10 @@ def test_hot_key_is_split_across_tasks(spark):
             p.chunk_frames,
         )
         assert ids.select(F.spark_partition_id()).distinct().count() >= 4
+        # run pieces of the one hot player-game stay spread by chunk as well
+        pieces = ru.effort_run_pieces(fr.tag_effort_frames(sp, fr.compute_vmax(sp, p)), p)
+        assert pieces.select(F.spark_partition_id()).distinct().count() >= 4
+        assert pieces.count() > 250  # runs cut at chunk edges are several pieces
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     runs = ru.extract_effort_runs(fr.tag_effort_frames(sp, fr.compute_vmax(sp, p)), p)
