@@ -52,12 +52,16 @@ class EffortModel:
 
     @cached_property
     def players_bronze(self) -> DataFrame:
-        return self._players if self._players is not None else fixture.players(self.spark, self.sf_dir)
+        if self._players is not None:
+            return self._players
+        return self._stage(fixture.players(self.spark, self.sf_dir), "players")
 
     @cached_property
     def matches(self) -> DataFrame:
         """Match metadata including ``Round``."""
-        return self._matches if self._matches is not None else fixture.matches(self.spark, self.sf_dir)
+        if self._matches is not None:
+            return self._matches
+        return self._stage(fixture.matches(self.spark, self.sf_dir), "matches")
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         return materialize(df, name) if self.materialized else df
@@ -116,11 +120,13 @@ class EffortModel:
 
     @cached_property
     def player_lookup(self) -> DataFrame:
-        return tb.player_lookup(self.players_bronze, self.teams)
+        return self._stage(tb.player_lookup(self.players_bronze, self.teams), "player_lookup")
 
     @cached_property
     def runs_enriched(self) -> DataFrame:
-        return tb.enrich_runs(self.runs, self.player_lookup, self.matches)
+        """The stored gold runs table (runs with player, team and match
+        columns); every dashboard view reads it."""
+        return self._stage(tb.enrich_runs(self.runs, self.player_lookup, self.matches), "runs_enriched")
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -169,6 +175,9 @@ class EffortModel:
             self.params.kmh_per_ms,
             self.params.speed_ceiling_kmh,
         )
+        # dimension tables do not depend on the metric parameters
+        for dim in ("players_bronze", "matches", "teams", "player_lookup"):
+            m.__dict__[dim] = getattr(self, dim)
         if same_speed:
             m.__dict__["speeds"] = self.speeds
             if params.vmax_per_game == self.params.vmax_per_game and params.vmax_percentile in (
