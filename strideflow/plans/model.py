@@ -42,6 +42,7 @@ class EffortModel:
         self._tracking = tracking
         self._players = players
         self._matches = matches
+        self._dims: EffortModel | None = None
 
     # --- bronze -----------------------------------------------------------
     @cached_property
@@ -54,6 +55,8 @@ class EffortModel:
     def players_bronze(self) -> DataFrame:
         if self._players is not None:
             return self._players
+        if self._dims is not None:
+            return self._dims.players_bronze
         return self._stage(fixture.players(self.spark, self.sf_dir), "players")
 
     @cached_property
@@ -61,6 +64,8 @@ class EffortModel:
         """Match metadata including ``Round``."""
         if self._matches is not None:
             return self._matches
+        if self._dims is not None:
+            return self._dims.matches
         return self._stage(fixture.matches(self.spark, self.sf_dir), "matches")
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
@@ -120,6 +125,8 @@ class EffortModel:
 
     @cached_property
     def player_lookup(self) -> DataFrame:
+        if self._dims is not None:
+            return self._dims.player_lookup
         return self._stage(tb.player_lookup(self.players_bronze, self.teams), "player_lookup")
 
     @cached_property
@@ -175,9 +182,9 @@ class EffortModel:
             self.params.kmh_per_ms,
             self.params.speed_ceiling_kmh,
         )
-        # dimension tables do not depend on the metric parameters
-        for dim in ("players_bronze", "matches", "teams", "player_lookup"):
-            m.__dict__[dim] = getattr(self, dim)
+        # dimension tables do not depend on the metric parameters: read them
+        # from this model, lazily (staged once, when first used)
+        m._dims = self._dims or self
         if same_speed:
             m.__dict__["speeds"] = self.speeds
             if params.vmax_per_game == self.params.vmax_per_game and params.vmax_percentile in (
