@@ -70,3 +70,41 @@ def test_per_game_vmax_collapses_before_player_joins(spark):
     runs = ru.extract_effort_runs(fr.tag_effort_frames(sp, vmax), p)
     summary = tb.summarise_players_lib(runs, vmax)
     assert summary.count() == 1 and summary.first().total_runs == runs.count()
+
+
+def test_vmax_hot_bucket_is_split_when_not_broadcast(spark):
+    """Second v-max pass as a sort-merge join (bucket table not broadcast):
+    AQE splits the hot player's bucket across tasks, results stay exact."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hot = spark.range(200000).select(
+            F.lit("hot").alias("player_id"), (F.lit(30.0) + (F.col("id") % 97) / 1000.0).cast("float").alias("v")
+        )
+        rest = spark.range(20000).select(
+            (F.col("id") % 100).cast("string").alias("player_id"),
+            ((F.col("id") * 7919) % 4500 / 100.0).cast("float").alias("v"),
+        )
+        df = hot.unionByName(rest).repartition(16)
+        out = fr.exact_percentiles(df, ["player_id"], "v", {"p999": 0.999, "p995": 0.995}, "n")
+        got = {r.player_id: (r.p999, r.p995) for r in out.collect()}
+        assert "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    ref = df.groupBy("player_id").agg(
+        F.percentile(F.col("v").cast("double"), 0.999).alias("a"), F.percentile(F.col("v").cast("double"), 0.995).alias("b")
+    )
+    assert got == {r.player_id: (r.a, r.b) for r in ref.collect()}
