@@ -23,6 +23,7 @@ from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
 from strideflow.operators import tables as tb
 from strideflow.params import LIB, PROD, EffortParams
+from strideflow.session import materialize
 from strideflow.sources import tables as io
 from strideflow.sources.tracking import normalise_tracking
 
@@ -95,11 +96,16 @@ def run_job(
     # gold
     teams = tb.team_lookup(matches_b)
     plk = tb.player_lookup(players_b, teams)
-    runs = ru.extract_effort_runs(silver, params)
+    # run pieces are read twice (run-id offsets and the merge), so each set
+    # is stored once in the shared checkpoint folder: one window over the
+    # frames per definition
+    pieces = materialize(ru.effort_run_pieces(silver, params), "run_pieces")
+    runs = ru.runs_from_pieces(pieces, params, relative=True)
     io.write_table(tb.enrich_runs(runs, plk, matches_b), paths["runs"], overwrite=True,
                    partition_by=["game_id"], fmt=fmt)
     runs_g = io.read_table(spark, paths["runs"], fmt=fmt)
-    io.write_table(ru.absolute_run_counts(silver, params), paths["absolute_runs"], overwrite=True, fmt=fmt)
+    abs_pieces = materialize(ru.absolute_run_pieces(speeds, params), "absolute_pieces")
+    io.write_table(ru.run_counts_from_pieces(abs_pieces, params), paths["absolute_runs"], overwrite=True, fmt=fmt)
     abs_counts = io.read_table(spark, paths["absolute_runs"], fmt=fmt)
     io.write_table(tb.compare_definitions(vmax, runs_g, abs_counts, plk), paths["comparison"], overwrite=True, fmt=fmt)
     io.write_table(tb.summarise_players(runs_g, vmax, plk), paths["player_summary"], overwrite=True, fmt=fmt)
