@@ -1,7 +1,6 @@
 """Plan shape, properties of runs and zones, the batch job, and the SQL
 oracle on the smallest shared fixture."""
 
-
 import duckdb
 import pytest
 from pyspark.sql import functions as F
