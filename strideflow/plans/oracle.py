@@ -125,7 +125,7 @@ speed AS (
   FROM sp0
 ),
 vmax_raw AS (
-  SELECT player_id, quantile_cont(CAST(speed_kmh AS DOUBLE), 0.999) AS vmax_kmh, count(speed_kmh) AS frame_count
+  SELECT player_id, quantile_cont(CAST(speed_kmh AS DOUBLE), 99.9e0 / 100e0) AS vmax_kmh, count(speed_kmh) AS frame_count
   FROM speed WHERE speed_kmh IS NOT NULL AND player_id <> 'ball' GROUP BY player_id
 ),
 vm AS (
@@ -154,7 +154,7 @@ abs_counts AS (
   WHERE nf >= 25 GROUP BY player_id
 ),
 vmax_lib_raw AS (
-  SELECT player_id, quantile_cont(CAST(speed_kmh AS DOUBLE), 0.995) AS vmax_kmh, count(speed_kmh) AS frame_count
+  SELECT player_id, quantile_cont(CAST(speed_kmh AS DOUBLE), 99.5e0 / 100e0) AS vmax_kmh, count(speed_kmh) AS frame_count
   FROM speed WHERE speed_kmh IS NOT NULL AND player_id <> 'ball' GROUP BY player_id
 ),
 vm_lib AS (
@@ -424,7 +424,7 @@ BODIES: dict[str, str] = {
     "vmax_exact": "SELECT player_id, vmax_kmh, frame_count, low_confidence, speed_threshold_kmh FROM vm",
     "vmax_per_game": """SELECT player_id, game_id, vmax_kmh, frame_count, frame_count < 250 AS low_confidence,
         round(vmax_kmh * 0.8e0, 2) AS speed_threshold_kmh
-        FROM (SELECT player_id, game_id, quantile_cont(CAST(speed_kmh AS DOUBLE), 0.999) AS vmax_kmh,
+        FROM (SELECT player_id, game_id, quantile_cont(CAST(speed_kmh AS DOUBLE), 99.9e0 / 100e0) AS vmax_kmh,
                      count(speed_kmh) AS frame_count
               FROM speed WHERE speed_kmh IS NOT NULL AND player_id <> 'ball' GROUP BY player_id, game_id)""",
     "relative_threshold": "SELECT player_id, vmax_kmh, speed_threshold_kmh FROM vm",
