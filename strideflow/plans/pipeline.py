@@ -112,7 +112,9 @@ def run_job(
 
     if export_dir:
         for name in ("player_summary", "comparison", "runs", "absolute_runs"):
-            io.export_csv(io.read_table(spark, paths[name], fmt=fmt), f"{export_dir.rstrip('/')}/{name}")
+            # runs grow with the frames: no single-task export for them
+            io.export_csv(io.read_table(spark, paths[name], fmt=fmt), f"{export_dir.rstrip('/')}/{name}",
+                          single_file=name != "runs")
         io.export_csv(
             matches_b.select("game_id", "date", "home_team_name", "home_team_short", "away_team_name",
                              "away_team_short", "stadium_name", "week", "competition_name", "Round"),

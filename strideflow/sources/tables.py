@@ -44,11 +44,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         spark.conf.set(key, before)
 
 
-def export_csv(df: DataFrame, path: str, order_by: list[str] | None = None) -> None:
-    """Header + one file, for the small exported gold tables only
-    (the single output task is bounded by the table, not by the frames)."""
+def export_csv(df: DataFrame, path: str, order_by: list[str] | None = None, single_file: bool = True) -> None:
+    """CSV with a header.  ``single_file`` (the reference's one file)
+    is for tables bounded by players or matches; a table that grows with the
+    frames (runs) is written by all tasks, one part file each (a sorted
+    export is range-partitioned, so the parts are in order)."""
     out = df.orderBy(*order_by) if order_by else df
-    out.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    if single_file:
+        out = out.coalesce(1)
+    out.write.mode("overwrite").option("header", "true").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, optional: bool = False) -> DataFrame:

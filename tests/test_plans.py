@@ -112,6 +112,9 @@ def test_batch_job_end_to_end(spark, model, tmp_path):
     assert audit["comparison"] == model.comparison.count()
     assert res.bronze_audit.count() == model.tracking.select("game_id").distinct().count()
     assert (tmp_path / "export" / "player_summary").exists()
+    # runs are exported by all tasks (not through one); the folder reads back whole
+    exported = spark.read.option("header", "true").csv(str(tmp_path / "export" / "runs"))
+    assert exported.count() == model.runs.count()
 
 
 def test_oracle_matches_on_smallest_fixture(spark):
