@@ -139,3 +139,15 @@ def test_oracle_matches_on_smallest_fixture(spark):
 def test_entry_smoke(spark):
     df = se.entry(spark)
     assert df.count() > 0 and "run_delta" in df.columns
+
+
+def test_presets_share_vmax_pass_and_dimensions(model):
+    lib = model.lib()
+    assert lib.vmax_table is model.vmax_table  # one exact-percentile pass for both presets
+    assert {"vmax_p99_5", "vmax_p99_9"} <= set(model.vmax_table.columns)
+    assert lib.absolute_pieces is model.absolute_pieces
+    assert lib.player_lookup is model.player_lookup and lib.matches is model.matches
+    # each preset reads its own percentile from the shared table
+    a = {r.player_id: r.vmax_kmh for r in lib.vmax.collect()}
+    b = {r.player_id: r.vmax_p99_5 for r in model.vmax_table.collect()}
+    assert a == b
