@@ -50,7 +50,8 @@ def normalise_tracking(df: DataFrame, ingested_at: str | None = None) -> DataFra
 
 def game_ids_from_files(spark: SparkSession, path: str) -> DataFrame:
     """S3: sorted distinct game ids taken from raw file names
-    (``{game}.jsonl.bz2``), read through the file-source metadata column."""
+    (``{game}.jsonl.bz2``): a ``binaryFile`` listing of which only the
+    ``path`` column is read, so no file content is loaded."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path"))
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     return (
