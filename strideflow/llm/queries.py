@@ -6,12 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_fsm, packing, tree_dedup, winnow
+from . import chat_fsm, chosen_path, packing, quality_knn, secret_scan, tree_dedup, winnow
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; held-out rows are never learned from."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_knn.score(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside a 10-word window of a benchmark item."""
     out = winnow.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -23,6 +29,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word shingles,
+    Jaccard similarity of 0.8 or more."""
+    return chosen_path.similar_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which row of each group of equal texts stays."""
     return tree_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
@@ -50,7 +67,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_winnowing": op2_winnowing, "op4_best_fit_packing": op4_best_fit_packing, "op8_exact_dedup": op8_exact_dedup, "op9_chat_format": op9_chat_format}
+QUERIES = {f.__name__: f for f in (op1_quality_knn, op2_winnowing, op4_best_fit_packing, op5_chosen_path, op7_secret_scan, op8_exact_dedup, op9_chat_format)}
 
 _WORDS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
