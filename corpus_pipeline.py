@@ -6,16 +6,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.llm import packing, tree_dedup, winnow
+from strideflow.llm import chosen_path, packing, quality_knn, tree_dedup, winnow
 from strideflow.llm.common import read, stage
 from strideflow.llm.queries import TOKENIZER
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    out = quality_knn.score(docs, read(spark, sf_dir, "labels"))
+    return out.filter("predicted = 1").select(*docs.columns)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return tree_dedup.drop_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of similar texts stays."""
+    return chosen_path.drop_similar(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     out = winnow.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep_text=True)
@@ -27,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("decontamination", decontamination), ("packing", packed)]
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packed)]
 ORACLE_SQL = None  # token ids and the quality model are not SQL; tested against brute force
 
 

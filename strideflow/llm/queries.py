@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_fsm, chosen_path, packing, quality_knn, secret_scan, tree_dedup, winnow
-from .common import read
+from . import chat_fsm, chosen_path, language_id, packing, quality_knn, secret_scan, suffix_dedup, token_rollup, tree_dedup, winnow
+from .common import read, shared_dir
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -24,6 +26,15 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents: one batch of inserts, sent twice."""
+    rows = token_rollup.counted(read(spark, sf_dir, "documents"), TOKENIZER, "byte_bpe_50k")
+    rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/llm-rollups/{uuid.uuid4().hex}")
+    for _ in range(2):  # the second commit of a batch changes nothing
+        rollup.commit("documents", token_rollup.inserts(rows))
+    return rollup.totals()
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
@@ -35,6 +46,11 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page; the text model is counted over all documents."""
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text."""
     return secret_scan.scan(read(spark, sf_dir, "documents"))
@@ -67,7 +83,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_knn, op2_winnowing, op4_best_fit_packing, op5_chosen_path, op7_secret_scan, op8_exact_dedup, op9_chat_format)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document left without 50-byte strings that also start
+    in a document with a smaller id."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_knn, op2_winnowing, op3_token_rollup, op4_best_fit_packing, op5_chosen_path, op6_language_id, op7_secret_scan, op8_exact_dedup, op9_chat_format, op10_suffix_dedup)}
 
 _WORDS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
