@@ -151,7 +151,7 @@ def match_labels(matches: DataFrame) -> DataFrame:
     label = F.concat(
         F.col("home_team_short"),
         F.lit(" vs "),
-        F.col("away_team_short"),
+        F.coalesce(F.col("away_team_short"), F.lit("-")),
         F.lit("  ·  W"),
         F.col("week").cast("string"),
         F.lit("  ("),

@@ -1,20 +1,19 @@
 """Derived tracking fixture on the shared test tables (FIXTURES.md part 2).
 
 Players are suppliers, their frames are their lineitems: ``n`` numbers a
-supplier's lineitems in a fixed order, rounds of 200 frames become games
-against a rotating opponent nation, and positions integrate a per-block
-target speed.  Everything is a DataFrame expression over ``lineitem``,
-``supplier`` and ``nation``; the work grows with those tables.
-
-``row_number() <= 800`` per supplier is written as a direct filter on the
-row number so Spark plans a partial per-task group limit before the shuffle:
-a supplier holding a third of all lineitems ships at most 800 rows per map
-task, never its whole group.
+supplier's lineitems in a fixed order, runs of 200 frames go to four games in
+turn, and positions integrate a per-block target speed.  Every lineitem of a
+supplier becomes a frame.  Everything is a DataFrame expression over
+``lineitem``, ``supplier`` and ``nation``; the work grows with those tables.
+
+Row numbers and running positions are summed on two levels: within ranges of
+order keys or frames, and over the ranges' totals.  A supplier that holds a
+third of all lineitems is therefore spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideflow.functions.positions import POSITION_CODES
@@ -22,13 +21,14 @@ from strideflow.session import table_path
 
 # Fixed values of the fixture formulas (FIXTURES.md).
 FRAMES_PER_ROUND = 200
-MAX_FRAMES = 800
-SPARSE_FRAMES = 150
+GAMES = 4
+DENSE_FRAMES = 150
+ORDER_RANGE = 4096  # order keys numbered together
+FRAME_RANGE = 2048  # frames of a game summed together
 BLOCK_FRAMES = 35
 BALL_KEY = 7
 BLOCK_SHARES = (30, 55, 70, 78, 85, 95, 100)
 FIRST_DATE = "2022-11-20"
-N_ROUNDS = 4
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,19 @@ def _idiv(a, b: float):
     return F.floor(a / F.lit(float(b))).cast("long")
 
 
+def _ranged_sums(df: DataFrame, keys: list[str], part: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with a running sum of each value by ``keys`` in the order of
+    (part, order): the sum within the part plus the totals of earlier parts.
+    A part takes one task, so no key has to fit into one."""
+    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*keys, part).agg(*[F.sum(v).alias(f"_{name}") for name, v in values.items()])
+    before = totals.select(*keys, part, *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in values])
+    local = df.withColumns({name: F.sum(v).over(inside) for name, v in values.items()})
+    sums = {name: (F.col(name) + F.col(f"_{name}")).cast("long") for name in values}
+    return local.join(before, [*keys, part]).withColumns(sums).drop(*[f"_{name}" for name in values])
+
+
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("k"),
@@ -47,28 +60,33 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_extendedprice",
+        _idiv(F.col("l_orderkey"), ORDER_RANGE).alias("range"),
     )
-    w = Window.partitionBy("k").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    li = li.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= MAX_FRAMES)
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    li = _ranged_sums(li, ["k"], "range", order, {"rn": F.lit(1)})
     sup = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("t"))
     df = li.join(sup, "k").withColumn("n", F.col("rn") - 1)
-    df = df.filter(((F.col("k") % 10) != 3) | (F.col("n") < SPARSE_FRAMES))
-    g, gf = _idiv(F.col("n"), FRAMES_PER_ROUND), F.col("n") % FRAMES_PER_ROUND
-    df = df.withColumn("g", g).withColumn("gf", gf).withColumn("b", _idiv(F.col("gf"), BLOCK_FRAMES))
-    df = df.withColumn("opp", ((F.col("g") * 11 + 50) - F.col("t")) % 25).filter(F.col("opp") != F.col("t"))
+    lap = _idiv(F.col("n"), FRAMES_PER_ROUND)
+    gf = F.col("n") % FRAMES_PER_ROUND + FRAMES_PER_ROUND * _idiv(lap, GAMES)
+    df = df.withColumn("g", lap % GAMES).withColumn("gf", gf).withColumn("b", _idiv(F.col("gf"), BLOCK_FRAMES))
+    df = df.withColumn("opp", ((F.col("g") * 11 + 50) - F.col("t")) % 25)
     v = 16 + (F.col("k") * 37) % 19
     shares = F.array(*[F.lit(s) for s in BLOCK_SHARES])
     f = F.element_at(shares, ((F.col("k") * 31 + (F.col("g") * 6 + F.col("b")) * 17) % 7 + 1).cast("int"))
     step = _idiv(v * f * (1000 + F.col("q") - 25), 9000)
-    df = df.withColumn("step", step)
-    wk = Window.partitionBy("k", "g").orderBy("gf").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cx = F.col("k") * 7717 + F.sum(_idiv(F.col("step") * 4, 5)).over(wk).cast("long")
-    cy = F.col("k") * 3331 + F.sum(_idiv(F.col("step") * 3, 5)).over(wk).cast("long")
+    df = df.withColumn("step", step).withColumn("range", _idiv(F.col("gf"), FRAME_RANGE))
+    moves = {"sx": _idiv(F.col("step") * 4, 5), "sy": _idiv(F.col("step") * 3, 5)}
+    df = _ranged_sums(df, ["k", "g"], "range", ["gf"], moves)
+    cx = F.col("k") * 7717 + F.col("sx")
+    cy = F.col("k") * 3331 + F.col("sy")
     x = F.abs(cx % 210000 - 105000) / F.lit(1000.0) - F.lit(52.5)
     y = F.abs(cy % 136000 - 68000) / F.lit(1000.0) - F.lit(34.0)
+    frame = F.col("gf") + 5 * _idiv(F.col("gf"), 90)
+    # every tenth player has a gap before each of its later frames
+    frame = F.when((F.col("k") % 10 == 3) & (F.col("n") >= DENSE_FRAMES), frame * 2).otherwise(frame)
     return df.select(
         (F.col("g") * 1000 + F.least("t", "opp")).cast("string").alias("game_id"),
-        (F.col("gf") + 5 * _idiv(F.col("gf"), 90)).cast("long").alias("frame_id"),
+        frame.cast("long").alias("frame_id"),
         F.when(F.col("gf") < 120, 1).otherwise(2).cast("int").alias("period_id"),
         (F.col("gf") * 40).cast("long").alias("timestamp"),
         F.lit("alive").alias("ball_state"),
@@ -97,14 +115,15 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Match metadata: rounds 0..3, nations paired t < opp, plus ``Round``."""
+    """Match metadata: rounds 0..3, nations paired t < opp, plus ``Round``.
+    A nation that meets itself has a game without an away side."""
     nat = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("t"), "n_name")
     # every nation once per round: a fixed 4-element expansion per nation
-    rounds = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_ROUNDS - 1).cast("long")))
+    rounds = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GAMES - 1).cast("long")))
     pairs = nat.withColumn("g", rounds).withColumn("opp", ((F.col("g") * 11 + 50) - F.col("t")) % 25)
-    pairs = pairs.filter(F.col("t") < F.col("opp"))
+    pairs = pairs.filter(F.col("t") <= F.col("opp")).withColumn("opp", F.nullif("opp", "t"))
     away = nat.select(F.col("t").alias("opp"), F.col("n_name").alias("away_name"))
-    m = pairs.join(away, "opp")
+    m = pairs.join(away, "opp", "left")
     short = lambda c: F.concat(F.lit("N"), F.lpad(F.col(c).cast("string"), 2, "0"))
     week = (F.col("g") + 1).cast("int")
     return m.select(

@@ -80,9 +80,9 @@ li AS (
 ),
 fx0 AS (
   SELECT li.k, li.q, li.n, CAST(s.s_nationkey AS BIGINT) AS t,
-         CAST(floor(li.n / 200e0) AS BIGINT) AS g, li.n % 200 AS gf
+         CAST(floor(li.n / 200e0) AS BIGINT) % 4 AS g,
+         li.n % 200 + 200 * CAST(floor(li.n / 800e0) AS BIGINT) AS gf
   FROM li JOIN supplier s ON s.s_suppkey = li.k
-  WHERE li.n < 800 AND (li.k % 10 <> 3 OR li.n < 150)
 ),
 fx1 AS (SELECT *, CAST(floor(gf / 35e0) AS BIGINT) AS b, ((g * 11 + 50) - t) % 25 AS opp FROM fx0),
 fx2 AS (
@@ -90,7 +90,7 @@ fx2 AS (
                        * (CASE (k * 31 + (g * 6 + b) * 17) % 7 WHEN 0 THEN 30 WHEN 1 THEN 55 WHEN 2 THEN 70
                                WHEN 3 THEN 78 WHEN 4 THEN 85 WHEN 5 THEN 95 ELSE 100 END)
                        * (1000 + q - 25) / 9000e0) AS BIGINT) AS step
-  FROM fx1 WHERE opp <> t
+  FROM fx1
 ),
 fx3 AS (
   SELECT *,
@@ -100,7 +100,7 @@ fx3 AS (
 ),
 tracking AS (
   SELECT CAST(g * 1000 + least(t, opp) AS VARCHAR) AS game_id,
-         CAST(gf + 5 * floor(gf / 90e0) AS BIGINT) AS frame_id,
+         CAST((gf + 5 * floor(gf / 90e0)) * CASE WHEN k % 10 = 3 AND n >= 150 THEN 2 ELSE 1 END AS BIGINT) AS frame_id,
          CAST(CASE WHEN gf < 120 THEN 1 ELSE 2 END AS INTEGER) AS period_id,
          CAST(gf * 40 AS BIGINT) AS timestamp,
          'alive' AS ball_state,
@@ -192,18 +192,18 @@ matches AS (
          p.n_name AS stadium_name,
          CAST(p.t AS VARCHAR) AS home_team_id, p.n_name AS home_team_name,
          'N' || lpad(CAST(p.t AS VARCHAR), 2, '0') AS home_team_short,
-         CAST(p.opp AS VARCHAR) AS away_team_id, a.n_name AS away_team_name,
-         'N' || lpad(CAST(p.opp AS VARCHAR), 2, '0') AS away_team_short,
+         CAST(a.n_nationkey AS VARCHAR) AS away_team_id, a.n_name AS away_team_name,
+         'N' || lpad(CAST(a.n_nationkey AS VARCHAR), 2, '0') AS away_team_short,
          105e0 AS pitch_length, 68e0 AS pitch_width, 25e0 AS fps,
          CAST(p.g + 1 AS INTEGER) AS week,
          CASE WHEN p.g + 1 <= 3 THEN 'Group Stage' ELSE 'Knockout' END AS "Round"
-  FROM mpairs p JOIN nation a ON a.n_nationkey = p.opp
-  WHERE p.t < p.opp
+  FROM mpairs p LEFT JOIN nation a ON a.n_nationkey = p.opp AND p.opp <> p.t
+  WHERE p.t <= p.opp
 ),
 teams_all AS (
   SELECT home_team_id AS team_id, home_team_name AS team_name, home_team_short AS team_short FROM matches
   UNION ALL
-  SELECT away_team_id, away_team_name, away_team_short FROM matches
+  SELECT away_team_id, away_team_name, away_team_short FROM matches WHERE away_team_id IS NOT NULL
 ),
 teams AS (
   SELECT team_id, team_name, team_short FROM (
@@ -414,7 +414,7 @@ BODIES: dict[str, str] = {
     "filtered_comparison": """SELECT player_id, team_short, pos, n_games, runs_absolute_dynamic, runs_relative_dynamic,
         run_delta, pct_change, category FROM fc""",
     "pitch_runs_fallback": "SELECT player_id, game_id, period_id, run_id, team_short, pos FROM pitch",
-    "match_labels": """SELECT game_id, date, home_team_short || ' vs ' || away_team_short || '  ·  W' || CAST(week AS VARCHAR)
+    "match_labels": """SELECT game_id, date, home_team_short || ' vs ' || coalesce(away_team_short, '-') || '  ·  W' || CAST(week AS VARCHAR)
         || '  (' || upper(substr("Round", 1, 2)) || ')' AS label FROM matches""",
     "team_options": "SELECT DISTINCT team_short FROM app_summary WHERE team_short IS NOT NULL",
     "threshold_columns": """SELECT player_id, vmax_kmh, vmax_kmh * 0.8e0 AS threshold_at_pct,
