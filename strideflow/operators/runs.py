@@ -56,26 +56,6 @@ RUN_COLUMNS = [
 ]
 
 
-def assign_run_ids(flagged: DataFrame, chunk_frames: int) -> DataFrame:
-    """Add ``run_id`` (1-based per player and game) to flagged frames."""
-    cols = flagged.columns
-    chunked = with_chunks(flagged, chunk_frames)
-    w = Window.partitionBy(*CHUNK_KEYS).orderBy("frame_id", F.col("_carry").desc(), "timestamp")
-    prev = F.lag("frame_id").over(w)
-    start = (~F.col("_carry")) & (prev.isNull() | ((F.col("frame_id") - prev) > 1))
-    local = chunked.withColumn("_start", start.cast("long")).withColumn(
-        "_local", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    local = local.filter(~F.col("_carry"))
-    # prefix sum of run starts over earlier chunks (one row per chunk)
-    per_chunk = local.groupBy(*CHUNK_KEYS).agg(F.sum("_start").alias("_starts"))
-    wc = Window.partitionBy("player_id", "game_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(*CHUNK_KEYS, F.coalesce(F.sum("_starts").over(wc), F.lit(0)).alias("_offset"))
-    return local.join(offsets, CHUNK_KEYS).select(
-        *cols, (F.col("_offset") + F.col("_local")).cast("long").alias("run_id")
-    )
-
-
 PIECE_KEYS = ["player_id", "game_id", "period_id", "_chunk", "_local"]
 
 
@@ -186,6 +166,26 @@ def absolute_run_pieces(speeds: DataFrame, params: EffortParams = PROD) -> DataF
     return run_pieces(_flagged_projection(absolute_frames(speeds, params), False), params.chunk_frames)
 
 
+DEFINITIONS = ("relative", "absolute")
+
+
+def both_run_pieces(tagged: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """Run pieces of both definitions from one scan: each frame goes to the
+    definitions it meets, and ``definition`` takes part in the key."""
+    fast = F.col("speed_kmh").cast("double") >= F.lit(float(params.absolute_kmh))
+    meets = F.array(F.when(F.col("is_effort_frame"), F.lit("relative")), F.when(fast, F.lit("absolute")))
+    frames = drop_ball(tagged).filter(F.col("speed_kmh").isNotNull()).withColumn("definition", F.explode(F.array_compact(meets)))
+    vmax = F.when(F.col("definition") == "relative", F.col("vmax_kmh"))
+    keyed = _flagged_projection(frames.withColumns({"vmax_kmh": vmax, "player_id": F.concat_ws("|", "definition", "player_id")}), True)
+    split = F.split("player_id", r"\|", 2)
+    return run_pieces(keyed, params.chunk_frames).withColumns({"definition": split[0], "player_id": split[1]})
+
+
+def pieces_of(pieces: DataFrame, definition: str) -> DataFrame:
+    """One definition's part of ``both_run_pieces``."""
+    return pieces.filter(F.col("definition") == definition).drop("definition")
+
+
 def runs_from_pieces(pieces: DataFrame, params: EffortParams = PROD, relative: bool = True) -> DataFrame:
     """R1/R2 rows (16 columns) from run pieces, gated on minimum duration."""
     return _finish(merge_pieces(pieces, by_period=True), params, relative=relative)

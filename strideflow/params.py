@@ -8,7 +8,7 @@ argument here; ``LIB`` and ``PROD`` are the two presets.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -62,5 +62,3 @@ class FilterSpec:
     min_games: int = 2
     game_id: str | None = None
     top_n: int = 20
-    hist_bins: int = 30
-    extra: dict = field(default_factory=dict, compare=False)

@@ -28,7 +28,7 @@ from strideflow.functions.zones import (
     zone30_col,
     zone30_row,
 )
-from strideflow.operators.tables import category
+from strideflow.operators.profiles import FLOORED, PLAYERS, RUNS, category, compare, having, profile, rate, team_comparison
 from strideflow.params import SWEEP_THRESHOLDS, FilterSpec
 
 DEFAULT = FilterSpec()
@@ -60,38 +60,16 @@ def qualifying_runs(runs: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
 
 
 def dynamic_counts(qualifying: DataFrame) -> DataFrame:
-    """Per-player recount at the slider threshold."""
-    d = qualifying.groupBy("player_id").agg(
-        F.count("run_id").alias("total_runs_dynamic"),
-        F.count_distinct("game_id").alias("games_with_runs"),
-        F.avg("pct_of_vmax").alias("mean_pct_dynamic"),
-        F.avg("duration_sec").alias("mean_duration_dynamic"),
-        F.sum("distance_m").alias("total_distance_dynamic"),
-        F.avg("peak_speed_kmh").alias("mean_peak_dynamic"),
-    )
-    return d.select(
-        "player_id",
-        "total_runs_dynamic",
-        "games_with_runs",
-        rnd(F.col("mean_pct_dynamic") * 100, 1).alias("mean_pct_dynamic"),
-        "mean_duration_dynamic",
-        "total_distance_dynamic",
-        "mean_peak_dynamic",
-        rnd(F.col("total_runs_dynamic") / F.greatest(F.col("games_with_runs"), F.lit(1)), 2).alias(
-            "runs_per_game_dynamic"
-        ),
-    )
+    """Per-player recount at the slider threshold; ``*_now`` columns."""
+    own = profile(qualifying, ["player_id"], RUNS, "runs games metres seconds_per_run peak_per_run effort_pct", {"effort_pct": 1})
+    rated = own.withColumn("rate", rate("runs", "games", 2))
+    return rated.select("player_id", *[F.col(c).alias(f"{c}_now") for c in rated.columns if c != "player_id"])
 
 
 def summary_dynamic(summary: DataFrame, dyn: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     """Summary + D1; nulls -> 0 for total runs, runs/game and mean peak."""
-    return (
-        summary.join(dyn, "player_id", "left")
-        .withColumn("total_runs_dynamic", F.coalesce("total_runs_dynamic", F.lit(0)).cast("long"))
-        .withColumn("runs_per_game_dynamic", F.coalesce("runs_per_game_dynamic", F.lit(0.0)))
-        .withColumn("mean_peak_dynamic", F.coalesce("mean_peak_dynamic", F.lit(0.0)))
-        .withColumn("threshold_at_pct", F.col("vmax_kmh") * F.lit(spec.threshold_pct))
-    )
+    full = summary.join(dyn, "player_id", "left").fillna(0, subset=["runs_now", "rate_now", "peak_per_run_now"])
+    return full.withColumn("threshold_at_pct", F.col("vmax_kmh") * F.lit(spec.threshold_pct))
 
 
 def threshold_columns(comparison: DataFrame, spec: FilterSpec = DEFAULT, absolute_kmh: float = 20.0) -> DataFrame:
@@ -110,18 +88,10 @@ def comparison_dynamic(
 ) -> DataFrame:
     """D3: static absolute counts vs relative recount; % change over
     ``max(abs, 1)`` (the dashboard formula, unlike G4's null)."""
-    rel = qualifying.groupBy("player_id").agg(F.count(F.lit(1)).alias("runs_relative_dynamic"))
-    ab = absolute.select("player_id", F.col("runs_absolute").alias("runs_absolute_dynamic"))
-    c = (
-        threshold_columns(comparison, spec)
-        .join(ab, "player_id", "left")
-        .join(rel, "player_id", "left")
-        .withColumn("runs_absolute_dynamic", F.coalesce("runs_absolute_dynamic", F.lit(0)).cast("long"))
-        .withColumn("runs_relative_dynamic", F.coalesce("runs_relative_dynamic", F.lit(0)).cast("long"))
-        .withColumn("run_delta", F.col("runs_relative_dynamic") - F.col("runs_absolute_dynamic"))
-    )
-    den = F.greatest(F.col("runs_absolute_dynamic"), F.lit(1))
-    return c.withColumn("pct_change", rnd(F.col("run_delta") / den * 100, 1)).withColumn("category", category())
+    now = profile(qualifying, ["player_id"], RUNS, "runs").withColumnRenamed("runs", "runs_relative_now")
+    flat = absolute.select("player_id", F.col("runs_absolute").alias("runs_absolute_now"))
+    rows = threshold_columns(comparison, spec).join(now, "player_id", "left").join(flat, "player_id", "left")
+    return compare(rows, "runs_relative_now", "runs_absolute_now", FLOORED)
 
 
 def filtered_summary(sdyn: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
@@ -129,7 +99,7 @@ def filtered_summary(sdyn: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     return sdyn.filter(
         _in("team_short", spec.teams)
         & F.col("pos").isin(list(spec.positions))
-        & (F.col("games_appeared") >= spec.min_games)
+        & (F.col("games") >= spec.min_games)
         & ~F.col("low_confidence")
     ).withColumn("threshold_at_pct", F.col("vmax_kmh") * F.lit(spec.threshold_pct))
 
@@ -137,7 +107,7 @@ def filtered_summary(sdyn: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
 def filtered_comparison(cdyn: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     """P6."""
     return cdyn.filter(
-        _in("team_short", spec.teams) & F.col("pos").isin(list(spec.positions)) & (F.col("n_games") >= spec.min_games)
+        _in("team_short", spec.teams) & F.col("pos").isin(list(spec.positions)) & (F.col("games") >= spec.min_games)
     )
 
 
@@ -173,8 +143,8 @@ def kpis(fs: DataFrame) -> DataFrame:
     return fs.agg(
         n.alias("n_players"),
         F.avg("vmax_kmh").alias("avg_vmax"),
-        F.avg("runs_per_game_dynamic").alias("avg_runs"),
-        F.max("tournament_peak_speed_kmh").alias("top_speed"),
+        F.avg("rate_now").alias("avg_runs"),
+        F.max("peak_kmh").alias("top_speed"),
         below.alias("n_below_20"),
         F.when(n > 0, below / n * 100).otherwise(F.lit(0.0)).alias("pct_below"),
     )
@@ -183,8 +153,8 @@ def kpis(fs: DataFrame) -> DataFrame:
 def top_players(fs: DataFrame, n: int = 20) -> DataFrame:
     """Top N by dynamic runs per game (player_id breaks ties)."""
     return fs.select(
-        "player_id", "player_name", "team_short", "pos", "runs_per_game_dynamic", "vmax_kmh", "games_appeared"
-    ).orderBy(F.col("runs_per_game_dynamic").desc(), "player_id").limit(n)
+        "player_id", "player_name", "team_short", "pos", "rate_now", "vmax_kmh", "games"
+    ).orderBy(F.col("rate_now").desc(), "player_id").limit(n)
 
 
 def _dense_zone_grid(keys: DataFrame, n_zones: int) -> DataFrame:
@@ -249,59 +219,35 @@ def player_table(fs: DataFrame) -> DataFrame:
         "team_name",
         "pos",
         "pos_detail",
-        "games_appeared",
+        "games",
         rnd("vmax_kmh", 1).alias("vmax_kmh"),
         rnd("threshold_at_pct", 1).alias("threshold_at_pct"),
-        "total_runs_dynamic",
-        "runs_per_game_dynamic",
-        rnd("hsr_distance_per_game_m", 0).alias("hsr_distance_per_game_m"),
-        rnd("mean_peak_dynamic", 1).alias("mean_peak_dynamic"),
-        F.least(F.col("mean_pct_of_vmax_pct"), F.lit(100.0)).alias("mean_pct_of_vmax_pct"),
-        rnd("tournament_peak_speed_kmh", 1).alias("tournament_peak_speed_kmh"),
-    ).orderBy(F.col("runs_per_game_dynamic").desc(), "player_id")
+        "runs_now",
+        "rate_now",
+        rnd("metres_per_game", 0).alias("metres_per_game"),
+        rnd("peak_per_run_now", 1).alias("peak_per_run_now"),
+        F.least(F.col("effort_pct"), F.lit(100.0)).alias("effort_pct"),
+        rnd("peak_kmh", 1).alias("peak_kmh"),
+    ).orderBy(F.col("rate_now").desc(), "player_id")
 
 
 def team_profile(fs: DataFrame) -> DataFrame:
     """Team aggregates (null team keys dropped, as pandas does)."""
-    return (
-        fs.filter(F.col("team_name").isNotNull() & F.col("team_short").isNotNull())
-        .groupBy("team_name", "team_short")
-        .agg(
-            F.avg("runs_per_game_dynamic").alias("avg_runs_per_game"),
-            F.sum("total_runs_dynamic").alias("total_team_runs"),
-            F.avg("vmax_kmh").alias("avg_vmax"),
-            F.avg("tournament_peak_speed_kmh").alias("avg_peak_speed"),
-            F.avg("hsr_distance_per_game_m").alias("avg_hsr_distance"),
-            F.avg("mean_pct_of_vmax_pct").alias("avg_intensity"),
-            F.count("player_name").alias("n_players"),
-        )
-    )
+    return profile(having(fs, "team_name", "team_short"), ["team_name", "team_short"], PLAYERS, "named_players runs_now rate_now metres_per_game effort_pct peak_kmh vmax_kmh")
 
 
 def team_distance_top(tp: DataFrame, n: int = 16) -> DataFrame:
     """Teams with the most effort-run distance per game."""
-    return tp.orderBy(F.col("avg_hsr_distance").desc(), "team_name").limit(n)
+    return tp.orderBy(F.desc("metres_per_game"), "team_name").limit(n)
 
 
 def position_profile(fs: DataFrame) -> DataFrame:
     """Position-group aggregates."""
-    return (
-        fs.filter(F.col("pos").isNotNull())
-        .groupBy("pos")
-        .agg(
-            F.avg("runs_per_game_dynamic").alias("avg_runs_per_game"),
-            F.avg("vmax_kmh").alias("avg_vmax"),
-            F.avg("threshold_kmh").alias("avg_threshold"),
-            F.avg("hsr_distance_per_game_m").alias("avg_distance"),
-            F.avg("mean_pct_of_vmax_pct").alias("avg_intensity"),
-            F.avg("tournament_peak_speed_kmh").alias("avg_peak_speed"),
-            F.count("player_name").alias("n_players"),
-        )
-        .withColumnRenamed("pos", "position")
-    )
+    keys = [F.col("pos").alias("position")]
+    return profile(having(fs, "pos"), keys, PLAYERS, "named_players rate_now metres_per_game effort_pct peak_kmh vmax_kmh limit_kmh")
 
 
-RADAR_METRICS = ("avg_runs_per_game", "avg_vmax", "avg_distance", "avg_intensity", "avg_peak_speed")
+RADAR_METRICS = ("rate_now", "vmax_kmh", "metres_per_game", "effort_pct", "peak_kmh")
 
 
 def position_radar(pp: DataFrame) -> DataFrame:
@@ -319,13 +265,13 @@ def position_radar(pp: DataFrame) -> DataFrame:
 
 
 def run_delta_histogram(fc: DataFrame, bins: int = 30) -> DataFrame:
-    """Equal-width histogram of run_delta over [min, max] by category.
+    """Equal-width histogram of delta over [min, max] by category.
     The global bounds are scalar subqueries (computed once, no join)."""
-    bounds = _scalar(fc.agg(F.struct(F.min("run_delta").alias("lo"), F.max("run_delta").alias("hi"))))
+    bounds = _scalar(fc.agg(F.struct(F.min("delta").alias("lo"), F.max("delta").alias("hi"))))
     with_b = fc.withColumn("_bounds", bounds)
     lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
     width = F.when(hi > lo, (hi - lo) / F.lit(float(bins))).otherwise(F.lit(1.0))
-    b = F.least(F.floor((F.col("run_delta") - lo) / width), F.lit(bins - 1)).cast("int")
+    b = F.least(F.floor((F.col("delta") - lo) / width), F.lit(bins - 1)).cast("int")
     return (
         with_b.withColumn("bin", b)
         .groupBy("category", "bin")
@@ -336,25 +282,7 @@ def run_delta_histogram(fc: DataFrame, bins: int = 30) -> DataFrame:
 
 def team_outperformance_dynamic(fc: DataFrame) -> DataFrame:
     """Static totals with the dynamic delta; denominator max(abs, 1)."""
-    rel, ab = F.sum("runs_relative"), F.sum("runs_absolute")
-    return (
-        fc.filter(F.col("team_name").isNotNull() & F.col("team_short").isNotNull())
-        .groupBy("team_name", "team_short")
-        .agg(
-            rel.alias("total_runs_relative"),
-            ab.alias("total_runs_absolute"),
-            F.sum("run_delta").alias("total_run_delta"),
-            F.count_if(F.col("category") == "gained").alias("players_gained"),
-            F.count_if(F.col("category") == "lost").alias("players_lost"),
-            F.count("player_name").alias("n_players"),
-        )
-        .withColumn(
-            "pct_outperformance",
-            (F.col("total_runs_relative") - F.col("total_runs_absolute"))
-            / F.greatest(F.col("total_runs_absolute"), F.lit(1))
-            * 100,
-        )
-    )
+    return team_comparison(having(fc, "team_name", "team_short"), FLOORED, "named_players")
 
 
 def most_affected_dynamic(fc: DataFrame) -> DataFrame:
@@ -367,12 +295,12 @@ def most_affected_dynamic(fc: DataFrame) -> DataFrame:
         "pos_detail",
         "vmax_kmh",
         "threshold_at_pct",
-        "runs_absolute_dynamic",
-        "runs_relative_dynamic",
-        "run_delta",
-        "pct_change",
+        "runs_absolute_now",
+        "runs_relative_now",
+        "delta",
+        "change_pct",
         "category",
-    ).orderBy(F.abs("run_delta").desc(), "player_id")
+    ).orderBy(F.abs("delta").desc(), "player_id")
 
 
 # ---------------------------------------------------------------------------
@@ -382,14 +310,8 @@ def most_affected_dynamic(fc: DataFrame) -> DataFrame:
 
 def pitch_thirds(runs: DataFrame) -> DataFrame:
     """Right-closed thirds over all stored runs; outside -> dropped."""
-    z = runs.withColumn("pitch_zone", third_right_closed("start_x")).filter(F.col("pitch_zone").isNotNull())
-    return z.groupBy("pitch_zone").agg(
-        F.count("duration_sec").alias("n_runs"),
-        F.avg("peak_speed_kmh").alias("avg_speed"),
-        (F.avg("pct_of_vmax") * 100).alias("avg_pct_of_vmax"),
-        F.avg("distance_m").alias("avg_distance"),
-        F.avg("duration_sec").alias("avg_duration"),
-    )
+    placed = having(runs.withColumn("pitch_zone", third_right_closed("start_x")), "pitch_zone")
+    return profile(placed, ["pitch_zone"], RUNS, "runs seconds_per_run metres_per_run peak_per_run effort_pct")
 
 
 def pitch_thirds_by_group(runs: DataFrame) -> DataFrame:
@@ -414,7 +336,7 @@ def pitch_runs_fallback(qualifying: DataFrame, spec: FilterSpec = DEFAULT) -> Da
 def _zone9(runs: DataFrame, keys: list[str]) -> DataFrame:
     cells = runs.select(*keys, (zone9_row("start_y") * 3 + zone9_col("start_x")).alias("zone"), "peak_speed_kmh")
     counts = cells.groupBy(*keys, "zone").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("peak_speed_kmh").alias("_ss"))
-    base = runs.select(*keys).distinct() if keys else runs.sparkSession.range(1).select()
+    base = runs.select(*keys).distinct() if keys else runs.sparkSession.range(1).select(F.lit(0).alias("_all"))
     grid = _dense_zone_grid(base, 9).join(counts, [*keys, "zone"], "left").fillna(0, subset=["n_runs"])
     w = Window.partitionBy(*keys) if keys else Window.partitionBy()
     total, mx = F.sum("n_runs").over(w), F.max("n_runs").over(w)
@@ -436,24 +358,7 @@ def _zone9(runs: DataFrame, keys: list[str]) -> DataFrame:
 def zone9_heatmap(pitch_runs: DataFrame) -> DataFrame:
     """3x3 grid over all (filtered) runs; nine rows always.  The grid
     total/max window spans exactly nine rows."""
-    counts = pitch_runs.select((zone9_row("start_y") * 3 + zone9_col("start_x")).alias("zone"), "peak_speed_kmh")
-    agg = counts.groupBy("zone").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("peak_speed_kmh").alias("_ss"))
-    grid = pitch_runs.sparkSession.range(9).select(F.col("id").cast("int").alias("zone"))
-    g = grid.join(agg, "zone", "left").fillna(0, subset=["n_runs"])
-    w = Window.partitionBy()
-    total, mx = F.sum("n_runs").over(w), F.max("n_runs").over(w)
-    rows = F.create_map(*[x for i, nm in enumerate(ZONE9_ROW_NAMES) for x in (F.lit(i), F.lit(nm))])
-    cols = F.create_map(*[x for i, nm in enumerate(THIRD_NAMES) for x in (F.lit(i), F.lit(nm))])
-    r, c = (F.col("zone") / 3).cast("int"), F.col("zone") % 3
-    return g.select(
-        "zone",
-        rows[r].alias("channel"),
-        cols[c].alias("third"),
-        "n_runs",
-        F.when(total > 0, F.col("n_runs") / total * 100).otherwise(F.lit(0.0)).alias("pct"),
-        F.when(F.col("n_runs") > 0, F.col("_ss") / F.col("n_runs")).otherwise(F.lit(0.0)).alias("avg_peak_speed"),
-        (F.col("n_runs") / F.when(mx > 0, mx).otherwise(F.lit(1))).alias("intensity"),
-    )
+    return _zone9(pitch_runs, [])
 
 
 # ---------------------------------------------------------------------------
@@ -468,63 +373,23 @@ def match_runs(runs: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     return runs.filter(F.col("pct_of_vmax") >= F.lit(spec.threshold_pct))
 
 
-def match_top_performers(mr: DataFrame, n: int = 15) -> DataFrame:
-    """Per match, top players by runs (player_id breaks ties)."""
-    keys = ["game_id", "player_id", "player_name", "team_short", "pos"]
-    agg = (
-        mr.filter(F.col("player_name").isNotNull() & F.col("team_short").isNotNull() & F.col("pos").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count("run_id").alias("runs"),
-            F.sum("distance_m").alias("total_dist"),
-            F.max("peak_speed_kmh").alias("peak_speed"),
-            F.avg("peak_speed_kmh").alias("avg_speed"),
-            F.avg("pct_of_vmax").alias("avg_pct_vmax"),
-        )
-    )
-    w = Window.partitionBy("game_id").orderBy(F.col("runs").desc(), "player_id")
-    return (
-        agg.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= n)
-        .select(
-            *keys,
-            "rank",
-            "runs",
-            rnd("total_dist", 0).alias("total_dist"),
-            rnd("peak_speed", 1).alias("peak_speed"),
-            rnd("avg_speed", 1).alias("avg_speed"),
-            rnd(F.col("avg_pct_vmax") * 100, 1).alias("avg_pct_vmax"),
-        )
-    )
+def match_top_performers(mr: DataFrame) -> DataFrame:
+    """Per match, all performers ranked by runs (player_id breaks ties).
+    A match's ranks take one task: its players are a bounded list."""
+    who = ["game_id", "player_id", "player_name", "team_short", "pos"]
+    digits = {"metres": 0, "peak_kmh": 1, "peak_per_run": 1, "effort_pct": 1}
+    out = profile(having(mr, *who), who, RUNS, "runs metres peak_kmh peak_per_run effort_pct", digits)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("game_id").orderBy(F.desc("runs"), "player_id")))
 
 
 def match_team_comparison(mr: DataFrame) -> DataFrame:
     """D21."""
-    return (
-        mr.filter(F.col("team_short").isNotNull())
-        .groupBy("game_id", "team_short")
-        .agg(
-            F.count("run_id").alias("total_runs"),
-            F.sum("distance_m").alias("total_dist"),
-            F.avg("peak_speed_kmh").alias("avg_speed"),
-            F.max("peak_speed_kmh").alias("peak_speed"),
-            rnd(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
-            F.count_distinct("player_id").alias("n_players"),
-        )
-    )
+    return profile(having(mr, "team_short"), ["game_id", "team_short"], RUNS, "runs players metres peak_kmh peak_per_run effort_pct", {"effort_pct": 1})
 
 
 def match_position(mr: DataFrame) -> DataFrame:
     """D22."""
-    return (
-        mr.filter(F.col("pos").isNotNull())
-        .groupBy("game_id", "pos")
-        .agg(
-            F.count("run_id").alias("total_runs"),
-            rnd(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
-            F.avg("peak_speed_kmh").alias("avg_speed"),
-        )
-    )
+    return profile(having(mr, "pos"), ["game_id", "pos"], RUNS, "runs peak_per_run effort_pct", {"effort_pct": 1})
 
 
 def match_zone9(mr: DataFrame) -> DataFrame:
@@ -562,26 +427,26 @@ def threshold_sweep(
         F.explode(F.filter(ts, lambda t: F.col("pct_of_vmax") >= t)).alias("threshold_pct"),
     )
     rel = per_run.groupBy("threshold_pct", "player_id").agg(
-        F.count(F.lit(1)).alias("total_runs_dynamic"), F.count_distinct("game_id").alias("games_with_runs")
+        F.count(F.lit(1)).alias("runs_now"), F.count_distinct("game_id").alias("games_now")
     )
     players = comparison.select("player_id").withColumn("threshold_pct", F.explode(ts))
-    ab = absolute.select("player_id", F.col("runs_absolute").alias("runs_absolute_dynamic"))
+    ab = absolute.select("player_id", F.col("runs_absolute").alias("runs_absolute_now"))
     out = (
         players.join(rel, ["threshold_pct", "player_id"], "left")
         .join(ab, "player_id", "left")
-        .fillna(0, subset=["total_runs_dynamic", "games_with_runs", "runs_absolute_dynamic"])
-        .withColumn("run_delta", F.col("total_runs_dynamic") - F.col("runs_absolute_dynamic"))
+        .fillna(0, subset=["runs_now", "games_now", "runs_absolute_now"])
+        .withColumn("delta", F.col("runs_now") - F.col("runs_absolute_now"))
     )
     return out.select(
         "threshold_pct",
         "player_id",
-        "total_runs_dynamic",
-        "games_with_runs",
-        rnd(F.col("total_runs_dynamic") / F.greatest(F.col("games_with_runs"), F.lit(1)), 2).alias(
-            "runs_per_game_dynamic"
+        "runs_now",
+        "games_now",
+        rnd(F.col("runs_now") / F.greatest(F.col("games_now"), F.lit(1)), 2).alias(
+            "rate_now"
         ),
-        "runs_absolute_dynamic",
-        "run_delta",
-        rnd(F.col("run_delta") / F.greatest(F.col("runs_absolute_dynamic"), F.lit(1)) * 100, 1).alias("pct_change"),
+        "runs_absolute_now",
+        "delta",
+        rnd(F.col("delta") / F.greatest(F.col("runs_absolute_now"), F.lit(1)) * 100, 1).alias("change_pct"),
         category().alias("category"),
     )

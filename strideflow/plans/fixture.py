@@ -49,7 +49,8 @@ def _ranged_sums(df: DataFrame, keys: list[str], part: str, order: list[str], va
     before = totals.select(*keys, part, *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in values])
     local = df.withColumns({name: F.sum(v).over(inside) for name, v in values.items()})
     sums = {name: (F.col(name) + F.col(f"_{name}")).cast("long") for name in values}
-    return local.join(before, [*keys, part]).withColumns(sums).drop(*[f"_{name}" for name in values])
+    # a left join never broadcasts the rows themselves
+    return local.join(before, [*keys, part], "left").withColumns(sums).drop(*[f"_{name}" for name in values])
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ floats to double before arithmetic, ``ROWS`` frames for running sums.
 
 from __future__ import annotations
 
+# Position groups and pitch zone edges (as in functions/).
 POS = (
     "CASE WHEN {c} = 'GK' THEN 'GK' "
     "WHEN {c} IN ('CB', 'LCB', 'RCB', 'LB', 'RB', 'LWB', 'RWB', 'SW') THEN 'DEF' "
@@ -227,31 +228,31 @@ rx AS (
   LEFT JOIN matches m ON m.game_id = r.game_id
 ),
 rsum AS (
-  SELECT player_id, count(*) AS total_runs, count(DISTINCT game_id) AS games_appeared,
+  SELECT player_id, count(*) AS runs, count(DISTINCT game_id) AS games,
          sum(CAST(distance_m AS DOUBLE)) AS dist, avg(CAST(duration_sec AS DOUBLE)) AS dur,
          avg(CAST(pct_of_vmax AS DOUBLE)) AS pct, max(peak_speed_kmh) AS peak, avg(CAST(peak_speed_kmh AS DOUBLE)) AS mpeak
   FROM runs GROUP BY player_id
 ),
 summary AS (
   SELECT s.player_id, l.player_name, l.team_name, l.team_short, l.position, l.jersey_number, l.is_starter,
-         round(v.vmax_kmh, 2) AS vmax_kmh, round(v.speed_threshold_kmh, 2) AS threshold_kmh, v.low_confidence,
-         s.games_appeared, s.total_runs,
-         round(s.total_runs / greatest(s.games_appeared, 1), 2) AS runs_per_game,
-         round(s.dist, 1) AS total_hsr_distance_m,
-         round(s.dist / greatest(s.games_appeared, 1), 1) AS hsr_distance_per_game_m,
-         round(s.dur, 2) AS mean_duration_sec,
-         round(s.pct * 100, 1) AS mean_pct_of_vmax_pct,
-         round(CAST(s.peak AS DOUBLE), 2) AS tournament_peak_speed_kmh,
-         round(s.mpeak, 2) AS mean_peak_speed_kmh
+         round(v.vmax_kmh, 2) AS vmax_kmh, round(v.speed_threshold_kmh, 2) AS limit_kmh, v.low_confidence,
+         s.games, s.runs,
+         round(s.runs / greatest(s.games, 1), 2) AS rate,
+         round(s.dist, 1) AS metres,
+         round(s.dist / greatest(s.games, 1), 1) AS metres_per_game,
+         round(s.dur, 2) AS seconds_per_run,
+         round(s.pct * 100, 1) AS effort_pct,
+         round(CAST(s.peak AS DOUBLE), 2) AS peak_kmh,
+         round(s.mpeak, 2) AS peak_per_run
   FROM rsum s
   LEFT JOIN vm v ON v.player_id = s.player_id
   LEFT JOIN plk l ON l.player_id = s.player_id
   WHERE NOT v.low_confidence
 ),
-rcnt AS (SELECT player_id, count(*) AS runs_relative, count(DISTINCT game_id) AS n_games FROM runs GROUP BY player_id),
+rcnt AS (SELECT player_id, count(*) AS runs_relative, count(DISTINCT game_id) AS games FROM runs GROUP BY player_id),
 cmp0 AS (
   SELECT v.player_id, v.vmax_kmh, v.speed_threshold_kmh,
-         coalesce(rc.n_games, 0) AS n_games,
+         coalesce(rc.games, 0) AS games,
          coalesce(ac.runs_absolute, 0) AS runs_absolute,
          coalesce(rc.runs_relative, 0) AS runs_relative
   FROM vm v
@@ -261,15 +262,15 @@ cmp0 AS (
 ),
 comparison AS (
   SELECT c.player_id, l.player_name, l.team_name, l.team_short, l.position, l.jersey_number,
-         round(c.vmax_kmh, 2) AS vmax_kmh, round(c.speed_threshold_kmh, 2) AS threshold_kmh,
-         c.n_games, c.runs_absolute, c.runs_relative,
-         c.runs_relative - c.runs_absolute AS run_delta,
+         round(c.vmax_kmh, 2) AS vmax_kmh, round(c.speed_threshold_kmh, 2) AS limit_kmh,
+         c.games, c.runs_absolute, c.runs_relative,
+         c.runs_relative - c.runs_absolute AS delta,
          CASE WHEN c.runs_absolute > 0
-              THEN round((c.runs_relative - c.runs_absolute) / c.runs_absolute * 100, 1) END AS pct_change,
+              THEN round((c.runs_relative - c.runs_absolute) / c.runs_absolute * 100, 1) END AS change_pct,
          CASE WHEN c.runs_relative - c.runs_absolute > 0 THEN 'gained'
               WHEN c.runs_relative - c.runs_absolute < 0 THEN 'lost' ELSE 'unchanged' END AS category,
-         round(c.runs_absolute / greatest(c.n_games, 1), 2) AS runs_per_game_absolute,
-         round(c.runs_relative / greatest(c.n_games, 1), 2) AS runs_per_game_relative
+         round(c.runs_absolute / greatest(c.games, 1), 2) AS rate_absolute,
+         round(c.runs_relative / greatest(c.games, 1), 2) AS rate_relative
   FROM cmp0 c LEFT JOIN plk l ON l.player_id = c.player_id
 ),
 app_summary AS (SELECT *, position AS pos_detail, {POS.format(c="position")} AS pos FROM summary),
@@ -277,49 +278,49 @@ app_comparison AS (SELECT *, position AS pos_detail, {POS.format(c="position")}
 app_runs AS (SELECT *, position AS pos_detail, {POS.format(c="position")} AS pos FROM rx),
 qual AS (SELECT * FROM app_runs WHERE CAST(pct_of_vmax AS DOUBLE) >= 0.8e0),
 dyn AS (
-  SELECT player_id, count(run_id) AS total_runs_dynamic, count(DISTINCT game_id) AS games_with_runs,
-         round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS mean_pct_dynamic,
-         avg(CAST(duration_sec AS DOUBLE)) AS mean_duration_dynamic,
-         sum(CAST(distance_m AS DOUBLE)) AS total_distance_dynamic,
-         avg(CAST(peak_speed_kmh AS DOUBLE)) AS mean_peak_dynamic,
-         round(count(run_id) / greatest(count(DISTINCT game_id), 1), 2) AS runs_per_game_dynamic
+  SELECT player_id, count(*) AS runs_now, count(DISTINCT game_id) AS games_now,
+         round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS effort_pct_now,
+         avg(CAST(duration_sec AS DOUBLE)) AS seconds_per_run_now,
+         sum(CAST(distance_m AS DOUBLE)) AS metres_now,
+         avg(CAST(peak_speed_kmh AS DOUBLE)) AS peak_per_run_now,
+         round(count(run_id) / greatest(count(DISTINCT game_id), 1), 2) AS rate_now
   FROM qual GROUP BY player_id
 ),
 sdyn AS (
-  SELECT s.*, d.games_with_runs, d.mean_pct_dynamic, d.mean_duration_dynamic, d.total_distance_dynamic,
-         coalesce(d.total_runs_dynamic, 0) AS total_runs_dynamic,
-         coalesce(d.runs_per_game_dynamic, 0e0) AS runs_per_game_dynamic,
-         coalesce(d.mean_peak_dynamic, 0e0) AS mean_peak_dynamic,
+  SELECT s.*, d.games_now, d.effort_pct_now, d.seconds_per_run_now, d.metres_now,
+         coalesce(d.runs_now, 0) AS runs_now,
+         coalesce(d.rate_now, 0e0) AS rate_now,
+         coalesce(d.peak_per_run_now, 0e0) AS peak_per_run_now,
          s.vmax_kmh * 0.8e0 AS threshold_at_pct
   FROM app_summary s LEFT JOIN dyn d ON d.player_id = s.player_id
 ),
-qcnt AS (SELECT player_id, count(*) AS runs_relative_dynamic FROM qual GROUP BY player_id),
+qcnt AS (SELECT player_id, count(*) AS runs_relative_now FROM qual GROUP BY player_id),
 cdyn0 AS (
-  SELECT c.* EXCLUDE (run_delta, pct_change, category),
+  SELECT c.* EXCLUDE (delta, change_pct, category),
          c.vmax_kmh * 0.8e0 AS threshold_at_pct,
          c.vmax_kmh * 0.8e0 <= 20e0 AS above_absolute,
          c.vmax_kmh * 0.8e0 - 20e0 AS new_threshold_vs_20,
          25e0 AS breakeven_vmax_kmh,
-         coalesce(ac.runs_absolute, 0) AS runs_absolute_dynamic,
-         coalesce(q.runs_relative_dynamic, 0) AS runs_relative_dynamic
+         coalesce(ac.runs_absolute, 0) AS runs_absolute_now,
+         coalesce(q.runs_relative_now, 0) AS runs_relative_now
   FROM app_comparison c
   LEFT JOIN abs_counts ac ON ac.player_id = c.player_id
   LEFT JOIN qcnt q ON q.player_id = c.player_id
 ),
 cdyn AS (
-  SELECT *, runs_relative_dynamic - runs_absolute_dynamic AS run_delta,
-         round((runs_relative_dynamic - runs_absolute_dynamic) / greatest(runs_absolute_dynamic, 1) * 100, 1) AS pct_change,
-         CASE WHEN runs_relative_dynamic - runs_absolute_dynamic > 0 THEN 'gained'
-              WHEN runs_relative_dynamic - runs_absolute_dynamic < 0 THEN 'lost' ELSE 'unchanged' END AS category
+  SELECT *, runs_relative_now - runs_absolute_now AS delta,
+         round((runs_relative_now - runs_absolute_now) / greatest(runs_absolute_now, 1) * 100, 1) AS change_pct,
+         CASE WHEN runs_relative_now - runs_absolute_now > 0 THEN 'gained'
+              WHEN runs_relative_now - runs_absolute_now < 0 THEN 'lost' ELSE 'unchanged' END AS category
   FROM cdyn0
 ),
 fs AS (
   SELECT * REPLACE (vmax_kmh * 0.8e0 AS threshold_at_pct) FROM sdyn
-  WHERE team_short IS NOT NULL AND pos IN ('GK', 'DEF', 'MID', 'FWD') AND games_appeared >= 2 AND NOT low_confidence
+  WHERE team_short IS NOT NULL AND pos IN ('GK', 'DEF', 'MID', 'FWD') AND games >= 2 AND NOT low_confidence
 ),
 fc AS (
   SELECT * FROM cdyn
-  WHERE team_short IS NOT NULL AND pos IN ('GK', 'DEF', 'MID', 'FWD') AND n_games >= 2
+  WHERE team_short IS NOT NULL AND pos IN ('GK', 'DEF', 'MID', 'FWD') AND games >= 2
 ),
 pr AS (SELECT *, coalesce(team_short IS NOT NULL AND pos IN ('GK', 'DEF', 'MID', 'FWD'), false) AS keep FROM qual),
 pitch AS (SELECT * FROM pr WHERE keep OR NOT EXISTS (SELECT 1 FROM pr WHERE keep)),
@@ -343,22 +344,17 @@ z30 AS (
   FROM z30g
 ),
 tprof AS (
-  SELECT team_name, team_short,
-         avg(runs_per_game_dynamic) AS avg_runs_per_game, sum(total_runs_dynamic) AS total_team_runs,
-         avg(vmax_kmh) AS avg_vmax, avg(tournament_peak_speed_kmh) AS avg_peak_speed,
-         avg(hsr_distance_per_game_m) AS avg_hsr_distance, avg(mean_pct_of_vmax_pct) AS avg_intensity,
-         count(player_name) AS n_players
+  SELECT team_name, team_short, count(player_name) AS named_players, sum(runs_now) AS runs_now, avg(rate_now) AS rate_now,
+         avg(metres_per_game) AS metres_per_game, avg(effort_pct) AS effort_pct, avg(peak_kmh) AS peak_kmh, avg(vmax_kmh) AS vmax_kmh
   FROM fs WHERE team_name IS NOT NULL AND team_short IS NOT NULL GROUP BY team_name, team_short
 ),
 pprof AS (
-  SELECT pos AS position,
-         avg(runs_per_game_dynamic) AS avg_runs_per_game, avg(vmax_kmh) AS avg_vmax, avg(threshold_kmh) AS avg_threshold,
-         avg(hsr_distance_per_game_m) AS avg_distance, avg(mean_pct_of_vmax_pct) AS avg_intensity,
-         avg(tournament_peak_speed_kmh) AS avg_peak_speed, count(player_name) AS n_players
+  SELECT pos AS position, count(player_name) AS named_players, avg(rate_now) AS rate_now, avg(metres_per_game) AS metres_per_game,
+         avg(effort_pct) AS effort_pct, avg(peak_kmh) AS peak_kmh, avg(vmax_kmh) AS vmax_kmh, avg(limit_kmh) AS limit_kmh
   FROM fs WHERE pos IS NOT NULL GROUP BY pos
 ),
 mruns AS (SELECT * FROM app_runs WHERE CAST(pct_of_vmax AS DOUBLE) >= 0.8e0),
-gpr AS (SELECT "Round", count(*) AS n_games FROM matches WHERE "Round" IS NOT NULL GROUP BY "Round"),
+gpr AS (SELECT "Round", count(*) AS games FROM matches WHERE "Round" IS NOT NULL GROUP BY "Round"),
 phase AS (
   SELECT r.*, m."Round" AS m_round
   FROM app_runs r LEFT JOIN matches m ON m.game_id = CAST(r.game_id AS VARCHAR)
@@ -397,7 +393,7 @@ FROM zg g LEFT JOIN zc c ON {on}"""
 
 _RADAR = " UNION ALL ".join(
     f"SELECT position, '{m}' AS metric, CAST({m} AS DOUBLE) AS v FROM pprof"
-    for m in ("avg_runs_per_game", "avg_vmax", "avg_distance", "avg_intensity", "avg_peak_speed")
+    for m in ("rate_now", "vmax_kmh", "metres_per_game", "effort_pct", "peak_kmh")
 )
 
 # key -> final statement appended to PREFIX (a leading ", name AS (...)" adds CTEs)
@@ -409,10 +405,9 @@ BODIES: dict[str, str] = {
         WHERE player_id <> 'ball' AND speed_kmh IS NOT NULL AND CAST(speed_kmh AS DOUBLE) >= 20e0""",
     "position_rollup": f"SELECT player_id, position, {POS.format(c='position')} AS pos, position AS pos_detail FROM plk",
     "qualifying_runs": "SELECT player_id, game_id, period_id, run_id, pct_of_vmax, team_short, pos FROM qual",
-    "filtered_summary": """SELECT player_id, team_short, pos, games_appeared, runs_per_game_dynamic, total_runs_dynamic,
-        mean_peak_dynamic, threshold_at_pct FROM fs""",
-    "filtered_comparison": """SELECT player_id, team_short, pos, n_games, runs_absolute_dynamic, runs_relative_dynamic,
-        run_delta, pct_change, category FROM fc""",
+    "filtered_summary": """SELECT player_id, team_short, pos, games, rate_now, runs_now,
+        peak_per_run_now, threshold_at_pct FROM fs""",
+    "filtered_comparison": """SELECT player_id, team_short, pos, games, runs_absolute_now, runs_relative_now, delta, change_pct, category FROM fc""",
     "pitch_runs_fallback": "SELECT player_id, game_id, period_id, run_id, team_short, pos FROM pitch",
     "match_labels": """SELECT game_id, date, home_team_short || ' vs ' || coalesce(away_team_short, '-') || '  ·  W' || CAST(week AS VARCHAR)
         || '  (' || upper(substr("Round", 1, 2)) || ')' AS label FROM matches""",
@@ -430,13 +425,10 @@ BODIES: dict[str, str] = {
     "relative_threshold": "SELECT player_id, vmax_kmh, speed_threshold_kmh FROM vm",
     "tagged_frames": """SELECT player_id, game_id, frame_id, speed_kmh, speed_threshold_kmh, low_confidence, is_effort_frame
         FROM tagged WHERE player_id <> 'ball'""",
-    "definition_preview": """SELECT total_frames, frames_absolute_def, frames_relative_def,
-        round(frames_absolute_def / nullif(total_frames, 0) * 100, 2) AS absolute_pct,
-        round(frames_relative_def / nullif(total_frames, 0) * 100, 2) AS relative_pct,
-        frames_relative_def - frames_absolute_def AS additional_frames_captured
-        FROM (SELECT count(*) AS total_frames,
-                     count(*) FILTER (WHERE CAST(speed_kmh AS DOUBLE) >= 20e0) AS frames_absolute_def,
-                     count(*) FILTER (WHERE is_effort_frame) AS frames_relative_def
+    "definition_preview": """SELECT *, round(absolute_frames / nullif(frames, 0) * 100, 2) AS absolute_pct,
+        round(relative_frames / nullif(frames, 0) * 100, 2) AS relative_pct, relative_frames - absolute_frames AS extra_frames
+        FROM (SELECT count(*) AS frames, count(*) FILTER (WHERE CAST(speed_kmh AS DOUBLE) >= 20e0) AS absolute_frames,
+                     count(*) FILTER (WHERE is_effort_frame) AS relative_frames
               FROM tagged WHERE player_id <> 'ball' AND speed_kmh IS NOT NULL)""",
     "topk_mean_speed": """, tk AS (
           SELECT player_id, CAST(speed_kmh AS DOUBLE) AS s,
@@ -462,17 +454,17 @@ BODIES: dict[str, str] = {
     "runs_min_duration": f"""SELECT {RUN_COLS}, 0.8e0 AS min_duration_sec FROM runs_all WHERE n_frames >= 20
         UNION ALL SELECT {RUN_COLS}, 1.2e0 AS min_duration_sec FROM runs_all WHERE n_frames >= 30""",
     "runs_enriched": "SELECT * FROM rx",
-    "player_summary_lib": """SELECT s.*, v.vmax_kmh, v.low_confidence, CAST(s.total_runs / s.n_games AS FLOAT) AS runs_per_game
-        FROM (SELECT player_id, count(*) AS total_runs, sum(CAST(distance_m AS DOUBLE)) AS total_distance_m,
-                     avg(CAST(duration_sec AS DOUBLE)) AS mean_duration_sec, avg(CAST(pct_of_vmax AS DOUBLE)) AS mean_pct_of_vmax,
-                     avg(CAST(peak_speed_kmh AS DOUBLE)) AS mean_peak_speed_kmh, count(DISTINCT game_id) AS n_games
+    "player_summary_lib": """SELECT s.*, v.vmax_kmh, v.low_confidence, CAST(s.runs / s.games AS FLOAT) AS rate
+        FROM (SELECT player_id, count(*) AS runs, sum(CAST(distance_m AS DOUBLE)) AS metres,
+                     avg(CAST(duration_sec AS DOUBLE)) AS seconds_per_run, avg(CAST(pct_of_vmax AS DOUBLE)) AS share_per_run,
+                     avg(CAST(peak_speed_kmh AS DOUBLE)) AS peak_per_run, count(DISTINCT game_id) AS games
               FROM runs_lib GROUP BY player_id) s
         LEFT JOIN vm_lib v ON v.player_id = s.player_id""",
     "player_summary": "SELECT * FROM summary",
     "comparison_lib": """SELECT player_id, vmax_kmh, low_confidence, runs_relative, runs_absolute,
-          CAST(vmax_kmh * 0.75e0 AS FLOAT) AS relative_threshold_kmh,
-          runs_relative - runs_absolute AS run_delta,
-          CASE WHEN runs_absolute > 0 THEN round((runs_relative - runs_absolute) / runs_absolute * 100, 1) END AS pct_change,
+          CAST(vmax_kmh * 0.75e0 AS FLOAT) AS limit_kmh,
+          runs_relative - runs_absolute AS delta,
+          CASE WHEN runs_absolute > 0 THEN round((runs_relative - runs_absolute) / runs_absolute * 100, 1) END AS change_pct,
           CASE WHEN runs_relative - runs_absolute > 0 THEN 'gained' WHEN runs_relative - runs_absolute < 0 THEN 'lost'
                ELSE 'unchanged' END AS category
         FROM (SELECT v.player_id, v.vmax_kmh, v.low_confidence,
@@ -482,8 +474,8 @@ BODIES: dict[str, str] = {
               LEFT JOIN (SELECT player_id, count(*) AS n FROM aruns GROUP BY player_id) a ON a.player_id = v.player_id
               WHERE NOT v.low_confidence)""",
     "definition_comparison": "SELECT * FROM comparison",
-    "category_counts": "SELECT category, count(*) AS n_players FROM comparison GROUP BY category",
-    "games_per_player": "SELECT player_id, count(DISTINCT game_id) AS n_games FROM runs GROUP BY player_id",
+    "category_counts": """SELECT category, count(*) AS players FROM comparison GROUP BY category""",
+    "games_per_player": """SELECT player_id, count(DISTINCT game_id) AS games FROM runs GROUP BY player_id""",
     "team_lookup": "SELECT team_id, team_name, team_short FROM teams",
     "player_lookup": "SELECT * FROM plk",
     "bronze_audit": "SELECT game_id, count(*) AS n_frames, count(DISTINCT player_id) AS n_players FROM tracking GROUP BY game_id",
@@ -493,32 +485,23 @@ BODIES: dict[str, str] = {
     "gold_audit": """SELECT 'runs' AS "table", count(*) AS "rows" FROM rx
         UNION ALL SELECT 'comparison', count(*) FROM comparison
         UNION ALL SELECT 'player_summary', count(*) FROM summary""",
-    "q_position": """SELECT position, round(avg(runs_per_game), 2) AS avg_runs_per_game, round(avg(vmax_kmh), 2) AS avg_vmax_kmh,
-        round(avg(threshold_kmh), 2) AS avg_threshold_kmh,
-        round(avg(hsr_distance_per_game_m), 1) AS avg_hsr_distance_per_game_m,
-        round(avg(mean_pct_of_vmax_pct), 1) AS avg_intensity_pct_of_vmax, count(*) AS n_players
+    "q_position": """SELECT position, count(*) AS players, round(avg(rate), 2) AS rate, round(avg(metres_per_game), 1) AS metres_per_game,
+        round(avg(effort_pct), 1) AS effort_pct, round(avg(vmax_kmh), 2) AS vmax_kmh, round(avg(limit_kmh), 2) AS limit_kmh
         FROM summary GROUP BY position""",
-    "q_team": """SELECT team_name, team_short, round(avg(runs_per_game), 2) AS avg_runs_per_game_per_player,
-        sum(total_runs) AS total_team_runs, round(avg(vmax_kmh), 2) AS avg_vmax_kmh,
-        round(avg(hsr_distance_per_game_m), 1) AS avg_hsr_distance_per_game_m,
-        round(avg(tournament_peak_speed_kmh), 2) AS avg_peak_speed_kmh, count(*) AS n_players_tracked
+    "q_team": """SELECT team_name, team_short, count(*) AS players, sum(runs) AS runs, round(avg(rate), 2) AS rate,
+        round(avg(metres_per_game), 1) AS metres_per_game, round(avg(peak_kmh), 2) AS peak_kmh, round(avg(vmax_kmh), 2) AS vmax_kmh
         FROM summary GROUP BY team_name, team_short""",
-    "team_outperformance": """SELECT team_name, team_short, sum(runs_relative) AS total_runs_relative,
-        sum(runs_absolute) AS total_runs_absolute, sum(run_delta) AS total_run_delta,
-        round((sum(runs_relative) - sum(runs_absolute)) / nullif(sum(runs_absolute), 0) * 100, 1) AS pct_outperformance,
-        count(*) FILTER (WHERE category = 'gained') AS players_who_gained,
-        count(*) FILTER (WHERE category = 'lost') AS players_who_lost, count(*) AS n_players
+    "team_outperformance": """SELECT team_name, team_short, sum(runs_relative) AS runs_relative, sum(runs_absolute) AS runs_absolute,
+        sum(delta) AS delta, round((sum(runs_relative) - sum(runs_absolute)) / nullif(sum(runs_absolute), 0) * 100, 1) AS change_pct,
+        count(*) FILTER (WHERE category = 'gained') AS gained, count(*) FILTER (WHERE category = 'lost') AS lost, count(*) AS players
         FROM comparison GROUP BY team_name, team_short""",
-    "top20_players": """SELECT player_id, player_name, team_name, position, jersey_number, vmax_kmh, threshold_kmh,
-        games_appeared, total_runs, runs_per_game, hsr_distance_per_game_m, mean_pct_of_vmax_pct, tournament_peak_speed_kmh
-        FROM summary ORDER BY runs_per_game DESC, player_id LIMIT 20""",
-    "most_affected": """SELECT player_id, player_name, team_name, position, vmax_kmh, threshold_kmh, runs_absolute,
-        runs_relative, run_delta, pct_change, category FROM comparison ORDER BY abs(run_delta) DESC, player_id LIMIT 30""",
-    "pitch_thirds_by_position": """SELECT pitch_zone, position, count(*) AS n_runs,
-        round(avg(CAST(peak_speed_kmh AS DOUBLE)), 2) AS avg_peak_speed_kmh,
-        round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS avg_pct_of_vmax,
-        round(avg(CAST(distance_m AS DOUBLE)), 1) AS avg_distance_m,
-        round(avg(CAST(duration_sec AS DOUBLE)), 2) AS avg_duration_sec
+    "top20_players": """SELECT player_id, player_name, team_name, position, jersey_number, vmax_kmh, limit_kmh, games, runs, rate,
+        metres_per_game, effort_pct, peak_kmh FROM summary ORDER BY rate DESC, player_id LIMIT 20""",
+    "most_affected": """SELECT player_id, player_name, team_name, position, vmax_kmh, limit_kmh, runs_absolute,
+        runs_relative, delta, change_pct, category FROM comparison ORDER BY abs(delta) DESC, player_id LIMIT 30""",
+    "pitch_thirds_by_position": """SELECT pitch_zone, position, count(*) AS runs, round(avg(CAST(duration_sec AS DOUBLE)), 2) AS seconds_per_run,
+        round(avg(CAST(distance_m AS DOUBLE)), 1) AS metres_per_run, round(avg(CAST(peak_speed_kmh AS DOUBLE)), 2) AS peak_per_run,
+        round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS effort_pct
         FROM (SELECT *, CASE WHEN start_x < -17.5e0 THEN 'Defensive third' WHEN start_x < 17.5e0 THEN 'Middle third'
                              ELSE 'Attacking third' END AS pitch_zone FROM rx)
         GROUP BY pitch_zone, position""",
@@ -527,16 +510,15 @@ BODIES: dict[str, str] = {
         FROM vm WHERE NOT low_confidence ORDER BY round(vmax_kmh, 6) DESC, player_id LIMIT 20""",
     "fewest_absolute": "SELECT * FROM abs_counts ORDER BY runs_absolute, player_id LIMIT 10",
     "dynamic_counts": "SELECT * FROM dyn",
-    "summary_dynamic": """SELECT player_id, total_runs, total_runs_dynamic, games_with_runs, runs_per_game_dynamic,
-        mean_peak_dynamic, mean_pct_dynamic, threshold_at_pct FROM sdyn""",
-    "comparison_dynamic": """SELECT player_id, runs_relative, runs_absolute, runs_absolute_dynamic, runs_relative_dynamic,
-        run_delta, pct_change, category, threshold_at_pct, above_absolute FROM cdyn""",
-    "kpis": """SELECT count(*) AS n_players, avg(vmax_kmh) AS avg_vmax, avg(runs_per_game_dynamic) AS avg_runs,
-        max(tournament_peak_speed_kmh) AS top_speed, count(*) FILTER (WHERE threshold_at_pct < 20e0) AS n_below_20,
+    "summary_dynamic": """SELECT player_id, runs, runs_now, games_now, rate_now, peak_per_run_now, effort_pct_now, threshold_at_pct FROM sdyn""",
+    "comparison_dynamic": """SELECT player_id, runs_relative, runs_absolute, runs_absolute_now, runs_relative_now,
+        delta, change_pct, category, threshold_at_pct, above_absolute FROM cdyn""",
+    "kpis": """SELECT count(*) AS n_players, avg(vmax_kmh) AS avg_vmax, avg(rate_now) AS avg_runs,
+        max(peak_kmh) AS top_speed, count(*) FILTER (WHERE threshold_at_pct < 20e0) AS n_below_20,
         CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE threshold_at_pct < 20e0) / count(*) * 100 ELSE 0e0 END AS pct_below
         FROM fs""",
-    "top_players": """SELECT player_id, player_name, team_short, pos, runs_per_game_dynamic, vmax_kmh, games_appeared
-        FROM fs ORDER BY runs_per_game_dynamic DESC, player_id LIMIT 20""",
+    "top_players": """SELECT player_id, player_name, team_short, pos, rate_now, vmax_kmh, games
+        FROM fs ORDER BY rate_now DESC, player_id LIMIT 20""",
     "zone30_player": "SELECT * FROM z30",
     "zone30_top3": """SELECT player_id, player_name, rank, "row", col, n_runs, pct,
         (['right channel', 'right half-space', 'central channel', 'left half-space', 'left channel'])["row" + 1] AS channel,
@@ -544,13 +526,13 @@ BODIES: dict[str, str] = {
           AS third
         FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY n_runs DESC, "row", col) AS rank
               FROM z30 WHERE n_runs > 0) WHERE rank <= 3""",
-    "player_table": """SELECT player_id, player_name, team_name, pos, pos_detail, games_appeared, round(vmax_kmh, 1) AS vmax_kmh,
-        round(threshold_at_pct, 1) AS threshold_at_pct, total_runs_dynamic, runs_per_game_dynamic,
-        round(hsr_distance_per_game_m, 0) AS hsr_distance_per_game_m, round(mean_peak_dynamic, 1) AS mean_peak_dynamic,
-        least(mean_pct_of_vmax_pct, 100e0) AS mean_pct_of_vmax_pct,
-        round(tournament_peak_speed_kmh, 1) AS tournament_peak_speed_kmh FROM fs""",
+    "player_table": """SELECT player_id, player_name, team_name, pos, pos_detail, games, round(vmax_kmh, 1) AS vmax_kmh,
+        round(threshold_at_pct, 1) AS threshold_at_pct, runs_now, rate_now,
+        round(metres_per_game, 0) AS metres_per_game, round(peak_per_run_now, 1) AS peak_per_run_now,
+        least(effort_pct, 100e0) AS effort_pct,
+        round(peak_kmh, 1) AS peak_kmh FROM fs""",
     "team_profile": "SELECT * FROM tprof",
-    "team_distance_top16": "SELECT * FROM tprof ORDER BY avg_hsr_distance DESC, team_name LIMIT 16",
+    "team_distance_top16": "SELECT * FROM tprof ORDER BY metres_per_game DESC, team_name LIMIT 16",
     "position_profile": "SELECT * FROM pprof",
     "position_radar": f""", rl AS ({_RADAR})
         SELECT position, metric,
@@ -559,24 +541,23 @@ BODIES: dict[str, str] = {
         FROM rl""",
     "run_delta_histogram": """, hb AS (
           SELECT lo, hi, CASE WHEN hi > lo THEN (hi - lo) / 30e0 ELSE 1e0 END AS w
-          FROM (SELECT min(run_delta) AS lo, max(run_delta) AS hi FROM fc)
+          FROM (SELECT min(delta) AS lo, max(delta) AS hi FROM fc)
         ), hv AS (
-          SELECT f.category, CAST(least(floor((f.run_delta - hb.lo) / hb.w), 29) AS INTEGER) AS bin, hb.lo, hb.w
+          SELECT f.category, CAST(least(floor((f.delta - hb.lo) / hb.w), 29) AS INTEGER) AS bin, hb.lo, hb.w
           FROM fc f, hb
         )
         SELECT category, bin, count(*) AS n_players, round(min(lo + bin * w), 6) AS bin_start
         FROM hv GROUP BY category, bin""",
-    "team_outperformance_dynamic": """SELECT team_name, team_short, sum(runs_relative) AS total_runs_relative,
-        sum(runs_absolute) AS total_runs_absolute, sum(run_delta) AS total_run_delta,
-        count(*) FILTER (WHERE category = 'gained') AS players_gained,
-        count(*) FILTER (WHERE category = 'lost') AS players_lost, count(player_name) AS n_players,
-        (sum(runs_relative) - sum(runs_absolute)) / greatest(sum(runs_absolute), 1) * 100 AS pct_outperformance
+    "team_outperformance_dynamic": """SELECT team_name, team_short, sum(runs_relative) AS runs_relative, sum(runs_absolute) AS runs_absolute,
+        sum(delta) AS delta, count(*) FILTER (WHERE category = 'gained') AS gained, count(*) FILTER (WHERE category = 'lost') AS lost,
+        count(player_name) AS named_players,
+        round((sum(runs_relative) - sum(runs_absolute)) / greatest(sum(runs_absolute), 1) * 100, 1) AS change_pct
         FROM fc WHERE team_name IS NOT NULL AND team_short IS NOT NULL GROUP BY team_name, team_short""",
     "most_affected_dynamic": """SELECT player_id, player_name, team_short, pos, pos_detail, vmax_kmh, threshold_at_pct,
-        runs_absolute_dynamic, runs_relative_dynamic, run_delta, pct_change, category FROM fc""",
-    "pitch_thirds": """SELECT pitch_zone, count(duration_sec) AS n_runs, avg(CAST(peak_speed_kmh AS DOUBLE)) AS avg_speed,
-        avg(CAST(pct_of_vmax AS DOUBLE)) * 100 AS avg_pct_of_vmax, avg(CAST(distance_m AS DOUBLE)) AS avg_distance,
-        avg(CAST(duration_sec AS DOUBLE)) AS avg_duration
+        runs_absolute_now, runs_relative_now, delta, change_pct, category FROM fc""",
+    "pitch_thirds": """SELECT pitch_zone, count(*) AS runs, avg(CAST(duration_sec AS DOUBLE)) AS seconds_per_run,
+        avg(CAST(distance_m AS DOUBLE)) AS metres_per_run, avg(CAST(peak_speed_kmh AS DOUBLE)) AS peak_per_run,
+        avg(CAST(pct_of_vmax AS DOUBLE)) * 100 AS effort_pct
         FROM (SELECT *, CASE WHEN start_x > -53e0 AND start_x <= -17.5e0 THEN 'Defensive third'
                              WHEN start_x > -17.5e0 AND start_x <= 17.5e0 THEN 'Middle third'
                              WHEN start_x > 17.5e0 AND start_x <= 53e0 THEN 'Attacking third' END AS pitch_zone
@@ -590,22 +571,19 @@ BODIES: dict[str, str] = {
         WHERE pitch_zone IS NOT NULL AND pos IS NOT NULL GROUP BY pitch_zone, pos""",
     "zone9_heatmap": _zone9_sql("pitch", []).replace("SELECT g.zone", "SELECT g.zone", 1),
     "match_runs": "SELECT game_id, player_id, period_id, run_id, pct_of_vmax FROM mruns",
-    "match_top_performers": """SELECT game_id, player_id, player_name, team_short, pos, rank, runs,
-        round(total_dist, 0) AS total_dist, round(CAST(peak_speed AS DOUBLE), 1) AS peak_speed, round(avg_speed, 1) AS avg_speed,
-        round(avg_pct_vmax * 100, 1) AS avg_pct_vmax
-        FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY runs DESC, player_id) AS rank
-              FROM (SELECT game_id, player_id, player_name, team_short, pos, count(run_id) AS runs,
-                           sum(CAST(distance_m AS DOUBLE)) AS total_dist, max(peak_speed_kmh) AS peak_speed,
-                           avg(CAST(peak_speed_kmh AS DOUBLE)) AS avg_speed, avg(CAST(pct_of_vmax AS DOUBLE)) AS avg_pct_vmax
-                    FROM mruns WHERE player_name IS NOT NULL AND team_short IS NOT NULL AND pos IS NOT NULL
-                    GROUP BY game_id, player_id, player_name, team_short, pos))
-        WHERE rank <= 15""",
-    "match_team_comparison": """SELECT game_id, team_short, count(run_id) AS total_runs, sum(CAST(distance_m AS DOUBLE)) AS total_dist,
-        avg(CAST(peak_speed_kmh AS DOUBLE)) AS avg_speed, max(peak_speed_kmh) AS peak_speed,
-        round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS avg_pct_vmax, count(DISTINCT player_id) AS n_players
+    "match_top_performers": """SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY runs DESC, player_id) AS rank
+        FROM (SELECT game_id, player_id, player_name, team_short, pos, count(*) AS runs,
+                     round(sum(CAST(distance_m AS DOUBLE)), 0) AS metres, round(CAST(max(peak_speed_kmh) AS DOUBLE), 1) AS peak_kmh,
+                     round(avg(CAST(peak_speed_kmh AS DOUBLE)), 1) AS peak_per_run,
+                     round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS effort_pct
+              FROM mruns WHERE player_name IS NOT NULL AND team_short IS NOT NULL AND pos IS NOT NULL
+              GROUP BY game_id, player_id, player_name, team_short, pos)""",
+    "match_team_comparison": """SELECT game_id, team_short, count(*) AS runs, count(DISTINCT player_id) AS players,
+        sum(CAST(distance_m AS DOUBLE)) AS metres, max(peak_speed_kmh) AS peak_kmh, avg(CAST(peak_speed_kmh AS DOUBLE)) AS peak_per_run,
+        round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS effort_pct
         FROM mruns WHERE team_short IS NOT NULL GROUP BY game_id, team_short""",
-    "match_position": """SELECT game_id, pos, count(run_id) AS total_runs,
-        round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS avg_pct_vmax, avg(CAST(peak_speed_kmh AS DOUBLE)) AS avg_speed
+    "match_position": """SELECT game_id, pos, count(*) AS runs, avg(CAST(peak_speed_kmh AS DOUBLE)) AS peak_per_run,
+        round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS effort_pct
         FROM mruns WHERE pos IS NOT NULL GROUP BY game_id, pos""",
     "match_zone9": _zone9_sql("mruns", ["game_id"]),
     "match_header": """SELECT game_id, home_team_name, away_team_name, substr(date, 1, 10) AS date, stadium_name, "Round", week
@@ -615,35 +593,34 @@ BODIES: dict[str, str] = {
           FROM app_runs r JOIN sweep_t t ON CAST(r.pct_of_vmax AS DOUBLE) >= t.threshold_pct
           GROUP BY t.threshold_pct, r.player_id
         ), base AS (
-          SELECT t.threshold_pct, c.player_id, coalesce(rel.n, 0) AS total_runs_dynamic, coalesce(rel.g, 0) AS games_with_runs,
-                 coalesce(ac.runs_absolute, 0) AS runs_absolute_dynamic
+          SELECT t.threshold_pct, c.player_id, coalesce(rel.n, 0) AS runs_now, coalesce(rel.g, 0) AS games_now,
+                 coalesce(ac.runs_absolute, 0) AS runs_absolute_now
           FROM app_comparison c CROSS JOIN sweep_t t
           LEFT JOIN rel ON rel.threshold_pct = t.threshold_pct AND rel.player_id = c.player_id
           LEFT JOIN abs_counts ac ON ac.player_id = c.player_id
         )
-        SELECT threshold_pct, player_id, total_runs_dynamic, games_with_runs,
-               round(total_runs_dynamic / greatest(games_with_runs, 1), 2) AS runs_per_game_dynamic,
-               runs_absolute_dynamic, total_runs_dynamic - runs_absolute_dynamic AS run_delta,
-               round((total_runs_dynamic - runs_absolute_dynamic) / greatest(runs_absolute_dynamic, 1) * 100, 1) AS pct_change,
-               CASE WHEN total_runs_dynamic - runs_absolute_dynamic > 0 THEN 'gained'
-                    WHEN total_runs_dynamic - runs_absolute_dynamic < 0 THEN 'lost' ELSE 'unchanged' END AS category
+        SELECT threshold_pct, player_id, runs_now, games_now,
+               round(runs_now / greatest(games_now, 1), 2) AS rate_now,
+               runs_absolute_now, runs_now - runs_absolute_now AS delta,
+               round((runs_now - runs_absolute_now) / greatest(runs_absolute_now, 1) * 100, 1) AS change_pct,
+               CASE WHEN runs_now - runs_absolute_now > 0 THEN 'gained'
+                    WHEN runs_now - runs_absolute_now < 0 THEN 'lost' ELSE 'unchanged' END AS category
         FROM base""",
-    "round_summary": """SELECT a.*, g.n_games, a.total_runs / g.n_games AS runs_per_game
-        FROM (SELECT m_round AS "Round", count(run_id) AS total_runs,
-                     round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS avg_pct_vmax,
-                     avg(CAST(peak_speed_kmh AS DOUBLE)) AS avg_peak_speed, avg(CAST(distance_m AS DOUBLE)) AS avg_distance,
-                     avg(CAST(duration_sec AS DOUBLE)) AS avg_duration
+    "round_summary": """SELECT a.*, g.games, round(a.runs / greatest(g.games, 1), 1) AS rate
+        FROM (SELECT m_round AS "Round", count(*) AS runs, avg(CAST(duration_sec AS DOUBLE)) AS seconds_per_run,
+                     avg(CAST(distance_m AS DOUBLE)) AS metres_per_run, avg(CAST(peak_speed_kmh AS DOUBLE)) AS peak_per_run,
+                     round(avg(CAST(pct_of_vmax AS DOUBLE)) * 100, 1) AS effort_pct
               FROM phase WHERE m_round IS NOT NULL GROUP BY m_round) a
         LEFT JOIN gpr g ON g."Round" = a."Round" """,
-    "week_trend": """SELECT *, total_runs / greatest(n_games, 1) AS runs_per_game
-        FROM (SELECT m.week AS week, m."Round" AS "Round", count(r.run_id) AS total_runs,
-                     count(DISTINCT m.game_id) AS n_games, avg(CAST(r.peak_speed_kmh AS DOUBLE)) AS avg_peak_speed,
-                     round(avg(CAST(r.pct_of_vmax AS DOUBLE)) * 100, 1) AS avg_pct_vmax
+    "week_trend": """SELECT *, round(runs / greatest(games, 1), 1) AS rate
+        FROM (SELECT m.week AS week, m."Round" AS "Round", count(*) AS runs, count(DISTINCT m.game_id) AS games,
+                     avg(CAST(r.peak_speed_kmh AS DOUBLE)) AS peak_per_run,
+                     round(avg(CAST(r.pct_of_vmax AS DOUBLE)) * 100, 1) AS effort_pct
               FROM app_runs r LEFT JOIN matches m ON m.game_id = CAST(r.game_id AS VARCHAR)
               WHERE CAST(r.pct_of_vmax AS DOUBLE) >= 0.8e0 AND m.week IS NOT NULL AND m."Round" IS NOT NULL
               GROUP BY m.week, m."Round")""",
-    "position_by_round": """SELECT a.*, g.n_games, a.total_runs / g.n_games AS runs_per_game
-        FROM (SELECT m_round AS "Round", pos, count(run_id) AS total_runs FROM phase
+    "position_by_round": """SELECT a.*, g.games, round(a.runs / greatest(g.games, 1), 2) AS rate
+        FROM (SELECT m_round AS "Round", pos, count(*) AS runs FROM phase
               WHERE m_round IS NOT NULL AND pos IS NOT NULL GROUP BY m_round, pos) a
         LEFT JOIN gpr g ON g."Round" = a."Round" """,
     "games_per_round": "SELECT * FROM gpr",
@@ -651,6 +628,93 @@ BODIES: dict[str, str] = {
 BODIES["effort_pipeline"] = BODIES["player_summary_lib"]
 
 
+_RUN = "s player_id game_id, l period_id run_id start_frame_id end_frame_id, d duration_sec peak_speed_kmh mean_speed_kmh vmax_kmh pct_of_vmax distance_m start_x start_y end_x end_y"
+_FRAME = "s game_id team_id player_id, l frame_id period_id timestamp, d x y"
+_SUMMARY = "s player_id player_name team_name team_short position, l jersey_number games runs, b is_starter low_confidence, d vmax_kmh limit_kmh rate metres metres_per_game seconds_per_run effort_pct peak_kmh peak_per_run"
+_GRID = "s channel third, l zone n_runs, d pct avg_peak_speed intensity"
+
+#: expected columns of each statement: s string, l bigint, d double (6 places), b boolean
+COLUMNS: dict[str, str] = {
+    "scan_tracking": _FRAME + " z, s ball_state ball_owning_team_id",
+    "normalise_tracking": _FRAME + " z, s ball_state ball_owning_team_id _ingested_at",
+    "ball_filter": _FRAME,
+    "absolute_frames": "s player_id game_id, l frame_id, d speed_kmh",
+    "position_rollup": "s player_id position pos pos_detail",
+    "qualifying_runs": "s player_id game_id team_short pos, l period_id run_id, d pct_of_vmax",
+    "filtered_summary": "s player_id team_short pos, l games runs_now, d rate_now peak_per_run_now threshold_at_pct",
+    "filtered_comparison": "s player_id team_short pos category, l games runs_absolute_now runs_relative_now delta, d change_pct",
+    "pitch_runs_fallback": "s player_id game_id team_short pos, l period_id run_id",
+    "match_labels": "s game_id date label",
+    "team_options": "s team_short",
+    "threshold_columns": "s player_id, b above_absolute, d vmax_kmh threshold_at_pct new_threshold_vs_20 breakeven_vmax_kmh",
+    "frame_speed": "s player_id game_id, l frame_id period_id, d speed_kmh",
+    "vmax_exact": "s player_id, l frame_count, b low_confidence, d vmax_kmh speed_threshold_kmh",
+    "vmax_per_game": "s player_id game_id, l frame_count, b low_confidence, d vmax_kmh speed_threshold_kmh",
+    "relative_threshold": "s player_id, d vmax_kmh speed_threshold_kmh",
+    "tagged_frames": "s player_id game_id, l frame_id, d speed_kmh speed_threshold_kmh, b low_confidence is_effort_frame",
+    "definition_preview": "l frames absolute_frames relative_frames extra_frames, d absolute_pct relative_pct",
+    "topk_mean_speed": "d avg_top5 median_top5 max_top5 min_top5 avg_top10 median_top10 max_top10 min_top10 avg_top25 median_top25 max_top25 min_top25",
+    "relative_runs": _RUN,
+    "absolute_runs": _RUN,
+    "absolute_run_counts": "s player_id, l runs_absolute n_games_absolute",
+    "runs_min_duration": _RUN + " min_duration_sec",
+    "runs_enriched": _RUN + ", s player_name team_name team_short position date home_team_name away_team_name competition_name stadium_name, l week",
+    "player_summary_lib": "s player_id, l runs games, b low_confidence, d metres seconds_per_run share_per_run peak_per_run vmax_kmh rate",
+    "effort_pipeline": "s player_id, l runs games, b low_confidence, d metres seconds_per_run share_per_run peak_per_run vmax_kmh rate",
+    "player_summary": _SUMMARY,
+    "comparison_lib": "s player_id category, l runs_relative runs_absolute delta, b low_confidence, d vmax_kmh limit_kmh change_pct",
+    "definition_comparison": "s player_id player_name team_name team_short position category, l jersey_number games runs_absolute runs_relative delta, d vmax_kmh limit_kmh change_pct rate_absolute rate_relative",
+    "category_counts": "s category, l players",
+    "games_per_player": "s player_id, l games",
+    "team_lookup": "s team_id team_name team_short",
+    "player_lookup": "s player_id player_name team_id team_name team_short position, l jersey_number, b is_starter",
+    "bronze_audit": "s game_id, l n_frames n_players",
+    "silver_audit": "l total_frames effort_frames, d effort_pct",
+    "gold_audit": "s table, l rows",
+    "q_position": "s position, l players, d rate metres_per_game effort_pct vmax_kmh limit_kmh",
+    "q_team": "s team_name team_short, l players runs, d rate metres_per_game peak_kmh vmax_kmh",
+    "team_outperformance": "s team_name team_short, l runs_relative runs_absolute delta gained lost players, d change_pct",
+    "top20_players": "s player_id player_name team_name position, l jersey_number games runs, d vmax_kmh limit_kmh rate metres_per_game effort_pct peak_kmh",
+    "most_affected": "s player_id player_name team_name position category, l runs_absolute runs_relative delta, d vmax_kmh limit_kmh change_pct",
+    "pitch_thirds_by_position": "s pitch_zone position, l runs, d seconds_per_run metres_per_run peak_per_run effort_pct",
+    "fastest_players": "s player_id, l frame_count, d vmax_kmh speed_threshold_kmh",
+    "fewest_absolute": "s player_id, l runs_absolute n_games_absolute",
+    "dynamic_counts": "s player_id, l runs_now games_now, d effort_pct_now seconds_per_run_now metres_now peak_per_run_now rate_now",
+    "summary_dynamic": "s player_id, l runs runs_now games_now, d rate_now peak_per_run_now effort_pct_now threshold_at_pct",
+    "comparison_dynamic": "s player_id category, l runs_relative runs_absolute runs_absolute_now runs_relative_now delta, b above_absolute, d change_pct threshold_at_pct",
+    "kpis": "l n_players n_below_20, d avg_vmax avg_runs top_speed pct_below",
+    "top_players": "s player_id player_name team_short pos, l games, d rate_now vmax_kmh",
+    "zone30_player": "s player_id player_name, l zone row col n_runs, d speed_sum pct intensity",
+    "zone30_top3": "s player_id player_name channel third, l rank row col n_runs, d pct",
+    "player_table": "s player_id player_name team_name pos pos_detail, l games runs_now, d vmax_kmh threshold_at_pct rate_now metres_per_game peak_per_run_now effort_pct peak_kmh",
+    "team_profile": "s team_name team_short, l named_players runs_now, d rate_now metres_per_game effort_pct peak_kmh vmax_kmh",
+    "team_distance_top16": "s team_name team_short, l named_players runs_now, d rate_now metres_per_game effort_pct peak_kmh vmax_kmh",
+    "position_profile": "s position, l named_players, d rate_now metres_per_game effort_pct peak_kmh vmax_kmh limit_kmh",
+    "position_radar": "s position metric, d value",
+    "run_delta_histogram": "s category, l bin n_players, d bin_start",
+    "team_outperformance_dynamic": "s team_name team_short, l runs_relative runs_absolute delta gained lost named_players, d change_pct",
+    "most_affected_dynamic": "s player_id player_name team_short pos pos_detail category, l runs_absolute_now runs_relative_now delta, d vmax_kmh threshold_at_pct change_pct",
+    "pitch_thirds": "s pitch_zone, l runs, d seconds_per_run metres_per_run peak_per_run effort_pct",
+    "pitch_thirds_by_group": "s pitch_zone pos, l n_runs",
+    "zone9_heatmap": _GRID,
+    "match_runs": "s game_id player_id, l period_id run_id, d pct_of_vmax",
+    "match_top_performers": "s game_id player_id player_name team_short pos, l runs rank, d metres peak_kmh peak_per_run effort_pct",
+    "match_team_comparison": "s game_id team_short, l runs players, d metres peak_kmh peak_per_run effort_pct",
+    "match_position": "s game_id pos, l runs, d peak_per_run effort_pct",
+    "match_zone9": _GRID + ", s game_id",
+    "match_header": "s game_id home_team_name away_team_name date stadium_name Round, l week",
+    "threshold_sweep": "s player_id category, l runs_now games_now runs_absolute_now delta, d threshold_pct rate_now change_pct",
+    "round_summary": "s Round, l runs games, d seconds_per_run metres_per_run peak_per_run effort_pct rate",
+    "week_trend": "s Round, l week runs games, d peak_per_run effort_pct rate",
+    "position_by_round": "s Round pos, l runs games, d rate",
+    "games_per_round": "s Round, l games",
+}
+
+
+def _schema(spec: str) -> list[tuple[str, str]]:
+    return [(name, kind) for kind, *names in (part.split() for part in spec.split(",")) for name in names]
+
+
 def _normalised(body: str, schema: list[tuple[str, str]]) -> str:
     """Wrap a statement so its output types/rounding match ``normalise``."""
     exprs = []
@@ -734,6 +798,4 @@ def stable_round(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from strideflow.plans.oracle_types import SCHEMAS
-
-    return {k: stable_round(_normalised(BODIES[k], SCHEMAS[k])) for k in BODIES if k in SCHEMAS}
+    return {k: stable_round(_normalised(BODIES[k], _schema(COLUMNS[k]))) for k in BODIES}

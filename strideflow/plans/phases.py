@@ -4,6 +4,7 @@ Group Stage / Knockout comes from the match table's ``Round``; runs are
 joined to it on ``game_id`` compared as strings.  T1/T3 apply threshold,
 team and position filters and divide by the number of games in the
 metadata; T2 applies the threshold only and divides by games with runs.
+Rates have one decimal place by round and week, two by position.
 """
 
 from __future__ import annotations
@@ -11,59 +12,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideflow.functions.numeric import rnd
-
+from strideflow.operators.profiles import GOLD_DIGITS, RUNS, having, profile, rate
 from strideflow.params import FilterSpec
 from strideflow.plans.explore import DEFAULT, _in
 
+_DIGITS = {"effort_pct": GOLD_DIGITS["effort_pct"]}
+
 
 def games_per_round(matches: DataFrame) -> DataFrame:
     """T4."""
-    return matches.filter(F.col("Round").isNotNull()).groupBy("Round").agg(F.count(F.lit(1)).alias("n_games"))
+    return having(matches, "Round").groupBy("Round").agg(F.count(F.lit(1)).alias("games"))
 
 
-def _with_round(runs: DataFrame, matches: DataFrame, cols: list[str]) -> DataFrame:
-    m = matches.select(F.col("game_id").cast("string").alias("_gid"), *[F.col(c).alias(f"m_{c}") for c in cols])
-    return runs.withColumn("_gid", F.col("game_id").cast("string")).join(m, "_gid", "left")
+def _dated(runs: DataFrame, matches: DataFrame, spec: FilterSpec) -> DataFrame:
+    """Runs at the threshold, with the week and round of their game in the
+    metadata (which win over columns of the same name)."""
+    when = matches.select(F.col("game_id").cast("string").alias("_game"), "week", "Round")
+    quick = runs.filter(F.col("pct_of_vmax") >= F.lit(spec.threshold_pct)).drop("week", "Round")
+    return quick.join(when, quick["game_id"].cast("string") == when["_game"], "left")
 
 
-def _phase_runs(runs: DataFrame, matches: DataFrame, spec: FilterSpec) -> DataFrame:
-    r = _with_round(runs, matches, ["Round"]).filter(F.col("pct_of_vmax") >= F.lit(spec.threshold_pct))
-    return r.filter(_in("team_short", spec.teams) & F.col("pos").isin(list(spec.positions)))
+def _by_round(runs: DataFrame, matches: DataFrame, spec: FilterSpec, keys: list[str], measures: str, digits: int) -> DataFrame:
+    """Profile of the filtered runs by round and further keys, per game of the
+    round."""
+    kept = _dated(runs, matches, spec).filter(_in("team_short", spec.teams) & F.col("pos").isin(list(spec.positions)))
+    out = profile(having(kept, "Round"), ["Round", *keys], RUNS, measures, _DIGITS)
+    return out.join(games_per_round(matches), "Round", "left").withColumn("rate", rate("runs", "games", digits))
 
 
 def round_summary(runs: DataFrame, matches: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     """T1."""
-    r = _phase_runs(runs, matches, spec).filter(F.col("m_Round").isNotNull())
-    agg = r.groupBy(F.col("m_Round").alias("Round")).agg(
-        F.count("run_id").alias("total_runs"),
-        rnd(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
-        F.avg("peak_speed_kmh").alias("avg_peak_speed"),
-        F.avg("distance_m").alias("avg_distance"),
-        F.avg("duration_sec").alias("avg_duration"),
-    )
-    return agg.join(games_per_round(matches), "Round", "left").withColumn(
-        "runs_per_game", F.col("total_runs") / F.col("n_games")
-    )
+    return _by_round(runs, matches, spec, [], "runs seconds_per_run metres_per_run peak_per_run effort_pct", 1)
 
 
 def week_trend(runs: DataFrame, matches: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     """Week and Round from the metadata side of the join."""
-    r = _with_round(runs, matches, ["week", "Round", "game_id"]).filter(F.col("pct_of_vmax") >= F.lit(spec.threshold_pct))
-    r = r.filter(F.col("m_week").isNotNull() & F.col("m_Round").isNotNull())
-    agg = r.groupBy(F.col("m_week").alias("week"), F.col("m_Round").alias("Round")).agg(
-        F.count("run_id").alias("total_runs"),
-        F.count_distinct("m_game_id").alias("n_games"),
-        F.avg("peak_speed_kmh").alias("avg_peak_speed"),
-        rnd(F.avg("pct_of_vmax") * 100, 1).alias("avg_pct_vmax"),
-    )
-    return agg.withColumn("runs_per_game", F.col("total_runs") / F.greatest(F.col("n_games"), F.lit(1))).orderBy("week")
+    out = profile(having(_dated(runs, matches, spec), "week", "Round"), ["week", "Round"], RUNS, "runs games peak_per_run effort_pct", _DIGITS)
+    return out.withColumn("rate", rate("runs", "games", 1)).orderBy("week")
 
 
 def position_by_round(runs: DataFrame, matches: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     """T3."""
-    r = _phase_runs(runs, matches, spec).filter(F.col("m_Round").isNotNull() & F.col("pos").isNotNull())
-    agg = r.groupBy(F.col("m_Round").alias("Round"), "pos").agg(F.count("run_id").alias("total_runs"))
-    return agg.join(games_per_round(matches), "Round", "left").withColumn(
-        "runs_per_game", F.col("total_runs") / F.col("n_games")
-    )
+    return _by_round(runs, matches, spec, ["pos"], "runs", 2)

@@ -142,6 +142,6 @@ def test_team_outperformance_zero_denominator_is_null(spark):
     from strideflow.plans.gold import team_outperformance
 
     df = spark.createDataFrame(
-        [("T", "T", 3, 0, 3, "gained")], "team_name string, team_short string, runs_relative long, runs_absolute long, run_delta long, category string"
+        [("T", "T", 3, 0, 3, "gained")], "team_name string, team_short string, runs_relative long, runs_absolute long, delta long, category string"
     )
-    assert team_outperformance(df).first().pct_outperformance is None
+    assert team_outperformance(df).first().change_pct is None

@@ -100,7 +100,7 @@ def test_pipeline_outputs(spark):
         "player_2", [25.0] * 400 + [5.0] * 25 + [22.0] * 50
     )
     vmax, runs, summary = effort_pipeline(frames_df(spark, rows), LIB)
-    assert "vmax_kmh" in vmax.columns and "duration_sec" in runs.columns and "runs_per_game" in summary.columns
+    assert "vmax_kmh" in vmax.columns and "duration_sec" in runs.columns and "rate" in summary.columns
     assert runs.count() >= 1 and summary.count() >= 1
 
 
