@@ -1,14 +1,15 @@
-"""Benchmark: the silver/gold job stages and the headline queries.
+"""Benchmark: the whole batch job, the library pipeline, the model's stages
+and the headline queries.
 
 Runs on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) and prints ONE JSON line:
 ``{"metric": ..., "value": total_sec, "unit": "sec", "queries": {...}, "sf": ...}``.
 
-Stage timings (``stage_*``) are the job's materialisation steps: speeds
-(frame windows over all frames), v-max (two-pass exact percentile), relative
-runs and absolute run tables.  Query timings execute each registered plan on
-top of those tables with the ``noop`` sink (full execution, no driver
-transfer).
+``run_job`` is bronze to gold from ready frames, all tables written;
+``effort_pipeline`` is the library form from stored frames to the summary.
+``stage_*`` are the materialisation steps of the query model, dimensions
+included.  Query timings execute each registered plan on top of those tables
+with the ``noop`` sink (full execution, no driver transfer).
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from strideflow.plans import registry  # noqa: E402
+from strideflow.plans.pipeline import run_job  # noqa: E402
 from strideflow.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -59,22 +62,31 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="strideflow-bench")
     times: dict[str, float] = {}
 
+    def job(model) -> None:
+        run_job(spark, model.tracking, model.players_bronze, model.matches, tempfile.mkdtemp(prefix="bench-lake-"), model.params)
+
     # warm-up on the smallest folder (JIT and codegen caches), then measure
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir) and os.path.abspath(warm_dir) != os.path.abspath(sf_dir):
         wm = registry._m(spark, warm_dir)
         wm.speeds, wm.vmax, wm.runs, wm.absolute_runs, wm.absolute_counts  # noqa: B018
+        job(wm)
         for key in HEADLINE:
             _run(registry.QUERIES[key](spark, warm_dir))
 
     model = registry._m(spark, sf_dir)
-    for name in ("speeds", "vmax", "runs", "absolute_runs", "absolute_counts"):
+
+    def timed(name: str, step) -> None:
         t = time.perf_counter()
-        getattr(model, name)
-        times[f"stage_{name}"] = round(time.perf_counter() - t, 3)
-    t = time.perf_counter()
-    model.lib().vmax, model.lib().runs  # noqa: B018
-    times["stage_lib_vmax_runs"] = round(time.perf_counter() - t, 3)
+        step()
+        times[name] = round(time.perf_counter() - t, 3)
+
+    timed("stage_tracking", lambda: model.tracking)
+    timed("stage_dimensions", lambda: (model.matches, model.players_bronze, model.player_lookup))
+    timed("run_job", lambda: job(model))
+    for name in ("speeds", "vmax", "runs", "absolute_runs", "absolute_counts", "runs_enriched"):
+        timed(f"stage_{name}", lambda name=name: getattr(model, name))
+    timed("stage_lib_vmax_runs", lambda: (model.lib().vmax, model.lib().runs))
 
     for key in HEADLINE:
         t = time.perf_counter()
@@ -86,7 +98,7 @@ def main() -> None:
     print(
         json.dumps(
             {
-                "metric": "silver_gold_job_plus_headline_queries",
+                "metric": "batch_job_stages_and_headline_queries",
                 "value": total,
                 "unit": "sec",
                 "queries": times,
@@ -95,6 +107,7 @@ def main() -> None:
             }
         )
     )
+    registry.close_models()
     spark.stop()
 
 

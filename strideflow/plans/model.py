@@ -20,7 +20,7 @@ from strideflow.operators import runs as ru
 from strideflow.operators import tables as tb
 from strideflow.params import LIB, PROD, EffortParams
 from strideflow.plans import fixture
-from strideflow.session import materialize
+from strideflow.session import drop_stages, materialize
 
 
 class EffortModel:
@@ -43,6 +43,7 @@ class EffortModel:
         self._players = players
         self._matches = matches
         self._dims: EffortModel | None = None
+        self._staged: list[DataFrame] = []
 
     # --- bronze -----------------------------------------------------------
     @cached_property
@@ -69,7 +70,17 @@ class EffortModel:
         return self._stage(fixture.matches(self.spark, self.sf_dir), "matches")
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name) if self.materialized else df
+        if not self.materialized:
+            return df
+        self._staged.append(materialize(df, name))
+        return self._staged[-1]
+
+    def close(self) -> None:
+        """Remove the stage tables of this model and of its presets."""
+        if "_lib" in self.__dict__:
+            self._lib.close()
+        drop_stages(*self._staged)
+        self._staged.clear()
 
     # --- silver -----------------------------------------------------------
     @cached_property

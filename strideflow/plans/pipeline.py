@@ -6,26 +6,37 @@
   once (Parquet by default; any format on the class path via ``fmt``) and
   read back by the next, which cuts lineage at the layer boundary: a lost
   executor re-reads the layer instead of recomputing the frame windows.
-  Frame-level layers are partitioned by ``game_id`` and written with dynamic
-  partition overwrite, so adding or reloading games only rewrites those
-  games.  Audits (G10) are small DataFrames returned to the caller.
+  A run replaces its tables whole; appending or reloading games changes
+  bronze only, and silver and gold are derived anew from all of bronze.
+* ``run_job_from_files``: the same from raw files, with a reject table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from strideflow.functions.numeric import rnd
+from strideflow.functions.numeric import rnd, safe_ratio
 from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
 from strideflow.operators import tables as tb
 from strideflow.params import LIB, PROD, EffortParams
-from strideflow.session import materialize
+from strideflow.schema import PLAYERS
+from strideflow.session import drop_stages, materialize
 from strideflow.sources import tables as io
-from strideflow.sources.tracking import normalise_tracking
+from strideflow.sources.metadata import read_match_metadata, with_round
+from strideflow.sources.tracking import normalise_tracking, read_tracking_json, scan_tracking
+
+TABLES = (
+    "tracking_bronze", "players_bronze", "match_metadata", "tracking_silver", "vmax_per_player",
+    "runs", "comparison", "player_summary", "absolute_runs",
+)
+EXPORTED_MATCH = (
+    "game_id", "date", "home_team_name", "home_team_short", "away_team_name", "away_team_short",
+    "stadium_name", "week", "competition_name", "Round",
+)
 
 
 def effort_pipeline(tracking: DataFrame, params: EffortParams = LIB) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -42,6 +53,7 @@ class JobResult:
     bronze_audit: DataFrame
     silver_audit: DataFrame
     gold_audit: DataFrame
+    rejects: DataFrame | None = None
 
 
 def run_job(
@@ -53,85 +65,89 @@ def run_job(
     params: EffortParams = PROD,
     *,
     overwrite: bool = True,
+    games: list[str] | None = None,
     fmt: str = "parquet",
     ingested_at: str | None = None,
     export_dir: str | None = None,
+    export_single: bool = False,
 ) -> JobResult:
-    paths = {
-        name: f"{out_dir.rstrip('/')}/{name}"
-        for name in (
-            "tracking_bronze",
-            "players_bronze",
-            "match_metadata",
-            "tracking_silver",
-            "vmax_per_player",
-            "runs",
-            "comparison",
-            "player_summary",
-            "absolute_runs",
-        )
-    }
+    """``overwrite=False`` appends the given games to bronze; ``games``
+    reloads the listed ones there (a listed game without rows goes).  Empty
+    inputs give empty tables with their full schemas."""
+    paths = {name: f"{out_dir.rstrip('/')}/{name}" for name in TABLES}
+    per_game = {"partition_by": ["game_id"], "fmt": fmt}
+
+    def store(name: str, df: DataFrame, **options) -> DataFrame:
+        io.write_table(df, paths[name], fmt=fmt, **options)
+        return io.read_table(spark, paths[name], schema=df.schema, fmt=fmt)
 
     # bronze
-    io.write_table(normalise_tracking(tracking, ingested_at), paths["tracking_bronze"], overwrite=overwrite,
-                   partition_by=["game_id"], fmt=fmt)
+    raw = normalise_tracking(tracking, ingested_at)
+    io.write_table(raw, paths["tracking_bronze"], overwrite=overwrite, only=games, **per_game)
+    bronze = io.read_table(spark, paths["tracking_bronze"], schema=raw.schema, fmt=fmt)
     stamp = F.lit(ingested_at) if ingested_at else F.current_timestamp().cast("string")
-    io.write_table(players.withColumn("_ingested_at", stamp), paths["players_bronze"], overwrite=overwrite, fmt=fmt)
-    io.write_table(matches, paths["match_metadata"], overwrite=True, fmt=fmt)
-    bronze = io.read_table(spark, paths["tracking_bronze"], fmt=fmt)
-    players_b = io.read_table(spark, paths["players_bronze"], fmt=fmt)
-    matches_b = io.read_table(spark, paths["match_metadata"], fmt=fmt)
-
-    # silver: the frame window runs once; its output (frames + speed) is the
-    # one full-size write of the layer.  v-max is built from it, and the
-    # effort flag is derived on read by a broadcast of the small v-max table
-    # (storing the flag would be a second full-size write of the frames).
-    io.write_table(fr.compute_speed(fr.drop_ball(bronze), params), paths["tracking_silver"], overwrite=overwrite,
-                   partition_by=["game_id"], fmt=fmt)
-    speeds = io.read_table(spark, paths["tracking_silver"], fmt=fmt)
-    io.write_table(fr.compute_vmax(speeds, params), paths["vmax_per_player"], overwrite=True, fmt=fmt)
-    vmax = io.read_table(spark, paths["vmax_per_player"], fmt=fmt)
-    silver = fr.tag_effort_frames(speeds, vmax)
-
-    # gold
-    teams = tb.team_lookup(matches_b)
-    plk = tb.player_lookup(players_b, teams)
-    # run pieces are read twice (run-id offsets and the merge), so each set
-    # is stored once in the shared checkpoint folder: one window over the
-    # frames per definition
-    pieces = materialize(ru.effort_run_pieces(silver, params), "run_pieces")
-    runs = ru.runs_from_pieces(pieces, params, relative=True)
-    io.write_table(tb.enrich_runs(runs, plk, matches_b), paths["runs"], overwrite=True,
-                   partition_by=["game_id"], fmt=fmt)
-    runs_g = io.read_table(spark, paths["runs"], fmt=fmt)
-    abs_pieces = materialize(ru.absolute_run_pieces(speeds, params), "absolute_pieces")
-    io.write_table(ru.run_counts_from_pieces(abs_pieces, params), paths["absolute_runs"], overwrite=True, fmt=fmt)
-    abs_counts = io.read_table(spark, paths["absolute_runs"], fmt=fmt)
-    io.write_table(tb.compare_definitions(vmax, runs_g, abs_counts, plk), paths["comparison"], overwrite=True, fmt=fmt)
-    io.write_table(tb.summarise_players(runs_g, vmax, plk), paths["player_summary"], overwrite=True, fmt=fmt)
+    players_b = store("players_bronze", players.withColumn("_ingested_at", stamp), overwrite=overwrite and games is None)
+    matches_b = store("match_metadata", matches)
+
+    # silver: the frame window runs once, into a stage table that v-max is
+    # taken from; the stored frames have their flag and are counted on the way
+    speeds = materialize(fr.compute_speed(fr.drop_ball(bronze), params), "speeds")
+    no_frames = speeds.isEmpty()
+    vmax = store("vmax_per_player", fr.compute_vmax(speeds, params))
+    seen = Observation("silver")
+    tagged = fr.tag_effort_frames(speeds, vmax)
+    counted = tagged.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if("is_effort_frame").alias("effort"))
+    io.write_table(counted, paths["tracking_silver"], **per_game)
+    silver = io.read_table(spark, paths["tracking_silver"], schema=tagged.schema, fmt=fmt)
+
+    # gold: one scan of silver gives the run pieces of both definitions
+    plk = tb.player_lookup(players_b, tb.team_lookup(matches_b))
+    pieces = materialize(ru.both_run_pieces(silver, params), "run_pieces")
+    runs = ru.runs_from_pieces(ru.pieces_of(pieces, "relative"), params, relative=True)
+    runs_g = store("runs", tb.enrich_runs(runs, plk, matches_b), partition_by=["game_id"])
+    abs_counts = store("absolute_runs", ru.run_counts_from_pieces(ru.pieces_of(pieces, "absolute"), params))
+    gold = {
+        "runs": runs_g,
+        "comparison": store("comparison", tb.compare_definitions(vmax, runs_g, abs_counts, plk)),
+        "player_summary": store("player_summary", tb.summarise_players(runs_g, vmax, plk)),
+    }
+    drop_stages(speeds, pieces)
 
     if export_dir:
-        for name in ("player_summary", "comparison", "runs", "absolute_runs"):
-            # runs grow with the frames: no single-task export for them
-            io.export_csv(io.read_table(spark, paths[name], fmt=fmt), f"{export_dir.rstrip('/')}/{name}",
-                          single_file=name != "runs")
-        io.export_csv(
-            matches_b.select("game_id", "date", "home_team_name", "home_team_short", "away_team_name",
-                             "away_team_short", "stadium_name", "week", "competition_name", "Round"),
-            f"{export_dir.rstrip('/')}/match_metadata",
-            order_by=["date", "game_id"],
-        )
-
-    bronze_audit = bronze.groupBy("game_id").agg(
-        F.count(F.lit(1)).alias("n_frames"), F.count_distinct("player_id").alias("n_players")
-    )
-    silver_audit = silver.agg(
-        F.count(F.lit(1)).alias("total_frames"), F.count_if("is_effort_frame").alias("effort_frames")
-    ).withColumn("effort_pct", rnd(F.col("effort_frames") / F.nullif(F.col("total_frames"), F.lit(0)) * 100, 2))
-    gold_audit = None
-    for name in ("runs", "comparison", "player_summary"):
-        row = io.read_table(spark, paths[name], fmt=fmt).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("table"), "rows", F.current_timestamp().alias("audited_at")
-        )
-        gold_audit = row if gold_audit is None else gold_audit.unionByName(row)
+        target = export_dir.rstrip("/")
+        for name, df in {**gold, "absolute_runs": abs_counts}.items():
+            io.export_csv(df, f"{target}/{name}", single_file=export_single)
+        io.export_csv(matches_b.select(*EXPORTED_MATCH), f"{target}/match_metadata", order_by=["date", "game_id"], single_file=export_single)
+
+    bronze_audit = bronze.groupBy("game_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count_distinct("player_id").alias("n_players"))
+    counts = (0, 0) if no_frames else (seen.get["total"], seen.get["effort"])  # an empty plan observes nothing
+    found = spark.createDataFrame([counts], "total_frames long, effort_frames long")
+    silver_audit = found.withColumn("effort_pct", rnd(safe_ratio(F.col("effort_frames"), F.col("total_frames")) * 100, 2))
+    rows = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in gold.items()]
+    gold_audit = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("audited_at", F.current_timestamp())
     return JobResult(paths, bronze_audit, silver_audit, gold_audit)
+
+
+def run_job_from_files(
+    spark: SparkSession,
+    tracking_path: str,
+    metadata_path: str,
+    players_path: str,
+    out_dir: str,
+    params: EffortParams = PROD,
+    **options,
+) -> JobResult:
+    """The job from raw files: tracking as Parquet, or as JSON lines (a path
+    that ends in json, jsonl, bz2 or gz, or ``*``) whose broken games go to
+    the reject table; match documents as JSON, with the round derived;
+    players as Parquet."""
+    rejects = None
+    if tracking_path.rstrip("/").endswith(("json", "jsonl", "bz2", "gz", "*")):
+        tracking, rejects = read_tracking_json(spark, tracking_path)
+    else:
+        tracking = scan_tracking(spark, tracking_path)
+    matches = with_round(read_match_metadata(spark, metadata_path))
+    players = spark.read.schema(PLAYERS).parquet(players_path)
+    result = run_job(spark, tracking, players, matches, out_dir, params, **options)
+    result.rejects = rejects
+    return result

@@ -19,10 +19,11 @@ from strideflow.functions.positions import with_position_columns
 from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
 from strideflow.operators import tables as tb
-from strideflow.params import PROD, FilterSpec
+from strideflow.params import LIB, PROD, FilterSpec
 from strideflow.plans import explore as ex
 from strideflow.plans import gold, phases
 from strideflow.plans.model import EffortModel
+from strideflow.plans.pipeline import effort_pipeline
 from strideflow.sources import tracking as src
 
 INGEST_STAMP = "2022-12-18T00:00:00+00:00"
@@ -50,10 +51,23 @@ def _m(spark: SparkSession, sf_dir: str) -> EffortModel:
     the gold export."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
+        for old in [k for k in _MODELS if k[0] != key[0]]:
+            del _MODELS[old]  # of a session that has ended
         _MODELS[key] = EffortModel(spark, sf_dir, PROD, materialized=True)
     return _MODELS[key]
 
 
+def close_models() -> None:
+    """Remove all stage tables that the queries have written."""
+    while _MODELS:
+        _MODELS.popitem()[1].close()
+
+
+def _stored(df: DataFrame) -> str:
+    """The folder of a stage table."""
+    return df.inputFiles()[0].rsplit("/", 1)[0]
+
+
 def _dyn(m: EffortModel, spec: FilterSpec = ex.DEFAULT):
     q = ex.qualifying_runs(m.app_runs, spec)
     d = ex.dynamic_counts(q)
@@ -74,7 +88,7 @@ TRACKING_COLS = ["game_id", "frame_id", "period_id", "timestamp", "team_id", "pl
 
 _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     # --- sources ---------------------------------------------------------------
-    "scan_tracking": lambda m: m.tracking,
+    "scan_tracking": lambda m: src.scan_tracking(m.spark, _stored(m.tracking)),
     "normalise_tracking": lambda m: src.normalise_tracking(m.tracking, INGEST_STAMP),
     # --- projection / filter -----------------------------------------------------
     "ball_filter": lambda m: fr.drop_ball(m.tracking).select(*TRACKING_COLS),
@@ -88,12 +102,12 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
         "player_id", "game_id", "period_id", "run_id", "pct_of_vmax", "team_short", "pos"
     ),
     "filtered_summary": lambda m: _fs(m).select(
-        "player_id", "team_short", "pos", "games_appeared", "runs_per_game_dynamic", "total_runs_dynamic",
-        "mean_peak_dynamic", "threshold_at_pct",
+        "player_id", "team_short", "pos", "games", "rate_now", "runs_now",
+        "peak_per_run_now", "threshold_at_pct",
     ),
     "filtered_comparison": lambda m: _fc(m).select(
-        "player_id", "team_short", "pos", "n_games", "runs_absolute_dynamic", "runs_relative_dynamic", "run_delta",
-        "pct_change", "category",
+        "player_id", "team_short", "pos", "games", "runs_absolute_now", "runs_relative_now", "delta",
+        "change_pct", "category",
     ),
     "pitch_runs_fallback": lambda m: ex.pitch_runs_fallback(ex.qualifying_runs(m.app_runs)).select(
         "player_id", "game_id", "period_id", "run_id", "team_short", "pos"
@@ -137,7 +151,7 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "games_per_player": lambda m: tb.games_per_player(m.runs),
     "team_lookup": lambda m: m.teams,
     "player_lookup": lambda m: m.player_lookup,
-    "effort_pipeline": lambda m: (lambda l: tb.summarise_players_lib(l.runs, l.vmax))(m.lib()),
+    "effort_pipeline": lambda m: effort_pipeline(m.tracking, LIB)[2],
     "bronze_audit": lambda m: m.tracking.groupBy("game_id").agg(
         F.count(F.lit(1)).alias("n_frames"), F.count_distinct("player_id").alias("n_players")
     ),
@@ -156,7 +170,7 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "q_position": lambda m: gold.by_position(m.summary),
     "q_team": lambda m: gold.by_team(m.summary),
     "team_outperformance": lambda m: gold.team_outperformance(m.comparison),
-    "top20_players": lambda m: gold.top_by_runs_per_game(m.summary, 20),
+    "top20_players": lambda m: gold.top_by_rate(m.summary, 20),
     "most_affected": lambda m: gold.most_affected(m.comparison, 30),
     "pitch_thirds_by_position": lambda m: gold.pitch_thirds_by_position(m.runs_enriched),
     "fastest_players": lambda m: gold.fastest_players(m.vmax, 20),
@@ -164,12 +178,12 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     # --- dashboard -------------------------------------------------------------------
     "dynamic_counts": lambda m: _dyn(m)[1],
     "summary_dynamic": lambda m: _dyn(m)[2].select(
-        "player_id", "total_runs", "total_runs_dynamic", "games_with_runs", "runs_per_game_dynamic",
-        "mean_peak_dynamic", "mean_pct_dynamic", "threshold_at_pct",
+        "player_id", "runs", "runs_now", "games_now", "rate_now",
+        "peak_per_run_now", "effort_pct_now", "threshold_at_pct",
     ),
     "comparison_dynamic": lambda m: _dyn(m)[3].select(
-        "player_id", "runs_relative", "runs_absolute", "runs_absolute_dynamic", "runs_relative_dynamic", "run_delta",
-        "pct_change", "category", "threshold_at_pct", "above_absolute",
+        "player_id", "runs_relative", "runs_absolute", "runs_absolute_now", "runs_relative_now", "delta",
+        "change_pct", "category", "threshold_at_pct", "above_absolute",
     ),
     "kpis": lambda m: ex.kpis(_fs(m)),
     "top_players": lambda m: ex.top_players(_fs(m), 20),
@@ -187,7 +201,7 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "pitch_thirds_by_group": lambda m: ex.pitch_thirds_by_group(m.app_runs),
     "zone9_heatmap": lambda m: ex.zone9_heatmap(ex.pitch_runs_fallback(ex.qualifying_runs(m.app_runs))),
     "match_runs": lambda m: ex.match_runs(m.app_runs).select("game_id", "player_id", "period_id", "run_id", "pct_of_vmax"),
-    "match_top_performers": lambda m: ex.match_top_performers(ex.match_runs(m.app_runs), 15),
+    "match_top_performers": lambda m: ex.match_top_performers(ex.match_runs(m.app_runs)),
     "match_team_comparison": lambda m: ex.match_team_comparison(ex.match_runs(m.app_runs)),
     "match_position": lambda m: ex.match_position(ex.match_runs(m.app_runs)),
     "match_zone9": lambda m: ex.match_zone9(ex.match_runs(m.app_runs)),

@@ -29,72 +29,60 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-# Settings for a large cluster (hundreds of TB of frames).  Shuffle
-# partitions start high and AQE coalesces them to the advisory size; skewed
-# sort-merge join partitions are split; file splits stay at 256 MB.
-CLUSTER_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.files.maxPartitionBytes": str(256 << 20),
-    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-}
-
-
-def apply_cluster_conf(spark: SparkSession, overrides: dict[str, str] | None = None) -> None:
-    """Apply ``CLUSTER_CONF`` (plus overrides) where the session has no
-    explicit value of its own."""
-    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
-        if overrides and k in overrides:
-            spark.conf.set(k, v)
-        elif spark.conf.get(k, None) in (None, ""):
-            spark.conf.set(k, v)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the shared folder for stage tables and checkpoints.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we pick a fresh scratch
-    folder of our own.
+    ``spark.checkpoint.dir`` (or a folder set on the context) is used as is.
+    Only with a local master may it be unset; then a fresh scratch folder is
+    taken.  On a cluster each executor would write to its own disk.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="strideflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return spark.sparkContext.getCheckpointDir() or current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives
-    executor loss, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="strideflow-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table under the shared checkpoint folder and
-    return a DataFrame reading it back.
+    """Write ``df`` as a Parquet table in the shared folder and return a
+    DataFrame reading it back.
 
     This is the stage boundary of the medallion job: the written table cuts
     the lineage (a lost executor re-reads files instead of recomputing the
     frame windows), and reads of it get column pruning, filter pushdown and
     real size statistics for the planner's broadcast decisions.
     """
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/strideflow-tables/{uuid.uuid4().hex}/{name}"
+    return df.sparkSession.read.schema(df.schema).parquet(store_stage(df, name, partition_by))
+
+
+def store_stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> str:
+    """Write a stage table and return its path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/strideflow-tables/{uuid.uuid4().hex}/{name}"
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ours in whatever file system it lies; absent is fine."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop_stages(*tables: DataFrame) -> None:
+    """Remove the folders of stage tables; other DataFrames are left alone."""
+    for df in tables:
+        for folder in {f.rsplit("/", 2)[0] for f in df.inputFiles() if "/strideflow-tables/" in f}:
+            delete_folder(df.sparkSession, folder)
 
 
 def table_path(sf_dir: str, name: str) -> str:

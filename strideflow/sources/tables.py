@@ -4,8 +4,11 @@ mode switch, table reads, CSV export and CSV scan with optional files."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideflow.session import delete_folder
+
 
 def write_mode(overwrite: bool) -> str:
     """S8."""
@@ -18,15 +21,30 @@ def write_table(
     *,
     overwrite: bool = True,
     partition_by: list[str] | None = None,
+    only: list[str] | None = None,
     fmt: str = "parquet",
 ) -> None:
-    """Write a table; with ``partition_by`` an overwrite replaces
-    only the partitions present in ``df`` (dynamic partition overwrite), so
-    re-loading one game leaves the others in place."""
-    w = df.write.format(fmt).mode(write_mode(overwrite))
-    if partition_by:
-        w = w.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
-    w.save(path)
+    """Write a table.  An overwrite replaces all of it.
+
+    ``only`` reloads the listed values of a single partition column: their
+    partitions are replaced, or removed if ``df`` has no rows of them, and all
+    others stay.  Rows are rebalanced on the partition columns first, so small
+    partitions share a task and a large one is split over several.
+    """
+    if not partition_by:
+        df.write.format(fmt).mode(write_mode(overwrite)).save(path)
+        return
+    out = df.hint("rebalance", *partition_by)
+    if only is None:
+        w = out.write.format(fmt).mode(write_mode(overwrite)).option("partitionOverwriteMode", "static")
+        w.partitionBy(*partition_by).save(path)
+        return
+    (key,) = partition_by
+    kept = out.filter(F.col(key).cast("string").isin(only))
+    kept.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).save(path)
+    there = {str(r[0]) for r in df.select(key).filter(F.col(key).cast("string").isin(only)).distinct().collect()}  # of the list
+    for value in set(only) - there:
+        delete_folder(df.sparkSession, f"{path.rstrip('/')}/{key}={value}")
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
@@ -44,11 +62,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         spark.conf.set(key, before)
 
 
-def export_csv(df: DataFrame, path: str, order_by: list[str] | None = None, single_file: bool = True) -> None:
-    """CSV with a header.  ``single_file`` (the reference's one file)
-    is for tables bounded by players or matches; a table that grows with the
-    frames (runs) is written by all tasks, one part file each (a sorted
-    export is range-partitioned, so the parts are in order)."""
+def export_csv(df: DataFrame, path: str, order_by: list[str] | None = None, single_file: bool = False) -> None:
+    """CSV with a header, written by all tasks (a sorted export is
+    range-partitioned, so the parts are in order).  ``single_file`` gives the
+    one file of a small table; it takes one task, so the caller asks for it."""
     out = df.orderBy(*order_by) if order_by else df
     if single_file:
         out = out.coalesce(1)

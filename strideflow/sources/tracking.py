@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideflow.schema import TRACKING
-from strideflow.session import materialize
 
 # Fixed value: suffix of the vendor's per-game raw files.
 RAW_SUFFIX = r"\.jsonl\.bz2$"
@@ -62,25 +61,51 @@ def game_ids_from_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_GAME = r"\.(jsonl|json)(\.bz2|\.gz)?$"
+
+
+def _broken(batches):
+    """(path, content) -> the paths whose content does not unpack, and why."""
+    import bz2
+    import gzip
+    import io
+
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                with (bz2 if path.endswith(".bz2") else gzip).open(io.BytesIO(content)) as f:
+                    while f.read(1 << 20):
+                        pass
+            except (OSError, EOFError, ValueError) as e:
+                out.append((path, f"{type(e).__name__}: {e}"))
+        cols = [pa.array([x[i] for x in out], pa.string()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays(cols, names=["path", "error"])
+
+
+def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, error) of the compressed files that cannot be unpacked whole.
+    A task holds one compressed game at a time."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    packed = files.filter(F.col("path").rlike(r"\.(bz2|gz)$"))
+    found = packed.mapInArrow(_broken, "path string, error string")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "error")
+
+
 def read_tracking_json(spark: SparkSession, path: str, schema: T.StructType = TRACKING) -> tuple[DataFrame, DataFrame]:
-    """Read long-layout JSON lines permissively; good rows go on, bad
-    rows become a reject table grouped by game (file), so one broken game
-    never stops the others.  Returns (rows, rejects)."""
-    with_corrupt = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
-    parsed = (
-        spark.read.schema(with_corrupt)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
-        .withColumn("_file", F.col("_metadata.file_name"))
-    )
-    # the parse is written once: both outputs read it (Spark refuses queries
-    # on a raw JSON scan that touch only the corrupt-record column)
-    raw = materialize(parsed, "tracking_json_parsed")
-    good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "_file")
-    bad = (
-        raw.filter(F.col("_corrupt_record").isNotNull())
-        .groupBy(F.regexp_replace("_file", r"\..*$", "").alias("game_id"))
-        .agg(F.count(F.lit(1)).alias("bad_rows"), F.min("_corrupt_record").alias("error"))
-    )
-    return good, bad
+    """Read long-layout JSON lines so that one broken game never stops
+    the others.  Returns (rows, rejects by game): rows that do not parse are
+    rejected one by one; a file that cannot be unpacked is rejected whole.
+    Nothing is stored: both outputs parse the text they need."""
+    record = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType(), True)])
+    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.filter(F.trim("value") != "").select("file", F.from_json("value", record, options).alias("r"))
+    broken = unreadable_files(spark, path)
+    whole = parsed.join(broken.select("file"), "file", "left_anti")  # one row a broken file
+    good = whole.filter("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+    bad = whole.filter("r._corrupt_record is not null").groupBy("file").agg(F.count(F.lit(1)).alias("bad_rows"), F.min("r._corrupt_record").alias("error"))
+    rejects = bad.unionByName(broken.select("file", F.lit(None).cast("long").alias("bad_rows"), "error"))
+    return good, rejects.select(F.regexp_replace("file", _GAME, "").alias("game_id"), "bad_rows", "error")

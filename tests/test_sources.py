@@ -1,10 +1,12 @@
 """Sources and sinks round trips (temporary folders from pytest)."""
 
+import bz2
 import json
 
 from pyspark.sql import functions as F
 
-from strideflow.schema import MATCH_CSV, TRACKING
+from strideflow.plans.pipeline import run_job_from_files
+from strideflow.schema import MATCH_CSV, PLAYERS, TRACKING
 from strideflow.sources import tables as io
 from strideflow.sources.metadata import read_match_metadata, with_round
 from strideflow.sources.tracking import game_ids_from_files, normalise_tracking, read_tracking_json, scan_tracking
@@ -36,17 +38,23 @@ def test_metadata_list_object_and_missing_keys(spark, tmp_path):
     assert m[2].stadium_name is None and m[2].pitch_width is None
 
 
-def test_partitioned_write_dynamic_overwrite(spark, tmp_path):
+def test_partitioned_write_replaces_all_or_the_listed_games(spark, tmp_path):
     out = str(tmp_path / "bronze")
-    df = normalise_tracking(frames_df(spark, player_rows("p", [10.0] * 10, game_id="g1") + player_rows("p", [10.0] * 5, game_id="g2")), "t0")
-    io.write_table(df, out, partition_by=["game_id"])
-    again = normalise_tracking(frames_df(spark, player_rows("p", [10.0] * 3, game_id="g2")), "t1")
-    io.write_table(again, out, partition_by=["game_id"])
-    back = scan_tracking(spark, out, schema=None) if False else io.read_table(spark, out)
-    counts = {r.game_id: r.n for r in back.groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert counts == {"g1": 10, "g2": 3}
-    pruned = back.filter(F.col("game_id") == "g1")
-    assert "PartitionFilters: [isnotnull(game_id" in pruned._jdf.queryExecution().executedPlan().toString() or pruned.count() == 10
+
+    def rows(**sizes):
+        found = [r for g, n in sizes.items() for r in player_rows("p", [10.0] * n, game_id=g)]
+        return normalise_tracking(frames_df(spark, found), "t0")
+
+    def counts():
+        return {r.game_id: r.n for r in io.read_table(spark, out).groupBy("game_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    io.write_table(rows(g1=10, g2=5, g3=4), out, partition_by=["game_id"])
+    io.write_table(rows(g2=3), out, partition_by=["game_id"], only=["g2", "g3"])
+    assert counts() == {"g1": 10, "g2": 3}
+    pruned = io.read_table(spark, out).filter(F.col("game_id") == "g1")
+    assert "PartitionFilters: [isnotnull(game_id" in pruned._jdf.queryExecution().executedPlan().toString()
+    io.write_table(rows(g3=2), out, partition_by=["game_id"])
+    assert counts() == {"g3": 2}
 
 
 def test_scan_tracking_explicit_schema(spark, tmp_path):
@@ -82,3 +90,22 @@ def test_unreadable_game_reported_others_continue(spark, tmp_path):
     assert rows.count() == 1
     rej = rejects.collect()
     assert len(rej) == 1 and rej[0].game_id == "g2" and rej[0].bad_rows == 1
+
+
+def test_truncated_game_is_rejected_whole_and_the_job_runs_from_files(spark, tmp_path):
+    raw, docs = tmp_path / "raw", tmp_path / "docs"
+    raw.mkdir()
+    docs.mkdir()
+    keys = TRACKING.fieldNames()
+    for g in ("g1", "g2"):
+        rows = player_rows("p", [30.0] * 300, game_id=g)
+        text = "".join(json.dumps(dict(zip(keys, r))) + "\n" for r in rows).encode()
+        packed = bz2.compress(text)
+        (raw / f"{g}.jsonl.bz2").write_bytes(packed if g == "g1" else packed[: len(packed) // 2])
+        (docs / f"{g}.json").write_text(json.dumps({**DOC, "id": g}))
+    spark.createDataFrame([("p", "P", "h", 1, "ST", True)], PLAYERS).write.parquet(str(tmp_path / "players"))
+    res = run_job_from_files(spark, f"{raw}/*", str(docs), str(tmp_path / "players"), str(tmp_path / "lake"), ingested_at="t0")
+    assert [(r.game_id, r.n_frames) for r in res.bronze_audit.collect()] == [("g1", 300)]
+    (bad,) = res.rejects.collect()
+    assert bad.game_id == "g2" and bad.bad_rows is None and bad.error
+    assert io.read_table(spark, res.tables["runs"]).first().home_team_name == "Home"
