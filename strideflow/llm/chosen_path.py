@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix64, stage, stream64, text_slices, word_hashes
+from .common import gram_hashes, mix64, stage, stream64, task, text_slices, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -26,6 +26,7 @@ RECALL = 0.9999
 COORDINATES = 64
 CHILDREN = 3  # coordinates on which a large bucket is split
 DEPTH = 3  # splits after the first
+DENSE = 0.5  # share of a large bucket that a further coordinate may keep together
 LEAF = 128  # sets of a leaf that are compared with each other
 MARGIN = 0.25  # what a signature may fall short of the threshold (five standard deviations)
 BLOCK = 128  # sets of a block of the exact comparison
@@ -72,6 +73,7 @@ def _sets_of(column, size: int):
 
 
 def _features(doc_id: str, text: str, size: int):
+    @task
     def run(batches):
         for batch in batches:
             n, key, sig = [], [], []
@@ -123,6 +125,7 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
 def _similar(threshold: float):
     """Leaves -> links of sets whose signatures and sizes allow the threshold."""
 
+    @task
     def run(batches):
         for batch, cut in _runs_of(batches, "node"):
             keys = batch.column(batch.schema.get_field_index("set_key"))
@@ -146,6 +149,7 @@ def _blocks(text: str, size: int):
     """Members with their text -> members with their shingles, once for each
     pair of blocks that theirs takes part in."""
 
+    @task
     def run(batches):
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -196,6 +200,7 @@ def _exact(threshold: float):
     """Pairs of blocks -> each set's weight of links, and links that connect
     the linked sets."""
 
+    @task
     def run(batches):
         for batch, cut in _runs_of(batches, "grp"):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -229,20 +234,29 @@ def _exact(threshold: float):
 
 def _leaves(sets: DataFrame, threshold: float, runs: int) -> tuple[DataFrame, DataFrame]:
     """(node, set_key) of all leaves that are compared, and links of the
-    large leaves that further splits did not part."""
+    large buckets that are not split: those of which a further coordinate
+    keeps ``DENSE`` together, or that are ``DEPTH`` splits deep.  Their sets
+    are alike on the whole, so each is linked to the first."""
     roots = F.array(*[F.xxhash64(F.lit(i), F.expr(f"substring(sig, {4 * i + 1}, 4)")) for i in range(runs)])
+    children = F.array(*[F.expr(f"xxhash64(node, {c}, substring(sig, 4 * ({runs} + pmod(xxhash64(node, {c}), {COORDINATES - runs})) + 1, 4))") for c in range(CHILDREN)])
     nodes = sets.select("set_key", F.explode(roots).alias("node"))
     leaves, links = None, None
     for level in range(DEPTH + 1):
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("set_key").alias("least")).filter("size > 1")
+        sizes = stage(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("set_key").alias("least")).filter("size > 1"), "sizes")
         now = stage(nodes.join(sizes, "node").select("node", "set_key", "size", "least"), "nodes")
         small, large = now.filter(F.col("size") <= LEAF).select("node", "set_key"), now.filter(F.col("size") > LEAF)
         leaves = small if leaves is None else leaves.unionByName(small)
+        whole = large
+        if level < DEPTH and not large.isEmpty():
+            kids = stage(large.join(sets.select("set_key", "sig"), "set_key").select("node", "size", "set_key", F.explode(children).alias("child")), "children")
+            kept = kids.groupBy("node", "size", "child").agg(F.count("*").alias("n")).groupBy("node", "size").agg(F.max("n").alias("n"))
+            dense = stage(kept.filter(F.col("n") >= DENSE * F.col("size")).select("node"), "dense")
+            whole = large.join(dense, "node", "left_semi")
+            nodes = kids.join(dense, "node", "left_anti").select("set_key", F.col("child").alias("node"))
+        stars = whole.filter("set_key <> least").select(F.col("set_key").alias("a"), F.col("least").alias("b"))
+        links = stars if links is None else links.unionByName(stars)
         if level == DEPTH or large.isEmpty():
-            links = large.filter("set_key <> least").select(F.col("set_key").alias("a"), F.col("least").alias("b"))
             break
-        child = [F.expr(f"xxhash64(node, {c}, substring(sig, 4 * ({runs} + pmod(xxhash64(node, {c}), {COORDINATES - runs})) + 1, 4))") for c in range(CHILDREN)]
-        nodes = large.select("node", "set_key").join(sets.select("set_key", "sig"), "set_key").select("set_key", F.explode(F.array(*child)).alias("node"))
     return leaves, links
 
 

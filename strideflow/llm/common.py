@@ -3,6 +3,9 @@ checkpoint folder, and vectorised hashing over Arrow text buffers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import sys
 import types
 import uuid
@@ -23,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     master may go without one and gets a scratch folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
@@ -48,7 +51,7 @@ def process_cache(name: str) -> dict:
     return mod.__dict__.setdefault(name, {})
 
 
-def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES):
+def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 20):
     """Yield ``(first_row, last_row, bytes, offsets)`` over a string column;
     null counts as empty.  ``offsets`` has one entry more than rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -62,11 +65,24 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES):
     i, n = 0, len(column)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + max_bytes, side="right")) - 1)
-        j = min(j, n)
+        j = min(j, i + max_rows, n)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 
 
+def task(run):
+    """A task that at its end gives its worker's free memory back: workers
+    live on for other tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
 def mix64(z: np.ndarray) -> np.ndarray:
     """Finalizer of the public splitmix64 generator."""
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -82,7 +98,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i < n, kept in the worker."""
     cache = process_cache("powers")
     if cache.get("n", 0) < n:
-        n = max(n, 2 * SLICE_BYTES)
+        n = max(n, SLICE_BYTES + (1 << 16))
         base = 0xD1342543DE82EF95
         for key, p in (("p", base), ("q", pow(base, -1, 1 << 64))):
             x = np.full(n, p, dtype=np.uint64)
