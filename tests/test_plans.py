@@ -230,6 +230,7 @@ def test_job_without_runs_or_rows_keeps_schemas(spark, model, tmp_path):
 
 
 def test_job_reads_silver_once_and_leaves_no_stage_folder(spark, model, tmp_path):
+    model.tracking, model.players_bronze, model.matches  # staged by the model
     before = {p for p in Path(ensure_checkpoint_dir(spark)).glob("strideflow-tables/*/*")}
     res = _job(spark, model, tmp_path / "x", [r.game_id for r in model.tracking.select("game_id").distinct().limit(5).collect()])
     left = {p for p in Path(ensure_checkpoint_dir(spark)).glob("strideflow-tables/*/*")} - before
