@@ -76,16 +76,15 @@ def drop_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """The rows of ``docs`` that ``exact_duplicates`` keeps, whole.  Rows with
     the same id and text differ in other columns at most: the first in column
     order stays."""
-    names = docs.columns
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     norm = normalised(F.col(text))
-    own = docs.withColumn("digest__", F.sha2(norm, 256)).withColumn("check__", F.xxhash64(norm)).withColumn("run__", F.pmod(F.xxhash64(F.col(doc_id), *[F.col(f"`{c}`") for c in names if c != text]), F.lit(runs)).cast("int"))
-    order = F.xxhash64(*[F.col(f"`{c}`") for c in names if c != text])
-    best = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), order.alias("place"))
-    rows = stage(own.select(F.col("digest__").alias("digest"), F.col("check__").alias("check"), F.col("run__").alias("run"), best.alias("best")), "digests")
-    winners = resolve(rows, runs, fan).filter("best = keep").groupBy("digest", "check", "run", "best").agg(F.count("*").alias("copies"))
-    same = [own["digest__"] == winners["digest"], own["check__"] == winners["check"], own["run__"] == winners["run"], best.eqNullSafe(winners["best"])]
-    kept = own.join(winners, same).select(*[own[f"`{c}`"] for c in names], "copies", "digest", "check", "run", "best")
+    best = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), rest.alias("place"))
+    run = F.pmod(rest, F.lit(runs)).cast("int")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name can clash
+    own = docs.select(whole.alias("doc"), F.sha2(norm, 256).alias("digest"), F.xxhash64(norm).alias("check"), run.alias("run"), best.alias("best"))
+    keys = ["digest", "check", "run", "best"]
+    winners = resolve(stage(own.select(*keys), "digests"), runs, fan).filter("best <=> keep").groupBy(*keys).agg(F.count("*").alias("copies"))
+    kept = own.join(winners.withColumnRenamed("best", "kept"), ["digest", "check", "run"]).filter("best <=> kept")
     # rows equal in every column but the text's white space: only these are grouped
-    single = kept.filter("copies = 1").select(*[f"`{c}`" for c in names])
-    again = kept.filter("copies > 1").dropDuplicates(["digest", "check", "run", "best"]).select(*[f"`{c}`" for c in names])
-    return single.unionByName(again)
+    once = kept.filter("copies = 1").select("doc.*")
+    return once.unionByName(kept.filter("copies > 1").dropDuplicates(keys).select("doc.*"))
