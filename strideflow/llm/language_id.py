@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, text_slices
+from .common import mix64, stage, task, text_slices
 
 CELLS = 1 << 14  # hashed trigrams of the text model
 TEXT_WEIGHT = 0.5  # neighbouring trigrams overlap: each counts for less than one observation
@@ -51,6 +51,7 @@ def _cells(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _tally(text: str, lang: str):
     """Partial trigram counts of each language seen by a task."""
 
+    @task
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -81,6 +82,7 @@ def text_model(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tu
 
 
 def _likelihood(names: list[str], table, page: str):
+    @task
     def run(batches):
         logs = table.value
         for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices, word_hashes
+from .common import task, text_slices, word_hashes
 
 SAMPLE_PER_LABEL = 2000  # labelled rows of each label that the model is fitted on, at most
 DIMENSIONS = 48
@@ -60,10 +60,11 @@ def term_weights(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def _terms(text: str, key: str):
+    @task
     def run(batches):
         for batch in batches:
             label = batch.column(batch.schema.get_field_index(key))
-            for i, j, data, offs in text_slices(batch.column(batch.schema.get_field_index(text))):
+            for i, j, data, offs in text_slices(batch.column(batch.schema.get_field_index(text)), 1 << 19, BLOCK):
                 x = term_weights(data, offs)
                 yield pa.RecordBatch.from_arrays([label.slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=[key, "terms"])
 
@@ -79,8 +80,10 @@ class Model:
         self.labels = labels.astype(np.float32)
         if len(set(labels.tolist())) > 1:
             self.mean = terms.mean(axis=0)
-            _, _, v = np.linalg.svd(terms - self.mean, full_matrices=False)
-            self.axes = np.ascontiguousarray(v[:dimensions].T.astype(np.float32))
+            centred = terms - self.mean
+            # the right singular vectors, from the small square of the terms
+            _, v = np.linalg.eigh((centred.T @ centred).astype(np.float64))
+            self.axes = np.ascontiguousarray(v[:, ::-1][:, :dimensions].astype(np.float32))
             self.vectors = self.latent(terms)
 
     def latent(self, terms: np.ndarray) -> np.ndarray:
@@ -115,19 +118,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.struct(doc_id, "label").alias("key"), text)
     rows = rows.withColumn("key", F.concat_ws("|", F.col(f"key.{doc_id}"), "key.label"))
-    found = sorted((r["key"], bytes(r["terms"])) for r in rows.mapInArrow(_terms(text, "key"), "key string, terms binary").collect())  # bounded by the sample
-    if not found:
-        return Model(np.zeros((0, TERMS), np.float32), np.zeros(0), dimensions)
-    return Model(np.stack([np.frombuffer(t, np.float32) for _, t in found]), np.array([int(k[-1]) for k, _ in found]), dimensions)
+    table = rows.mapInArrow(_terms(text, "key"), "key string, terms binary").toArrow().sort_by("key")  # bounded by the sample
+    terms = np.frombuffer(b"".join(table.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
+    return Model(terms, np.array([int(k[-1]) for k in table.column("key").to_pylist()]), dimensions)
 
 
 def _score(sent, text: str, neighbours: int, sharpness: float):
+    @task
     def run(batches):
         model = Model.__new__(Model)
         model.__dict__.update(sent.value)
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for i, j, data, offs in text_slices(batch.column(batch.schema.get_field_index(text)), 1 << 19):
+            for i, j, data, offs in text_slices(batch.column(batch.schema.get_field_index(text)), 1 << 19, BLOCK):
                 out[i:j] = model.score(term_weights(data, offs), neighbours, sharpness)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
 

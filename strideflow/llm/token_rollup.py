@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import task
+
 from .tokens import encode_column
 
 KEYS = ("source", "lang", "version")
@@ -24,6 +26,7 @@ _TOTALS = "source string, lang string, version string, documents bigint, tokens
 
 
 def _count(text: str, path: str):
+    @task
     def run(batches):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))

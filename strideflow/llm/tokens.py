@@ -17,7 +17,7 @@ import numpy as np
 
 from .common import BYTE_KEYS, mix64, powers, process_cache, text_slices
 
-SLICE = 4 << 20  # bytes of text encoded together
+SLICE = 1 << 20  # bytes of text encoded together
 KEPT = 300_000  # chunks whose ids a worker keeps; others are encoded once per slice
 _B = np.arange(256)
 #: bytes of plain Latin text: printable ASCII, and letters from U+00C0 to U+024F in UTF-8

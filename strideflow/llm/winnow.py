@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, text_slices, word_hashes
+from .common import gram_hashes, task, text_slices, word_hashes
 
 WINDOW = 10  # words of a window
 K = 5  # words of a fingerprinted gram
@@ -143,6 +143,7 @@ def _result(batch: pa.RecordBatch, drop: list[str], n_words, found: dict) -> pa.
 
 
 def _scan(index: Index, text: str, drop: list[str]):
+    @task
     def run(batches):
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(text))
@@ -168,6 +169,7 @@ def _scan(index: Index, text: str, drop: list[str]):
 
 
 def _prints(text: str, key: str, window: int, k: int, short: list[int]):
+    @task
     def run(batches):
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index(key))
@@ -181,6 +183,7 @@ def _prints(text: str, key: str, window: int, k: int, short: list[int]):
 
 
 def _verify(window: int, k: int):
+    @task
     def run(batches):
         for batch in batches:
             texts, cands = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("cand"))
