@@ -15,6 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import task
+
 # The base patterns and their least lengths.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -37,7 +39,7 @@ LEAST_COST = 8.0  # log10 of guesses from which a context value is a secret
 _RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
 _LONGEST = max(map(len, _RANK))
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-_DATE_COST = math.log10(365 * 120)
+_DATE_COST, _PART_COST = math.log10(365 * 120), math.log10(365)  # a whole date; a year, or a day and month
 _KEYS = sum(len(r) for r in KEYBOARD)
 
 
@@ -81,7 +83,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 odd = sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True))
                 offer(i, j, cost + 0.3 + 0.3 * min(odd, 4), "word")
         if date := _DATE.match(value, i):
-            offer(i, date.end(), _DATE_COST, "date")
+            offer(i, date.end(), _PART_COST if date.end() - i == 4 else _DATE_COST, "date")
         if (j := _walk(low, i)) - i >= 3:
             offer(i, j, math.log10(2 * _KEYS) + math.log10(j - i), "walk")
         if i >= repeat_end:
@@ -136,6 +138,7 @@ def _joined(spans: list) -> str:
 
 
 def _scan(text: str, least: float):
+    @task
     def run(batches):
         for batch in batches:
             rows = []
