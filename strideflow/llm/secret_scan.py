@@ -39,10 +39,17 @@ LEAST_COST = 8.0  # log10 of guesses from which a context value is a secret
 _RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
 _LONGEST = max(map(len, _RANK))
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-_DATE_COST, _PART_COST = math.log10(365 * 120), math.log10(365)  # a whole date; a year, or a day and month
+PART_COST = 0.2  # of choosing how many parts there are
 _KEYS = sum(len(r) for r in KEYBOARD)
 
 
+def _date_cost(date: str) -> float:
+    """A whole date, a year, or a day and month."""
+    if len(date) == 4:
+        return math.log10(120) if date.startswith(("19", "20")) else math.log10(365)
+    return math.log10(365 * 120)
+
+
 def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33) if c.isascii() else 2.0
 
@@ -62,17 +69,23 @@ def _walk(text: str, i: int) -> int:
 
 def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of guesses of the cheapest segmentation, and its parts
-    ``(kind, start, end)``.  Each part costs a little for being one more."""
+    ``(kind, start, end)``.  Each part after the first costs ``PART_COST``;
+    neighbouring brute-force characters are one part."""
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
     plain = low.translate(LEET)
-    best = [0.0] + [math.inf] * n
-    came: list = [None] * (n + 1)
+    # cheapest way to each place, by whether its last part is brute force
+    best = [[math.inf, math.inf] for _ in range(n + 1)]
+    came: list[list] = [[None, None] for _ in range(n + 1)]
+    best[0][0] = -PART_COST if n else 0.0
 
     def offer(i: int, j: int, cost: float, kind: str) -> None:
-        if best[i] + cost < best[j]:
-            best[j], came[j] = best[i] + cost, (kind, i)
+        brute = int(kind == "brute")
+        for last in (0, 1):
+            total = best[i][last] + cost + (0.0 if brute and last else PART_COST)
+            if total < best[j][brute]:
+                best[j][brute], came[j][brute] = total, (kind, i, last)
 
     repeat_end = 0
     for i in range(n):
@@ -83,7 +96,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 odd = sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True))
                 offer(i, j, cost + 0.3 + 0.3 * min(odd, 4), "word")
         if date := _DATE.match(value, i):
-            offer(i, date.end(), _PART_COST if date.end() - i == 4 else _DATE_COST, "date")
+            offer(i, date.end(), _date_cost(date[0]), "date")
         if (j := _walk(low, i)) - i >= 3:
             offer(i, j, math.log10(2 * _KEYS) + math.log10(j - i), "walk")
         if i >= repeat_end:
@@ -95,15 +108,16 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                     offer(i, j, sum(map(_char_cost, value[i : i + size])) + math.log10((j - i) // size), "repeat")
                     if size == 1:
                         repeat_end = j - 1
-    parts, j = [], n
+    parts, j, last = [], n, int(best[n][1] < best[n][0])
+    total = best[n][last]
     while j:
-        kind, i = came[j]
+        kind, i, before = came[j][last]
         if parts and kind == "brute" and parts[-1][0] == "brute":
             parts[-1] = ("brute", i, parts[-1][2])
         else:
             parts.append((kind, i, j))
-        j = i
-    return best[n] + 0.2 * max(0, len(parts) - 1), parts[::-1]
+        j, last = i, before
+    return total, parts[::-1]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
