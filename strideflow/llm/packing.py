@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, task
 from .tokens import encode_column
 
 CAPACITY = 2048
@@ -36,6 +36,7 @@ def _cut(doc_id: str, text: str, path: str, capacity: int):
     """Tokens of each text and the id 0, cut; ``place`` counts the pieces of
     a length within the task."""
 
+    @task
     def run(batches):
         bucket, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
@@ -158,6 +159,7 @@ def _slots(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str,
 def _placed(slots: dict[str, np.ndarray], shift: int):
     key = slots["length"] * shift + slots["rank"]
 
+    @task
     def run(batches):
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -187,6 +189,6 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
     slots = _slots(fill(total, capacity), capacity)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = tally.select("bucket", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["bucket", "length"]).select(doc_id, "piece", "start", "length", "ids_crc32", "place", "before")
+    ranked = pieces.join(offsets.hint("merge"), ["bucket", "length"]).select(doc_id, "piece", "start", "length", "ids_crc32", "place", "before")
     shift = 1 << 50
     return ranked.mapInArrow(_placed(slots, shift), f"`{doc_id}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
