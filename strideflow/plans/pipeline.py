@@ -30,7 +30,7 @@ from strideflow.sources.metadata import read_match_metadata, with_round
 from strideflow.sources.tracking import normalise_tracking, read_tracking_json, scan_tracking
 
 TABLES = (
-    "tracking_bronze", "players_bronze", "match_metadata", "tracking_silver", "vmax_per_player",
+    "tracking_bronze", "players_bronze", "periods_bronze", "match_metadata", "tracking_silver", "vmax_per_player",
     "runs", "comparison", "player_summary", "absolute_runs",
 )
 EXPORTED_MATCH = (
@@ -47,6 +47,14 @@ def effort_pipeline(tracking: DataFrame, params: EffortParams = LIB) -> tuple[Da
     return vmax, runs, tb.summarise_players_lib(runs, vmax)
 
 
+def compare_from_frames(frames: DataFrame, params: EffortParams = LIB) -> DataFrame:
+    """G3 straight from frames; speeds are computed if they are absent."""
+    speeds = frames if "speed_kmh" in frames.columns else fr.compute_speed(frames, params)
+    vmax = fr.compute_vmax(speeds, params)
+    relative = ru.extract_effort_runs(fr.tag_effort_frames(speeds, vmax), params)
+    return tb.compare_definitions_lib(vmax, relative, ru.extract_absolute_runs(speeds, params), params.threshold_pct)
+
+
 @dataclass
 class JobResult:
     tables: dict[str, str]
@@ -70,8 +78,10 @@ def run_job(
     ingested_at: str | None = None,
     export_dir: str | None = None,
     export_single: bool = False,
+    periods: DataFrame | None = None,
 ) -> JobResult:
-    """``overwrite=False`` appends the given games to bronze; ``games``
+    """``periods`` (a game's period bounds) is stored as it comes.
+    ``overwrite=False`` appends the given games to bronze; ``games``
     reloads the listed ones there (a listed game without rows goes).  Empty
     inputs give empty tables with their full schemas."""
     paths = {name: f"{out_dir.rstrip('/')}/{name}" for name in TABLES}
@@ -87,6 +97,8 @@ def run_job(
     bronze = io.read_table(spark, paths["tracking_bronze"], schema=raw.schema, fmt=fmt)
     stamp = F.lit(ingested_at) if ingested_at else F.current_timestamp().cast("string")
     players_b = store("players_bronze", players.withColumn("_ingested_at", stamp), overwrite=overwrite and games is None)
+    if periods is not None:
+        store("periods_bronze", periods.withColumn("_ingested_at", stamp), overwrite=overwrite and games is None)
     matches_b = store("match_metadata", matches)
 
     # silver: the frame window runs once, into a stage table that v-max is

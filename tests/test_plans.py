@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as se
 from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
+from strideflow.operators import tables as tb
 from strideflow.params import PROD, FilterSpec
 from strideflow.plans import explore as ex
 from strideflow.plans import fixture, registry
 from strideflow.plans.model import EffortModel
-from strideflow.plans.pipeline import run_job
+from strideflow.plans.pipeline import compare_from_frames, run_job
 from strideflow.session import ensure_checkpoint_dir
 from strideflow.sources import tables as io
 
@@ -252,6 +253,19 @@ def test_both_definitions_from_one_scan_equal_single_ones(spark, model):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_comparison_from_frames_with_and_without_speeds(model):
+    lib = model.lib()
+    want = sorted(map(str, tb.compare_definitions_lib(lib.vmax, lib.runs, lib.absolute_runs, lib.params.threshold_pct).collect()))
+    for frames in (model.tracking, model.speeds):
+        assert sorted(map(str, compare_from_frames(frames, lib.params).collect())) == want
+
+
+def test_job_stores_periods(spark, model, tmp_path):
+    periods = spark.createDataFrame([("1", 1, 0, 119)], "game_id string, period_id int, start_frame_id long, end_frame_id long")
+    res = _job(spark, model, tmp_path / "p", [], periods=periods)
+    assert io.read_table(spark, res.tables["periods_bronze"]).drop("_ingested_at").collect() == periods.collect()
+
+
 def test_no_single_task_over_players(spark, model):
     plan = fr.topk_mean_speed(model.speeds)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan
