@@ -24,7 +24,20 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_CHARS, ACCESS_CHARS = 12, 18
 
 # Words before a value in a credential context, and common words of passwords.
-_CONTEXT = re.compile(r"""(?:passphrase|passcode|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer)["']?\x20*(?:[:=]|\x20is\x20)\x20*["']?([^\s"'<>,;&|]{6,})""", re.IGNORECASE | re.ASCII)
+_CONTEXT = re.compile(
+    r"""(?:
+        (?:passphrase|passcode|password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer)
+        ["']?[\x20\t]*(?:[:=]|[\x20\t]is[\x20\t])[\x20\t]*
+      | authorization["']?[\x20\t]*[:=][\x20\t]*["']?bearer[\x20\t]+
+      | \bbearer[\x20\t]+(?!(?-i:[A-Z]?[a-z]+)[^\w\s]*(?:\s|$))    # without the header's name, not before a plain word
+    )
+    (?:"(?P<double>[^\s"]{6,})" | '(?P<single>[^\s']{6,})'
+      | ["']?(?P<bare>(?:[^\s"'<>,;&|]
+          | [,;&|](?=[^\s"'<>,;&|])(?!(?:amp;)?[a-z_][\w.-]{0,40}["']?[\x20\t]*[:=])    # not before the next key
+          | [<>](?=[^\s"'<>a-z/!?])){6,}))                                               # not a tag
+    """,
+    re.IGNORECASE | re.ASCII | re.VERBOSE,
+)
 _CUES = ("pass", "pwd", "secret", "token", "key", "credential", "bearer")
 WORDS = (
     "password pass admin root user login welcome letmein master secret test demo example sample changeme default guest hello love monkey dragon shadow "
@@ -87,7 +100,7 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             if total < best[j][brute]:
                 best[j][brute], came[j][brute] = total, (kind, i, last)
 
-    repeat_end = 0
+    repeat_end, stop = 0, [0] * 5
     for i in range(n):
         offer(i, i + 1, _char_cost(value[i]), "brute")
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
@@ -101,10 +114,12 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             offer(i, j, math.log10(2 * _KEYS) + math.log10(j - i), "walk")
         if i >= repeat_end:
             for size in (1, 2, 3, 4):
-                j = i + size
-                while value[i : i + size] == value[j : j + size] and j + size <= n:
-                    j += size
-                if j - i >= max(3, 2 * size):
+                k = max(stop[size], i)  # first place that differs from the one size on
+                while k + size < n and value[k] == value[k + size]:
+                    k += 1
+                stop[size] = k
+                j = i + (k + size - i) // size * size
+                if j <= n and j - i >= max(3, 2 * size):
                     offer(i, j, sum(map(_char_cost, value[i : i + size])) + math.log10((j - i) // size), "repeat")
                     if size == 1:
                         repeat_end = j - 1
@@ -132,21 +147,28 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
-def costly_spans(text: str, base: list, least: float = LEAST_COST) -> list[tuple[int, int, str, int]]:
-    """Values in a credential context that no base span covers and that cost
-    at least ``least`` to guess."""
+def context_values(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values in a credential context."""
     low = text.lower()
     if not any(c in low for c in _CUES):
         return []
     out = []
     for m in _CONTEXT.finditer(text):
-        a, e = m.span(1)
-        e -= len(m[1]) - len(m[1].rstrip(".)]}"))
-        if e - a >= 6 and not any(s < e and a < x for s, _, _, x in base) and guess_cost(text[a:e])[0] >= least:
-            out.append((a, 3, "guess", e))
+        a, e = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            e = a + len(m["bare"].rstrip(".)]}"))
+        if e - a >= 6:
+            out.append((a, e))
     return out
 
 
+def costly_spans(text: str, base: list, least: float = LEAST_COST) -> list[tuple[int, int, str, int]]:
+    """Values in a credential context that cost at least ``least`` to guess
+    and that no single base span covers whole."""
+    costly = [(a, e) for a, e in context_values(text) if guess_cost(text[a:e])[0] >= least]
+    return [(a, 3, "guess", e) for a, e in costly if not any(s <= a and e <= x for s, _, _, x in base)]
+
+
 def _joined(spans: list) -> str:
     return ",".join(f"{kind}:{a}:{e}" for a, _, kind, e in spans)
 
@@ -174,8 +196,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_c
 
     Null text counts as empty and has no spans; repeated rows each get their
     row; other columns are ignored.  Spans are matches of the base patterns,
-    leftmost and not overlapping within a kind, and ``guess`` spans: a value
-    alone, as no base span covers it.
+    leftmost and not overlapping within a kind, and ``guess`` spans: a whole
+    value alone, also where base spans cover parts of it.
     """
     base = docs.select(doc_id, text)
     kind = base.schema[doc_id].dataType.simpleString()

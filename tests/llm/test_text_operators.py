@@ -233,6 +233,28 @@ def test_guess_cost_is_the_cheapest_segmentation():
         assert [p[1] for p in parts[1:]] == [p[2] for p in parts[:-1]] and parts[0][1] == 0 and parts[-1][2] == len(value)
 
 
+def test_every_context_value_is_scored_whole():
+    def guesses(text):
+        return [text[a:e] for a, _, _, e in secret_scan.costly_spans(text, secret_scan.base_spans(text))]
+
+    assert guesses("pwd=Zq!0123456789abcdef0!x9") == ["Zq!0123456789abcdef0!x9"]
+    assert guesses("password=abcdefghijkl$Kd9!x end") == ["abcdefghijkl$Kd9!x"]
+    assert guesses("Authorization: Bearer mF_9.B5f-4.1JqM") == ["mF_9.B5f-4.1JqM"]
+    assert guesses('{"authorization": "Bearer qzkvwxjplmtr"}') == ["qzkvwxjplmtr"]
+    assert guesses("password\t=\tx9$Kd!2mQz7w") == guesses("pwd\tis\tx9$Kd!2mQz7w") == ["x9$Kd!2mQz7w"]
+    assert guesses("pwd=x9,Kd;2m&Qz|7w, next") == ["x9,Kd;2m&Qz|7w"] and guesses('pwd="x9<Kd>2\'mQz)"') == ["x9<Kd>2'mQz)"]
+    assert guesses("u?pwd=x9$Kd!2mQz7w&user=me;pwd=y8$Kd!2mQz7w&amp;a=b") == ["x9$Kd!2mQz7w", "y8$Kd!2mQz7w"]
+    assert guesses("<b>pwd=x9$Kd!2mQz7w</b>") == ["x9$Kd!2mQz7w"]
+    # a base span covers the value whole; cheap values; prose
+    for text in ("token=f3ef4d6b2755a36d7d9c25bd72c4d5f6", "pwd: 0123456789abcdef", "password: hunter2", "the bearer certificate, a standard Bearer between"):
+        assert guesses(text) == []
+
+
+def test_guess_cost_of_long_values_is_linear():
+    for value in ("ab" * 20000, "abc" * 10000, "a" * 40000):
+        assert [k for k, _, _ in secret_scan.guess_cost(value)[1]] == ["repeat"]
+
+
 # --- language ------------------------------------------------------------------
 
 
