@@ -11,6 +11,11 @@ follow, each over what the one before left open:
 3. the first runs of the other buckets are cut into their windows, which are
    refined to classes of equal ``length`` bytes.
 
+A q-gram of very many runs (that of a passage which stands in a large share of
+the texts) is in no bucket: its runs, and the windows of its open runs, are
+rows, one per chunk and different content, whose smallest documents Spark
+finds by content.
+
 Texts are shuffled once, in chunks; only packed hashes and the open runs move
 between buckets and chunks.
 """
@@ -21,17 +26,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, mix64, powers
+from .common import BYTE_KEYS, mix64, powers, task, text_slices
 
 LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20  # text whose hashes make up one bucket
+HOT_RUNS = 10_000  # runs from which a q-gram is in no bucket
+HOT_GRAMS = 1 << 20  # such q-grams at most: beyond, more runs are needed
 _LAST = np.iinfo(np.int64).max  # a null id comes after all others
 _SETTLED, _OPEN = 1, 2
+_WINDOWS, _ALONE, _SPREAD, _HOT_WINDOWS = -1, -2, -3, -4  # replies that are no bucket's
 
 
 def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,12 +89,37 @@ class _Chunk:
         np.cumsum([len(x) for x in self.raw], out=self.offs[1:])
         self.data = np.frombuffer(b"".join(self.raw), np.uint8)
 
-    def dealt(self, length: int, gram: int, buckets: int):
-        """Runs ordered by bucket, and the bounds of each bucket."""
+    def dealt(self, length: int, gram: int, buckets: int, hot: np.ndarray):
+        """Runs ordered by bucket, and the bounds of each bucket; the runs of
+        hot q-grams come after the last bucket."""
         k, whole, row, start, end = _runs(self.data, self.offs, length, gram)
         bucket = ((k >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+        if len(hot):
+            bucket[np.isin(k, hot)] = buckets
         order = np.argsort(bucket, kind="stable")
-        return (k[order], whole[order], row[order], start[order], end[order]), np.searchsorted(bucket[order], np.arange(buckets + 1))
+        return (k[order], whole[order], row[order], start[order], end[order]), np.searchsorted(bucket[order], np.arange(buckets + 2))
+
+
+def _count_runs(length: int, gram: int):
+    """Q-grams that have several runs in a slice of text, and how many."""
+
+    @task
+    def run(batches):
+        for batch in batches:
+            for _, _, data, offs in text_slices(batch.column(0), CHUNK_BYTES):
+                k, n = np.unique(_runs(data, offs, length, gram)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k[n > 1].astype(np.uint64).view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["k", "n"])
+
+    return run
+
+
+def hot_grams(texts: DataFrame, size: int, length: int, gram: int, hot_runs: int) -> np.ndarray:
+    """Hashes of the q-grams of at least ``hot_runs`` runs, at most about
+    ``HOT_GRAMS``.  Slices of 1 MB that hold a single run of a q-gram do not
+    count for it, so one that is rarer than that is not found."""
+    least = max(hot_runs, 2 * size // (length - gram + 2) // HOT_GRAMS)
+    counts = texts.mapInArrow(_count_runs(length, gram), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    return np.sort(counts.filter(F.col("n") >= least).select("k").toArrow().column("k").to_numpy()).view(np.uint64)
 
 
 def _packed(*columns: tuple[np.ndarray, int]) -> bytes:
@@ -107,12 +140,12 @@ def _unpacked(raw: bytes, *sizes: int) -> list[np.ndarray]:
 _RUN = (5, 6, 4)  # bytes of a bucket's q-gram hash, of the run's hash, of the row
 
 
-def _send_runs(length: int, gram: int, buckets: int):
+def _send_runs(length: int, gram: int, buckets: int, hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         chunk, no = _Chunk(table), table.column("chunk")[0].as_py()
-        (k, whole, row, _, _), cut = chunk.dealt(length, gram, buckets)
+        (k, whole, row, _, _), cut = chunk.dealt(length, gram, buckets, hot)
         out = []
-        for b in np.flatnonzero(np.diff(cut)):
+        for b in np.flatnonzero(np.diff(cut)[:buckets]):
             own = slice(cut[b], cut[b + 1])
             used, local = np.unique(row[own], return_inverse=True)
             out.append((int(b), no, chunk.rank[used].tobytes(), _packed((k[own], _RUN[0]), (whole[own], _RUN[1]), (local, _RUN[2]))))
@@ -156,22 +189,95 @@ def _refine(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "state": pa.array(out, pa.binary())})
 
 
-def _states(chunk: _Chunk, replies: pa.Table, length: int, gram: int, buckets: int):
-    runs, cut = chunk.dealt(length, gram, buckets)
+def _least(k: np.ndarray, h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One smallest document's row of each (k, h), and each row's group."""
+    order = np.lexsort((doc, h, k))
+    new = _groups(k[order], h[order])
+    group = np.empty(len(k), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group
+
+
+_HOT_ROW = "chunk int, place int, k bigint, h bigint, least bigint"
+
+
+def _hot_rows(no, k: np.ndarray, h: np.ndarray, doc: np.ndarray) -> pa.Table:
+    first, _ = _least(k, h, doc)
+    places = np.arange(len(first), dtype=np.int32)
+    cols = [pa.array(np.full(len(first), no, np.int32)), pa.array(places), *(pa.array(c[first].view(np.int64)) for c in (k, h, doc))]
+    return pa.Table.from_arrays(cols, names=["chunk", "place", "k", "h", "least"])
+
+
+def _hot_runs(length: int, gram: int, buckets: int, hot: np.ndarray):
+    """Runs of hot q-grams: one row for each content, with its smallest document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunk = _Chunk(table)
+        (k, whole, row, _, _), cut = chunk.dealt(length, gram, buckets, hot)
+        own = slice(cut[buckets], cut[buckets + 1])
+        return _hot_rows(table.column("chunk")[0].as_py(), k[own], whole[own], chunk.rank[row[own]])
+
+    return run
+
+
+def _replied(replies: pa.Table, *kinds: int) -> pa.Table:
+    if not replies.num_rows:
+        return pa.table({"bucket": pa.array([], pa.int32()), "state": pa.array([], pa.binary()), "place": pa.array([], pa.int32()), "least": pa.array([], pa.int64())})
+    return replies.filter(pa.array(np.isin(replies.column("bucket").to_numpy(), kinds)))
+
+
+def _states(chunk: _Chunk, replies: pa.Table, length: int, gram: int, buckets: int, hot: np.ndarray):
+    runs, cut = chunk.dealt(length, gram, buckets, hot)
     state = np.zeros(len(runs[0]), np.uint8)
-    for b, s in zip(replies.column("bucket").to_pylist(), replies.column("state").to_pylist(), strict=True):
+    own = _replied(replies, *range(buckets))
+    for b, s in zip(own.column("bucket").to_pylist(), own.column("state").to_pylist(), strict=True):
         state[cut[b] : cut[b + 1]] = np.frombuffer(s, np.uint8)
+    if cut[buckets] < cut[buckets + 1]:
+        own = slice(cut[buckets], cut[buckets + 1])
+        doc = chunk.rank[runs[2][own]]
+        first, group = _least(runs[0][own], runs[1][own], doc)
+        least, spread = doc[first], np.zeros(len(first), dtype=bool)
+        reply = _replied(replies, _ALONE, _SPREAD)
+        at = reply.column("place").to_numpy()
+        least[at] = reply.column("least").to_numpy()
+        spread[at] = reply.column("bucket").to_numpy() == _SPREAD
+        state[own] = np.where(doc > least[group], _SETTLED, np.where(spread[group], _OPEN, 0))
     return runs, cut, state
 
 
-def _send_open(length: int, gram: int, buckets: int):
+def _hot_windows(chunk: _Chunk, runs: tuple, cut: np.ndarray, state: np.ndarray, length: int, buckets: int):
+    """Windows of the open runs of hot q-grams: (place, q-gram hash, hash of
+    the window's bytes, document)."""
+    k, _, row, start, end = runs
+    own = np.flatnonzero(state[cut[buckets] : cut[buckets + 1]] == _OPEN) + cut[buckets]
+    n = end[own] - start[own]
+    of = np.repeat(own, n)
+    where = start[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    total, q = _prefix(chunk.data)
+    return where, k[of], mix64((total[where + length] - total[where]) * q[where]), chunk.rank[row[of]]
+
+
+def _hot_open(length: int, gram: int, buckets: int, hot: np.ndarray):
+    """Windows of the open runs of hot q-grams: one row for each content."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _hot_rows(0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        chunk = _Chunk(left)
+        _, k, h, doc = _hot_windows(chunk, *_states(chunk, right, length, gram, buckets, hot), length, buckets)
+        return _hot_rows(left.column("chunk")[0].as_py(), k, h, doc)
+
+    return run
+
+
+def _send_open(length: int, gram: int, buckets: int, hot: np.ndarray):
     """Bytes of the open runs, to the bucket of their q-gram."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
             chunk, no = _Chunk(left), left.column("chunk")[0].as_py()
-            (_, _, row, start, end), cut, state = _states(chunk, right, length, gram, buckets)
+            (_, _, row, start, end), cut, state = _states(chunk, right, length, gram, buckets, hot)
             whole = chunk.data.tobytes()
             for b in range(buckets):
                 own = np.flatnonzero(state[cut[b] : cut[b + 1]] == _OPEN) + cut[b]
@@ -213,26 +319,34 @@ def _refine_windows(length: int):
         src = source[run_of[a]]
         bounds = np.searchsorted(src, np.arange(len(heads) + 1))
         out = [np.stack([first[x:y], last[x:y]]).astype(np.int64).tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
-        return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array([-1] * len(chunks), pa.int32()), "state": pa.array(out, pa.binary())})
+        return pa.table({"chunk": pa.array(chunks, pa.int32()), "bucket": pa.array([_WINDOWS] * len(chunks), pa.int32()), "state": pa.array(out, pa.binary())})
 
     return run
 
 
-def _finish(length: int, gram: int, buckets: int):
+def _finish(length: int, gram: int, buckets: int, hot: np.ndarray):
     """Remove the settled windows' bytes of each document of a chunk."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = _Chunk(left)
         depth = np.zeros(len(chunk.data) + 1, np.int32)
-        if right.num_rows and len(chunk.data):
-            kind = np.array(right.column("bucket").to_pylist())
-            (_, _, _, start, end), _, state = _states(chunk, right.filter(pa.array(kind >= 0)), length, gram, buckets)
+        if (right.num_rows or len(hot)) and len(chunk.data):
+            runs, cut, state = _states(chunk, right, length, gram, buckets, hot)
+            _, _, _, start, end = runs
             np.add.at(depth, start[state == _SETTLED], 1)
             np.add.at(depth, end[state == _SETTLED] + length - 1, -1)
-            for s in right.filter(pa.array(kind < 0)).column("state").to_pylist():
+            for s in _replied(right, _WINDOWS).column("state").to_pylist():
                 first, last = np.frombuffer(s, np.int64).reshape(2, -1)
                 np.add.at(depth, first, 1)
                 np.add.at(depth, last + length - 1, -1)
+            if len(hot):
+                where, k, h, doc = _hot_windows(chunk, runs, cut, state, length, buckets)
+                first, group = _least(k, h, doc)
+                least, reply = doc[first], _replied(right, _HOT_WINDOWS)
+                least[reply.column("place").to_numpy()] = reply.column("least").to_numpy()
+                where = where[doc > least[group]]
+                np.add.at(depth, where, 1)
+                np.add.at(depth, where + length, -1)
         gone = np.cumsum(depth[:-1]) > 0
         rows = []
         for i, raw in enumerate(chunk.raw):
@@ -249,7 +363,11 @@ def _finish(length: int, gram: int, buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def _reply(rows: DataFrame, kind: F.Column) -> DataFrame:
+    return rows.select("chunk", kind.cast("int").alias("bucket"), F.lit(None).cast("binary").alias("state"), "place", F.col("first").alias("least"))
+
+
+def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
     kept (the remaining bytes).
 
@@ -264,12 +382,24 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     size = base.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunks = int(max(size // CHUNK_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
     buckets = int(max(size // BUCKET_BYTES, 16))
+    hot = hot_grams(base.select("text"), size, length, gram, hot_runs)
+    given = (length, gram, buckets, hot)
     base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     grouped = base.groupBy("chunk")
-    runs = grouped.applyInArrow(_send_runs(length, gram, buckets), "bucket int, chunk int, ids binary, runs binary")
-    states = runs.groupBy("bucket").applyInArrow(_refine, "chunk int, bucket int, state binary")
-    opened = grouped.cogroup(states.groupBy("chunk")).applyInArrow(_send_open(length, gram, buckets), "bucket int, chunk int, heads binary, bytes binary")
-    windows = opened.groupBy("bucket").applyInArrow(_refine_windows(length), "chunk int, bucket int, state binary")
+    none = {"place": F.lit(None).cast("int"), "least": F.lit(None).cast("long")}
+    runs = grouped.applyInArrow(_send_runs(*given), "bucket int, chunk int, ids binary, runs binary")
+    states = runs.groupBy("bucket").applyInArrow(_refine, "chunk int, bucket int, state binary").withColumns(none)
+    if len(hot):
+        of_content = Window.partitionBy("k", "h")  # a row a chunk
+        rows = grouped.applyInArrow(_hot_runs(*given), _HOT_ROW).withColumn("first", F.min("least").over(of_content))
+        spread = rows.groupBy("k").agg((F.min("first") < F.max("first")).alias("spread"))  # a row a hot q-gram
+        rows = rows.join(F.broadcast(spread), "k").filter("first < least or spread")
+        states = states.unionByName(_reply(rows, F.when(F.col("spread"), _SPREAD).otherwise(_ALONE)))
+    opened = grouped.cogroup(states.groupBy("chunk")).applyInArrow(_send_open(*given), "bucket int, chunk int, heads binary, bytes binary")
+    windows = opened.groupBy("bucket").applyInArrow(_refine_windows(length), "chunk int, bucket int, state binary").withColumns(none)
     replies = states.unionByName(windows)
-    out = grouped.cogroup(replies.groupBy("chunk")).applyInArrow(_finish(length, gram, buckets), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    if len(hot):
+        rows = grouped.cogroup(states.groupBy("chunk")).applyInArrow(_hot_open(*given), _HOT_ROW).withColumn("first", F.min("least").over(of_content))
+        replies = replies.unionByName(_reply(rows.filter("first < least"), F.lit(_HOT_WINDOWS)))
+    out = grouped.cogroup(replies.groupBy("chunk")).applyInArrow(_finish(*given), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc_id", doc_id)

@@ -197,3 +197,23 @@ def test_repeats_equal_brute_force(spark):
     got = sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in out.collect())
     assert got == brute_repeats(rows)
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
+
+
+def test_hot_grams_are_in_no_bucket_and_repeats_equal_brute_force(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    passage = words(rng, 30)
+    rows = [(i, words(rng, 12) + passage + words(rng, 12)) for i in range(60)]
+    rows += [(100 + i, passage) for i in range(5)] + [(30, rows[7][1]), (None, rows[3][1]), (None, passage), (200, None), (201, "ab" * 300), (-5, "z" + "ab" * 100)]
+    rows += [(300 + i, f"{i % 3:03d} {rows[i][1][-120:]} {i:03d}") for i in range(20)]
+    out = suffix_dedup.remove_repeats(frame(spark, rows), hot_runs=8)
+    got = sorted(str((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in out.collect())
+    assert got == brute_repeats(rows)
+    # the runs around the passage, all different, meet in no task
+    hot = suffix_dedup.hot_grams(frame(spark, rows).select("text"), 0, 50, 24, 8)
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows], "chunk": pa.array([0] * len(rows), pa.int32())})
+    sent = suffix_dedup._send_runs(50, 24, 16, hot)(table).column("runs").to_pylist()
+    most = max(np.unique(suffix_dedup._unpacked(r, 5, 6, 4)[0], return_counts=True)[1].max() for r in sent)
+    assert len(hot) and most < 60 < len(suffix_dedup._hot_runs(50, 24, 16, hot)(table))
