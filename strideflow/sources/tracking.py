@@ -64,48 +64,77 @@ def game_ids_from_files(spark: SparkSession, path: str) -> DataFrame:
 _GAME = r"\.(jsonl|json)(\.bz2|\.gz)?$"
 
 
-def _broken(batches):
-    """(path, content) -> the paths whose content does not unpack, and why."""
+_UNREAD = "the file could not be read"
+
+
+def _tested(batches):
+    """(path, content) -> the paths, and why the content does not unpack ('' if it does)."""
     import bz2
     import gzip
     import io
+    import zlib
 
     import pyarrow as pa
 
     for batch in batches:
         out = []
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            error = ""
             try:
                 with (bz2 if path.endswith(".bz2") else gzip).open(io.BytesIO(content)) as f:
                     while f.read(1 << 20):
                         pass
-            except (OSError, EOFError, ValueError) as e:
-                out.append((path, f"{type(e).__name__}: {e}"))
+            except (OSError, EOFError, ValueError, zlib.error) as e:
+                error = f"{type(e).__name__}: {e}"
+            out.append((path, error))
         cols = [pa.array([x[i] for x in out], pa.string()) for i in (0, 1)]
         yield pa.RecordBatch.from_arrays(cols, names=["path", "error"])
 
 
+_PACKED = r"\.(bz2|gz)$"
+_CODEC = r"\.(bz2|gz|deflate|lz4|snappy|zst|zstd)$"  # suffixes that the text reader unpacks
+
+
 def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, error) of the compressed files that cannot be unpacked whole.
-    A task holds one compressed game at a time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    packed = files.filter(F.col("path").rlike(r"\.(bz2|gz)$"))
-    found = packed.mapInArrow(_broken, "path string, error string")
-    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "error")
+    """(path, error) of the files that cannot be read whole: compressed files
+    that do not unpack, and plain files of which the text reader gives fewer
+    bytes than they have.  A task holds one compressed game at a time."""
+
+    file_path = F.col("_metadata.file_path")
+
+    def load(fmt, **options):
+        return spark.read.format(fmt).options(recursiveFileLookup="true", **options).load(path)
+
+    listed = load("binaryFile").select(file_path.alias("path"), "length")  # opens no file
+    packed = load("binaryFile", ignoreCorruptFiles="true").filter(file_path.rlike(_PACKED)).select(file_path.alias("path"), "content")
+    tested = packed.mapInArrow(_tested, "path string, error string")
+    lines = load("text", ignoreCorruptFiles="true", lineSep="\n").filter(~file_path.rlike(_CODEC)).select(file_path.alias("path"), F.octet_length("value").alias("n"))
+    found = lines.groupBy("path").agg((F.sum("n") + F.count(F.lit(1))).alias("n"))  # the last line may have no end
+    lost = F.col("length") - F.coalesce("n", F.lit(0))
+    of_packed = listed.filter(F.col("path").rlike(_PACKED)).join(tested, "path", "left").select("path", F.coalesce("error", F.lit(_UNREAD)).alias("error"))
+    of_plain = listed.filter(~F.col("path").rlike(_CODEC)).join(found, "path", "left")
+    of_plain = of_plain.filter(~lost.isin(-1, 0, 2, 3)).select("path", F.concat(lost.cast("string"), F.lit(" of "), F.col("length").cast("string"), F.lit(" bytes could not be read")).alias("error"))
+    return of_packed.filter("error != ''").unionByName(of_plain)
 
 
 def read_tracking_json(spark: SparkSession, path: str, schema: T.StructType = TRACKING) -> tuple[DataFrame, DataFrame]:
     """Read long-layout JSON lines so that one broken game never stops
-    the others.  Returns (rows, rejects by game): rows that do not parse are
-    rejected one by one; a file that cannot be unpacked is rejected whole.
-    Nothing is stored: both outputs parse the text they need."""
+    the others.  Returns (rows, rejects by file): rows that do not parse are
+    rejected one by one; a file that cannot be read whole is rejected whole.
+    The unreadable files are found first and left out by their full path; an
+    error in reading any other file is raised.  No rows are stored: both
+    outputs parse the text they need."""
     record = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType(), True)])
-    lines = spark.read.option("ignoreCorruptFiles", "true").text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    file_path = F.col("_metadata.file_path")
+    broken = [tuple(r) for r in unreadable_files(spark, path).collect()]  # a row a broken file
+    lines = spark.read.options(recursiveFileLookup="true", ignoreCorruptFiles="false").text(path).withColumn("path", file_path)
+    if broken:
+        lines = lines.filter(~file_path.isin([p for p, _ in broken]))  # prunes the files themselves
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = lines.filter(F.trim("value") != "").select("file", F.from_json("value", record, options).alias("r"))
-    broken = unreadable_files(spark, path)
-    whole = parsed.join(broken.select("file"), "file", "left_anti")  # one row a broken file
-    good = whole.filter("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
-    bad = whole.filter("r._corrupt_record is not null").groupBy("file").agg(F.count(F.lit(1)).alias("bad_rows"), F.min("r._corrupt_record").alias("error"))
-    rejects = bad.unionByName(broken.select("file", F.lit(None).cast("long").alias("bad_rows"), "error"))
-    return good, rejects.select(F.regexp_replace("file", _GAME, "").alias("game_id"), "bad_rows", "error")
+    parsed = lines.filter(F.trim("value") != "").select("path", F.from_json("value", record, options).alias("r"))
+    good = parsed.filter("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
+    bad = parsed.filter("r._corrupt_record is not null").groupBy("path").agg(F.count(F.lit(1)).alias("bad_rows"), F.min("r._corrupt_record").alias("error"))
+    whole = spark.createDataFrame(broken, "path string, error string")
+    rejects = bad.unionByName(whole.select("path", F.lit(None).cast("long").alias("bad_rows"), "error"))
+    name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    return good, rejects.select(F.regexp_replace(name, _GAME, "").alias("game_id"), "bad_rows", "error")

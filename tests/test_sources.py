@@ -109,3 +109,24 @@ def test_truncated_game_is_rejected_whole_and_the_job_runs_from_files(spark, tmp
     (bad,) = res.rejects.collect()
     assert bad.game_id == "g2" and bad.bad_rows is None and bad.error
     assert io.read_table(spark, res.tables["runs"]).first().home_team_name == "Home"
+
+
+def test_plain_file_that_fails_midway_is_rejected_by_its_full_path(spark, tmp_path):
+    keys = TRACKING.fieldNames()
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.FileSystem.getLocal(spark._jsc.hadoopConfiguration())
+    for folder in ("a", "b c"):
+        for g in ("g1", "g2"):
+            rows = player_rows("p", [30.0] * 300, game_id=f"{folder}-{g}")
+            (tmp_path / "made.json").write_text("".join(json.dumps(dict(zip(keys, r))) + "\n" for r in rows))
+            to = tmp_path / "raw" / folder / f"{g}.json"
+            fs.copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(str(tmp_path / "made.json")), jvm.org.apache.hadoop.fs.Path(str(to)))
+    broken = tmp_path / "raw" / "b c" / "g1.json"
+    raw = broken.read_bytes()
+    broken.write_bytes(raw[: len(raw) // 2] + b"~" * 9 + raw[len(raw) // 2 + 9 :])  # its checksum fails in the middle
+    (tmp_path / "raw" / "a" / "g3.jsonl.gz").write_bytes(b"\x1f\x8b\x08broken")
+    (tmp_path / "raw" / "a" / "empty.json").write_bytes(b"")
+    rows, rejects = read_tracking_json(spark, str(tmp_path / "raw"))
+    assert {r.game_id: r["count"] for r in rows.groupBy("game_id").count().collect()} == {"a-g1": 300, "a-g2": 300, "b c-g2": 300}
+    assert sorted((r.game_id, r.bad_rows) for r in rejects.collect()) == [("g1", None), ("g3", None)]
+    assert all(r.error for r in rejects.collect())
