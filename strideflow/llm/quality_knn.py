@@ -109,15 +109,17 @@ def held_out(doc_id: str) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample_per_label: int = SAMPLE_PER_LABEL, dimensions: int = DIMENSIONS) -> Model:
     """Fit on at most ``sample_per_label`` labelled rows of each label,
-    chosen by a hash of the id, none of them held out."""
+    chosen by a hash of the id, none of them held out.  Of the rows that repeat
+    an id, the text with the smallest hash is used."""
     known = labels.select(F.col(doc_id), F.col(label).cast("int").alias("label")).filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     order = F.xxhash64(doc_id)
     chosen = None
     for value in (0, 1):
         part = known.filter(F.col("label") == value).orderBy(order, doc_id).limit(sample_per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(doc_id, text).join(F.broadcast(chosen), doc_id).select(F.struct(doc_id, "label").alias("key"), text)
-    rows = rows.withColumn("key", F.concat_ws("|", F.col(f"key.{doc_id}"), "key.label"))
+    ids = chosen.select(doc_id).distinct()
+    one = docs.select(doc_id, text).join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text"))).alias("own"))
+    rows = one.join(F.broadcast(chosen), doc_id).select(F.concat_ws("|", doc_id, "label").alias("key"), F.col("own.text").alias(text))
     table = rows.mapInArrow(_terms(text, "key"), "key string, terms binary").toArrow().sort_by("key")  # bounded by the sample
     terms = np.frombuffer(b"".join(table.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
     return Model(terms, np.array([int(k[-1]) for k in table.column("key").to_pylist()]), dimensions)
@@ -142,7 +144,7 @@ def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
     Only whole texts are inputs.  Null text counts as empty and is scored like
     any other.  Null or other labels, and labels without a document, are left
-    out; labels of repeated ids each vote.  Without labels of both kinds every
+    out; labels of repeated ids each vote, with one of the id's texts.  Without labels of both kinds every
     score is the mean label, or 0.5.  Columns of ``docs`` named like a result
     are replaced by it.
     """

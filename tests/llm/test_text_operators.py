@@ -45,6 +45,15 @@ def test_quality_takes_any_rows(spark):
     assert quality_knn.score(empty(spark), labels).count() == 0
 
 
+def test_quality_sample_is_bounded_when_an_id_is_repeated(spark):
+    rows = [(0, f"text {i} of a hot id") for i in range(500)] + [(1, texts()[1][1])]  # neither id is held out
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0)], "doc_id long, quality int")
+    models = [quality_knn.fit(frame(spark, r), labels) for r in (rows, rows[::-1])]
+    assert all(sorted(m.labels.tolist()) == [0, 0, 1] and len(m.vectors) == 3 for m in models)
+    assert np.allclose(models[0].mean, models[1].mean)
+    assert len(quality_knn.score(frame(spark, rows), labels).collect()) == len(rows)
+
+
 # --- decontamination -----------------------------------------------------------
 
 
