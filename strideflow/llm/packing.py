@@ -26,7 +26,7 @@ _PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint, bucket int,
 
 
 def _documents(texts, path: str):
-    for i, j, ids, offs in encode_column(texts, path):
+    for i, j, ids, offs in encode_column(texts, path, added=True):
         raw, at = ids.astype("<u4", copy=False).tobytes(), (4 * offs).tolist()
         for r in range(j - i):
             yield i + r, raw[at[r] : at[r + 1]] + END

@@ -31,7 +31,7 @@ def _count(text: str, path: str):
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             n = []
-            for _, _, _, offs in encode_column(column, path):
+            for _, _, _, offs in encode_column(column, path, added=True):
                 n += (offs[1:] - offs[:-1]).tolist()
             keep = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n, pa.int64())], names=[*keep, "tokens"])

@@ -5,7 +5,9 @@ followed by a non-space, so a text is the concatenation of its chunks cut
 there.  Chunks seen before are looked up; the new chunks of a batch are
 encoded together.  Plain Latin chunks go through the faster BPE library with
 the same vocabulary (checked when the file is loaded), all others through the
-tokenizer file's own library.
+tokenizer file's own library.  With ``added`` the tokenizer is used as it is
+loaded, so the text of an added token is that token: rows that hold such text
+go to the library whole.  Without it such text is text like any other.
 """
 
 from __future__ import annotations
@@ -45,20 +47,22 @@ def _fast(path: str, model):
         return None
 
 
-def _load(path: str):
+def _load(path: str, added: bool):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    model.encode_special_tokens = not added
     return model, _fast(path, model)
 
 
 class Encoder:
     """Ids of the texts of a slice.  Chunks are compared by a 64-bit hash."""
 
-    def __init__(self, path: str):
-        self.model, self.fast = _load(path)
+    def __init__(self, path: str, added: bool = False):
+        self.model, self.fast = _load(path, added)
+        tokens = self.model.get_added_tokens_decoder().values()
+        self.added = [t.content.encode() for t in tokens if added or not t.special]
         self.tab = np.uint32(self.model.encode("\t", add_special_tokens=False).ids[0])
         self.known = np.zeros(0, np.uint64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -107,8 +111,38 @@ class Encoder:
                 parts[c] = np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         return np.concatenate(parts).astype(np.uint32), np.cumsum([len(x) for x in parts])
 
+    def rows_with_added(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """True for the rows that hold the text of an added token."""
+        held, raw = np.zeros(len(offs) - 1, dtype=bool), data.tobytes() if self.added else b""
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offs, at, side="right")) - 1
+                inside = at + len(token) <= offs[row + 1]
+                held[row] |= inside
+                at = raw.find(token, int(offs[row + 1]) if inside else at + 1)
+        return held
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, and the rows' offsets in them."""
+        held = self.rows_with_added(data, offs)
+        if not held.any():
+            return self.encode_chunks(data, offs)
+        size = np.diff(offs)
+        others = np.where(held, 0, size)
+        ids, at = self.encode_chunks(data[np.repeat(~held, size)], np.append(0, np.cumsum(others)))
+        n, whole = np.diff(at), []
+        for row in np.flatnonzero(held).tolist():
+            text = data[offs[row] : offs[row + 1]].tobytes().decode("utf-8", "surrogatepass")
+            whole.append(np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
+            n[row] = len(whole[-1])
+        own = np.repeat(held, n)
+        out = np.empty(len(own), dtype=np.uint32)
+        out[own], out[~own] = np.concatenate(whole), ids
+        return out, np.append(0, np.cumsum(n))
+
+    def encode_chunks(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for rows without added tokens, by chunks."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         full = np.append(np.flatnonzero(np.diff(offs)), len(offs) - 1)  # rows that have text
@@ -146,11 +180,11 @@ class Encoder:
         return out, rows
 
 
-def encode_column(column, path: str):
+def encode_column(column, path: str, added: bool = False):
     """Yield (first row, last row, ids, offsets of the rows in ids) over an
     Arrow string column, null as empty."""
-    kept = process_cache("encoders")
-    if path not in kept:
-        kept[path] = Encoder(path)
+    kept, key = process_cache("encoders"), (path, added)
+    if key not in kept:
+        kept[key] = Encoder(path, added)
     for i, j, data, offs in text_slices(column, SLICE):
-        yield i, j, *kept[path].encode(data, offs)
+        yield i, j, *kept[key].encode(data, offs)

@@ -109,6 +109,23 @@ def test_tokens_equal_the_library(tokenizer):
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in column]
 
 
+def test_operators_count_added_tokens_as_the_tokenizer_as_loaded(spark):
+    import pyarrow as pa
+
+    loaded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    held = [f"a {mark} b", mark, f"   {mark}  {mark}{mark} é\n", f"x{mark[:5]} {mark}", f"{mark[5:]} y"]
+    column = ["plain text", *held, None, "", mark[:6], mark[6:], *[t for _, t in texts() if t and len(t) < 1000], f"end{mark}"]
+    got = [ids[a:b].tolist() for _, _, ids, at in encode_column(pa.array(column, pa.string()), TOKENIZER, added=True) for a, b in zip(at, at[1:])]
+    assert got == [loaded.encode(t or "", add_special_tokens=False).ids for t in column] and got[2] == [50256]
+    rows = list(enumerate(column))
+    packed = packing.pack(frame(spark, rows), TOKENIZER).collect()
+    check_packing(packed, {i: [t] for i, t in rows}, loaded, 2048)
+    docs = frame(spark, rows).selectExpr("*", "'en' as lang", "'s' as source")
+    counts = {r.doc_id: r.tokens for r in token_rollup.counted(docs, TOKENIZER, "v1").collect()}
+    assert counts == {i: len(x) for i, x in enumerate(got)}
+
+
 def check_packing(rows, documents, tokenizer, capacity):
     by_doc, seqs = {}, {}
     for r in rows:
