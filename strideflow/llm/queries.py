@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_fsm, chosen_path, language_id, packing, quality_knn, secret_scan, suffix_dedup, token_rollup, tree_dedup, winnow
-from .common import read, shared_dir
+from .common import read, shared_dir, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -27,11 +27,17 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token totals of all documents: one batch of inserts, sent twice."""
-    rows = token_rollup.counted(read(spark, sf_dir, "documents"), TOKENIZER, "byte_bpe_50k")
+    """Token totals of all documents after four batches: inserts with guessed
+    counts, their revision, deletes (sent twice), the deleted ones again."""
+    rows = stage(token_rollup.counted(read(spark, sf_dir, "documents"), TOKENIZER, "byte_bpe_50k"), "counts")
+    guessed = rows.withColumn("tokens", F.ceil(F.col("characters") / 4))
+    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
     rollup = token_rollup.Rollup(spark, f"{shared_dir(spark)}/llm-rollups/{uuid.uuid4().hex}")
+    rollup.commit("1-documents", token_rollup.inserts(guessed))
+    rollup.commit("2-counts", token_rollup.revisions(guessed, rows))
     for _ in range(2):  # the second commit of a batch changes nothing
-        rollup.commit("documents", token_rollup.inserts(rows))
+        rollup.commit("3-deleted", token_rollup.deletes(some))
+    rollup.commit("4-again", token_rollup.inserts(some))
     return rollup.totals()
 
 

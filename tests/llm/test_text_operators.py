@@ -210,6 +210,25 @@ def test_rollup_query_equals_the_library(spark, tokenizer):
     assert got == want
 
 
+def test_rollup_query_commits_several_batches_that_equal_a_direct_count(spark, monkeypatch):
+    sent = []
+    commit = token_rollup.Rollup.commit
+
+    def noted(self, batch, changes):
+        done = commit(self, batch, changes)
+        sent.append((batch, done, {r.sign: r["count"] for r in changes.groupBy("sign").count().collect()}, self.totals().agg({"documents": "sum"}).first()[0]))
+        return done
+
+    monkeypatch.setattr(token_rollup.Rollup, "commit", noted)
+    rows = token_rollup.counted(spark.read.parquet(f"{SF}/documents.parquet"), TOKENIZER, "byte_bpe_50k")
+    n = rows.count()
+    want = rows.groupBy("source", "lang", "version").agg({"doc_id": "count", "tokens": "sum", "characters": "sum"}).select("source", "lang", "version", "count(doc_id)", "sum(tokens)", "sum(characters)")
+    assert sorted(map(tuple, QUERIES["op3_token_rollup"](spark, SF).collect())) == sorted(map(tuple, want.collect()))
+    (_, _, first, total), (_, _, revised, same), (name, done, gone, left), (again, repeated, _, still), (_, _, back, whole) = sent
+    assert first == {1: n} and total == same == whole == n and set(revised) == {1, -1} and revised[1] == revised[-1] > n // 2
+    assert set(gone) == {-1} and name == again and done and not repeated and left == still == n - gone[-1] and back == {1: gone[-1]}
+
+
 # --- secrets -------------------------------------------------------------------
 
 CASES = [
