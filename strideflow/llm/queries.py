@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_fsm, chosen_path, language_id, packing, quality_knn, secret_scan, suffix_dedup, token_rollup, tree_dedup, winnow
+from . import chat_fsm, chosen_path, language_id, packing, phrases, quality_knn, secret_scan, spelling, suffix_dedup, suffix_tree, token_rollup, tree_dedup, winnow
 from .common import read, shared_dir, stage
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,7 +95,34 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_knn, op2_winnowing, op3_token_rollup, op4_best_fit_packing, op5_chosen_path, op6_language_id, op7_secret_scan, op8_exact_dedup, op9_chat_format, op10_suffix_dedup)}
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document left without 20-word sequences that also
+    start earlier."""
+    out = suffix_tree.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "n_spans")
+
+
+def slipped(rows: DataFrame) -> DataFrame:
+    """The contract's typing errors: where 199 divides h, the CRC-32 of
+    ``<doc_id>:<word>``, the word loses its code point h % length."""
+    h = F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "word"))
+    at = (h % F.length("word")).cast("int")
+    cut = F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))
+    return rows.select(F.when(h % 199 == 0, cut).otherwise(F.col("word")).alias("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every frequent word of all documents."""
+    rows = slipped(spelling.runs(read(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.vocabulary(rows))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_knn, op2_winnowing, op3_token_rollup, op4_best_fit_packing, op5_chosen_path, op6_language_id, op7_secret_scan, op8_exact_dedup, op9_chat_format, op10_suffix_dedup, op11_suffix_tree, op12_spelling_variants, op13_phrase_mining)}
 
 _WORDS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -134,4 +161,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   bool_and(CASE WHEN prev IS NULL THEN role IN ('system', 'user') WHEN prev = 'system' THEN role = 'user' WHEN prev = 'user' THEN role = 'assistant'
     WHEN prev = 'assistant' THEN role = 'user' ELSE false END) AND bool_and(next IS NOT NULL OR role = 'assistant') AS valid
 FROM s GROUP BY conv_id""",
+    "op11_suffix_tree": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM d WHERE len(w) >= 20)),
+late AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n, count(*) FILTER (first) AS spans FROM (
+  SELECT doc_id, lag(i) OVER (PARTITION BY doc_id ORDER BY i) IS DISTINCT FROM i - 1 AS first FROM gone) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
+    "op13_phrase_mining": r"""
+WITH p AS (SELECT lang, row_number() OVER () AS id, piece FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM (
+  SELECT lang, a, w, s, unnest(range(1, k - s + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS s FROM c WHERE k > 2)) GROUP BY 1, 2),
+kept AS (SELECT best.* FROM best LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
