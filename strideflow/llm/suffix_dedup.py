@@ -35,7 +35,7 @@ LENGTH = 50
 GRAM = 24
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 16 << 20  # text whose hashes make up one bucket
-HOT_RUNS = 10_000  # runs from which a q-gram is in no bucket
+HOT_RUNS = 100_000  # runs from which a q-gram is in no bucket: its open runs would take half a GB in a task
 HOT_GRAMS = 1 << 20  # such q-grams at most: beyond, more runs are needed
 _LAST = np.iinfo(np.int64).max  # a null id comes after all others
 _SETTLED, _OPEN = 1, 2
@@ -291,6 +291,30 @@ def _send_open(length: int, gram: int, buckets: int, hot: np.ndarray):
     return run
 
 
+def equal_strings(data: np.ndarray, until: np.ndarray, where: np.ndarray, length: int) -> np.ndarray:
+    """Bucket of equal ``length`` bytes for each place of ``where``: bucket
+    pointers of the first 8 bytes, refined by sorting on the pointers of later
+    offsets.  Each round's pointers serve the next one at twice the depth, the
+    last at whatever offset makes up ``length``, so no hash decides.  ``until``
+    is the end of the text of each byte."""
+    depth = min(8, length)
+    value = np.zeros(len(data), np.uint64)
+    for j in range(depth):
+        value[: len(data) - j] = value[: len(data) - j] << np.uint64(8) | data[j:]
+    places = np.flatnonzero(np.arange(len(data)) + depth <= until)
+    pointer = np.zeros(len(data), np.int64)
+    pointer[places] = np.unique(value[places], return_inverse=True)[1]
+    while depth < length:
+        step = min(depth, length - depth)
+        places = where if depth + step == length else np.flatnonzero(np.arange(len(data)) + depth + step <= until)
+        # fewer than 2**31 buckets a group: two pointers make one number
+        pair = pointer[places] << 32 | pointer[places + step]
+        finer = np.zeros(len(data), np.int64)
+        finer[places] = np.unique(pair, return_inverse=True)[1]
+        pointer, depth = finer, depth + step
+    return pointer[where]
+
+
 def _refine_windows(length: int):
     """Last refinement: windows of the open runs with equal bytes."""
 
@@ -300,13 +324,12 @@ def _refine_windows(length: int):
         data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
         doc, at, size = (np.concatenate([h[i] for h in heads]).astype(np.int64) for i in range(3))
         source = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads])
-        total, q = _prefix(data)
         begin = np.cumsum(size) - size
         n = size - length + 1
         run_of = np.repeat(np.arange(len(n)), n)
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         where = begin[run_of] + inside
-        h = mix64((total[where + length] - total[where]) * q[where])
+        h = equal_strings(data, np.repeat(begin + size, size), where, length)
         who = doc[run_of]
         order = np.lexsort((who, h))
         new = _groups(h[order])
