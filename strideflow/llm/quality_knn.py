@@ -10,6 +10,8 @@ vote with their similarity as weight.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +73,19 @@ def _terms(text: str, key: str):
     return run
 
 
+def _fitted(dimensions: int):
+    """The model of all rows, in one task: they are a bounded sample."""
+
+    @task
+    def run(batches):
+        rows = sorted((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        terms = np.frombuffer(b"".join([t for _, t in rows]), np.float32).reshape(-1, TERMS)
+        model = Model(terms, np.array([int(k[-1]) for k, _ in rows]), dimensions)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(model))], pa.binary())], names=["model"])
+
+    return run
+
+
 class Model:
     """Latent space and labelled vectors; with one label or none it has no
     vectors and gives every text the same score."""
@@ -120,9 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     ids = chosen.select(doc_id).distinct()
     one = docs.select(doc_id, text).join(F.broadcast(ids), doc_id).groupBy(doc_id).agg(F.min(F.struct(F.xxhash64(text).alias("hash"), F.col(text).alias("text"))).alias("own"))
     rows = one.join(F.broadcast(chosen), doc_id).select(F.concat_ws("|", doc_id, "label").alias("key"), F.col("own.text").alias(text))
-    table = rows.mapInArrow(_terms(text, "key"), "key string, terms binary").toArrow().sort_by("key")  # bounded by the sample
-    terms = np.frombuffer(b"".join(table.column("terms").to_pylist()), np.float32).reshape(-1, TERMS)
-    return Model(terms, np.array([int(k[-1]) for k in table.column("key").to_pylist()]), dimensions)
+    fitted = rows.mapInArrow(_terms(text, "key"), "key string, terms binary").repartition(1).mapInArrow(_fitted(dimensions), "model binary").head()
+    model = Model.__new__(Model)
+    model.__dict__.update(pickle.loads(fitted[0]) if fitted else vars(Model(np.zeros((0, TERMS), np.float32), np.zeros(0), dimensions)))
+    return model
 
 
 def _score(sent, text: str, neighbours: int, sharpness: float):
