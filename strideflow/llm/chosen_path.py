@@ -151,13 +151,15 @@ def _blocks(text: str, size: int):
 
     @task
     def run(batches):
+        sent = set()  # of this task: rows may repeat
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             key, root, weight, count = (get(c).to_pylist() for c in ("set_key", "root", "weight", "count"))
             rows, grp, own, grams_of = [], [], [], []
             for r, grams in _sets_of(get(text), size):
-                if _key(grams) != key[r]:
-                    continue  # another text of the same id
+                if key[r] in sent:
+                    continue
+                sent.add(key[r])
                 many = -(-count[r] // BLOCK)
                 block = int.from_bytes(key[r][-4:], "big") % many
                 raw = grams.tobytes()
@@ -279,7 +281,9 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
     rows = stage(base.mapInArrow(_features("doc_id", "text", size), f"doc_id {kind}, text_hash bigint, n bigint, set_key binary, sig binary"), "features")
-    sets = stage(rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    # the row whose text stands for the set: by id and text, as ids may be null or repeat
+    where = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("at")
+    sets = stage(rows.filter("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), where, F.count("*").alias("weight"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
 
     leaves, links = _leaves(sets, threshold, runs)
     held = leaves.join(sets.select("set_key", "n", "sig"), "set_key")
@@ -288,8 +292,8 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     root = stage(components(found, "a", "b"), "candidates")
 
     counts = root.groupBy("root").agg(F.count("*").alias("count"))
-    members = stage(root.join(counts, "root").join(sets, F.col("node") == sets["set_key"]).select("root", "count", "set_key", "rep", "weight"), "members")
-    texts = base.select("doc_id", "text").join(_small(members), F.col("doc_id").eqNullSafe(F.col("rep"))).select("set_key", "root", "count", "weight", "text")
+    members = stage(root.join(counts, "root").join(sets, F.col("node") == sets["set_key"]).select("root", "count", "set_key", "at", "weight"), "members")
+    texts = base.join(_small(members), F.col("doc_id").eqNullSafe(F.col("at.id")) & (F.col("text_hash") == F.col("at.hash"))).select("set_key", "root", "count", "weight", "text")
     blocks = texts.mapInArrow(_blocks("text", size), "grp binary, block int, set_key binary, weight bigint, grams binary")
     pairs = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(threshold), "a binary, b binary, links bigint")
     pairs = stage(pairs, "links")
