@@ -35,20 +35,20 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def winnowed(h: np.ndarray, row: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minimum k-gram hashes of all windows inside a row, and
+    """Positions of the (rightmost) minimum k-gram hashes of all windows inside a row, and
     the hashes of all positions."""
     w = window - k + 1
     g = gram_hashes(h, k)
     n = len(g) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64), g
-    low = g[:n].copy()
-    for j in range(1, w):
-        np.minimum(low, g[j : j + n], out=low)
+    low, at = g[:n].copy(), np.arange(n)
+    for j in range(1, w):  # the rightmost minimum of each window
+        right = g[j : j + n] <= low
+        low, at = np.where(right, g[j : j + n], low), np.where(right, np.arange(j, j + n), at)
     whole = row[:n] == row[window - 1 : window - 1 + n]
     chosen = np.zeros(len(g), dtype=bool)
-    for j in range(w):
-        chosen[j : j + n] |= whole & (g[j : j + n] == low)
+    chosen[at[whole]] = True
     return np.flatnonzero(chosen), g
 
 
@@ -77,6 +77,8 @@ class Index:
                 kept.setdefault((str(name), b" ".join(w)), w)
         self.names = [name for name, _ in kept]
         self.words = list(kept.values())
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}))}
+        self.ids = [np.array([self.vocabulary[w] for w in own], dtype=np.int64) for own in self.words]
         self.short = sorted({len(w) for w in self.words if len(w) < window})
         h, row = word_hashes(*_joined([b" ".join(w) for w in self.words]))
         first = np.searchsorted(row, np.arange(len(self.words)))
@@ -91,24 +93,32 @@ class Index:
         order = np.argsort(fp, kind="stable")
         self.fp, self.item, self.place = fp[order], item[order], place[order]
 
-    def spans(self, words: list[bytes], seeds: list[tuple[int, int]]) -> tuple[list[tuple[int, int, str]]]:
-        """Extend hits ``(word position, index row)`` to whole shared spans of
-        a window or more: (first word, end, item name)."""
-        done, out = {}, []
-        for p, r in seeds:
-            item, q = int(self.item[r]), int(self.place[r])
-            own = self.words[item]
-            if done.get((item, p - q), -1) > p:
-                continue
-            a, b, n = p, q, min(self.window, len(own))
-            while a and b and words[a - 1] == own[b - 1]:
-                a, b = a - 1, b - 1
-            e, f = p, q
-            while e < len(words) and f < len(own) and words[e] == own[f]:
-                e, f = e + 1, f + 1
-            done[(item, p - q)] = e
-            if e - a >= n:
-                out.append((a, e, self.names[item]))
+    def spans(self, words: list[bytes], seeds: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+        """Extend hits ``(word position, first and last index row)`` to the
+        shared spans of a window or more, once for each diagonal of an item,
+        and unite them: (first word, end, item name)."""
+        marks: dict[int, np.ndarray] = {}
+        for p, lo, hi in seeds:
+            items, places = self.item[lo:hi], self.place[lo:hi]
+            for item in np.unique(items):
+                own = self.ids[item]
+                diagonals = marks.setdefault(int(item), np.zeros(len(words) + len(own), dtype=bool))
+                diagonals[p + len(own) - places[items == item]] = True
+        out, ids = [], np.array([self.vocabulary.get(w, -1) for w in words], dtype=np.int64)
+        for item, diagonals in marks.items():
+            own = self.ids[item]
+            n, cover = min(self.window, len(own)), np.zeros(len(ids) + 1, dtype=np.int64)
+            for shift in np.flatnonzero(diagonals) - len(own):
+                a, e = max(0, shift), min(len(ids), shift + len(own))
+                same = np.zeros(e - a + 2, dtype=bool)
+                same[1:-1] = ids[a:e] == own[a - shift : e - shift]
+                edge = np.flatnonzero(same[1:] != same[:-1]) + a
+                long = edge[1::2] - edge[::2] >= n
+                np.add.at(cover, edge[::2][long], 1)
+                np.add.at(cover, edge[1::2][long], -1)
+            inside = np.concatenate([[False], np.cumsum(cover) > 0])
+            edge = np.flatnonzero(inside[1:] != inside[:-1])
+            out += [(int(a), int(e), self.names[item]) for a, e in zip(edge[::2], edge[1::2], strict=True)]
         return out
 
 
@@ -158,10 +168,9 @@ def _scan(index: Index, text: str, drop: list[str]):
                 first = np.searchsorted(row, np.arange(j - i))
                 for x in hit:
                     r = int(row[at[x]])
-                    for y in range(int(lo[x]), int(np.searchsorted(index.fp, fp[x], side="right"))):
-                        seeds.setdefault(r, []).append((int(at[x] - first[r]), y))
+                    seeds.setdefault(r, []).append((int(at[x] - first[r]), int(lo[x]), int(np.searchsorted(index.fp, fp[x], side="right"))))
                 for r, own in seeds.items():
-                    if spans := index.spans(words_of(col[i + r].as_py()), sorted(own)):
+                    if spans := index.spans(words_of(col[i + r].as_py()), own):
                         found[i + r] = spans
             yield _result(batch, drop, n_words, found)
 
@@ -196,8 +205,8 @@ def _verify(window: int, k: int):
                 index = Index([(x["item_id"], x["text"]) for x in own], window, k)
                 h, row = word_hashes(*_joined([b" ".join(words)]))
                 at, fp = fingerprints(h, row, window, k, index.short)
-                seeds = [(int(p), y) for p, f in zip(at, fp, strict=True) for y in range(int(np.searchsorted(index.fp, f)), int(np.searchsorted(index.fp, f, side="right")))]
-                if spans := index.spans(words, sorted(seeds)):
+                lo, hi = np.searchsorted(index.fp, fp), np.searchsorted(index.fp, fp, side="right")
+                if spans := index.spans(words, [(int(at[x]), int(lo[x]), int(hi[x])) for x in np.flatnonzero(hi > lo)]):
                     found[i] = spans
             yield _result(batch, ["text", "cand"], n_words, found)
 
