@@ -217,3 +217,33 @@ def test_hot_grams_are_in_no_bucket_and_repeats_equal_brute_force(spark):
     sent = suffix_dedup._send_runs(50, 24, 16, hot)(table).column("runs").to_pylist()
     most = max(np.unique(suffix_dedup._unpacked(r, 5, 6, 4)[0], return_counts=True)[1].max() for r in sent)
     assert len(hot) and most < 60 < len(suffix_dedup._hot_runs(50, 24, 16, hot)(table))
+
+
+def test_null_ids_join_by_set(spark):
+    """Rows without an id meet their own set only."""
+    from llm_cases import frame
+
+    from strideflow.llm import chosen_path
+
+    base = [" ".join(f"n{i}w{j}" for j in range(60)) for i in range(30)]
+    rows = [(None, t) for t in base] + [(None, t + " more") for t in base] + [(None, base[0])] * 5
+    out = chosen_path.similar_classes(frame(spark, rows))
+    assert sorted((r.class_id, r.class_size, r.n_links) for r in out.collect()) == sorted([(None, 7, 6)] * 7 + [(None, 2, 1)] * 58, key=str)
+
+
+def test_bucket_pointers_compare_bytes(spark):
+    import numpy as np
+
+    from strideflow.llm.suffix_dedup import equal_strings
+
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[2000:2200] = data[100:300]
+    until = np.repeat([1500, 4000], [1500, 2500])
+    for length in (5, 8, 9, 16, 50):
+        where = np.flatnonzero(np.arange(4000) + length <= until)
+        got = equal_strings(data, until, where, length)
+        classes = {}
+        for w, g in zip(where, got, strict=True):
+            classes.setdefault(data[w : w + length].tobytes(), set()).add(int(g))
+        assert all(len(g) == 1 for g in classes.values()) and len({next(iter(g)) for g in classes.values()}) == len(classes)

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on their own inputs."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_group_operators import brute_classes, brute_exact
 from test_text_operators import brute_hits
 
@@ -37,10 +38,21 @@ def test_stages_are_in_order_and_registered(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontamination", "packing"]
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     numbers = {k.split("_")[0] for k in entry.queries() if k.startswith("op")}
-    assert numbers == {f"op{i}" for i in range(1, 11)}
+    assert numbers == {f"op{i}" for i in range(1, 14)}
 
 
 def test_rare_tables_without_rows(spark):
     docs = read(spark, SF, "documents").limit(0)
     for _, step in corpus_pipeline.STAGES:
         assert step(spark, docs, SF).count() == 0
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    from llm_cases import CLASHES
+
+    docs = read(spark, SF, "documents").limit(60).withColumns({c: F.lit(f"mine {c}") for c in (*CLASHES, "n_hit", "items_sha256", "contaminated", "held_out")})
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")}))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        assert all(r[c] == f"mine {c}" for r in out.collect() for c in (*CLASHES, "n_hit", "items_sha256", "contaminated", "held_out"))

@@ -248,8 +248,8 @@ def test_a_phrase_is_counted_for_one_cycle_from_its_activation(spark, monkeypatc
 
     monkeypatch.setattr(phrases, "_count", noted)
     df = spark.createDataFrame([("en", "one two three four " * 50)] * 40, "lang string, text string").repartition(1)
-    found, total = phrases.frequent_phrases(df, least=30, shards=4)
-    got = {r.phrase: r.f for r in found.collect()}
+    _, named, total = phrases.frequent_phrases(df, least=30, shards=4)
+    got = {r.phrase: r.f for r in named.collect()}
     assert got["one two three four"] == 2000 and got["four one"] == 40 * 49 and [tuple(r) for r in total.collect()] == [("en", 8000)]
     assert len(seen) == 7  # words from step 0, pairs from 1, triples from 2, fours from 3: not four cycles
 

@@ -321,3 +321,20 @@ def test_host_prior_decides_pages_without_text(spark):
     made = [(i, "http://one.example.com/", "<p>der die und das der die und</p>") for i in range(30)] + [(99, "http://one.example.com/z", "")]
     got = {r.page_id: r.lang for r in language_id.identify(spark.createDataFrame(made, "page_id long, url string, html string"), docs).collect()}
     assert got[99] == "de"
+
+
+def test_repeated_words_are_extended_once_a_diagonal(spark):
+    """20,000 and 800 times the same word: one span, in little time."""
+    import time
+
+    from strideflow.llm.winnow import Index, fingerprints, words_of
+    from strideflow.llm.common import word_hashes
+
+    index = Index([("i", "same " * 800)], 10, 5)
+    text = "same " * 20000
+    h, row = word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    start = time.perf_counter()
+    at, fp = fingerprints(h, row, 10, 5, [])
+    lo, hi = np.searchsorted(index.fp, fp), np.searchsorted(index.fp, fp, side="right")
+    spans = index.spans(words_of(text), [(int(at[x]), int(lo[x]), int(hi[x])) for x in np.flatnonzero(hi > lo)])
+    assert spans == [(0, 20000, "i")] and time.perf_counter() - start < 10
