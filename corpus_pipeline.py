@@ -11,10 +11,19 @@ from strideflow.llm.common import read, stage
 from strideflow.llm.queries import TOKENIZER
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with neutral names, so that no column is taken for a result."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"__column{i}" for i, c in enumerate(docs.columns)])
+
+
+def _named(out: DataFrame, like: DataFrame) -> DataFrame:
+    return out.select(*_plain(like).columns).toDF(*like.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    out = quality_knn.score(docs, read(spark, sf_dir, "labels"))
-    return out.filter("predicted = 1").select(*docs.columns)
+    out = quality_knn.score(_plain(docs), read(spark, sf_dir, "labels"))
+    return _named(out.filter("predicted = 1"), docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    out = winnow.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep_text=True)
-    return out.filter(~F.col("contaminated")).select(*docs.columns)
+    out = winnow.decontaminate(_plain(docs), read(spark, sf_dir, "benchmark"), keep_text=True)
+    return _named(out.filter(~F.col("contaminated")), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
