@@ -30,7 +30,7 @@ pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideflow.operators.frames import CHUNK_KEYS, absolute_frames, drop_ball, with_chunks
@@ -59,6 +59,22 @@ RUN_COLUMNS = [
 PIECE_KEYS = ["player_id", "game_id", "period_id", "_chunk", "_local"]
 
 
+def piece_measures() -> list[Column]:
+    """Partial aggregates of the frames of a run."""
+    return [
+        F.min("frame_id").alias("start_frame_id"),
+        F.max("frame_id").alias("end_frame_id"),
+        F.count(F.lit(1)).alias("n_frames"),
+        F.max("speed_kmh").alias("peak_speed_kmh"),
+        F.sum(F.col("speed_kmh").cast("double")).alias("speed_sum"),
+        F.max("vmax_kmh").alias("vmax_kmh"),
+        F.min_by("x", "frame_id").alias("start_x"),
+        F.min_by("y", "frame_id").alias("start_y"),
+        F.max_by("x", "frame_id").alias("end_x"),
+        F.max_by("y", "frame_id").alias("end_y"),
+    ]
+
+
 def run_pieces(flagged: DataFrame, chunk_frames: int) -> DataFrame:
     """Partial run aggregates per (player, game, period, chunk, chunk-local
     run number ``_local``); ``_local`` = 0 marks frames that continue a run
@@ -74,19 +90,7 @@ def run_pieces(flagged: DataFrame, chunk_frames: int) -> DataFrame:
         .withColumn("_local", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .filter(~F.col("_carry"))
     )
-    pieces = local.groupBy("_part", *PIECE_KEYS).agg(
-        F.min("frame_id").alias("start_frame_id"),
-        F.max("frame_id").alias("end_frame_id"),
-        F.count(F.lit(1)).alias("n_frames"),
-        F.max("speed_kmh").alias("peak_speed_kmh"),
-        F.sum(F.col("speed_kmh").cast("double")).alias("speed_sum"),
-        F.max("vmax_kmh").alias("vmax_kmh"),
-        F.min_by("x", "frame_id").alias("start_x"),
-        F.min_by("y", "frame_id").alias("start_y"),
-        F.max_by("x", "frame_id").alias("end_x"),
-        F.max_by("y", "frame_id").alias("end_y"),
-    )
-    return pieces.drop("_part")
+    return local.groupBy("_part", *PIECE_KEYS).agg(*piece_measures()).drop("_part")
 
 
 def merge_pieces(pieces: DataFrame, by_period: bool) -> DataFrame:
@@ -141,7 +145,7 @@ def _finish(runs: DataFrame, params: EffortParams, relative: bool) -> DataFrame:
     )
 
 
-def _flagged_projection(df: DataFrame, with_vmax: bool) -> DataFrame:
+def _flagged_projection(df: DataFrame, with_vmax: bool, *more: str) -> DataFrame:
     return df.select(
         "player_id",
         "game_id",
@@ -152,6 +156,7 @@ def _flagged_projection(df: DataFrame, with_vmax: bool) -> DataFrame:
         (F.col("vmax_kmh") if with_vmax else F.lit(None).cast("double")).alias("vmax_kmh"),
         "x",
         "y",
+        *more,
     )
 
 
@@ -205,6 +210,18 @@ def run_counts_from_pieces(pieces: DataFrame, params: EffortParams = PROD) -> Da
     )
 
 
+def run_counts_by_game(pieces: DataFrame, params: EffortParams = PROD) -> DataFrame:
+    """Runs per (player, game) without the period split: R3's state, which
+    sums over games."""
+    runs = merge_pieces(pieces, by_period=False).filter(F.col("n_frames") >= params.min_run_frames)
+    return runs.groupBy("player_id", "game_id").agg(F.count(F.lit(1)).alias("runs_absolute"))
+
+
+def run_counts_from_games(by_game: DataFrame) -> DataFrame:
+    """R3 from ``run_counts_by_game``."""
+    return by_game.groupBy("player_id").agg(F.sum("runs_absolute").alias("runs_absolute"), F.count(F.lit(1)).alias("n_games_absolute"))
+
+
 def extract_effort_runs(tagged: DataFrame, params: EffortParams = PROD) -> DataFrame:
     """Runs of relative-effort frames (``is_effort_frame``)."""
     return runs_from_pieces(effort_run_pieces(tagged, params), params, relative=True)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strideflow.functions.positions import with_position_columns
 from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
+from strideflow.operators import sweep as sw
 from strideflow.operators import tables as tb
 from strideflow.params import LIB, PROD, EffortParams
 from strideflow.plans import fixture
@@ -117,6 +118,11 @@ class EffortModel:
     def runs(self) -> DataFrame:
         return self._stage(ru.runs_from_pieces(self.run_pieces, self.params, relative=True), "runs")
 
+    @cached_property
+    def sweep_pieces(self) -> DataFrame:
+        """Run pieces at every slider threshold, from one pass over frames."""
+        return self._stage(sw.sweep_pieces(self.speeds, self.vmax, params=self.params), "sweep_pieces")
+
     @cached_property
     def absolute_pieces(self) -> DataFrame:
         """Flat-limit run pieces, shared by the absolute runs and counts."""
@@ -148,11 +154,12 @@ class EffortModel:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return tb.summarise_players(self.runs, self.vmax, self.player_lookup)
+        """Stored once, like the job's gold table; so is ``comparison``."""
+        return self._stage(tb.summarise_players(self.runs, self.vmax, self.player_lookup), "player_summary")
 
     @cached_property
     def comparison(self) -> DataFrame:
-        return tb.compare_definitions(self.vmax, self.runs, self.absolute_counts, self.player_lookup)
+        return self._stage(tb.compare_definitions(self.vmax, self.runs, self.absolute_counts, self.player_lookup), "comparison")
 
     # --- dashboard inputs (the exported CSVs + position columns) ------------
     @cached_property

@@ -797,5 +797,30 @@ def stable_round(sql: str) -> str:
         i = end
 
 
+BODIES["sweep_runs"] = f""", tsw AS (
+  SELECT s.game_id, s.frame_id, s.period_id, s.timestamp, s.x, s.y, s.speed_kmh, s.vmax_kmh,
+         CAST(t.threshold_pct AS VARCHAR) || '|' || s.player_id AS player_id
+  FROM tagged s CROSS JOIN sweep_t t
+  WHERE s.player_id <> 'ball' AND NOT s.low_confidence AND s.speed_kmh IS NOT NULL
+    AND CAST(s.speed_kmh AS DOUBLE) >= round(s.vmax_kmh * t.threshold_pct, 2)
+),
+{_run_chain("_sw", "tsw", "true", "vmax_kmh")}
+swr AS (SELECT {RUN_COLS} FROM runs_all_sw WHERE n_frames >= 25)
+SELECT * REPLACE (split_part(player_id, '|', 2) AS player_id), CAST(split_part(player_id, '|', 1) AS DOUBLE) AS threshold_pct FROM swr"""
+COLUMNS["sweep_runs"] = _RUN + " threshold_pct"
+BODIES["vmax_sketch"] = "SELECT player_id, frame_count, true AS within_bound FROM vm"
+COLUMNS["vmax_sketch"] = "s player_id, l frame_count, b within_bound"
+
+# the store's tables after its batches are those of all games at once
+for _key, _same in {
+    "store_runs": "relative_runs",
+    "store_vmax": "vmax_exact",
+    "store_tagged_frames": "tagged_frames",
+    "store_comparison": "definition_comparison",
+    "store_summary": "player_summary",
+}.items():
+    BODIES[_key], COLUMNS[_key] = BODIES[_same], COLUMNS[_same]
+
+
 def oracle_sql() -> dict[str, str]:
     return {k: stable_round(_normalised(BODIES[k], _schema(COLUMNS[k]))) for k in BODIES}

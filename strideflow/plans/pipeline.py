@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideflow.functions.numeric import rnd, safe_ratio
@@ -102,28 +102,33 @@ def run_job(
     matches_b = store("match_metadata", matches)
 
     # silver: the frame window runs once, into a stage table that v-max is
-    # taken from; the stored frames have their flag and are counted on the way
-    speeds = materialize(fr.compute_speed(fr.drop_ball(bronze), params), "speeds")
-    no_frames = speeds.isEmpty()
-    vmax = store("vmax_per_player", fr.compute_vmax(speeds, params))
-    seen = Observation("silver")
-    tagged = fr.tag_effort_frames(speeds, vmax)
-    counted = tagged.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if("is_effort_frame").alias("effort"))
-    io.write_table(counted, paths["tracking_silver"], **per_game)
-    silver = io.read_table(spark, paths["tracking_silver"], schema=tagged.schema, fmt=fmt)
-
-    # gold: one scan of silver gives the run pieces of both definitions
-    plk = tb.player_lookup(players_b, tb.team_lookup(matches_b))
-    pieces = materialize(ru.both_run_pieces(silver, params), "run_pieces")
-    runs = ru.runs_from_pieces(ru.pieces_of(pieces, "relative"), params, relative=True)
-    runs_g = store("runs", tb.enrich_runs(runs, plk, matches_b), partition_by=["game_id"])
-    abs_counts = store("absolute_runs", ru.run_counts_from_pieces(ru.pieces_of(pieces, "absolute"), params))
-    gold = {
-        "runs": runs_g,
-        "comparison": store("comparison", tb.compare_definitions(vmax, runs_g, abs_counts, plk)),
-        "player_summary": store("player_summary", tb.summarise_players(runs_g, vmax, plk)),
-    }
-    drop_stages(speeds, pieces)
+    # taken from; the stored frames have their flag
+    stages = []
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        stages.append(materialize(df, name))
+        return stages[-1]
+
+    try:
+        speeds = staged(fr.compute_speed(fr.drop_ball(bronze), params), "speeds")
+        vmax = store("vmax_per_player", fr.compute_vmax(speeds, params))
+        tagged = fr.tag_effort_frames(speeds, vmax)
+        io.write_table(tagged, paths["tracking_silver"], **per_game)
+        silver = io.read_table(spark, paths["tracking_silver"], schema=tagged.schema, fmt=fmt)
+
+        # gold: one scan of silver gives the run pieces of both definitions
+        plk = tb.player_lookup(players_b, tb.team_lookup(matches_b))
+        pieces = staged(ru.both_run_pieces(silver, params), "run_pieces")
+        runs = ru.runs_from_pieces(ru.pieces_of(pieces, "relative"), params, relative=True)
+        runs_g = store("runs", tb.enrich_runs(runs, plk, matches_b), partition_by=["game_id"])
+        abs_counts = store("absolute_runs", ru.run_counts_from_pieces(ru.pieces_of(pieces, "absolute"), params))
+        gold = {
+            "runs": runs_g,
+            "comparison": store("comparison", tb.compare_definitions(vmax, runs_g, abs_counts, plk)),
+            "player_summary": store("player_summary", tb.summarise_players(runs_g, vmax, plk)),
+        }
+    finally:
+        drop_stages(*stages)
 
     if export_dir:
         target = export_dir.rstrip("/")
@@ -132,8 +137,8 @@ def run_job(
         io.export_csv(matches_b.select(*EXPORTED_MATCH), f"{target}/match_metadata", order_by=["date", "game_id"], single_file=export_single)
 
     bronze_audit = bronze.groupBy("game_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count_distinct("player_id").alias("n_players"))
-    counts = (0, 0) if no_frames else (seen.get["total"], seen.get["effort"])  # an empty plan observes nothing
-    found = spark.createDataFrame([counts], "total_frames long, effort_frames long")
+    # counted from the written table, where a repeated task has left its rows once
+    found = silver.agg(F.count(F.lit(1)).alias("total_frames"), F.count_if("is_effort_frame").alias("effort_frames"))
     silver_audit = found.withColumn("effort_pct", rnd(safe_ratio(F.col("effort_frames"), F.col("total_frames")) * 100, 2))
     rows = [df.agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("rows")) for name, df in gold.items()]
     gold_audit = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("audited_at", F.current_timestamp())

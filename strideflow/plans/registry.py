@@ -7,6 +7,7 @@ as bigint, float/double columns rounded to 6 dp as double.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,16 @@ from pyspark.sql import types as T
 from strideflow.functions.positions import with_position_columns
 from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
+from strideflow.operators import sweep as sw
 from strideflow.operators import tables as tb
+from strideflow.operators import vmax_state as vs
 from strideflow.params import LIB, PROD, FilterSpec
 from strideflow.plans import explore as ex
 from strideflow.plans import gold, phases
 from strideflow.plans.model import EffortModel
 from strideflow.plans.pipeline import effort_pipeline
+from strideflow.plans.store import GameStore
+from strideflow.session import delete_folder, ensure_checkpoint_dir
 from strideflow.sources import tracking as src
 
 INGEST_STAMP = "2022-12-18T00:00:00+00:00"
@@ -59,10 +64,34 @@ def _m(spark: SparkSession, sf_dir: str) -> EffortModel:
 
 def close_models() -> None:
     """Remove all stage tables that the queries have written."""
+    while _STORES:
+        store = _STORES.popitem()[1]
+        delete_folder(store.spark, store.root.rsplit("/", 1)[0])
     while _MODELS:
         _MODELS.popitem()[1].close()
 
 
+_STORES: dict[int, GameStore] = {}
+
+
+def _store(m: EffortModel) -> GameStore:
+    """A store of the folder's games that has got them in batches: four games
+    in five, then the rest, these again frame by frame, and one game removed
+    and brought back."""
+    if id(m) not in _STORES:
+        store = GameStore(m.spark, f"{ensure_checkpoint_dir(m.spark)}/strideflow-tables/{uuid.uuid4().hex}/store", m.params)
+        frames = m.tracking
+        late = F.pmod(F.xxhash64("game_id"), F.lit(5)) == 0
+        store.apply(frames.filter(~late))
+        store.apply(frames.filter(late))
+        store.apply(frames.filter(late), merge_frames=True)
+        some = frames.agg(F.min("game_id")).head()[0]
+        store.apply(removed=[some])
+        store.apply(frames.filter(F.col("game_id") == some))
+        _STORES[id(m)] = store
+    return _STORES[id(m)]
+
+
 def _stored(df: DataFrame) -> str:
     """The folder of a stage table."""
     return df.inputFiles()[0].rsplit("/", 1)[0]
@@ -122,6 +151,9 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "vmax_exact": lambda m: m.vmax,
     "vmax_per_game": lambda m: fr.compute_vmax(m.speeds, m.params.with_(vmax_per_game=True)),
     "vmax_approx": lambda m: fr.compute_vmax_approx(m.speeds, m.params),
+    "vmax_sketch": lambda m: vs.rank_errors(
+        vs.vmax_from_sketches(vs.sketches(m.speeds), m.params.vmax_percentile), vs.values(m.speeds), m.params.vmax_percentile
+    ).select("player_id", "frame_count", "within_bound"),
     "relative_threshold": lambda m: m.vmax.select("player_id", "vmax_kmh", "speed_threshold_kmh"),
     "tagged_frames": lambda m: m.silver.select(
         "player_id", "game_id", "frame_id", "speed_kmh", "speed_threshold_kmh", "low_confidence", "is_effort_frame"
@@ -140,6 +172,7 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
         )
     ),
     "runs_enriched": lambda m: m.runs_enriched,
+    "sweep_runs": lambda m: sw.sweep_runs(m.sweep_pieces, params=m.params),
     # --- tables --------------------------------------------------------------------
     "player_summary_lib": lambda m: (lambda l: tb.summarise_players_lib(l.runs, l.vmax))(m.lib()),
     "player_summary": lambda m: m.summary,
@@ -151,6 +184,14 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "games_per_player": lambda m: tb.games_per_player(m.runs),
     "team_lookup": lambda m: m.teams,
     "player_lookup": lambda m: m.player_lookup,
+    # --- the store, after several batches -------------------------------------------
+    "store_runs": lambda m: _store(m).table("runs"),
+    "store_vmax": lambda m: _store(m).vmax,
+    "store_tagged_frames": lambda m: _store(m).table("silver").select(
+        "player_id", "game_id", "frame_id", "speed_kmh", "speed_threshold_kmh", "low_confidence", "is_effort_frame"
+    ),
+    "store_comparison": lambda m: _store(m).gold(m.players_bronze, m.matches)["comparison"],
+    "store_summary": lambda m: _store(m).gold(m.players_bronze, m.matches)["player_summary"],
     "effort_pipeline": lambda m: effort_pipeline(m.tracking, LIB)[2],
     "bronze_audit": lambda m: m.tracking.groupBy("game_id").agg(
         F.count(F.lit(1)).alias("n_frames"), F.count_distinct("player_id").alias("n_players")

@@ -3,7 +3,9 @@ mode switch, table reads, CSV export and CSV scan with optional files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,29 @@ def write_mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "append"
 
 
+FILE_FORMATS = ("parquet", "orc", "json", "csv", "avro")
+
+
+def _replace(spark: SparkSession, writer: DataFrameWriter, path: str) -> None:
+    """Write beside ``path``, then put the new folder in its place."""
+    base, mark = path.rstrip("/"), uuid.uuid4().hex
+    new, old = f"{base}.new-{mark}", f"{base}.old-{mark}"
+    try:
+        writer.mode("error").save(new)
+    except Exception:
+        delete_folder(spark, new)
+        raise
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = fs.exists(hadoop(base))
+    if had and not fs.rename(hadoop(base), hadoop(old)):
+        raise OSError(f"cannot move {base}")
+    if not fs.rename(hadoop(new), hadoop(base)):
+        raise OSError(f"cannot move {new}")
+    if had:
+        delete_folder(spark, old)
+
+
 def write_table(
     df: DataFrame,
     path: str,
@@ -24,20 +49,25 @@ def write_table(
     only: list[str] | None = None,
     fmt: str = "parquet",
 ) -> None:
-    """Write a table.  An overwrite replaces all of it.
+    """Write a table.  An overwrite replaces all of it: the new table
+    is written beside the old one and takes its place when it is whole, so a
+    job that stops half way leaves the old table as it was (formats with their
+    own commits, such as Delta, overwrite in place).
 
     ``only`` reloads the listed values of a single partition column: their
     partitions are replaced, or removed if ``df`` has no rows of them, and all
     others stay.  Rows are rebalanced on the partition columns first, so small
     partitions share a task and a large one is split over several.
     """
-    if not partition_by:
-        df.write.format(fmt).mode(write_mode(overwrite)).save(path)
-        return
-    out = df.hint("rebalance", *partition_by)
+    out = df.hint("rebalance", *partition_by) if partition_by else df
     if only is None:
-        w = out.write.format(fmt).mode(write_mode(overwrite)).option("partitionOverwriteMode", "static")
-        w.partitionBy(*partition_by).save(path)
+        w = out.write.format(fmt).option("partitionOverwriteMode", "static")
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        if overwrite and fmt in FILE_FORMATS:
+            _replace(df.sparkSession, w, path)
+        else:
+            w.mode(write_mode(overwrite)).save(path)
         return
     (key,) = partition_by
     kept = out.filter(F.col(key).cast("string").isin(only))
