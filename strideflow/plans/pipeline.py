@@ -1,7 +1,7 @@
 """End-to-end plans.
 
 * ``effort_pipeline`` (G9): frames -> (v-max, runs, player summary), the
-  library entry point, fully lazy.
+  library entry point.
 * ``run_job``: the bronze -> silver -> gold batch job.  Each layer is written
   once (Parquet by default; any format on the class path via ``fmt``) and
   read back by the next, which cuts lineage at the layer boundary: a lost
@@ -39,20 +39,27 @@ EXPORTED_MATCH = (
 )
 
 
-def effort_pipeline(tracking: DataFrame, params: EffortParams = LIB) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Speed -> v-max -> tag -> runs -> library summary."""
-    speeds = fr.compute_speed(tracking, params)
-    vmax = fr.compute_vmax(speeds, params)
-    runs = ru.extract_effort_runs(fr.tag_effort_frames(speeds, vmax), params)
+def effort_pipeline(tracking: DataFrame, params: EffortParams = LIB, stage=materialize) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Speed -> v-max -> tag -> runs -> library summary.  Speeds, v-max
+    and run pieces are read by several branches, so each is a stage table;
+    with ``stage=None`` the plan is lazy and derives the speeds in each."""
+    keep = stage or (lambda df, name: df)
+    speeds = keep(fr.compute_speed(tracking, params), "speeds")
+    vmax = keep(fr.compute_vmax(speeds, params), "vmax")
+    pieces = keep(ru.effort_run_pieces(fr.tag_effort_frames(speeds, vmax), params), "run_pieces")
+    runs = ru.runs_from_pieces(pieces, params, relative=True)
     return vmax, runs, tb.summarise_players_lib(runs, vmax)
 
 
-def compare_from_frames(frames: DataFrame, params: EffortParams = LIB) -> DataFrame:
+def compare_from_frames(frames: DataFrame, params: EffortParams = LIB, stage=materialize) -> DataFrame:
     """G3 straight from frames; speeds are computed if they are absent."""
-    speeds = frames if "speed_kmh" in frames.columns else fr.compute_speed(frames, params)
-    vmax = fr.compute_vmax(speeds, params)
-    relative = ru.extract_effort_runs(fr.tag_effort_frames(speeds, vmax), params)
-    return tb.compare_definitions_lib(vmax, relative, ru.extract_absolute_runs(speeds, params), params.threshold_pct)
+    keep = stage or (lambda df, name: df)
+    speeds = frames if "speed_kmh" in frames.columns else keep(fr.compute_speed(frames, params), "speeds")
+    vmax = keep(fr.compute_vmax(speeds, params), "vmax")
+    pieces = keep(ru.both_run_pieces(fr.tag_effort_frames(speeds, vmax), params), "run_pieces")
+    relative = ru.runs_from_pieces(ru.pieces_of(pieces, "relative"), params, relative=True)
+    absolute = ru.runs_from_pieces(ru.pieces_of(pieces, "absolute"), params, relative=False)
+    return tb.compare_definitions_lib(vmax, relative, absolute, params.threshold_pct)
 
 
 @dataclass

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideflow.schema import TRACKING
+from strideflow.session import materialize
 
 # Fixed value: suffix of the vendor's per-game raw files.
 RAW_SUFFIX = r"\.jsonl\.bz2$"
@@ -65,10 +66,15 @@ _GAME = r"\.(jsonl|json)(\.bz2|\.gz)?$"
 
 
 _UNREAD = "the file could not be read"
+_PACKED = r"\.(bz2|gz)$"
+_CODEC = r"\.(bz2|gz|deflate|lz4|snappy|zst|zstd)$"  # suffixes that the text reader unpacks
+_BLOCK = 4 << 20  # unpacked text that a task holds at once
 
 
-def _tested(batches):
-    """(path, content) -> the paths, and why the content does not unpack ('' if it does)."""
+def _unpacked(batches):
+    """(path, content) of compressed files -> their lines, or one row with the
+    reason why a file does not unpack.  A file is tested to its end before its
+    first line leaves, so a broken one gives no lines."""
     import bz2
     import gzip
     import io
@@ -76,65 +82,81 @@ def _tested(batches):
 
     import pyarrow as pa
 
+    def opened(path, content):
+        return (bz2 if path.endswith(".bz2") else gzip).open(io.BytesIO(content))
+
+    def rows(path, lines, error=None):
+        cols = [pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string()), pa.array([error] * len(lines), pa.string())]
+        return pa.RecordBatch.from_arrays(cols, names=["path", "value", "file_error"])
+
     for batch in batches:
-        out = []
-        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            error = ""
+        for path, content in zip(*(batch.column(i) for i in (0, 1)), strict=True):
+            path, content = path.as_py(), content.as_py()
             try:
-                with (bz2 if path.endswith(".bz2") else gzip).open(io.BytesIO(content)) as f:
-                    while f.read(1 << 20):
+                with opened(path, content) as f:
+                    while f.read(_BLOCK):
                         pass
             except (OSError, EOFError, ValueError, zlib.error) as e:
-                error = f"{type(e).__name__}: {e}"
-            out.append((path, error))
-        cols = [pa.array([x[i] for x in out], pa.string()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays(cols, names=["path", "error"])
-
-
-_PACKED = r"\.(bz2|gz)$"
-_CODEC = r"\.(bz2|gz|deflate|lz4|snappy|zst|zstd)$"  # suffixes that the text reader unpacks
-
+                yield rows(path, [None], f"{type(e).__name__}: {e}")
+                continue
+            with opened(path, content) as f:
+                while lines := f.readlines(_BLOCK):
+                    yield rows(path, [x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines])
 
-def unreadable_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, error) of the files that cannot be read whole: compressed files
-    that do not unpack, and plain files of which the text reader gives fewer
-    bytes than they have.  A task holds one compressed game at a time."""
 
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, size, file_error): the lines of all files, each file
+    opened once.  ``size`` is the line's bytes in a plain file."""
     file_path = F.col("_metadata.file_path")
 
     def load(fmt, **options):
-        return spark.read.format(fmt).options(recursiveFileLookup="true", **options).load(path)
+        return spark.read.format(fmt).options(recursiveFileLookup="true", ignoreCorruptFiles="true", **options).load(path)
 
-    listed = load("binaryFile").select(file_path.alias("path"), "length")  # opens no file
-    packed = load("binaryFile", ignoreCorruptFiles="true").filter(file_path.rlike(_PACKED)).select(file_path.alias("path"), "content")
-    tested = packed.mapInArrow(_tested, "path string, error string")
-    lines = load("text", ignoreCorruptFiles="true", lineSep="\n").filter(~file_path.rlike(_CODEC)).select(file_path.alias("path"), F.octet_length("value").alias("n"))
-    found = lines.groupBy("path").agg((F.sum("n") + F.count(F.lit(1))).alias("n"))  # the last line may have no end
-    lost = F.col("length") - F.coalesce("n", F.lit(0))
-    of_packed = listed.filter(F.col("path").rlike(_PACKED)).join(tested, "path", "left").select("path", F.coalesce("error", F.lit(_UNREAD)).alias("error"))
-    of_plain = listed.filter(~F.col("path").rlike(_CODEC)).join(found, "path", "left")
-    of_plain = of_plain.filter(~lost.isin(-1, 0, 2, 3)).select("path", F.concat(lost.cast("string"), F.lit(" of "), F.col("length").cast("string"), F.lit(" bytes could not be read")).alias("error"))
-    return of_packed.filter("error != ''").unionByName(of_plain)
+    plain = load("text", lineSep="\n").filter(~file_path.rlike(_PACKED))
+    # what other codecs unpack cannot be compared with the file's length
+    size = F.when(~file_path.rlike(_CODEC), F.octet_length("value"))
+    plain = plain.select(file_path.alias("path"), "value", size.alias("size"), F.lit(None).cast("string").alias("file_error"))
+    packed = load("binaryFile").filter(file_path.rlike(_PACKED)).select(file_path.alias("path"), "content")
+    lines = packed.mapInArrow(_unpacked, "path string, value string, file_error string")
+    return plain.unionByName(lines.withColumn("size", F.lit(None).cast("int")))
 
 
 def read_tracking_json(spark: SparkSession, path: str, schema: T.StructType = TRACKING) -> tuple[DataFrame, DataFrame]:
     """Read long-layout JSON lines so that one broken game never stops
-    the others.  Returns (rows, rejects by file): rows that do not parse are
-    rejected one by one; a file that cannot be read whole is rejected whole.
-    The unreadable files are found first and left out by their full path; an
-    error in reading any other file is raised.  No rows are stored: both
-    outputs parse the text they need."""
+    the others.  Returns (rows, rejects by file with the full path): rows that
+    do not parse are rejected one by one; a file that cannot be read whole is
+    rejected whole.
+
+    Every file is opened once: its parsed lines go to a stage table in the
+    shared folder, of which both outputs are made.  A file is whole if it
+    unpacks to its end, or if the lines of a plain file have as many bytes as
+    the listing says.  The list of broken files stays a table, whatever its
+    length.
+    """
     record = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType(), True)])
-    file_path = F.col("_metadata.file_path")
-    broken = [tuple(r) for r in unreadable_files(spark, path).collect()]  # a row a broken file
-    lines = spark.read.options(recursiveFileLookup="true", ignoreCorruptFiles="false").text(path).withColumn("path", file_path)
-    if broken:
-        lines = lines.filter(~file_path.isin([p for p, _ in broken]))  # prunes the files themselves
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = lines.filter(F.trim("value") != "").select("path", F.from_json("value", record, options).alias("r"))
-    good = parsed.filter("r._corrupt_record is null").select("r.*").drop("_corrupt_record")
-    bad = parsed.filter("r._corrupt_record is not null").groupBy("path").agg(F.count(F.lit(1)).alias("bad_rows"), F.min("r._corrupt_record").alias("error"))
-    whole = spark.createDataFrame(broken, "path string, error string")
-    rejects = bad.unionByName(whole.select("path", F.lit(None).cast("long").alias("bad_rows"), "error"))
+    blank = F.col("value").isNull() | (F.trim("value") == "")
+    parsed = _raw_lines(spark, path).select("path", "size", "file_error", blank.alias("blank"), F.from_json(F.when(~blank, F.col("value")), record, options).alias("r"))
+    lines = materialize(parsed, "raw_lines")
+    wrong = F.col("r._corrupt_record")
+    files = lines.groupBy("path").agg(
+        (F.sum("size") + F.count("size")).alias("n"), F.max("file_error").alias("file_error"), F.count(wrong).alias("bad_rows"), F.min(wrong).alias("error")
+    )
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup="true").load(path).select(F.col("_metadata.file_path").alias("path"), "length")  # opens no file
+    lost = F.col("length") - F.coalesce("n", F.lit(0))
+    short = F.concat(lost.cast("string"), F.lit(" of "), F.col("length").cast("string"), F.lit(" bytes could not be read"))
+    seen = F.col("bad_rows").isNotNull()
+    # the last line may have no end, and a byte order mark is no part of a line
+    whole = F.when(F.col("path").rlike(_CODEC), F.when(~seen & (F.col("length") > 0) & F.col("path").rlike(_PACKED) & F.col("n").isNull(), F.lit(_UNREAD)).otherwise(F.col("file_error")))
+    whole = F.coalesce(whole, F.when(~F.col("path").rlike(_CODEC) & ~lost.isin(-1, 0, 2, 3), short))
+    state = materialize(listed.join(files, "path", "left").withColumn("whole", whole), "raw_files")  # a row a file
+    broken = state.filter(F.col("whole").isNotNull())
+    good = lines.filter(~F.col("blank") & F.col("file_error").isNull() & wrong.isNull()).join(broken.select("path"), "path", "left_anti").select("r.*").drop("_corrupt_record")
     name = F.url_decode(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
-    return good, rejects.select(F.regexp_replace(name, _GAME, "").alias("game_id"), "bad_rows", "error")
+    rejects = state.filter(F.col("whole").isNotNull() | (F.col("bad_rows") > 0)).select(
+        F.regexp_replace(name, _GAME, "").alias("game_id"),
+        F.when(F.col("whole").isNull(), F.col("bad_rows")).alias("bad_rows"),
+        F.coalesce("whole", "error").alias("error"),
+        "path",
+    )
+    return good, rejects

@@ -130,3 +130,23 @@ def test_plain_file_that_fails_midway_is_rejected_by_its_full_path(spark, tmp_pa
     assert {r.game_id: r["count"] for r in rows.groupBy("game_id").count().collect()} == {"a-g1": 300, "a-g2": 300, "b c-g2": 300}
     assert sorted((r.game_id, r.bad_rows) for r in rejects.collect()) == [("g1", None), ("g3", None)]
     assert all(r.error for r in rejects.collect())
+
+
+def test_raw_files_are_opened_once_and_broken_ones_stay_a_table(spark, tmp_path):
+    """Rows and rejects read the stored lines; 300 broken files among good
+    ones are neither collected nor named in the plan."""
+    keys, raw = TRACKING.fieldNames(), tmp_path / "raw"
+    (raw / "x").mkdir(parents=True)
+    for i in range(300):
+        (raw / f"b{i:03}.jsonl.gz").write_bytes(b"\x1f\x8b\x08 broken")
+    good = "".join(json.dumps(dict(zip(keys, r))) + "\n" for r in player_rows("p", [30.0] * 50, game_id="g"))
+    (raw / "good.json").write_text(good + "\n \n" + good.rstrip("\n"))
+    (raw / "x" / "packed.jsonl.bz2").write_bytes(bz2.compress(good.encode()) + bz2.compress(good.encode()))
+    (raw / "x" / "b000.jsonl.gz").write_bytes(b"")
+    rows, rejects = read_tracking_json(spark, str(raw))
+    assert rows.count() == 200
+    found = rejects.collect()
+    assert len(found) == 300 and all(r.bad_rows is None and r.error and r.path.endswith(f"/raw/{r.game_id}.jsonl.gz") for r in found)
+    for df in (rows, rejects):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "b001" not in plan and all("/raw/" not in f or "/strideflow-tables/" in f for f in df.inputFiles())

@@ -259,3 +259,18 @@ def test_a_replace_that_fails_leaves_the_old_table(spark, tmp_path):
         io.write_table(spark.read.parquet(path).filter("n = 2"), path, partition_by=by)  # over what it reads
         assert lines(spark.read.parquet(path), ["g", "n"]) == ["('b', 2)"]
         assert [p.name for p in tmp_path.iterdir() if "new-" in p.name or "old-" in p.name] == []
+
+
+def test_pipeline_reads_the_frames_once(spark, tmp_path):
+    from strideflow.params import LIB
+    from strideflow.plans.pipeline import compare_from_frames, effort_pipeline
+
+    frames = frames_df(spark, rows_of(league(3)))
+    params = LIB.with_(min_frames_vmax=50)
+    vmax, runs, summary = effort_pipeline(frames, params)
+    for df in (vmax, runs, summary):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "frame_id" not in plan.replace("start_frame_id", "").replace("end_frame_id", "") and "lag(" not in plan
+    lazy = effort_pipeline(frames, params, stage=None)
+    assert [lines(df) for df in (vmax, runs, summary)] == [lines(df) for df in lazy]
+    assert lines(compare_from_frames(frames, params)) == lines(compare_from_frames(frames, params, stage=None))
