@@ -41,12 +41,28 @@ class Measure:
         return (value if digits is None else rnd(value, digits)).alias(self.name)
 
 
-def _catalogue(*measures: Measure) -> dict[str, Measure]:
+@dataclass(frozen=True)
+class Mean:
+    """A mean from its states: a sum, and the number of values in it."""
+
+    name: str
+    total: str
+    values: str
+    scale: float = 1.0
+
+    def aggregate(self, digits: int | None = None) -> Column:
+        value = safe_ratio(F.sum(self.total), F.sum(self.values))
+        if self.scale != 1.0:
+            value = value * self.scale
+        return (value if digits is None else rnd(value, digits)).alias(self.name)
+
+
+def catalogue(*measures: Measure | Mean) -> dict[str, Measure | Mean]:
     return {m.name: m for m in measures}
 
 
 #: over rows of runs
-RUNS = _catalogue(
+RUNS = catalogue(
     Measure("runs"),
     Measure("games", "distinct", "game_id"),
     Measure("players", "distinct", "player_id"),
@@ -60,7 +76,7 @@ RUNS = _catalogue(
 )
 
 #: over rows of the player summary; ``*_now`` follow the dashboard's slider
-PLAYERS = _catalogue(
+PLAYERS = catalogue(
     Measure("players"),
     Measure("named_players", "filled", "player_name"),
     Measure("runs", "total", "runs"),
@@ -84,14 +100,14 @@ GOLD_DIGITS = {
 def profile(
     rows: DataFrame,
     keys: Iterable[str | Column],
-    catalogue: Mapping[str, Measure],
+    known: Mapping[str, Measure | Mean],
     measures: str,
     digits: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """``rows`` grouped by ``keys`` (names or aliased columns) into the named
     measures of a catalogue.  A null key is a group of its own."""
     digits = digits or {}
-    return rows.groupBy(*keys).agg(*[catalogue[m].aggregate(digits.get(m)) for m in measures.split()])
+    return rows.groupBy(*keys).agg(*[known[m].aggregate(digits.get(m)) for m in measures.split()])
 
 
 def having(rows: DataFrame, *columns: str) -> DataFrame:

@@ -59,9 +59,10 @@ def qualifying_runs(runs: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     return q
 
 
-def dynamic_counts(qualifying: DataFrame) -> DataFrame:
-    """Per-player recount at the slider threshold; ``*_now`` columns."""
-    own = profile(qualifying, ["player_id"], RUNS, "runs games metres seconds_per_run peak_per_run effort_pct", {"effort_pct": 1})
+def dynamic_counts(qualifying: DataFrame, measures=RUNS) -> DataFrame:
+    """Per-player recount at the slider threshold; ``*_now`` columns.
+    Here and below ``measures`` says what the rows are: runs, or cells."""
+    own = profile(qualifying, ["player_id"], measures, "runs games metres seconds_per_run peak_per_run effort_pct", {"effort_pct": 1})
     rated = own.withColumn("rate", rate("runs", "games", 2))
     return rated.select("player_id", *[F.col(c).alias(f"{c}_now") for c in rated.columns if c != "player_id"])
 
@@ -164,13 +165,14 @@ def _dense_zone_grid(keys: DataFrame, n_zones: int) -> DataFrame:
 
 def zone30_player(qualifying: DataFrame) -> DataFrame:
     """6x5 grid per player: count, peak-speed sum, share, intensity."""
-    cells = qualifying.select(
-        "player_id", "player_name", (zone30_row("start_y") * 6 + zone30_col("start_x")).alias("zone"), "peak_speed_kmh"
-    )
-    counts = cells.groupBy("player_id", "zone").agg(
-        F.count(F.lit(1)).alias("n_runs"), F.sum("peak_speed_kmh").alias("speed_sum")
-    )
-    keys = qualifying.select("player_id", "player_name").distinct()
+    placed = qualifying.withColumn("zone", zone30_row("start_y") * 6 + zone30_col("start_x"))
+    return zone30_grid(placed, F.count(F.lit(1)), F.sum("peak_speed_kmh"))
+
+
+def zone30_grid(placed: DataFrame, runs: Column, peaks: Column) -> DataFrame:
+    """The dense grid of rows with a ``zone``."""
+    counts = placed.groupBy("player_id", "zone").agg(runs.alias("n_runs"), peaks.alias("speed_sum"))
+    keys = placed.select("player_id", "player_name").distinct()
     grid = _dense_zone_grid(keys, 30).join(counts, ["player_id", "zone"], "left")
     grid = grid.fillna(0, subset=["n_runs"]).fillna(0.0, subset=["speed_sum"])
     w = Window.partitionBy("player_id")
@@ -211,24 +213,26 @@ def zone30_top3(z30: DataFrame) -> DataFrame:
     )
 
 
+#: how columns are shown to a reader: decimal places, and the largest value
+DIGITS = {"vmax_kmh": 1, "threshold_at_pct": 1, "metres_per_game": 0, "peak_per_run_now": 1, "peak_kmh": 1}
+CAPS = {"effort_pct": 100.0}
+
+
+def shown(df: DataFrame, columns: str, digits=DIGITS, caps=CAPS) -> DataFrame:
+    """The named columns, rounded and capped for display."""
+
+    def cell(name: str) -> Column:
+        value = F.least(F.col(name), F.lit(caps[name])) if name in caps else F.col(name)
+        return (rnd(value, digits[name]) if name in digits else value).alias(name)
+
+    return df.select(*[cell(c) for c in columns.split()])
+
+
 def player_table(fs: DataFrame) -> DataFrame:
-    """Display table (share of v-max capped at 100, display rounding)."""
-    return fs.select(
-        "player_id",
-        "player_name",
-        "team_name",
-        "pos",
-        "pos_detail",
-        "games",
-        rnd("vmax_kmh", 1).alias("vmax_kmh"),
-        rnd("threshold_at_pct", 1).alias("threshold_at_pct"),
-        "runs_now",
-        "rate_now",
-        rnd("metres_per_game", 0).alias("metres_per_game"),
-        rnd("peak_per_run_now", 1).alias("peak_per_run_now"),
-        F.least(F.col("effort_pct"), F.lit(100.0)).alias("effort_pct"),
-        rnd("peak_kmh", 1).alias("peak_kmh"),
-    ).orderBy(F.col("rate_now").desc(), "player_id")
+    """The players' display table, highest rate first."""
+    who, speed = "player_id player_name team_name pos pos_detail games", "vmax_kmh threshold_at_pct peak_kmh"
+    out = shown(fs, f"{who} {speed} runs_now rate_now metres_per_game peak_per_run_now effort_pct")
+    return out.orderBy(F.col("rate_now").desc(), "player_id")
 
 
 def team_profile(fs: DataFrame) -> DataFrame:
@@ -286,21 +290,9 @@ def team_outperformance_dynamic(fc: DataFrame) -> DataFrame:
 
 
 def most_affected_dynamic(fc: DataFrame) -> DataFrame:
-    """D15."""
-    return fc.select(
-        "player_id",
-        "player_name",
-        "team_short",
-        "pos",
-        "pos_detail",
-        "vmax_kmh",
-        "threshold_at_pct",
-        "runs_absolute_now",
-        "runs_relative_now",
-        "delta",
-        "change_pct",
-        "category",
-    ).orderBy(F.abs("delta").desc(), "player_id")
+    """Largest change first, at full precision."""
+    who, counts = "player_id player_name team_short pos pos_detail", "runs_absolute_now runs_relative_now delta change_pct category"
+    return shown(fc, f"{who} vmax_kmh threshold_at_pct {counts}", {}, {}).orderBy(F.abs("delta").desc(), "player_id")
 
 
 # ---------------------------------------------------------------------------
@@ -310,8 +302,11 @@ def most_affected_dynamic(fc: DataFrame) -> DataFrame:
 
 def pitch_thirds(runs: DataFrame) -> DataFrame:
     """Right-closed thirds over all stored runs; outside -> dropped."""
-    placed = having(runs.withColumn("pitch_zone", third_right_closed("start_x")), "pitch_zone")
-    return profile(placed, ["pitch_zone"], RUNS, "runs seconds_per_run metres_per_run peak_per_run effort_pct")
+    return thirds(runs.withColumn("pitch_zone", third_right_closed("start_x")), RUNS)
+
+
+def thirds(placed: DataFrame, measures) -> DataFrame:
+    return profile(having(placed, "pitch_zone"), ["pitch_zone"], measures, "runs seconds_per_run metres_per_run peak_per_run effort_pct")
 
 
 def pitch_thirds_by_group(runs: DataFrame) -> DataFrame:
@@ -334,9 +329,14 @@ def pitch_runs_fallback(qualifying: DataFrame, spec: FilterSpec = DEFAULT) -> Da
 
 
 def _zone9(runs: DataFrame, keys: list[str]) -> DataFrame:
-    cells = runs.select(*keys, (zone9_row("start_y") * 3 + zone9_col("start_x")).alias("zone"), "peak_speed_kmh")
-    counts = cells.groupBy(*keys, "zone").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("peak_speed_kmh").alias("_ss"))
-    base = runs.select(*keys).distinct() if keys else runs.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    placed = runs.withColumn("zone", zone9_row("start_y") * 3 + zone9_col("start_x"))
+    return zone9_grid(placed, keys, F.count(F.lit(1)), F.sum("peak_speed_kmh"))
+
+
+def zone9_grid(placed: DataFrame, keys: list[str], runs: Column, peaks: Column) -> DataFrame:
+    """The dense 3x3 grid of rows with a ``zone``, for each key."""
+    counts = placed.groupBy(*keys, "zone").agg(runs.alias("n_runs"), peaks.alias("_ss"))
+    base = placed.select(*keys).distinct() if keys else placed.sparkSession.range(1).select(F.lit(0).alias("_all"))
     grid = _dense_zone_grid(base, 9).join(counts, [*keys, "zone"], "left").fillna(0, subset=["n_runs"])
     w = Window.partitionBy(*keys) if keys else Window.partitionBy()
     total, mx = F.sum("n_runs").over(w), F.max("n_runs").over(w)
@@ -373,23 +373,23 @@ def match_runs(runs: DataFrame, spec: FilterSpec = DEFAULT) -> DataFrame:
     return runs.filter(F.col("pct_of_vmax") >= F.lit(spec.threshold_pct))
 
 
-def match_top_performers(mr: DataFrame) -> DataFrame:
+def match_top_performers(mr: DataFrame, measures=RUNS) -> DataFrame:
     """Per match, all performers ranked by runs (player_id breaks ties).
     A match's ranks take one task: its players are a bounded list."""
     who = ["game_id", "player_id", "player_name", "team_short", "pos"]
     digits = {"metres": 0, "peak_kmh": 1, "peak_per_run": 1, "effort_pct": 1}
-    out = profile(having(mr, *who), who, RUNS, "runs metres peak_kmh peak_per_run effort_pct", digits)
+    out = profile(having(mr, *who), who, measures, "runs metres peak_kmh peak_per_run effort_pct", digits)
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("game_id").orderBy(F.desc("runs"), "player_id")))
 
 
-def match_team_comparison(mr: DataFrame) -> DataFrame:
+def match_team_comparison(mr: DataFrame, measures=RUNS) -> DataFrame:
     """D21."""
-    return profile(having(mr, "team_short"), ["game_id", "team_short"], RUNS, "runs players metres peak_kmh peak_per_run effort_pct", {"effort_pct": 1})
+    return profile(having(mr, "team_short"), ["game_id", "team_short"], measures, "runs players metres peak_kmh peak_per_run effort_pct", {"effort_pct": 1})
 
 
-def match_position(mr: DataFrame) -> DataFrame:
+def match_position(mr: DataFrame, measures=RUNS) -> DataFrame:
     """D22."""
-    return profile(having(mr, "pos"), ["game_id", "pos"], RUNS, "runs peak_per_run effort_pct", {"effort_pct": 1})
+    return profile(having(mr, "pos"), ["game_id", "pos"], measures, "runs peak_per_run effort_pct", {"effort_pct": 1})
 
 
 def match_zone9(mr: DataFrame) -> DataFrame:
@@ -399,15 +399,8 @@ def match_zone9(mr: DataFrame) -> DataFrame:
 
 def match_header(matches: DataFrame) -> DataFrame:
     """D24."""
-    return matches.select(
-        "game_id",
-        "home_team_name",
-        "away_team_name",
-        F.substring("date", 1, 10).alias("date"),
-        "stadium_name",
-        "Round",
-        "week",
-    )
+    days = matches.withColumn("date", F.substring("date", 1, 10))
+    return shown(days, "game_id home_team_name away_team_name date stadium_name Round week")
 
 
 # ---------------------------------------------------------------------------

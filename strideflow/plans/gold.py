@@ -28,16 +28,22 @@ def team_outperformance(comparison: DataFrame) -> DataFrame:
     return team_comparison(comparison, STRICT, "players").orderBy(F.desc_nulls_last("change_pct"), "team_name")
 
 
+#: who a player is, in lists of players
+_WHO = ("player_id", "player_name", "team_name", "position")
+
+
 def top_by_rate(summary: DataFrame, n: int = 20) -> DataFrame:
-    """Q4: top players by runs per game (player_id breaks ties)."""
-    kept = summary.drop("team_short", "is_starter", "low_confidence", "metres", "seconds_per_run", "peak_per_run")
-    return kept.orderBy(F.desc("rate"), "player_id").limit(n)
+    """Q4: top players by runs per game (player_id breaks ties): who they
+    are, how fast, how often and how far."""
+    speed, work = ("vmax_kmh", "limit_kmh", "peak_kmh"), ("games", "runs", "rate", "metres_per_game", "effort_pct")
+    return summary.select(*_WHO, "jersey_number", *speed, *work).orderBy(F.desc("rate"), "player_id").limit(n)
 
 
 def most_affected(comparison: DataFrame, n: int = 30) -> DataFrame:
-    """Q5: players whose count changes most between definitions."""
-    kept = comparison.drop("team_short", "jersey_number", "games", "rate_relative", "rate_absolute")
-    return kept.orderBy(F.abs("delta").desc(), "player_id").limit(n)
+    """Q5: players whose count changes most between definitions: who they
+    are, their limit, both counts and the change."""
+    change = ("runs_absolute", "runs_relative", "delta", "change_pct", "category")
+    return comparison.select(*_WHO, "vmax_kmh", "limit_kmh", *change).orderBy(F.abs("delta").desc(), "player_id").limit(n)
 
 
 def pitch_thirds_by_position(runs_enriched: DataFrame) -> DataFrame:

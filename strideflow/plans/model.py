@@ -20,7 +20,7 @@ from strideflow.operators import runs as ru
 from strideflow.operators import sweep as sw
 from strideflow.operators import tables as tb
 from strideflow.params import LIB, PROD, EffortParams
-from strideflow.plans import fixture
+from strideflow.plans import cube, fixture
 from strideflow.session import drop_stages, materialize
 
 
@@ -174,6 +174,15 @@ class EffortModel:
     def app_runs(self) -> DataFrame:
         return with_position_columns(self.runs_enriched)
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        """The dashboard's measure cube, from one scan of the runs."""
+        return self._stage(cube.build(self.app_runs), "cube")
+
+    @cached_property
+    def cube_views(self) -> "cube.CubeViews":
+        return cube.CubeViews(self.cube, self.app_summary)
+
     @cached_property
     def _lib(self) -> "EffortModel":
         return self._derived(LIB.with_(chunk_frames=self.params.chunk_frames))

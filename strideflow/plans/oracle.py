@@ -811,8 +811,15 @@ COLUMNS["sweep_runs"] = _RUN + " threshold_pct"
 BODIES["vmax_sketch"] = "SELECT player_id, frame_count, true AS within_bound FROM vm"
 COLUMNS["vmax_sketch"] = "s player_id, l frame_count, b within_bound"
 
-# the store's tables after its batches are those of all games at once
+BODIES["distinct_players"] = "SELECT game_id, count(DISTINCT player_id) AS players FROM runs GROUP BY game_id"
+COLUMNS["distinct_players"] = "s game_id, l players"
+
+# the store's tables after its batches are those of all games at once, and the
+# cube's views those of the runs
+_CUBE = "dynamic_counts kpis zone30_player team_profile pitch_thirds zone9_heatmap match_top_performers match_team_comparison match_position match_zone9"
 for _key, _same in {
+    **{f"cube_{view}": view for view in _CUBE.split()},
+    "distinct_games": "games_per_player",
     "store_runs": "relative_runs",
     "store_vmax": "vmax_exact",
     "store_tagged_frames": "tagged_frames",

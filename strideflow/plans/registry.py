@@ -17,6 +17,7 @@ from strideflow.functions.numeric import rnd
 from pyspark.sql import types as T
 
 from strideflow.functions.positions import with_position_columns
+from strideflow.operators import distinct_state as ds
 from strideflow.operators import frames as fr
 from strideflow.operators import runs as ru
 from strideflow.operators import sweep as sw
@@ -92,6 +93,12 @@ def _store(m: EffortModel) -> GameStore:
     return _STORES[id(m)]
 
 
+def _by_batches(m: EffortModel, group: str, column: str, name: str) -> DataFrame:
+    """Distinct counts over the runs, taken in as three batches of games."""
+    batch = F.pmod(F.xxhash64("game_id"), F.lit(3))
+    return ds.counts_by_batches([m.runs.filter(batch == i) for i in range(3)], group, column, name, m._stage)
+
+
 def _stored(df: DataFrame) -> str:
     """The folder of a stage table."""
     return df.inputFiles()[0].rsplit("/", 1)[0]
@@ -182,6 +189,8 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "definition_comparison": lambda m: m.comparison,
     "category_counts": lambda m: tb.category_counts(m.comparison),
     "games_per_player": lambda m: tb.games_per_player(m.runs),
+    "distinct_games": lambda m: _by_batches(m, "player_id", "game_id", "games"),
+    "distinct_players": lambda m: _by_batches(m, "game_id", "player_id", "players"),
     "team_lookup": lambda m: m.teams,
     "player_lookup": lambda m: m.player_lookup,
     # --- the store, after several batches -------------------------------------------
@@ -248,6 +257,17 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "match_zone9": lambda m: ex.match_zone9(ex.match_runs(m.app_runs)),
     "match_header": lambda m: ex.match_header(m.matches),
     "threshold_sweep": lambda m: ex.threshold_sweep(m.app_runs, m.app_comparison, m.absolute_counts),
+    # --- the same from the measure cube ---------------------------------------------
+    "cube_dynamic_counts": lambda m: m.cube_views.dynamic_counts(),
+    "cube_kpis": lambda m: m.cube_views.kpis(),
+    "cube_zone30_player": lambda m: m.cube_views.zone30_player(),
+    "cube_team_profile": lambda m: m.cube_views.team_profile(),
+    "cube_pitch_thirds": lambda m: m.cube_views.pitch_thirds(),
+    "cube_zone9_heatmap": lambda m: m.cube_views.zone9_heatmap(),
+    "cube_match_top_performers": lambda m: m.cube_views.match_top_performers(),
+    "cube_match_team_comparison": lambda m: m.cube_views.match_team_comparison(),
+    "cube_match_position": lambda m: m.cube_views.match_position(),
+    "cube_match_zone9": lambda m: m.cube_views.match_zone9(),
     # --- phases --------------------------------------------------------------------
     "round_summary": lambda m: phases.round_summary(m.app_runs, m.matches),
     "week_trend": lambda m: phases.week_trend(m.app_runs, m.matches),
