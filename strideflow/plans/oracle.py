@@ -814,11 +814,17 @@ COLUMNS["vmax_sketch"] = "s player_id, l frame_count, b within_bound"
 BODIES["distinct_players"] = "SELECT game_id, count(DISTINCT player_id) AS players FROM runs GROUP BY game_id"
 COLUMNS["distinct_players"] = "s game_id, l players"
 
+BODIES["match_documents"] = "SELECT * FROM matches"
+COLUMNS["match_documents"] = "s game_id date season competition_id competition_name stadium_name home_team_id home_team_name home_team_short away_team_id away_team_name away_team_short Round, d pitch_length pitch_width fps, l week"
+
 # the store's tables after its batches are those of all games at once, and the
 # cube's views those of the runs
 _CUBE = "dynamic_counts kpis zone30_player team_profile pitch_thirds zone9_heatmap match_top_performers match_team_comparison match_position match_zone9"
 for _key, _same in {
     **{f"cube_{view}": view for view in _CUBE.split()},
+    "json_frames": "scan_tracking",
+    "written_runs": "relative_runs",
+    "csv_comparison": "definition_comparison",
     "distinct_games": "games_per_player",
     "store_runs": "relative_runs",
     "store_vmax": "vmax_exact",

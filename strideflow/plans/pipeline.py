@@ -120,7 +120,7 @@ def run_job(
         speeds = staged(fr.compute_speed(fr.drop_ball(bronze), params), "speeds")
         vmax = store("vmax_per_player", fr.compute_vmax(speeds, params))
         tagged = fr.tag_effort_frames(speeds, vmax)
-        io.write_table(tagged, paths["tracking_silver"], **per_game)
+        io.write_table(tagged, paths["tracking_silver"], cluster_by=["player_id", "frame_id"], **per_game)
         silver = io.read_table(spark, paths["tracking_silver"], schema=tagged.schema, fmt=fmt)
 
         # gold: one scan of silver gives the run pieces of both definitions

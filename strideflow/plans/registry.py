@@ -30,7 +30,9 @@ from strideflow.plans.model import EffortModel
 from strideflow.plans.pipeline import effort_pipeline
 from strideflow.plans.store import GameStore
 from strideflow.session import delete_folder, ensure_checkpoint_dir
+from strideflow.sources import tables as io
 from strideflow.sources import tracking as src
+from strideflow.sources.metadata import read_match_metadata, with_round
 
 INGEST_STAMP = "2022-12-18T00:00:00+00:00"
 
@@ -93,6 +95,56 @@ def _store(m: EffortModel) -> GameStore:
     return _STORES[id(m)]
 
 
+def _folder(m: EffortModel, name: str) -> str:
+    return f"{ensure_checkpoint_dir(m.spark)}/strideflow-tables/{uuid.uuid4().hex}/{name}"
+
+
+def _json_frames(m: EffortModel) -> DataFrame:
+    """The frames as packed JSON lines, and read back."""
+    path = _folder(m, "raw")
+    m.tracking.write.option("compression", "gzip").json(path)
+    rows, _ = src.read_tracking_json(m.spark, path)
+    return rows
+
+
+def _match_documents(m: EffortModel) -> DataFrame:
+    """A JSON document a match, nested and without its missing keys, and read
+    back flat."""
+
+    def team(side: str):
+        return F.struct(*[F.col(f"{side}_team_{c}").alias(name) for c, name in (("id", "id"), ("name", "name"), ("short", "shortName"))])
+
+    pitch = F.struct(F.col("pitch_length").alias("length"), F.col("pitch_width").alias("width"))
+    doc = F.struct(
+        F.col("game_id").alias("id"), "date", "season", "fps", "week", team("home").alias("homeTeam"), team("away").alias("awayTeam"),
+        F.struct(F.col("competition_id").alias("id"), F.col("competition_name").alias("name")).alias("competition"),
+        F.struct(F.col("stadium_name").alias("name"), F.array(pitch).alias("pitches")).alias("stadium"),
+    )
+    path = _folder(m, "documents")
+    m.matches.select("game_id", F.to_json(doc).alias("value")).write.partitionBy("game_id").text(path)
+    return with_round(read_match_metadata(m.spark, path))
+
+
+def _written_runs(m: EffortModel) -> DataFrame:
+    """The runs in a table a game: replaced, its games reloaded, one half
+    replaced by appending, and read back."""
+    path, runs = _folder(m, "runs"), m.runs
+    half = F.pmod(F.xxhash64("game_id"), F.lit(2)) == 0
+    io.write_table(runs.limit(5), path, partition_by=["game_id"])
+    io.write_table(runs.filter(half), path, partition_by=["game_id"])
+    io.write_table(runs.filter(~half), path, partition_by=["game_id"], overwrite=False, cluster_by=["player_id"])
+    some = [r.game_id for r in runs.select("game_id").distinct().orderBy("game_id").limit(3).collect()]
+    io.write_table(runs, path, partition_by=["game_id"], only=some)
+    return io.read_table(m.spark, path, runs.schema)
+
+
+def _csv_comparison(m: EffortModel) -> DataFrame:
+    """The comparison as exported CSV, and read back."""
+    path = _folder(m, "comparison")
+    io.export_csv(m.comparison, path, order_by=["player_id"])
+    return io.read_csv(m.spark, path, m.comparison.schema)
+
+
 def _by_batches(m: EffortModel, group: str, column: str, name: str) -> DataFrame:
     """Distinct counts over the runs, taken in as three batches of games."""
     batch = F.pmod(F.xxhash64("game_id"), F.lit(3))
@@ -126,6 +178,10 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     # --- sources ---------------------------------------------------------------
     "scan_tracking": lambda m: src.scan_tracking(m.spark, _stored(m.tracking)),
     "normalise_tracking": lambda m: src.normalise_tracking(m.tracking, INGEST_STAMP),
+    "json_frames": _json_frames,
+    "match_documents": _match_documents,
+    "written_runs": _written_runs,
+    "csv_comparison": _csv_comparison,
     # --- projection / filter -----------------------------------------------------
     "ball_filter": lambda m: fr.drop_ball(m.tracking).select(*TRACKING_COLS),
     "absolute_frames": lambda m: fr.absolute_frames(m.speeds, m.params).select(

@@ -89,7 +89,9 @@ class GameStore:
     # --- tables -----------------------------------------------------------
     def _write(self, df: DataFrame, name: str, attempt: str, by: str) -> DataFrame:
         path = f"{self.root}/{name}/attempt={attempt}"
-        df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+        # sorted by player, so that reading some players skips most of a file
+        order = [by, "player_id", *[c for c in ("frame_id",) if c in df.columns]]
+        df.hint("rebalance", by).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(by).parquet(path)
         rest = [c for c in df.columns if c != by]
         schema = df.select(*rest, by).schema
         self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.root}/schemas/{name}")

@@ -150,3 +150,19 @@ def test_raw_files_are_opened_once_and_broken_ones_stay_a_table(spark, tmp_path)
     for df in (rows, rejects):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "b001" not in plan and all("/raw/" not in f or "/strideflow-tables/" in f for f in df.inputFiles())
+
+
+def test_a_clustered_table_reads_little_for_one_player(spark, tmp_path, monkeypatch):
+    """Rows that the scan hands on for one player of 40, by statistics alone."""
+    monkeypatch.setattr(io, "ROW_GROUP_BYTES", 16 << 10)
+    rows = [r for i in range(40) for r in player_rows(f"p{i:02}", [20.0] * 500, game_id=f"g{i % 2}")]
+    mixed = frames_df(spark, rows).orderBy(F.rand(3))
+    read = {}
+    for name, cluster in (("plain", None), ("clustered", ["player_id", "frame_id"])):
+        path = str(tmp_path / name)
+        io.write_table(mixed, path, partition_by=["game_id"], cluster_by=cluster)
+        one = io.read_table(spark, path, TRACKING).filter(F.col("player_id") == "p07")
+        assert len(one.collect()) == 500
+        leaves = one._jdf.queryExecution().executedPlan().collectLeaves()
+        read[name] = leaves.apply(0).metrics().apply("numOutputRows").value()
+    assert read["plain"] >= 10000 and read["clustered"] <= 2000, read
