@@ -162,10 +162,15 @@ def context_values(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def costly_spans(text: str, base: list, least: float = LEAST_COST) -> list[tuple[int, int, str, int]]:
-    """Values in a credential context that cost at least ``least`` to guess
-    and that no single base span covers whole."""
-    costly = [(a, e) for a, e in context_values(text) if guess_cost(text[a:e])[0] >= least]
+def scored_values(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, guess cost) of the values in a credential context."""
+    return [(a, e, guess_cost(text[a:e])[0]) for a, e in context_values(text)]
+
+
+def costly_spans(scored: list, base: list, least: float = LEAST_COST) -> list[tuple[int, int, str, int]]:
+    """Scored values that cost at least ``least`` to guess and that no single
+    base span covers whole."""
+    costly = [(a, e) for a, e, cost in scored if cost >= least]
     return [(a, 3, "guess", e) for a, e in costly if not any(s <= a and e <= x for s, _, _, x in base)]
 
 
@@ -182,23 +187,28 @@ def _scan(text: str, least: float):
                 whole = value.as_py() or ""
                 base = base_spans(whole)
                 n = [sum(k == kind for _, _, k, _ in base) for kind in ("assign", "access", "hex")]
-                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + costly_spans(whole, base, least)))))
+                scored = scored_values(whole)
+                costs = ",".join(f"{a}:{e}:{cost:.2f}" for a, e, cost in scored)
+                rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + costly_spans(scored, base, least))), costs))
             keep = [c for c in batch.schema.names if c != text]
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            cols += [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+            cols += [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "costs"])
 
     return run
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_cost: float = LEAST_COST) -> DataFrame:
-    """One row per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """One row per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans,
+    costs (start:end:cost of every value in a credential context, cost being
+    log10 of guesses, also of those that a base span covers).
 
     Null text counts as empty and has no spans; repeated rows each get their
     row; other columns are ignored.  Spans are matches of the base patterns,
     leftmost and not overlapping within a kind, and ``guess`` spans: a whole
-    value alone, also where base spans cover parts of it.
+    value alone, also where base spans cover parts of it.  Values of any length
+    are scored whole.  An empty table gives an empty one.
     """
     base = docs.select(doc_id, text)
     kind = base.schema[doc_id].dataType.simpleString()
-    return base.mapInArrow(_scan(text, least_cost), f"`{doc_id}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return base.mapInArrow(_scan(text, least_cost), f"`{doc_id}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, costs string")

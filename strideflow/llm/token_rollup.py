@@ -5,15 +5,20 @@ inserted documents count +1, deleted ones -1, and a document whose count was
 revised gives its old row with -1 and its new row with +1.  Changes are
 summed by source, language and tokenizer version before they are stored, and
 the totals are the sum over all committed batches, so a batch costs its own
-size only.  A batch is one folder that appears whole or not at all, named by
-its identifier: committing it again changes nothing.
+size only.  Every attempt at a batch writes a folder of its own; the batch is
+there once its marker, a small file named by its identifier that tells the
+attempt, has been renamed into place, never over another.  So committing a
+batch again changes nothing, and of two writers of one batch one counts.  The
+file system has to rename a file in one step, as HDFS does.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,42 +77,52 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _folder(self, batch: str) -> str:
+    def _marker(self, batch: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch.startswith((".", "_")):
             raise ValueError(f"not a batch name: {batch!r}")
-        return f"{self.path}/batch={batch}"
+        return f"{self.path}/commits/{batch}"
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
+    def _hadoop(self, path: str):
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+        return jvm, at.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), conf), at
 
     def committed(self) -> list[str]:
-        fs, at = self._fs(self.path)
-        if not fs.exists(at):
-            return []
-        names = (s.getPath().getName() for s in fs.listStatus(at))
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch="))
+        _, fs, _, at = self._hadoop(f"{self.path}/commits")
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _attempts(self) -> list[str]:
+        """The folders of the committed batches."""
+        markers = [self._marker(b) for b in self.committed()]
+        return [f"{self.path}/attempts/{r[0]}" for r in self.spark.read.text(markers).collect()] if markers else []
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Store a batch of signed rows.  False, and no effect, if a batch of
         that name is already there."""
-        folder = self._folder(batch)
-        fs, at = self._fs(folder)
-        if fs.exists(at):
+        jvm, fs, context, marker = self._hadoop(self._marker(batch))
+        if fs.exists(marker):
             return False
         sums = [F.sum(F.col("sign") * x).cast("long").alias(name) for x, name in ((F.lit(1), "documents"), (F.col("tokens"), "tokens"), (F.col("characters"), "characters"))]
-        attempt = f"{self.path}/_open/{batch}"
-        changes.groupBy(*KEYS).agg(*sums).write.mode("overwrite").parquet(attempt)
-        fs.mkdirs(at.getParent())
-        if fs.exists(at):
-            return False
-        return bool(fs.rename(self._fs(attempt)[1], at))  # one step: whole or not at all
+        attempt = f"{batch}-{uuid.uuid4().hex}"
+        changes.groupBy(*KEYS).agg(*sums).write.mode("error").parquet(f"{self.path}/attempts/{attempt}")
+        pending = self._hadoop(f"{self.path}/pending/{attempt}")[3]
+        out = fs.create(pending, False)
+        out.write(bytearray(attempt.encode()))
+        out.close()
+        fs.mkdirs(marker.getParent())
+        never_over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(pending, marker, never_over)
+        except Py4JJavaError:
+            if fs.exists(marker):  # another writer was first
+                return False
+            raise
+        return True
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens, characters; groups that
         have come down to nothing are left out."""
-        paths = [self._folder(b) for b in self.committed()]
+        paths = self._attempts()
         if not paths:
             return self.spark.createDataFrame([], _TOTALS)
         rows = self.spark.read.schema(_TOTALS).parquet(*paths)

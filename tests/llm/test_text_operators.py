@@ -280,7 +280,7 @@ def test_guess_cost_is_the_cheapest_segmentation():
 
 def test_every_context_value_is_scored_whole():
     def guesses(text):
-        return [text[a:e] for a, _, _, e in secret_scan.costly_spans(text, secret_scan.base_spans(text))]
+        return [text[a:e] for a, _, _, e in secret_scan.costly_spans(secret_scan.scored_values(text), secret_scan.base_spans(text))]
 
     assert guesses("pwd=Zq!0123456789abcdef0!x9") == ["Zq!0123456789abcdef0!x9"]
     assert guesses("password=abcdefghijkl$Kd9!x end") == ["abcdefghijkl$Kd9!x"]
@@ -338,3 +338,77 @@ def test_repeated_words_are_extended_once_a_diagonal(spark):
     lo, hi = np.searchsorted(index.fp, fp), np.searchsorted(index.fp, fp, side="right")
     spans = index.spans(words_of(text), [(int(at[x]), int(lo[x]), int(hi[x])) for x in np.flatnonzero(hi > lo)])
     assert spans == [(0, 20000, "i")] and time.perf_counter() - start < 10
+
+
+def test_guess_cost_equals_all_segmentations():
+    """The dynamic programme against every way to cut short values."""
+    import itertools
+    import math
+    import random
+
+    def part(value, i, j):
+        """Cheapest cost of one part: the longest date, walk and repeats from i."""
+        plain, low, costs = value.lower().translate(secret_scan.LEET), value.lower(), [sum(map(secret_scan._char_cost, value[i:j]))]
+        if plain[i:j] in secret_scan._RANK:
+            costs.append(secret_scan._RANK[plain[i:j]] + 0.3 + 0.3 * min(4, sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True))))
+        date = secret_scan._DATE.match(value, i)
+        if date and date.end() == j:
+            costs.append(secret_scan._date_cost(date[0]))
+        if secret_scan._walk(low, i) == j and j - i >= 3:
+            costs.append(math.log10(2 * secret_scan._KEYS) + math.log10(j - i))
+        for size in (1, 2, 3, 4):
+            n = 1
+            while value[i : i + size] == value[i + n * size : i + (n + 1) * size] and len(value[i + n * size : i + (n + 1) * size]) == size:
+                n += 1
+            if i + n * size == j and j - i >= max(3, 2 * size):
+                costs.append(sum(map(secret_scan._char_cost, value[i : i + size])) + math.log10(n))
+        return min(costs)
+
+    rng = random.Random(2)
+    pieces = ["love", "qwe", "aaa", "1999", "x", "9", "$", "abab", "P4ss", "zxc"]
+    for _ in range(60):
+        value = "".join(rng.choice(pieces) for _ in range(4))[:10]
+        n = len(value)
+        every = (
+            sum(part(value, a, b) for a, b in itertools.pairwise((0, *cuts, n))) + secret_scan.PART_COST * len(cuts)
+            for k in range(n)
+            for cuts in itertools.combinations(range(1, n), k)
+        )
+        assert abs(min(every) - secret_scan.guess_cost(value)[0]) < 1e-9, value
+
+
+def test_costs_of_all_context_values_are_told(spark):
+    rows = [(1, "password=aaaaaaaaaaaaaaaa token: x9$Kd!2mQz7w"), (2, "nothing"), (3, None)]
+    got = {r.doc_id: r.costs for r in secret_scan.scan(frame(spark, rows)).collect()}
+    told = [c.split(":") for c in got[1].split(",")]
+    assert [(int(a), int(e)) for a, e, _ in told] == [(9, 25), (33, 45)] and float(told[0][2]) < 4 < 8 < float(told[1][2])
+    assert got[2] == got[3] == ""
+
+
+def test_of_two_writers_of_a_batch_one_counts(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(1, "s", "en", "v", 5, 9)], "doc_id long, source string, lang string, version string, tokens long, characters long")
+    first, second = (token_rollup.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    real, late = token_rollup.Rollup._hadoop, []
+
+    def overtaken(self, path):
+        if "/pending/" in path and self is first:  # the other writer commits while this one has written its rows
+            late.append(second.commit("b", token_rollup.inserts(rows)))
+        return real(self, path)
+
+    monkeypatch.setattr(token_rollup.Rollup, "_hadoop", overtaken)
+    assert first.commit("b", token_rollup.inserts(rows)) is False and late == [True]
+    assert [tuple(r) for r in first.totals().collect()] == [("s", "en", "v", 1, 5, 9)] and first.committed() == ["b"]
+
+
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(3)
+    terms = rng.random((60, quality_knn.TERMS)).astype(np.float32)
+    labels = (rng.random(60) < 0.5).astype(int)
+    model = quality_knn.Model(terms, labels, 12)
+    asked = rng.random((20, quality_knn.TERMS)).astype(np.float32)
+    got = model.score(asked, 7, 8)
+    known, new = model.latent(terms).tolist(), model.latent(asked).tolist()
+    for z, score in zip(new, got, strict=True):
+        near = sorted(((sum(a * b for a, b in zip(z, k, strict=True)), label) for k, label in zip(known, labels.tolist(), strict=True)), reverse=True)[:7]
+        weight = [max(c, 1e-3) ** 8 for c, _ in near]
+        assert abs(score - sum(w * label for w, (_, label) in zip(weight, near, strict=True)) / sum(weight)) < 1e-3
