@@ -7,6 +7,7 @@ Runs on ``local[$BENCH_CPUS]`` over ``$BENCH_SF_DIR`` (default
 
 ``run_job`` is bronze to gold from ready frames, all tables written;
 ``effort_pipeline`` is the library form from stored frames to the summary.
+``store_*`` apply a first batch of games to a store and append a small one.
 ``stage_*`` are the materialisation steps of the query model, dimensions
 included.  Query timings execute each registered plan on top of those tables
 with the ``noop`` sink (full execution, no driver transfer).
@@ -22,10 +23,13 @@ import tempfile
 import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from strideflow.plans import registry  # noqa: E402
 from strideflow.plans.pipeline import run_job  # noqa: E402
+from strideflow.plans.store import GameStore  # noqa: E402
 from strideflow.session import local_session  # noqa: E402
 
 HEADLINE = [
@@ -44,6 +48,8 @@ HEADLINE = [
     "zone30_player",
     "zone9_heatmap",
     "threshold_sweep",
+    "sweep_runs",
+    "cube_kpis",
     "match_top_performers",
     "match_zone9",
     "round_summary",
@@ -76,6 +82,9 @@ def main() -> None:
 
     model = registry._m(spark, sf_dir)
 
+    store = GameStore(spark, tempfile.mkdtemp(prefix="bench-store-"), model.params)
+    late = F.pmod(F.xxhash64("game_id"), F.lit(25)) == 0  # about one game in 25
+
     def timed(name: str, step) -> None:
         t = time.perf_counter()
         step()
@@ -86,6 +95,8 @@ def main() -> None:
     timed("run_job", lambda: job(model))
     for name in ("speeds", "vmax", "runs", "absolute_runs", "absolute_counts", "runs_enriched"):
         timed(f"stage_{name}", lambda name=name: getattr(model, name))
+    timed("store_first_games", lambda: store.apply(model.tracking.filter(~late)))
+    timed("store_append", lambda: store.apply(model.tracking.filter(late)))
     timed("stage_lib_vmax_runs", lambda: (model.lib().vmax, model.lib().runs))
 
     for key in HEADLINE:

@@ -21,7 +21,7 @@ from strideflow.operators import sweep as sw
 from strideflow.operators import tables as tb
 from strideflow.params import LIB, PROD, EffortParams
 from strideflow.plans import cube, fixture
-from strideflow.session import drop_stages, materialize
+from strideflow.session import delete_folder, store_stage
 
 
 class EffortModel:
@@ -45,6 +45,7 @@ class EffortModel:
         self._matches = matches
         self._dims: EffortModel | None = None
         self._staged: list[DataFrame] = []
+        self.paths: dict[str, str] = {}  # folders of the stage tables
 
     # --- bronze -----------------------------------------------------------
     @cached_property
@@ -73,14 +74,17 @@ class EffortModel:
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
         if not self.materialized:
             return df
-        self._staged.append(materialize(df, name))
+        self.paths[name] = store_stage(df, name)
+        self._staged.append(self.spark.read.schema(df.schema).parquet(self.paths[name]))
         return self._staged[-1]
 
     def close(self) -> None:
         """Remove the stage tables of this model and of its presets."""
         if "_lib" in self.__dict__:
             self._lib.close()
-        drop_stages(*self._staged)
+        for path in self.paths.values():
+            delete_folder(self.spark, path.rsplit("/", 1)[0])
+        self.paths.clear()
         self._staged.clear()
 
     # --- silver -----------------------------------------------------------

@@ -810,6 +810,7 @@ SELECT * REPLACE (split_part(player_id, '|', 2) AS player_id), CAST(split_part(p
 COLUMNS["sweep_runs"] = _RUN + " threshold_pct"
 BODIES["vmax_sketch"] = "SELECT player_id, frame_count, true AS within_bound FROM vm"
 COLUMNS["vmax_sketch"] = "s player_id, l frame_count, b within_bound"
+BODIES["vmax_approx_bound"], COLUMNS["vmax_approx_bound"] = BODIES["vmax_sketch"], COLUMNS["vmax_sketch"]
 
 BODIES["distinct_players"] = "SELECT game_id, count(DISTINCT player_id) AS players FROM runs GROUP BY game_id"
 COLUMNS["distinct_players"] = "s game_id, l players"

@@ -151,9 +151,10 @@ def _by_batches(m: EffortModel, group: str, column: str, name: str) -> DataFrame
     return ds.counts_by_batches([m.runs.filter(batch == i) for i in range(3)], group, column, name, m._stage)
 
 
-def _stored(df: DataFrame) -> str:
-    """The folder of a stage table."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+def _scanned(m: EffortModel) -> DataFrame:
+    """The stored frames, scanned by path."""
+    m.tracking  # noqa: B018  (stored by its first use)
+    return src.scan_tracking(m.spark, m.paths["tracking"])
 
 
 def _dyn(m: EffortModel, spec: FilterSpec = ex.DEFAULT):
@@ -176,7 +177,7 @@ TRACKING_COLS = ["game_id", "frame_id", "period_id", "timestamp", "team_id", "pl
 
 _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     # --- sources ---------------------------------------------------------------
-    "scan_tracking": lambda m: src.scan_tracking(m.spark, _stored(m.tracking)),
+    "scan_tracking": _scanned,
     "normalise_tracking": lambda m: src.normalise_tracking(m.tracking, INGEST_STAMP),
     "json_frames": _json_frames,
     "match_documents": _match_documents,
@@ -217,6 +218,10 @@ _Q: dict[str, Callable[[EffortModel], DataFrame]] = {
     "vmax_sketch": lambda m: vs.rank_errors(
         vs.vmax_from_sketches(vs.sketches(m.speeds), m.params.vmax_percentile), vs.values(m.speeds), m.params.vmax_percentile
     ).select("player_id", "frame_count", "within_bound"),
+    "vmax_approx_bound": lambda m: vs.rank_errors(
+        fr.compute_vmax_approx(m.speeds, m.params).select("player_id", "vmax_kmh", "frame_count"), vs.values(m.speeds), m.params.vmax_percentile,
+        bound=1.0 / m.params.approx_accuracy,
+    ).select("player_id", "frame_count", "within_bound"),
     "relative_threshold": lambda m: m.vmax.select("player_id", "vmax_kmh", "speed_threshold_kmh"),
     "tagged_frames": lambda m: m.silver.select(
         "player_id", "game_id", "frame_id", "speed_kmh", "speed_threshold_kmh", "low_confidence", "is_effort_frame"

@@ -34,6 +34,7 @@ from strideflow.sources.tables import read_table
 
 FRAME_KEY = ["game_id", "player_id", "frame_id"]
 TAGS = ["vmax_kmh", "speed_threshold_kmh", "low_confidence", "is_effort_frame"]
+TABLES = ("bronze", "histogram", "values", "silver", "runs", "absolute")
 STATE, FLAGGED = "state", "flagged"  # the two kinds of ledger entries
 _LEDGER = "kind string, game_id string, attempt string"
 _VMAX = ["player_id", "vmax_kmh", "speed_threshold_kmh", "low_confidence"]  # what silver and the runs carry
@@ -207,6 +208,25 @@ class GameStore:
         drop_stages(speeds, pieces, state, players)
         return {"games": games, "players": moved, "reflagged": reflagged}
 
+    def vacuum(self) -> list[str]:
+        """Remove what the last commit does not refer to: the folders of
+        attempts that failed or that hold no current game.  To be called when
+        no batch is being applied and no reader is on an older commit.
+        Returns the attempts removed."""
+        head = self.head()[1]
+        if head is None:
+            return []
+        kept = {r[0] for r in self.ledger(head).select("attempt").distinct().collect()} | {head}  # one a batch
+        gone = set()
+        for name in (*TABLES, "vmax", "ledger"):
+            _, fs, _, at = self._hadoop(f"{self.root}/{name}")
+            for status in fs.listStatus(at) if fs.exists(at) else []:
+                attempt = status.getPath().getName().removeprefix("attempt=")
+                if attempt not in kept or (name in ("vmax", "ledger") and attempt != head):
+                    fs.delete(status.getPath(), True)
+                    gone.add(attempt)
+        return sorted(gone - kept)
+
     def _merged(self, tracking: DataFrame, ledger: DataFrame) -> DataFrame:
         """The batch's games with their stored frames; of frames with the same
         key the batch's stays.  Frames that a batch itself repeats come once,

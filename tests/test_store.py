@@ -165,6 +165,21 @@ def test_empty_batches_and_games_without_speeds(spark, tmp_path):
     same_as_fresh(store, frames_df(spark, one))
 
 
+def test_vacuum_keeps_the_last_commit_whole(spark, tmp_path):
+    games = league(3)
+    store = st.GameStore(spark, str(tmp_path / "lake"), PARAMS)
+    store.apply(frames_df(spark, games["g0"]))
+    first = store.head()[1]
+    store.apply(frames_df(spark, rows_of(games)))  # g0 again: the first attempt holds nothing current
+    before = len(files(tmp_path))
+    assert store.vacuum() == [first] and store.vacuum() == []
+    assert len(files(tmp_path)) < before
+    same_as_fresh(store, frames_df(spark, rows_of(games)))
+    games["g3"] = game_rows("g3", ["p1"], seed=8)
+    store.apply(frames_df(spark, games["g3"]))
+    same_as_fresh(store, frames_df(spark, rows_of(games)))
+
+
 # --- v-max state ----------------------------------------------------------------
 
 
