@@ -247,7 +247,7 @@ def test_sweep_scans_and_shuffles_the_frames_once(spark, tmp_path):
     vmax.write.parquet(str(tmp_path / "vmax"))
     pieces = sw.sweep_pieces(spark.read.parquet(str(tmp_path / "speeds")), spark.read.parquet(str(tmp_path / "vmax")), params=PARAMS)
     plan = pieces._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("frame_id") and sum("FileScan" in x and "/speeds" in x for x in plan.split("\n")) == 1
+    assert plan.count("frame_id") and sum("FileScan" in x and "frame_id#" in x for x in plan.split("\n")) == 1
     assert plan.count("Exchange hashpartitioning") == 1
 
 
