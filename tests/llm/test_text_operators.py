@@ -412,3 +412,85 @@ def test_votes_equal_brute_force():
         near = sorted(((sum(a * b for a, b in zip(z, k, strict=True)), label) for k, label in zip(known, labels.tolist(), strict=True)), reverse=True)[:7]
         weight = [max(c, 1e-3) ** 8 for c, _ in near]
         assert abs(score - sum(w * label for w, (_, label) in zip(weight, near, strict=True)) / sum(weight)) < 1e-3
+
+
+def _brute_languages(pages, docs):
+    """(page_id, lang, confidence) by plain loops over dictionaries."""
+    import math
+    from collections import defaultdict
+
+    mask = (1 << 64) - 1
+
+    def cells(text):
+        low = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        low = [32 if b < 97 else b for b in low]
+        for a, b, c in zip(low, low[1:], low[2:], strict=False):
+            if (a, b, c) != (32, 32, 32):
+                z = a << 16 | b << 8 | c
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & mask
+                z = (z ^ z >> 27) * 0x94D049BB133111EB & mask
+                yield (z ^ z >> 31) % language_id.CELLS
+
+    counts = {}
+    for text, lang in docs:
+        if lang is not None:
+            own = counts.setdefault(lang, defaultdict(float))
+            for cell in cells(text or ""):
+                own[cell] += 1
+    names = sorted(x for x in counts if counts[x])
+    size = {x: sum(counts[x].values()) + 0.5 * language_id.CELLS for x in names}
+
+    def normal(logs):
+        odds = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(odds) for x in odds]
+
+    rows = []
+    for page_id, url, page in pages:
+        host = re.match(r"(?i)[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
+        host = host[1].lower() if host else ""
+        said = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", page or "")
+        found = list(cells(language_id.visible(page)))
+        logs = [sum(math.log((counts[x][c] + 0.5) / size[x]) for c in found) for x in names]
+        logs = [language_id.TEXT_WEIGHT * (x - max(logs)) for x in logs]
+        rows.append((page_id, host, said[1].lower()[:2] if said else "", logs, normal(logs)))
+    n, s = len(names), language_id.SMOOTHING
+
+    def share(keep, above):
+        own = [r[4] for r in rows if keep(r[1])]
+        return [(sum(p[i] for p in own) + s * above[i]) / (len(own) + s) for i in range(n)]
+
+    out = []
+    for page_id, host, said, logs, _ in rows:
+        part = host.split(".")
+        level = share(lambda h: True, [1 / n] * n)
+        level = share(lambda h: h.split(".")[-1] == part[-1], level)  # noqa: B023
+        level = share(lambda h: h.split(".")[-2:] == part[-2:], level)  # noqa: B023
+        level = share(lambda h: h == host, level)  # noqa: B023
+        off = math.log((1 - language_id.TRUST) / max(n - 1, 1))
+        total = list(logs)
+        for told in (said, language_id.SUFFIXES.get(part[-1], "")):
+            if told in names:
+                total = [t + (math.log(language_id.TRUST) if x == told else off) for t, x in zip(total, names, strict=True)]
+        post = normal([t + math.log(p) for t, p in zip(total, level, strict=True)])
+        out.append((page_id, names[post.index(max(post))], max(post)))
+    return sorted(out, key=str)
+
+
+def test_language_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    vocabulary = {"en": "the and with of this that".split(), "de": "und der nicht für über".split(), "fr": "le et que où être".split()}
+    docs = [(" ".join(rng.choices(vocabulary[x], k=40)), x) for x in vocabulary for _ in range(5)] + [(None, "en"), ("", "fr"), ("the the", None), ("der der", "de")]
+    hosts = ["a.x.de", "b.x.de", "x.de", "c.fr", "www.c.fr", "d.com", "", "e.co.uk"]
+    pages = []
+    for i in range(60):
+        text = " ".join(rng.choices(vocabulary[rng.choice(list(vocabulary))], k=rng.randrange(0, 9)))
+        mark = rng.choice(["", ' lang="de"', " lang='FR-fr'", ' lang="zz"'])
+        pages.append((i, rng.choice([None, "no address", f"https://{rng.choice(hosts)}/p?q", f"http://u@{rng.choice(hosts)}:80/"]), f"<html{mark}><script>the the</script><p>{text}&amp;</p></html>"))
+    pages += [(60, None, None), (61, "https://x.de/", ""), (61, "https://x.de/", ""), (None, "https://c.fr", "<p>" + "le et que " * 20000)]
+    got = language_id.identify(frame(spark, pages, "page_id long, url string, html string"), frame(spark, docs, "text string, lang string")).collect()
+    want = _brute_languages(pages, docs)
+    assert [(r.page_id, r.lang) for r in sorted(got, key=lambda r: str((r.page_id, r.lang, r.confidence)))] == [(p, x) for p, x, _ in want]
+    sure = {(r.page_id, r.lang): r.confidence for r in got}
+    assert all(abs(sure[p, x] - c) < 1e-9 for p, x, c in want)
