@@ -15,10 +15,19 @@ from strideflow.operators import sweep as sw
 from strideflow.operators import vmax_state as vs
 from strideflow.params import PROD, SWEEP_THRESHOLDS
 from strideflow.plans import store as st
+from strideflow.session import materialize
 
 PARAMS = PROD.with_(min_frames_vmax=50, chunk_frames=64)
 
 
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """The tables are tiny and the jobs many."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def game_rows(game, players, seed, top=30.0, frames=160):
     rng = random.Random(seed)
     out = []
@@ -37,9 +46,9 @@ def league(n=8):
 
 
 def fresh(frames, params=PARAMS):
-    speeds = fr.compute_speed(fr.drop_ball(frames), params)
-    vmax = fr.compute_vmax(speeds, params)
-    tagged = fr.tag_effort_frames(speeds, vmax)
+    speeds = materialize(fr.compute_speed(fr.drop_ball(frames), params), "speeds")
+    vmax = materialize(fr.compute_vmax(speeds, params), "vmax")
+    tagged = materialize(fr.tag_effort_frames(speeds, vmax), "tagged")
     return vmax, ru.extract_effort_runs(tagged, params), tagged, ru.absolute_run_counts(speeds, params)
 
 
@@ -228,12 +237,13 @@ def test_sweep_equals_an_extraction_for_each_threshold(spark):
     rows = [r for r in rows if r[1] % 37 != 5]  # gaps
     speeds = fr.compute_speed(frames_df(spark, rows), PARAMS).withColumn("period_id", F.when(F.col("frame_id") < 80, 1).otherwise(2))
     params = PARAMS.with_(min_duration_sec=0.2, chunk_frames=13)
-    vmax = fr.compute_vmax(speeds, params)
-    got = sw.sweep_runs(sw.sweep_pieces(speeds, vmax, params=params), params=params)
+    speeds = materialize(speeds, "speeds")
+    table = materialize(fr.vmax_percentiles(speeds, [params.vmax_percentile]), "vmax")
+    got = materialize(sw.sweep_runs(sw.sweep_pieces(speeds, fr.vmax_from_table(table, params), params=params), params=params), "sweep")
     seen = 0
     for t in SWEEP_THRESHOLDS:
         at = params.with_(threshold_pct=t)
-        one = ru.extract_effort_runs(fr.tag_effort_frames(speeds, fr.compute_vmax(speeds, at)), at)
+        one = ru.extract_effort_runs(fr.tag_effort_frames(speeds, fr.vmax_from_table(table, at)), at)
         want = lines(one)
         seen += len(want)
         assert lines(got.filter(F.col("threshold_pct") == t), one.columns) == want
