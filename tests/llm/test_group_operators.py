@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 from llm_cases import empty, frame, messy, texts, words
+from pyspark.sql import functions as F
 
 from strideflow.llm import chat_fsm, chosen_path, suffix_dedup, tree_dedup
 from strideflow.llm.graph import components
@@ -99,7 +100,7 @@ def brute_exact(rows):
     return out
 
 
-@pytest.mark.parametrize("runs,fan", [(64, 8), (7, 2), (1, 8)])
+@pytest.mark.parametrize("runs,fan", [(64, 8), (7, 2), (1, 8), (None, None), (30, None)])
 def test_exact_dedup_equals_brute_force(spark, runs, fan):
     rows = texts() + [(30 + i, "the same text") for i in range(50)]
     got = tree_dedup.exact_duplicates(frame(spark, rows), runs=runs, fan=fan).collect()
@@ -121,6 +122,37 @@ def test_dropping_duplicates_keeps_whole_rows(spark):
     assert tree_dedup.drop_duplicates(empty(spark)).count() == 0
 
 
+def test_runs_are_sorted_and_merged_in_rounds(spark, monkeypatch):
+    """As many leaf runs as tasks; each round merges neighbours into sorted
+    runs that keep the smallest id."""
+    written = {}
+
+    def keep(df, name):
+        written[name] = df
+        return real(df, name)
+
+    real = tree_dedup.stage
+    monkeypatch.setattr(tree_dedup, "stage", keep)
+    docs = spark.range(600).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', concat('text ', id % 400)) as text").repartition(40)
+    got = tree_dedup.exact_duplicates(docs).collect()
+    assert sorted(written) == ["digests", "run_0", "run_1"]  # 40 runs, 5, then one
+    rows = sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got)
+    assert rows == sorted(brute_exact([(i, "hot" if i % 3 == 0 else f"text {i % 400}") for i in range(600)]))
+    for name, runs in (("run_0", 40), ("run_1", 5)):
+        parts = written[name].select("run", "digest", "best.id", "n", F.spark_partition_id().alias("part")).collect()
+        assert {r.run for r in parts} == set(range(runs))
+        assert len({(r.run, r.digest) for r in parts}) == len(parts) and sum(r.n for r in parts) == 600
+        for x in {r.part for r in parts}:
+            own = [(r.run, bytes(r.digest)) for r in parts if r.part == x]
+            assert own == sorted(own)
+    hot = bytes.fromhex(hashlib.sha256(b"hot").hexdigest())
+    assert min(r.id for r in written["run_1"].select("digest", "best.id").collect() if bytes(r.digest) == hot) == 0
+
+
+def test_the_tree_keeps_its_height():
+    assert [tree_dedup.fan_for(n) for n in (1, 64, 512, 513, 1_000_000)] == [8, 8, 8, 9, 100]
+
+
 def test_exact_dedup_stays_in_the_engine(spark):
     for df in (tree_dedup.exact_duplicates(messy(spark)), tree_dedup.drop_duplicates(messy(spark))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
