@@ -3,15 +3,16 @@
 The posterior of a page's language adds the logs of a text likelihood
 (character trigrams of the page's visible text), the likelihoods of its
 declared markup language and of its address suffix, and a prior of its host.
-Host priors are smoothed hierarchically: a host leans on its domain, the
-domain on its suffix, the suffix on all pages, each by grouped aggregation of
-the text evidence.
+How likely a language's pages declare a code, or stand under a suffix, is
+counted over all pages by grouped aggregation of the text evidence, so a
+declaration is trusted as far as the texts bear it out.  Host priors are
+smoothed hierarchically in the same way: a host leans on its domain, the
+domain on all pages.  The suffix is one piece of evidence, not a level too.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 
 import numpy as np
@@ -23,12 +24,12 @@ from .common import mix64, stage, task, text_slices
 
 CELLS = 1 << 14  # hashed trigrams of the text model
 TEXT_WEIGHT = 0.5  # neighbouring trigrams overlap: each counts for less than one observation
-SMOOTHING = 8.0  # pages that the next wider level counts as
-TRUST = 0.9  # share of declarations and national suffixes that are right
+SMOOTHING = 8.0  # pages that the next wider level, or the belief before any count, counts as
+TRUST = 0.9  # belief before any count: share of declarations and national suffixes that are right
 
 _DROP = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNORECASE | re.DOTALL)
 _LANG = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})"
-# Languages of national suffixes.
+# Languages of national suffixes, as believed before any count.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
 
 
@@ -73,11 +74,16 @@ def text_model(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> tu
     """Languages and the log probability of every cell in each, counted over
     all documents with a language.  At most ``CELLS`` rows a language."""
     known = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    rows = known.mapInArrow(_tally("text", "lang"), "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
-    names = sorted({r["lang"] for r in rows})
+    rows = known.mapInArrow(_tally("text", "lang"), "lang string, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    lang_of = rows.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(lang_of, pa.ChunkedArray):
+        lang_of = lang_of.combine_chunks()
+    seen = lang_of.dictionary.to_pylist()
+    names = sorted(seen)
     counts = np.full((len(names), CELLS), 0.5)
-    for r in rows:
-        counts[names.index(r["lang"]), r["cell"]] += r["n"]
+    place = np.array([names.index(x) for x in seen], dtype=np.int64)
+    if names:
+        counts[place[lang_of.indices.to_numpy()], rows.column("cell").to_numpy()] += rows.column("n").to_numpy()
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)) if names else counts
 
 
@@ -110,12 +116,38 @@ def _array_sum(name: str, n: int) -> list[F.Column]:
     return [F.sum(F.element_at(name, x + 1)).alias(f"s{x}") for x in range(n)]
 
 
+def _totals(sums: DataFrame, n: int):
+    return sums.agg(F.sum("pages").alias("pages"), *[F.sum(f"s{x}").alias(f"s{x}") for x in range(n)]).head()
+
+
+def _counted(pages: DataFrame, key: str, said: F.Column, names: list[str]) -> DataFrame:
+    """(key, key_log): the log likelihood of each value of ``key`` in each
+    language, against its share of all pages.
+
+    A language's share of pages with the value is its soft count over all
+    pages, plus ``SMOOTHING`` pages as believed before: ``said`` is the
+    language that a value names, right with ``TRUST``; a value that names none
+    is as likely in every language.  No value ('') is no evidence.
+    """
+    n = len(names)
+    sums = pages.groupBy(key).agg(F.count("*").alias("pages"), *_array_sum("text_post", n))
+    total = _totals(sums, n)
+    share = F.col("pages") / F.lit(float(total["pages"] or 1))
+    off = (1 - TRUST) / max(n - 1, 1)
+
+    def ratio(x: int) -> F.Column:
+        belief = F.when(~said.isin(*names), F.lit(1.0)).when(said == names[x], F.lit(n * TRUST)).otherwise(F.lit(n * off))
+        return F.log((F.col(f"s{x}") + SMOOTHING * belief * share) / (((total[f"s{x}"] or 0.0) + SMOOTHING) * share))
+
+    return sums.filter(F.col(key) != "").select(key, F.array(*[ratio(x) for x in range(n)]).alias(f"{key}_log"))
+
+
 def _priors(pages: DataFrame, n: int) -> DataFrame:
     """(host, prior): each level's soft counts of languages, smoothed by the
     level above."""
-    hosts = pages.groupBy("host", "domain", "suffix").agg(F.count("*").alias("pages"), *_array_sum("text_post", n))
+    hosts = pages.groupBy("host", "domain").agg(F.count("*").alias("pages"), *_array_sum("text_post", n))
     flat = [1.0 / n] * n
-    total = hosts.agg(F.sum("pages").alias("pages"), *[F.sum(f"s{x}").alias(f"s{x}") for x in range(n)]).head()
+    total = _totals(hosts, n)
     if total["pages"]:
         flat = [(total[f"s{x}"] + SMOOTHING / n) / (total["pages"] + SMOOTHING) for x in range(n)]
 
@@ -123,9 +155,7 @@ def _priors(pages: DataFrame, n: int) -> DataFrame:
         sums = rows.groupBy(key).agg(F.sum("pages").alias("pages"), *[F.sum(f"s{x}").alias(f"s{x}") for x in range(n)], F.first("above").alias("above"))
         return sums.select(key, F.array(*[(F.col(f"s{x}") + SMOOTHING * F.element_at("above", x + 1)) / (F.col("pages") + SMOOTHING) for x in range(n)]).alias(above))
 
-    top = level(hosts.withColumn("above", F.array(*[F.lit(x) for x in flat])), "suffix", "p_suffix")
-    hosts = hosts.join(top, "suffix")
-    mid = level(hosts.withColumn("above", F.col("p_suffix")), "domain", "p_domain")
+    mid = level(hosts.withColumn("above", F.array(*[F.lit(x) for x in flat])), "domain", "p_domain")
     hosts = hosts.join(mid, "domain")
     low = level(hosts.withColumn("above", F.col("p_domain")), "host", "prior")
     return low.select("host", "prior")
@@ -135,9 +165,10 @@ def identify(pages: DataFrame, docs: DataFrame, *, page_id: str = "page_id", url
     """One row per page: page_id, host, declared, suffix, lang, confidence.
 
     The text model is counted over all of ``docs``.  Null or empty pages rest
-    on the other evidence; a page without any gets the host prior's language.
-    Null or malformed addresses are one host, ''.  Declarations of unknown
-    languages count for nothing.  Ties go to the first language by name;
+    the other evidence; a page without any gets the host prior's language.
+    Null or malformed addresses are one host, '', and have no suffix.  Codes
+    and suffixes are any text; those that name no known language count for what
+    the texts under them are.  Ties go to the first language by name;
     without any labelled document, lang is null.  Repeated rows each get
     their row.
     """
@@ -151,17 +182,15 @@ def identify(pages: DataFrame, docs: DataFrame, *, page_id: str = "page_id", url
     sent = spark.sparkContext.broadcast(logs)  # CELLS numbers a language
     scored = stage(base.mapInArrow(_likelihood(names, sent, "page"), f"page_id {kind}, host string, declared string, suffix string, domain string, text_log array<double>"), "likelihoods")
     scored = scored.withColumn("text_post", _posterior(F.col("text_log")))
-    off = math.log((1 - TRUST) / max(len(names) - 1, 1))
     known = F.array(*[F.lit(x) for x in names])
-
-    def evidence(said: F.Column) -> F.Column:
-        return F.transform(known, lambda x: F.when(said.isin(*names), F.when(x == said, F.lit(math.log(TRUST))).otherwise(F.lit(off))).otherwise(F.lit(0.0)))
-
     national = F.lit("")
     for suffix, name in SUFFIXES.items():
         national = F.when(F.col("suffix") == suffix, F.lit(name)).otherwise(national)
+    scored = scored.withColumn("code", F.substring("declared", 1, 2))
     joined = scored.join(_priors(scored, len(names)), "host")
-    parts = joined.withColumn("said", evidence(F.substring("declared", 1, 2))).withColumn("place", evidence(national))
-    fused = parts.withColumn("all", F.transform("text_log", lambda x, i: x + F.get("said", i) + F.get("place", i) + F.log(F.get("prior", i))))
+    for key, said in (("code", F.col("code")), ("suffix", national)):
+        joined = joined.join(_counted(scored, key, said, names), key, "left")
+    told = lambda key, i: F.coalesce(F.get(f"{key}_log", i), F.lit(0.0))
+    fused = joined.withColumn("all", F.transform("text_log", lambda x, i: x + told("code", i) + told("suffix", i) + F.log(F.get("prior", i))))
     post = fused.withColumn("post", _posterior(F.col("all")))
     return post.select(F.col("page_id").alias(page_id), "host", "declared", "suffix", F.element_at(known, F.array_position("post", F.array_max("post")).cast("int")).alias("lang"), F.array_max("post").alias("confidence"))

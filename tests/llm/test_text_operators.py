@@ -459,23 +459,43 @@ def _brute_languages(pages, docs):
         own = [r[4] for r in rows if keep(r[1])]
         return [(sum(p[i] for p in own) + s * above[i]) / (len(own) + s) for i in range(n)]
 
+    def ratios(at, value, names_language):
+        """log of a value's counted likelihood in each language, by its share."""
+        if not value:
+            return [0.0] * n
+        last = lambda r: r[at].split(".")[-1]
+        own = [r for r in rows if last(r) == value]
+        out = []
+        for i, x in enumerate(names):
+            right = 1 / n if names_language not in names else language_id.TRUST if names_language == x else (1 - language_id.TRUST) / (n - 1)
+            expected = len(own) / len(rows)
+            share = (sum(r[4][i] for r in own) + s * n * right * expected) / (sum(r[4][i] for r in rows) + s)
+            out.append(math.log(share / expected))
+        return out
+
     out = []
     for page_id, host, said, logs, _ in rows:
         part = host.split(".")
         level = share(lambda h: True, [1 / n] * n)
-        level = share(lambda h: h.split(".")[-1] == part[-1], level)  # noqa: B023
         level = share(lambda h: h.split(".")[-2:] == part[-2:], level)  # noqa: B023
         level = share(lambda h: h == host, level)  # noqa: B023
-        off = math.log((1 - language_id.TRUST) / max(n - 1, 1))
-        total = list(logs)
-        for told in (said, language_id.SUFFIXES.get(part[-1], "")):
-            if told in names:
-                total = [t + (math.log(language_id.TRUST) if x == told else off) for t, x in zip(total, names, strict=True)]
+        total = [x + c + t for x, c, t in zip(logs, ratios(2, said, said), ratios(1, part[-1], language_id.SUFFIXES.get(part[-1], "")), strict=True)]
         post = normal([t + math.log(p) for t, p in zip(total, level, strict=True)])
         out.append((page_id, names[post.index(max(post))], max(post)))
     return sorted(out, key=str)
 
 
+def test_declarations_are_trusted_as_far_as_the_texts_bear_them_out(spark):
+    """Where pages that declare "en" are German by their texts, a page with
+    that declaration and no text is German; so for a suffix of no nation."""
+    docs = spark.createDataFrame([("the of and to", "en"), ("der die und das", "de")] * 5, "text string, lang string")
+    mark, german = '<html lang="en">', "<p>der die und das der die und</p>"
+    made = [(i, f"http://h{i}.example/", mark + german) for i in range(400)] + [(i, f"http://h{i}.net/", "<p>the of and to the of and to</p>") for i in range(400, 800)]
+    made += [(900, "", mark), (901, "http://new.example/", ""), (902, "http://new.net/", "")]
+    got = {r.page_id: r.lang for r in language_id.identify(spark.createDataFrame(made, "page_id long, url string, html string"), docs).collect()}
+    assert [got[i] for i in (0, 400, 900, 901, 902)] == ["de", "en", "de", "de", "en"]
+
+
 def test_language_equals_brute_force(spark):
     import random
 
