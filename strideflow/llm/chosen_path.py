@@ -6,8 +6,10 @@ two sets share as many as they are similar.  Buckets start at a few
 coordinates (the runs) and large buckets are split again and again on further
 sampled coordinates, so a path of shared coordinates leads similar sets into
 one leaf.  Runs and depth are chosen for the target recall.  Leaves are
-compared by signature; connected candidates are then compared exactly, all
-against all of their candidate component in blocks.
+compared by signature; connected candidates are then compared exactly, in
+blocks.  Numbers of links need all pairs of blocks of a candidate component.
+Classes alone need fewer: all blocks are compared with the first one, and then
+only the sets that this leaves outside the largest class with all others.
 """
 
 from __future__ import annotations
@@ -145,7 +147,28 @@ def _similar(threshold: float):
     return run
 
 
-def _blocks(text: str, size: int):
+def _all_pairs(block: int, many: int, key: bytes, left: int) -> list[tuple[int, int]]:
+    """The pairs of blocks that a set of ``block`` takes part in."""
+    return [(min(block, other), max(block, other)) for other in range(many)]
+
+
+def _with_first(block: int, many: int, key: bytes, left: int) -> list[tuple[int, int]]:
+    """As above, where all blocks are compared with the first alone."""
+    return [(0, block)] if block else [(0, other) for other in range(many)]
+
+
+def _with_left(block: int, many: int, key: bytes, left: int) -> list[tuple[int, int]]:
+    """As above, where parts of the sets left are compared with all blocks;
+    ``left`` is their number, negative for a set that is not one of them."""
+    parts = -(-abs(left) // BLOCK)
+    pairs = [(part, block) for part in range(parts)]
+    if left > 0:
+        own = int.from_bytes(key[-8:-4], "big") % parts
+        pairs += [(own, other) for other in range(many) if other != block]
+    return pairs
+
+
+def _blocks(text: str, size: int, pairs):
     """Members with their text -> members with their shingles, once for each
     pair of blocks that theirs takes part in."""
 
@@ -154,7 +177,7 @@ def _blocks(text: str, size: int):
         sent = set()  # of this task: rows may repeat
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            key, root, weight, count = (get(c).to_pylist() for c in ("set_key", "root", "weight", "count"))
+            key, root, weight, count, left = (get(c).to_pylist() for c in ("set_key", "root", "weight", "count", "left"))
             rows, grp, own, grams_of = [], [], [], []
             for r, grams in _sets_of(get(text), size):
                 if key[r] in sent:
@@ -163,8 +186,7 @@ def _blocks(text: str, size: int):
                 many = -(-count[r] // BLOCK)
                 block = int.from_bytes(key[r][-4:], "big") % many
                 raw = grams.tobytes()
-                for other in range(many):
-                    i, j = sorted((block, other))
+                for i, j in pairs(block, many, key[r], left[r]):
                     rows.append(r)
                     grp.append(root[r] + i.to_bytes(4, "big") + j.to_bytes(4, "big"))
                     own.append(block)
@@ -198,9 +220,10 @@ def _shared(grams: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _exact(threshold: float):
-    """Pairs of blocks -> each set's weight of links, and links that connect
-    the linked sets."""
+def _exact(threshold: float, counted: bool):
+    """Pairs of blocks -> links that connect the linked sets and, if counted,
+    each set's weight of links, for which a pair must come in one pair of
+    blocks only."""
 
     @task
     def run(batches):
@@ -218,9 +241,9 @@ def _exact(threshold: float):
                 both = _shared(grams)
                 near = both >= threshold * (size[:, None] + size - both) - 1e-6
                 np.fill_diagonal(near, False)
-                if grp[i][-8:-4] != grp[i][-4:]:
+                if counted and grp[i][-8:-4] != grp[i][-4:]:
                     near &= block[at][:, None] != block[at]
-                w = near @ weight[at]
+                w = near @ weight[at] if counted else np.zeros(0)
                 for x in np.flatnonzero(w):
                     a.append(key[at[x]])
                     b.append(None)
@@ -267,10 +290,31 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def _compared(base: DataFrame, members: DataFrame, size: int, threshold: float, pairs) -> DataFrame:
+    """(a, b, links) of the members' sets, compared in these pairs of blocks."""
+    texts = base.join(_small(members), F.col("doc_id").eqNullSafe(F.col("at.id")) & (F.col("text_hash") == F.col("at.hash"))).select("set_key", "root", "count", "weight", "left", "text")
+    blocks = texts.mapInArrow(_blocks("text", size, pairs), "grp binary, block int, set_key binary, weight bigint, grams binary")
+    links = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(threshold, pairs is _all_pairs), "a binary, b binary, links bigint")
+    return stage(links, "links")
+
+
+def _left(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the candidate components of several blocks that the first
+    block has not made one class: ``left`` is the number of sets outside the
+    largest class, negative for the sets of that class."""
+    own = members.filter(F.col("count") > BLOCK).drop("left").join(classes.select(F.col("node").alias("set_key"), F.col("root").alias("class")), "set_key", "left")
+    own = stage(own.withColumn("class", F.coalesce("class", "set_key")), "parts")
+    sizes = own.groupBy("root", "class").agg(F.count("*").alias("n"))
+    largest = stage(sizes.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), (F.sum("n") - F.max("n")).alias("others")).filter("others > 0"), "largest")
+    return own.join(_small(largest), "root").withColumn("left", F.when(F.col("class") == F.col("largest"), -F.col("others")).otherwise(F.col("others"))).drop("class", "largest", "others")
+
+
+def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, count_links: bool = True) -> DataFrame:
     """One row per row: doc_id, text_hash, class_id (smallest id of its
     connected class of similar texts), class_size and n_links (other rows at
     or above the threshold, rows with an equal set of shingles included).
+    Without ``count_links`` the classes are the same, n_links is left out, and
+    not all pairs of a candidate component are compared.
 
     A text of fewer than ``size`` words is one shingle.  Null, empty and
     wordless texts have no links: class_id is their own id.  Null ids take
@@ -292,25 +336,35 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     root = stage(components(found, "a", "b"), "candidates")
 
     counts = root.groupBy("root").agg(F.count("*").alias("count"))
-    members = stage(root.join(counts, "root").join(sets, F.col("node") == sets["set_key"]).select("root", "count", "set_key", "at", "weight"), "members")
-    texts = base.join(_small(members), F.col("doc_id").eqNullSafe(F.col("at.id")) & (F.col("text_hash") == F.col("at.hash"))).select("set_key", "root", "count", "weight", "text")
-    blocks = texts.mapInArrow(_blocks("text", size), "grp binary, block int, set_key binary, weight bigint, grams binary")
-    pairs = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(threshold), "a binary, b binary, links bigint")
-    pairs = stage(pairs, "links")
-
+    members = root.join(counts, "root").join(sets, F.col("node") == sets["set_key"]).select("root", "count", "set_key", "at", "weight", F.lit(0).cast("long").alias("left"))
+    members = stage(members, "members")
+    pairs = _compared(base, members, size, threshold, _all_pairs if count_links else _with_first)
     classes = components(pairs.filter("b is not null"), "a", "b")
-    degree = pairs.groupBy("a").agg(F.sum("links").alias("links"))
-    labelled = sets.select("set_key", "rep", "weight").join(classes, F.col("set_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_key"))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("weight").alias("class_size"))
-    info = labelled.join(least, "root").join(degree, F.col("set_key") == F.col("a"), "left").select("set_key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    known = rows.filter("n > 0").select("doc_id", "text_hash", "set_key").join(info, "set_key").select("doc_id", "text_hash", "class_id", "class_size", "n_links")
-    alone = rows.filter("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    if not count_links and not members.filter(F.col("count") > BLOCK).isEmpty():
+        rest = stage(_left(members, classes), "left")
+        if not rest.isEmpty():
+            pairs = pairs.unionByName(_compared(base, rest, size, threshold, _with_left))
+            classes = components(pairs.filter("b is not null"), "a", "b")
+
+    linked = sets.select("set_key", "rep", "weight").join(classes, F.col("set_key") == F.col("node")).select("set_key", "root", "rep", "weight")
+    least = stage(linked.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("weight").alias("class_size")), "classes")
+    named = linked.join(_small(least), "root").select("set_key", "class_id", "class_size")
+    info = sets.select("set_key", "rep", "weight").join(named, "set_key", "left")
+    info = info.withColumn("class_id", F.coalesce("class_id", "rep")).withColumn("class_size", F.coalesce("class_size", "weight"))
+    columns = ["class_id", "class_size"]
+    if count_links:
+        degree = pairs.groupBy("a").agg(F.sum("links").alias("links"))
+        info = info.join(degree, F.col("set_key") == F.col("a"), "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("weight") - 1)
+        columns.append("n_links")
+    known = rows.filter("n > 0").select("doc_id", "text_hash", "set_key").join(info.select("set_key", *columns), "set_key").select("doc_id", "text_hash", *columns)
+    own = {"class_id": F.col("doc_id"), "class_size": F.lit(1).cast("long"), "n_links": F.lit(0).cast("long")}
+    alone = rows.filter("n = 0").select("doc_id", "text_hash", *[own[c].alias(c) for c in columns])
     return known.unionByName(alone).withColumnRenamed("doc_id", doc_id)
 
 
 def drop_similar(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose document is its class's smallest id; a class
     without any id stays."""
-    gone = similar_classes(docs, doc_id=doc_id, text=text, **options).filter(F.col("class_id").isNotNull() & ~F.col(doc_id).eqNullSafe(F.col("class_id")))
+    gone = similar_classes(docs, doc_id=doc_id, text=text, count_links=False, **options).filter(F.col("class_id").isNotNull() & ~F.col(doc_id).eqNullSafe(F.col("class_id")))
     gone = stage(gone.select(F.col(doc_id).alias("__id"), "text_hash").distinct(), "dropped")
     return docs.join(_small(gone), docs[doc_id].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text]) == gone["text_hash"]), "left_anti")
