@@ -3,7 +3,9 @@ whose guess cost is high.
 
 The guess cost of a value is the cheapest way to split it into dictionary
 words, dates, repeats, keyboard walks and brute-force characters, found by
-dynamic programming over its characters (log10 of guesses).
+dynamic programming over its characters (log10 of guesses).  The dictionary
+holds common words of passwords and the most frequent words of the corpus, by
+rank.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import task
 
@@ -50,7 +53,9 @@ LEET = str.maketrans("013457@$!", "oleastasi")
 
 LEAST_COST = 8.0  # log10 of guesses from which a context value is a secret
 _RANK = {w: math.log10(i + 2) for i, w in enumerate(dict.fromkeys(WORDS))}
-_LONGEST = max(map(len, _RANK))
+DICTIONARY = 5000  # words of the corpus in the dictionary, at most
+LEAST_DOCS = 5  # documents that such a word stands in
+LONGEST = 20  # letters of such a word
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
 PART_COST = 0.2  # of choosing how many parts there are
 _KEYS = sum(len(r) for r in KEYBOARD)
@@ -80,7 +85,22 @@ def _walk(text: str, i: int) -> int:
     return best
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def corpus_words(docs: DataFrame, *, text: str = "text", most: int = DICTIONARY, least_docs: int = LEAST_DOCS) -> list[str]:
+    """The ``most`` lower-case words of 3 to ``LONGEST`` letters a-z that
+    stand, between blanks and marks, in most texts (``least_docs`` at least),
+    most frequent first, ties by word.  Repeated rows count each."""
+    found = F.array_distinct(F.expr(f"regexp_extract_all(`{text}`, '(?<![^ \\t\\n\\r])[a-z]{{3,{LONGEST}}}+(?=[.,;!?]?(?:[ \\t\\n\\r]|$))', 0)"))
+    words = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least_docs)
+    return [r.word for r in words.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def ranked(words: list[str]) -> dict[str, float]:
+    """log10 of the guesses of the fixed words and of these, by rank."""
+    out = {w: math.log10(i + 2) for i, w in enumerate(words)}
+    return out | {w: min(cost, out.get(w, cost)) for w, cost in _RANK.items()}
+
+
+def guess_cost(value: str, rank: dict[str, float] = _RANK) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of guesses of the cheapest segmentation, and its parts
     ``(kind, start, end)``.  Each part after the first costs ``PART_COST``;
     neighbouring brute-force characters are one part."""
@@ -103,8 +123,8 @@ def guess_cost(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     repeat_end, stop = 0, [0] * 5
     for i in range(n):
         offer(i, i + 1, _char_cost(value[i]), "brute")
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            cost = _RANK.get(plain[i:j])
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
+            cost = rank.get(plain[i:j])
             if cost is not None:
                 odd = sum(a != b for a, b in zip(value[i:j], plain[i:j], strict=True))
                 offer(i, j, cost + 0.3 + 0.3 * min(odd, 4), "word")
@@ -162,9 +182,9 @@ def context_values(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def scored_values(text: str) -> list[tuple[int, int, float]]:
+def scored_values(text: str, rank: dict[str, float] = _RANK) -> list[tuple[int, int, float]]:
     """(start, end, guess cost) of the values in a credential context."""
-    return [(a, e, guess_cost(text[a:e])[0]) for a, e in context_values(text)]
+    return [(a, e, guess_cost(text[a:e], rank)[0]) for a, e in context_values(text)]
 
 
 def costly_spans(scored: list, base: list, least: float = LEAST_COST) -> list[tuple[int, int, str, int]]:
@@ -178,16 +198,17 @@ def _joined(spans: list) -> str:
     return ",".join(f"{kind}:{a}:{e}" for a, _, kind, e in spans)
 
 
-def _scan(text: str, least: float):
+def _scan(text: str, least: float, sent):
     @task
     def run(batches):
+        rank = sent.value
         for batch in batches:
             rows = []
             for value in batch.column(batch.schema.get_field_index(text)):
                 whole = value.as_py() or ""
                 base = base_spans(whole)
                 n = [sum(k == kind for _, _, k, _ in base) for kind in ("assign", "access", "hex")]
-                scored = scored_values(whole)
+                scored = scored_values(whole, rank)
                 costs = ",".join(f"{a}:{e}:{cost:.2f}" for a, e, cost in scored)
                 rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(sorted(base + costly_spans(scored, base, least))), costs))
             keep = [c for c in batch.schema.names if c != text]
@@ -198,7 +219,7 @@ def _scan(text: str, least: float):
     return run
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_cost: float = LEAST_COST) -> DataFrame:
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_cost: float = LEAST_COST, words: list[str] | None = None) -> DataFrame:
     """One row per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans,
     costs (start:end:cost of every value in a credential context, cost being
     log10 of guesses, also of those that a base span covers).
@@ -207,8 +228,12 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_c
     row; other columns are ignored.  Spans are matches of the base patterns,
     leftmost and not overlapping within a kind, and ``guess`` spans: a whole
     value alone, also where base spans cover parts of it.  Values of any length
-    are scored whole.  An empty table gives an empty one.
+    are scored whole.  ``words`` are the corpus's words of the dictionary, most
+    frequent first; if None, they are counted in ``docs``.  An empty table
+    gives an empty one.
     """
     base = docs.select(doc_id, text)
+    rank = ranked(corpus_words(docs, text=text) if words is None else words)
+    sent = docs.sparkSession.sparkContext.broadcast(rank)  # DICTIONARY words and the fixed ones
     kind = base.schema[doc_id].dataType.simpleString()
-    return base.mapInArrow(_scan(text, least_cost), f"`{doc_id}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, costs string")
+    return base.mapInArrow(_scan(text, least_cost, sent), f"`{doc_id}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, costs string")

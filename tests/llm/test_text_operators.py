@@ -385,6 +385,35 @@ def test_costs_of_all_context_values_are_told(spark):
     assert got[2] == got[3] == ""
 
 
+def brute_words(rows, least_docs=5):
+    n = {}
+    for _, t in rows:
+        for w in {m[1] for m in re.finditer(r"(?:(?<=[ \t\n\r])|^)([a-z]+)(?=[.,;!?]?(?:[ \t\n\r]|\Z))", t or "") if 3 <= len(m[1]) <= 20}:
+            n[w] = n.get(w, 0) + 1
+    return sorted((w for w in n if n[w] >= least_docs), key=lambda w: (-n[w], w))
+
+
+def test_the_dictionary_comes_from_the_corpus(spark):
+    rows = [(i, f"prose of the zephyrlark, number {i} Upper x-ray under\nscore " + "common " * (i % 3) + "y" * 21) for i in range(12)]
+    rows += [(50, "password=zephyrlarkprose pwd: qjxvzephyrlark"), (51, "rare tokens"), (52, None), (53, "")] + texts()
+    got = secret_scan.corpus_words(frame(spark, rows))
+    assert got == brute_words(rows) and {"zephyrlark", "prose", "common"} <= set(got) and not {"rare", "upper", "ray"} & set(got)
+    assert secret_scan.corpus_words(frame(spark, rows), most=2) == got[:2] and secret_scan.corpus_words(empty(spark)) == []
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert secret_scan.corpus_words(spark.createDataFrame(docs, "doc_id long, text string")) == brute_words(docs)[: secret_scan.DICTIONARY]
+
+    def costs(**options):
+        out = {r.doc_id: r.costs for r in secret_scan.scan(frame(spark, rows), **options).collect()}
+        return [float(c.split(":")[2]) for c in out[50].split(",")]
+
+    known, plain = costs(), costs(words=[])
+    assert known[0] < 4 < 8 < plain[0] and known[1] < plain[1]
+    rank = secret_scan.ranked(got)
+    assert known == [round(secret_scan.guess_cost(v, rank)[0], 2) for v in ("zephyrlarkprose", "qjxvzephyrlark")]
+    assert [p[0] for p in secret_scan.guess_cost("zephyrlarkprose", rank)[1]] == ["word", "word"]
+    assert all(rank[w] <= cost for w, cost in secret_scan._RANK.items())
+
+
 def test_of_two_writers_of_a_batch_one_counts(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([(1, "s", "en", "v", 5, 9)], "doc_id long, source string, lang string, version string, tokens long, characters long")
     first, second = (token_rollup.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
