@@ -67,51 +67,6 @@ def test_similarity_equals_brute_force(spark, monkeypatch):
     assert chosen_path.similar_classes(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [4, 128])
-def test_classes_alone_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(chosen_path, "LEAF", 8)
-    monkeypatch.setattr(chosen_path, "BLOCK", block)
-    rng = random.Random(5)
-    base = words(rng, 150, 5000).split()
-    rows, w = [], list(base)
-    for i in range(70):  # a chain: neighbours are similar, its ends are not
-        w[(i * 2) % len(w)] = f"z{i}"
-        rows.append((i, " ".join(w)))
-    for i in range(40):  # near copies whose mutual similarity is about the threshold
-        v = list(base)
-        for _ in range(3):
-            v[rng.randrange(len(v))] = f"y{rng.randrange(10**6)}"
-        rows.append((500 + i, " ".join(v)))
-    rows += [(600, None), (601, ""), (None, rows[3][1]), (602, rows[3][1]), (None, "one two"), (None, None)]
-    rng.shuffle(rows)
-    calls = []
-    compared = chosen_path._compared
-    monkeypatch.setattr(chosen_path, "_compared", lambda *a: calls.append(a[-1].__name__) or compared(*a))
-    out = chosen_path.similar_classes(frame(spark, rows), count_links=False)
-    assert out.columns == ["doc_id", "text_hash", "class_id", "class_size"]
-    want = sorted(str(tuple(eval(r)[:3])) for r in brute_classes(rows))
-    assert sorted(str((r.doc_id, r.class_id, r.class_size)) for r in out.collect()) == want
-    assert calls == (["_with_first", "_with_left"] if block == 4 else ["_with_first"])
-
-
-def test_pairs_of_blocks_meet(monkeypatch):
-    """Any two sets meet where all are counted, and once; any set meets the
-    first block; a set that is left meets any other."""
-    monkeypatch.setattr(chosen_path, "BLOCK", 8)
-    keys = [hashlib.sha256(str(i).encode()).digest()[:20] for i in range(50)]
-    many = -(-len(keys) // 8)
-    left = [12 if i < 12 else -12 for i in range(len(keys))]
-    groups = lambda how: [set(how(int.from_bytes(k[-4:], "big") % many, many, k, n)) for k, n in zip(keys, left, strict=True)]
-    block = [int.from_bytes(k[-4:], "big") % many for k in keys]
-    every, first, rest = groups(chosen_path._all_pairs), groups(chosen_path._with_first), groups(chosen_path._with_left)
-    for i in range(len(keys)):
-        for j in range(len(keys)):
-            assert len([g for g in every[i] & every[j] if (block[i] == block[j]) == (g[0] == g[1])]) == 1
-            assert block[j] or first[i] & first[j]
-            assert i >= 12 or rest[i] & rest[j]
-    assert sum(map(len, first)) < 2 * len(keys) + many * block.count(0)
-
-
 def test_runs_reach_the_recall():
     for threshold in (0.8, 0.9):
         assert chosen_path.runs_for(threshold, 0.9999) >= chosen_path.runs_for(threshold, 0.9) >= 1
