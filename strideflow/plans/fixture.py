@@ -7,8 +7,10 @@ supplier becomes a frame.  Everything is a DataFrame expression over
 ``lineitem``, ``supplier`` and ``nation``; the work grows with those tables.
 
 Row numbers and running positions are summed on two levels: within ranges of
-order keys or frames, and over the ranges' totals.  A supplier that holds a
-third of all lineitems is therefore spread over many tasks.
+order keys, and over the ranges' totals.  A supplier that holds a third of all
+lineitems is therefore spread over many tasks.  The lineitems are shuffled
+once, by supplier and range: a supplier's frames of a game follow in the order
+of its lineitems, so positions are summed where the rows have been numbered.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strideflow.functions.positions import POSITION_CODES
-from strideflow.session import table_path
+from strideflow.session import spread, table_path
 
 # Fixed values of the fixture formulas (FIXTURES.md).
 FRAMES_PER_ROUND = 200
 GAMES = 4
 DENSE_FRAMES = 150
 ORDER_RANGE = 4096  # order keys numbered together
-FRAME_RANGE = 2048  # frames of a game summed together
 BLOCK_FRAMES = 35
 BALL_KEY = 7
 BLOCK_SHARES = (30, 55, 70, 78, 85, 95, 100)
@@ -39,18 +40,47 @@ def _idiv(a, b: float):
     return F.floor(a / F.lit(float(b))).cast("long")
 
 
-def _ranged_sums(df: DataFrame, keys: list[str], part: str, order: list[str], values: dict[str, Column]) -> DataFrame:
+def _earlier(totals: DataFrame, keys: list[str], part: str, names: list[str]) -> DataFrame:
+    """The sum of each total ``_name`` over a key's earlier parts, null before
+    any."""
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, part, *[F.sum(f"_{name}").over(earlier).alias(f"_{name}") for name in names])
+
+
+def _ranged_sums(df: DataFrame, keys: list[str], part: str, order: list[str], values: dict[str, Column], of_keys: DataFrame | None = None) -> DataFrame:
     """``df`` with a running sum of each value by ``keys`` in the order of
     (part, order): the sum within the part plus the totals of earlier parts.
-    A part takes one task, so no key has to fit into one."""
+    A part takes one task, so no key has to fit into one.  ``of_keys`` has
+    columns of the keys; rows whose keys it lacks are left out.  It is joined to
+    the parts' totals, so ``df`` is shuffled once, by keys and part."""
     inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     totals = df.groupBy(*keys, part).agg(*[F.sum(v).alias(f"_{name}") for name, v in values.items()])
-    before = totals.select(*keys, part, *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in values])
-    local = df.withColumns({name: F.sum(v).over(inside) for name, v in values.items()})
+    before = _earlier(totals, keys, part, list(values)).fillna(0, [f"_{name}" for name in values])
+    if of_keys is not None:
+        before = before.join(of_keys, keys)
+    local = spread(df, *keys, part).withColumns({name: F.sum(v).over(inside) for name, v in values.items()})
     sums = {name: (F.col(name) + F.col(f"_{name}")).cast("long") for name in values}
-    # a left join never broadcasts the rows themselves
-    return local.join(before, [*keys, part], "left").withColumns(sums).drop(*[f"_{name}" for name in values])
+    # a merge join keeps the rows where they are and never broadcasts them
+    joined = local.join(before.hint("shuffle_merge"), [*keys, part], "left" if of_keys is None else "inner")
+    return joined.withColumns(sums).drop(*[f"_{name}" for name in values])
+
+
+def _positions(df: DataFrame, moves: dict[str, Column]) -> DataFrame:
+    """``df``, numbered and partitioned by (k, range), with a running sum of
+    each move by (k, g) in the order of ``n``, which ranges follow."""
+    inside = Window.partitionBy("k", "range", "g").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = [f"{name}{g}" for name in moves for g in range(GAMES)]
+    of_game = {f"_{name}{g}": F.sum(F.when(F.col("g") == g, v)) for name, v in moves.items() for g in range(GAMES)}
+    # a row a range for all games, so that the join's keys are the partitioning's
+    totals = df.groupBy("k", "range").agg(*[v.alias(name) for name, v in of_game.items()])
+    before = _earlier(totals, ["k"], "range", names)
+    local = df.withColumns({name: F.sum(v).over(inside) for name, v in moves.items()})
+    joined = local.join(before.hint("shuffle_merge"), ["k", "range"], "left")
+    sums = {}
+    for name in moves:
+        earlier = F.get(F.array(*[f"_{name}{g}" for g in range(GAMES)]), F.col("g").cast("int"))
+        sums[name] = F.coalesce(F.col(name) + F.coalesce(earlier, F.lit(0)), earlier).cast("long")
+    return joined.withColumns(sums).drop(*[f"_{name}" for name in names])
 
 
 def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +91,13 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_extendedprice",
-        _idiv(F.col("l_orderkey"), ORDER_RANGE).alias("range"),
+        # lineitems of no order come first and have no number
+        F.coalesce(_idiv(F.col("l_orderkey"), ORDER_RANGE), F.lit(-(1 << 62))).alias("range"),
     )
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    li = _ranged_sums(li, ["k"], "range", order, {"rn": F.lit(1)})
     sup = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("t"))
-    df = li.join(sup, "k").withColumn("n", F.col("rn") - 1)
+    df = _ranged_sums(li, ["k"], "range", order, {"rn": F.lit(1)}, sup)
+    df = df.withColumn("n", F.when(F.col("l_orderkey").isNotNull(), F.col("rn") - 1))
     lap = _idiv(F.col("n"), FRAMES_PER_ROUND)
     gf = F.col("n") % FRAMES_PER_ROUND + FRAMES_PER_ROUND * _idiv(lap, GAMES)
     df = df.withColumn("g", lap % GAMES).withColumn("gf", gf).withColumn("b", _idiv(F.col("gf"), BLOCK_FRAMES))
@@ -75,9 +106,8 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares = F.array(*[F.lit(s) for s in BLOCK_SHARES])
     f = F.element_at(shares, ((F.col("k") * 31 + (F.col("g") * 6 + F.col("b")) * 17) % 7 + 1).cast("int"))
     step = _idiv(v * f * (1000 + F.col("q") - 25), 9000)
-    df = df.withColumn("step", step).withColumn("range", _idiv(F.col("gf"), FRAME_RANGE))
-    moves = {"sx": _idiv(F.col("step") * 4, 5), "sy": _idiv(F.col("step") * 3, 5)}
-    df = _ranged_sums(df, ["k", "g"], "range", ["gf"], moves)
+    df = df.withColumn("step", step)
+    df = _positions(df, {"sx": _idiv(F.col("step") * 4, 5), "sy": _idiv(F.col("step") * 3, 5)})
     cx = F.col("k") * 7717 + F.col("sx")
     cy = F.col("k") * 3331 + F.col("sy")
     x = F.abs(cx % 210000 - 105000) / F.lit(1000.0) - F.lit(52.5)

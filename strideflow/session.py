@@ -72,6 +72,26 @@ def store_stage(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return path
 
 
+FILE_BYTES = 4 << 20  # of Parquet input a partition of a shuffle of all its rows: some 100 MB to sort
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` reads, 0 if it reads none."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(at.getFileSystem(conf).getFileStatus(at).getLen() for at in paths)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` partitioned by ``keys`` into as many parts as its input files
+    ask for, so a task's rows stay as few as they are however large the input
+    is and are sorted in memory.  The session's number of shuffle partitions is
+    fixed, and AQE merges them by compressed size.  A small input, or one not
+    in files, is left to these."""
+    parts = -(-input_bytes(df) // FILE_BYTES)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of ours in whatever file system it lies; absent is fine."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
