@@ -38,6 +38,11 @@ def values(speeds: DataFrame) -> DataFrame:
     return counted.withColumn("bucket", _clipped_bucket(F.col("speed"))).withColumn("band", F.floor("speed").cast("int"))
 
 
+def histogram_of(vals: DataFrame) -> DataFrame:
+    """``histogram`` from stored ``values``, without another pass over frames."""
+    return vals.groupBy("game_id", "player_id", "bucket").agg(F.sum("n").alias("n"))
+
+
 def vmax_from_state(hist: DataFrame, vals: DataFrame, percentiles: list[float], per_game: bool = False) -> DataFrame:
     """``vmax_percentiles`` from the two state tables of any set of games.
 

@@ -29,7 +29,7 @@ from strideflow.operators import runs as ru
 from strideflow.operators import tables as tb
 from strideflow.operators import vmax_state as vs
 from strideflow.params import LIB, PROD, EffortParams
-from strideflow.session import drop_stages, materialize
+from strideflow.session import drop_stages, materialize, spread
 from strideflow.sources.tables import read_table
 
 FRAME_KEY = ["game_id", "player_id", "frame_id"]
@@ -163,8 +163,7 @@ class GameStore:
 
         # speeds and state of the batch's games only: both are per game
         speeds = materialize(fr.compute_speed(fr.drop_ball(bronze), params), "speeds")
-        new_hist = self._write(vs.histogram(speeds), "histogram", attempt, "game_id")
-        self._write(vs.values(speeds), "values", attempt, "band")
+        new_hist = self._write(vs.histogram_of(self._write(vs.values(speeds), "values", attempt, "band")), "histogram", attempt, "game_id")
         rest = ledger.join(touched, "game_id", "left_anti")
         state = rest.filter(F.col("kind") == STATE).unionByName(games.select(F.lit(STATE).alias("kind"), "game_id", F.lit(attempt).alias("attempt")))
         state = materialize(state, "state_ledger")
@@ -236,4 +235,4 @@ class GameStore:
         old = self._read("bronze", STATE, ledger).join(games, "game_id", "left_semi").select(*names)
         both = tracking.withColumn("_new", F.lit(1)).unionByName(old.withColumn("_new", F.lit(0)))
         row = F.struct("_new", *[c for c in names if c not in FRAME_KEY])
-        return both.groupBy(*FRAME_KEY).agg(F.max(row).alias("r")).select(*[c if c in FRAME_KEY else F.col(f"r.{c}") for c in names])
+        return spread(both, *FRAME_KEY).groupBy(*FRAME_KEY).agg(F.max(row).alias("r")).select(*[c if c in FRAME_KEY else F.col(f"r.{c}") for c in names])
