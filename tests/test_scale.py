@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strideflow import session
 from strideflow.operators import frames as fr
+from strideflow.operators import vmax_state as vs
 from strideflow.params import PROD
 from strideflow.plans import fixture
 
@@ -58,3 +59,11 @@ def test_positions_do_not_depend_on_the_ranges(spark, tmp_path, monkeypatch):
     one = sorted(map(str, fixture.tracking(spark, path).collect()))
     monkeypatch.setattr(fixture, "ORDER_RANGE", 16)
     assert sorted(map(str, fixture.tracking(spark, path).collect())) == one
+
+
+def test_store_sums_its_histogram_from_its_values(spark):
+    """A batch counts its speeds once."""
+    rows = [r for k in range(6) for r in player_rows(f"p{k % 3}", [0.3, *[15.0 + (i * k) % 9 for i in range(50)]], game_id=f"g{k}")]
+    speeds = fr.compute_speed(frames_df(spark, rows), PROD)
+    one = sorted(map(tuple, vs.histogram(speeds).collect()))
+    assert one and sorted(map(tuple, vs.histogram_of(vs.values(speeds)).collect())) == one
