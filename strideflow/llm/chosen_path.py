@@ -6,8 +6,10 @@ two sets share as many as they are similar.  Buckets start at a few
 coordinates (the runs) and large buckets are split again and again on further
 sampled coordinates, so a path of shared coordinates leads similar sets into
 one leaf.  Runs and depth are chosen for the target recall.  Leaves are
-compared by signature; connected candidates are then compared exactly, all
-against all of their candidate component in blocks.
+compared by signature; connected candidates are then compared exactly, with
+all sets of their candidate component that can reach the threshold.  Of a large
+component, sets with too few shingles that another one has go first, as no
+pair of theirs can; the others are compared in blocks of like size.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ DEPTH = 3  # splits after the first
 DENSE = 0.5  # share of a large bucket that a further coordinate may keep together
 LEAF = 128  # sets of a leaf that are compared with each other
 MARGIN = 0.25  # what a signature may fall short of the threshold (five standard deviations)
-BLOCK = 128  # sets of a block of the exact comparison
+BLOCK = 1024  # sets of a block of the exact comparison
+BLOCK_GRAMS = 1 << 20  # shingles of a block: 8 MB
+PART_GRAMS = 1 << 19  # shingles of a large component that are counted in one group
+SENT_BYTES = 8 << 20  # shingles of a batch that a task sends on
+TILE = 1 << 20  # pairs, or places of a dense table, that a comparison holds at once
 BROADCAST_ROWS = 500_000
 
 _A = (stream64(COORDINATES, 101) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -145,56 +151,168 @@ def _similar(threshold: float):
     return run
 
 
-def _blocks(text: str, size: int):
-    """Members with their text -> members with their shingles, once for each
-    pair of blocks that theirs takes part in."""
+class _Sent:
+    """Rows with shingles on their way out, as batches of limited bytes."""
+
+    def __init__(self, **kinds: pa.DataType):
+        self.kinds, self.rows, self.bytes = kinds, [], 0
+
+    def add(self, *row) -> bool:
+        """Whether a batch is full."""
+        self.rows.append(row)
+        self.bytes += len(row[-1])
+        return self.bytes >= SENT_BYTES or len(self.rows) >= 4096
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else [()] * len(self.kinds)
+        out = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, self.kinds.values(), strict=True)], names=list(self.kinds))
+        self.rows, self.bytes = [], 0
+        return out
+
+
+def _grams(text: str, size: int):
+    """Members with their text -> members with their shingles."""
 
     @task
     def run(batches):
-        sent = set()  # of this task: rows may repeat
+        done = set()  # of this task: rows may repeat
+        out = _Sent(set_key=pa.binary(), root=pa.binary(), weight=pa.int64(), n=pa.int64(), grams=pa.binary())
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            key, root, weight, count = (get(c).to_pylist() for c in ("set_key", "root", "weight", "count"))
-            rows, grp, own, grams_of = [], [], [], []
+            key, root, weight = (get(c).to_pylist() for c in ("set_key", "root", "weight"))
             for r, grams in _sets_of(get(text), size):
-                if key[r] in sent:
-                    continue
-                sent.add(key[r])
-                many = -(-count[r] // BLOCK)
-                block = int.from_bytes(key[r][-4:], "big") % many
-                raw = grams.tobytes()
-                for other in range(many):
-                    i, j = sorted((block, other))
-                    rows.append(r)
-                    grp.append(root[r] + i.to_bytes(4, "big") + j.to_bytes(4, "big"))
-                    own.append(block)
-                    grams_of.append(raw)
-                    if len(rows) >= 4096:
-                        yield _block_rows(grp, own, rows, key, weight, grams_of)
-                        rows, grp, own, grams_of = [], [], [], []
-            yield _block_rows(grp, own, rows, key, weight, grams_of)
+                if key[r] not in done:
+                    done.add(key[r])
+                    if out.add(key[r], root[r], weight[r], len(grams), grams.tobytes()):
+                        yield out.batch()
+        yield out.batch()
 
     return run
 
 
-def _block_rows(grp, own, rows, key, weight, grams) -> pa.RecordBatch:
-    cols = [pa.array(grp, pa.binary()), pa.array(own, pa.int32()), pa.array([key[r] for r in rows], pa.binary()), pa.array([weight[r] for r in rows], pa.int64()), pa.array(grams, pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["grp", "block", "set_key", "weight", "grams"])
+@task
+def _parts(batches):
+    """Members of large components -> their shingles, dealt by hash to the
+    groups of the component."""
+    out = _Sent(grp=pa.binary(), set_key=pa.binary(), grams=pa.binary())
+    for batch in batches:
+        key, root, total, raw = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("set_key", "root", "total", "grams"))
+        for r in range(batch.num_rows):
+            grams, many = np.frombuffer(raw[r], np.uint64), -(-total[r] // PART_GRAMS)
+            part = mix64(grams) % np.uint64(many)
+            order = np.argsort(part, kind="stable")
+            for own in np.split(grams[order], np.flatnonzero(np.diff(part[order])) + 1):
+                if out.add(root[r] + int(mix64(own[:1])[0] % np.uint64(many)).to_bytes(4, "big"), key[r], own.tobytes()):
+                    yield out.batch()
+    yield out.batch()
+
+
+def _once(key: list, i: int, j: int) -> list[int]:
+    """A row of each set of a group, as rows may repeat."""
+    return list({key[x]: x for x in range(i, j)}.values())
+
+
+@task
+def _common(batches):
+    """Groups of shingles -> number of each set's that another set has too."""
+    for batch, cut in _runs_of(batches, "grp"):
+        key, raw = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("set_key", "grams"))
+        keys, common = [], []
+        for i, j in zip(cut, cut[1:], strict=False):
+            at = _once(key, i, j)
+            grams = [np.frombuffer(raw[x], np.uint64) for x in at]
+            row = np.repeat(np.arange(len(at)), [len(g) for g in grams])
+            _, token, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+            keys += [key[x] for x in at]
+            common += np.bincount(row[n[token] > 1], minlength=len(at)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(common, pa.int64())], names=["set_key", "common"])
+
+
+@task
+def _blocks(batches):
+    """Members of large components -> once for each pair of blocks that theirs
+    takes part in.  ``others`` has the levels of size that a member's can be
+    similar to, its own among them, and their numbers of blocks."""
+    out = _Sent(grp=pa.binary(), second=pa.bool_(), set_key=pa.binary(), weight=pa.int64(), grams=pa.binary())
+    for batch in batches:
+        key, root, weight, level, others, raw = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("set_key", "root", "weight", "level", "others", "grams"))
+        for r in range(batch.num_rows):
+            many = {x["level"]: x["many"] for x in others[r]}
+            own = (level[r], int.from_bytes(key[r][-4:], "big") % many[level[r]])
+            for other in ((at, i) for at in many for i in range(many[at])):
+                grp = root[r] + b"".join(x.to_bytes(4, "big") for x in (*min(own, other), *max(own, other)))
+                if out.add(grp, own > other, key[r], weight[r], raw[r]):
+                    yield out.batch()
+    yield out.batch()
+
+
+def _postings(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles, where the sets of each begin, and these sets."""
+    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    token = np.concatenate(grams)
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    return token[at], np.append(at, len(token)), row[order]
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all spans, and the span of each."""
+    span = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(span)) - np.repeat(np.cumsum(size) - size - first, size), span
+
+
+def _shared(a: list[np.ndarray], b: list[np.ndarray] | None = None) -> np.ndarray:
+    """Sizes of the intersections of each set of ``a`` with each of ``b``,
+    without it of ``a``.  Shingles of many sets are multiplied as dense
+    tables, the pairs of the others are counted."""
+    token, at, row = _postings(a)
+    if b is None:
+        left = right = np.flatnonzero(np.diff(at) > 1)
+        to, at_to, row_to = len(a), at, row
+    else:
+        other, at_to, row_to = _postings(b)
+        _, left, right = np.intersect1d(token, other, assume_unique=True, return_indices=True)
+        to = len(b)
+    n, m = np.diff(at)[left], np.diff(at_to)[right]
+    out = np.zeros((len(a), to), np.float32)
+    dense = n * m * 256 >= out.size
+    width = max(256, TILE // max(out.shape))
+    x, y = left[dense], right[dense]
+    for i in range(0, len(x), width):
+        tables = []
+        for starts, rows, own, sets in ((at, row, x, len(a)), (at_to, row_to, y, to))[: 1 + (b is not None)]:
+            own = own[i : i + width]
+            place, column = _spans(starts[own], starts[own + 1] - starts[own])
+            table = np.zeros((sets, len(own)), np.float32)
+            table[rows[place], column] = 1
+            tables.append(table)
+        out += tables[0] @ tables[-1].T
+    x, y, n, m = left[~dense], right[~dense], n[~dense], m[~dense]
+    until = np.cumsum(n * m)
+    i = 0
+    while i < len(x):
+        j = max(i + 1, int(np.searchsorted(until, (until[i - 1] if i else 0) + TILE, side="right")))
+        pair, span = _spans(np.zeros(j - i, np.int64), (n * m)[i:j])
+        one, two = np.divmod(pair, m[i:j][span])
+        flat = row[at[x[i:j]][span] + one] * to + row_to[at_to[y[i:j]][span] + two]
+        out += np.bincount(flat, minlength=out.size).reshape(out.shape)
+        i = j
+    return out
 
 
-def _shared(grams: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
-    row = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    _, token, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    keep = n[token] > 1
-    names, token = np.unique(token[keep], return_inverse=True)
-    row = row[keep]
-    out = np.zeros((len(grams), len(grams)), np.float32)
-    for i in range(0, len(names), 8192):
-        at = (token >= i) & (token < i + 8192)
-        x = np.zeros((len(grams), min(8192, len(names) - i)), np.float32)
-        x[row[at], token[at] - i] = 1
-        out += x @ x.T
+def _near(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Which sets of ``a`` and ``b`` reach the threshold; without ``b``, which
+    different ones of ``a``."""
+    both = _shared(a, b)
+    n, m = (np.array([len(g) for g in x], np.float64) for x in (a, a if b is None else b))
+    out = np.empty(both.shape, dtype=bool)
+    step = max(1, TILE // len(m))
+    for i in range(0, len(n), step):
+        shared = both[i : i + step]
+        out[i : i + step] = shared >= threshold * (n[i : i + step, None] + m - shared) - 1e-6
+    if b is None:
+        np.fill_diagonal(out, False)
     return out
 
 
@@ -206,25 +324,29 @@ def _exact(threshold: float):
     def run(batches):
         for batch, cut in _runs_of(batches, "grp"):
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            key, grp, raw = get("set_key").to_pylist(), get("grp").to_pylist(), get("grams").to_pylist()
-            block, weight = get("block").to_numpy(), get("weight").to_numpy()
+            key, second, raw = get("set_key").to_pylist(), get("second").to_pylist(), get("grams").to_pylist()
+            weight = get("weight").to_numpy()
             a, b, links = [], [], []
             for i, j in zip(cut, cut[1:], strict=False):
-                at = list({key[x]: x for x in range(i, j)}.values())
-                if len(at) < 2:
+                at = sorted(_once(key, i, j), key=lambda x: second[x])
+                two = sum(second[x] for x in at)
+                one = len(at) - two
+                if len(at) < 2 or not one:
                     continue
                 grams = [np.frombuffer(raw[x], np.uint64) for x in at]
-                size = np.array([len(g) for g in grams], np.float64)
-                both = _shared(grams)
-                near = both >= threshold * (size[:, None] + size - both) - 1e-6
-                np.fill_diagonal(near, False)
-                if grp[i][-8:-4] != grp[i][-4:]:
-                    near &= block[at][:, None] != block[at]
-                w = near @ weight[at]
-                for x in np.flatnonzero(w):
-                    a.append(key[at[x]])
-                    b.append(None)
-                    links.append(int(w[x]))
+                if two:
+                    near = np.zeros((len(at), len(at)), dtype=bool)
+                    near[:one, one:] = _near(grams[:one], grams[one:], threshold)
+                    near[one:, :one] = near[:one, one:].T
+                else:
+                    near = _near(grams, None, threshold)
+                linked = np.flatnonzero(near.any(axis=0))
+                if not len(linked):
+                    continue
+                near, at = near[np.ix_(linked, linked)], [at[x] for x in linked]
+                a += [key[x] for x in at]
+                b += [None] * len(at)
+                links += (near @ weight[at]).tolist()
                 for x, y in _forest(near):
                     a.append(key[at[x]])
                     b.append(key[at[y]])
@@ -267,6 +389,36 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _compared(grams: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Members with their shingles -> ``grp``, ``second``, ``set_key``,
+    ``weight``, ``grams``: groups in which all pairs of one component meet that
+    can reach the threshold.
+
+    A component within a block is one group.  Of a larger one, a set can only
+    be similar to another if the component's other sets have ``threshold`` of
+    its shingles; the sets that remain meet those of like size, in pairs of
+    blocks.
+    """
+    large = members.groupBy("root").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    large = _small(stage(large.filter((F.col("count") > BLOCK) | (F.col("total") > BLOCK_GRAMS)).select("root", "total"), "large"))
+    whole = grams.join(large, "root", "left_anti").select(F.col("root").alias("grp"), F.lit(False).alias("second"), "set_key", "weight", "grams")
+
+    split = grams.join(large, "root")
+    parts = split.select("set_key", "root", "total", "grams").mapInArrow(_parts, "grp binary, set_key binary, grams binary")
+    common = parts.repartition("grp").sortWithinPartitions("grp").mapInArrow(_common, "set_key binary, common bigint").groupBy("set_key").agg(F.sum("common").alias("common"))
+    # sets of similar size are on the same level or on neighbouring ones; the steps are a little wider, as logarithms are rounded
+    step = max(-np.log(threshold), 1e-3) * 1.0001
+    open_ = members.join(common, "set_key").filter(F.col("common") >= threshold * F.col("n") - 1e-6)
+    open_ = stage(open_.select("set_key", "root", "n", F.floor(F.log("n") / F.lit(float(step))).cast("int").alias("level")), "open")
+    many = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_GRAMS))).cast("int").alias("many")
+    levels = open_.groupBy("root", "level").agg(many)
+    others = levels.select("root", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])).alias("at"), F.struct("level", "many").alias("other"))
+    others = stage(others.groupBy("root", "at").agg(F.collect_list("other").alias("others")).withColumnRenamed("at", "level"), "levels")
+    left = split.join(_small(open_.select("set_key", "level")), "set_key").join(_small(others), ["root", "level"])
+    blocks = left.select("set_key", "root", "weight", "level", "others", "grams").mapInArrow(_blocks, "grp binary, second boolean, set_key binary, weight bigint, grams binary")
+    return whole.unionByName(blocks)
+
+
 def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per row: doc_id, text_hash, class_id (smallest id of its
     connected class of similar texts), class_size and n_links (other rows at
@@ -291,11 +443,10 @@ def similar_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     found = sorted_leaves.mapInArrow(_similar(threshold), "a binary, b binary").unionByName(links)
     root = stage(components(found, "a", "b"), "candidates")
 
-    counts = root.groupBy("root").agg(F.count("*").alias("count"))
-    members = stage(root.join(counts, "root").join(sets, F.col("node") == sets["set_key"]).select("root", "count", "set_key", "at", "weight"), "members")
-    texts = base.join(_small(members), F.col("doc_id").eqNullSafe(F.col("at.id")) & (F.col("text_hash") == F.col("at.hash"))).select("set_key", "root", "count", "weight", "text")
-    blocks = texts.mapInArrow(_blocks("text", size), "grp binary, block int, set_key binary, weight bigint, grams binary")
-    pairs = blocks.repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(threshold), "a binary, b binary, links bigint")
+    members = stage(root.join(sets, F.col("node") == sets["set_key"]).select("root", "set_key", "at", "weight", "n"), "members")
+    texts = base.join(_small(members.drop("n")), F.col("doc_id").eqNullSafe(F.col("at.id")) & (F.col("text_hash") == F.col("at.hash"))).select("set_key", "root", "weight", "text")
+    grams = stage(texts.mapInArrow(_grams("text", size), "set_key binary, root binary, weight bigint, n bigint, grams binary"), "grams")
+    pairs = _compared(grams, members, threshold).repartition("grp").sortWithinPartitions("grp").mapInArrow(_exact(threshold), "a binary, b binary, links bigint")
     pairs = stage(pairs, "links")
 
     classes = components(pairs.filter("b is not null"), "a", "b")

@@ -67,6 +67,64 @@ def test_similarity_equals_brute_force(spark, monkeypatch):
     assert chosen_path.similar_classes(empty(spark)).count() == 0
 
 
+def sent_bytes(monkeypatch):
+    """Tells the bytes of shingles that are shuffled to groups from now on."""
+    from pyspark.sql import SparkSession
+
+    frames, kind = [], type(SparkSession.getActiveSession().range(0))
+    real = kind.repartition
+
+    def repartition(df, *by):
+        if "grams" in df.columns:
+            frames.append(df)
+        return real(df, *by)
+
+    monkeypatch.setattr(kind, "repartition", repartition)
+    return lambda: sum(df.agg(F.sum(F.length("grams"))).head()[0] or 0 for df in frames)
+
+
+def test_shingles_of_a_large_component_are_not_sent_to_all_its_blocks(spark, monkeypatch):
+    """Texts that share two thirds are one candidate component, but hardly any
+    can have a partner; the others meet those of like size only."""
+    rng = random.Random(6)
+    notice = words(rng, 60, 5000)
+    rows = [(i, f"{notice} " + " ".join(f"u{i}v{j}" for j in range(15))) for i in range(200)]
+    rows += [(300 + i, rows[7 * i][1] + f" more{i}") for i in range(12)] + [(None, rows[3][1]), (5, rows[5][1]), (None, notice)]
+    monkeypatch.setattr(chosen_path, "BLOCK", 16)
+    sent = sent_bytes(monkeypatch)
+    got = similar(spark, rows)
+    once = 8 * sum(len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) for w in map(words_of, {t for _, t in rows}))
+    assert got == brute_classes(rows)
+    assert once <= sent() <= 3 * once  # 14 times when all blocks of 16 met
+
+
+def test_blocks_of_like_size_miss_no_pair(spark, monkeypatch):
+    rng = random.Random(8)
+    long = words(rng, 420, 5000).split()
+    rows = [(i, " ".join(long[: 30 + 5 * (i // 2)]) + (f" end{i}" if i % 2 else "")) for i in range(150)]  # sizes from 26 to 400, alike along the chain
+    rows += [(500 + i, rows[2 * i][1]) for i in range(5)]
+    want = brute_classes(rows)
+    for block, grams in ((16, 1 << 20), (1 << 10, 2000)):
+        monkeypatch.setattr(chosen_path, "BLOCK", block)
+        monkeypatch.setattr(chosen_path, "BLOCK_GRAMS", grams)
+        monkeypatch.setattr(chosen_path, "PART_GRAMS", 5000)
+        assert similar(spark, rows) == want
+
+
+def test_intersections_are_counted_dense_and_sparse(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for tile in (chosen_path.TILE, 64):
+        monkeypatch.setattr(chosen_path, "TILE", tile)
+        for n, m, size, names in ((1, 1, 3, 4), (40, 70, 60, 200), (150, 90, 30, 4000)):
+            a, b = ([np.unique((names * rng.random(size) ** 3).astype(np.uint64)) for _ in range(k)] for k in (n, m))
+            assert (chosen_path._shared(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+            own = np.array([[len(np.intersect1d(x, y)) for y in a] for x in a])
+            off = ~np.eye(n, dtype=bool)
+            assert (chosen_path._shared(a)[off] == own[off]).all()
+
+
 def test_runs_reach_the_recall():
     for threshold in (0.8, 0.9):
         assert chosen_path.runs_for(threshold, 0.9999) >= chosen_path.runs_for(threshold, 0.9) >= 1
